@@ -38,3 +38,4 @@ def register(name: str, sql: str | None):
 # Registration modules (import for their side effect of filling REGISTRY).
 from rollbook.plans import registry_fees  # noqa: E402,F401
 from rollbook.plans import registry_marks  # noqa: E402,F401
+from rollbook.plans import registry_people  # noqa: E402,F401

@@ -134,7 +134,8 @@ def student_dashboard(s: School, keys: DataFrame | None = None) -> DataFrame:
     The reference's correlated scalar subqueries become per-enrollment
     pre-aggregates joined back (0 for no attendance, NULL for no subject).
     """
-    enr = restrict(in_active_year(s.student_enrollments, s.academic_years), keys, "enrollment_id")
+    enr = in_active_year(s.student_enrollments, s.academic_years).where(F.col("user_id").isNotNull())
+    enr = restrict(enr, keys, "user_id")
     att = s.attendance_students.groupBy("enrollment_id").agg(
         F.count(F.lit(1)).alias("total_days"),
         F.sum((F.col("status") == "Present").cast("long")).alias("present_days"))
