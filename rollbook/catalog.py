@@ -39,3 +39,4 @@ def register(name: str, sql: str | None):
 from rollbook.plans import registry_fees  # noqa: E402,F401
 from rollbook.plans import registry_marks  # noqa: E402,F401
 from rollbook.plans import registry_people  # noqa: E402,F401
+from rollbook.plans import registry_audit  # noqa: E402,F401
