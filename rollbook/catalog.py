@@ -41,3 +41,4 @@ from rollbook.plans import registry_marks  # noqa: E402,F401
 from rollbook.plans import registry_people  # noqa: E402,F401
 from rollbook.plans import registry_audit  # noqa: E402,F401
 from rollbook.plans import registry_changes  # noqa: E402,F401
+from rollbook.plans import registry_lifecycle  # noqa: E402,F401

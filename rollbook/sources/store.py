@@ -49,8 +49,10 @@ class School:
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Project and cast ``df`` to the declared columns of ``table``."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields])
+    """Project and cast ``df`` to the declared columns of ``table`` (absent columns become NULL)."""
+    have = set(df.columns)
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in SCHEMAS[table].fields])
 
 
 # How each table is laid out when written: (partition columns, sort-within-files columns).
