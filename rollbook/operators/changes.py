@@ -260,8 +260,8 @@ def class_fee_batch(s: School, year: int, classes: DataFrame | None, as_of) -> D
     if classes is not None:
         enr = enr.join(small(classes.select("class_id").distinct(), "classes"), "class_id", "left_semi")
     fs = small(s.fee_structures.where(F.col("academic_year_id") == F.lit(year))
-               .select("class_level", "total_amount"), "fee_structures")
-    return (enr.join(small(s.classes.select("class_id", "class_level"), "classes"), "class_id")
+               .select("class_level", "total_amount"), "fee_structures", base=s.fee_structures)
+    return (enr.join(small(s.classes.select("class_id", "class_level"), "classes", base=s.classes), "class_id")
             .join(fs, "class_level")
             .select("enrollment_id", "total_amount", F.lit(as_of).cast("date").alias("assigned_date")))
 

@@ -34,23 +34,23 @@ def assignments_by_enrollment(s: School) -> DataFrame:
 
 
 def classes_dim(s: School, *cols: str) -> DataFrame:
-    return small(s.classes.select("class_id", *cols), "classes")
+    return small(s.classes.select("class_id", *cols), "classes", base=s.classes)
 
 
 def years_dim(s: School, *cols: str) -> DataFrame:
-    return small(s.academic_years.select("academic_year_id", *cols), "academic_years")
+    return small(s.academic_years.select("academic_year_id", *cols), "academic_years", base=s.academic_years)
 
 
 def employees_dim(s: School, *cols: str) -> DataFrame:
-    return small(s.employees.select("employee_id", *cols), "employees")
+    return small(s.employees.select("employee_id", *cols), "employees", base=s.employees)
 
 
 def subjects_dim(s: School, *cols: str) -> DataFrame:
-    return small(s.subjects.select("subject_id", *cols), "subjects")
+    return small(s.subjects.select("subject_id", *cols), "subjects", base=s.subjects)
 
 
 def exams_dim(s: School, *cols: str) -> DataFrame:
-    return small(s.exams.select("exam_id", *cols), "exams")
+    return small(s.exams.select("exam_id", *cols), "exams", base=s.exams)
 
 
 def with_student(df: DataFrame, s: School, *cols: str) -> DataFrame:

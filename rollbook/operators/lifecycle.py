@@ -43,7 +43,7 @@ def add_marks(s: School, batch: DataFrame) -> tuple[School, DataFrame, DataFrame
     b = b.withColumn("max_marks", F.col("max_marks").cast("decimal(5,2)"))
     invalid = (F.col("subject_id").isNull() | F.col("exam_name").isNull() | F.col("max_marks").isNull()
                | (F.col("max_marks") == 0) | F.col("enrollment_id").isNull())
-    years = small(s.subjects.select("subject_id", "academic_year_id"), "subjects")
+    years = small(s.subjects.select("subject_id", "academic_year_id"), "subjects", base=s.subjects)
     b = (b.join(years, "subject_id", "left")
          .withColumn("_pre", F.when(invalid, F.lit("invalid_data"))
                      .when(F.col("academic_year_id").isNull(), F.lit("missing_parent:subject_id"))))
@@ -125,7 +125,7 @@ def promote(s: School, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # New enrollments for accepted mappings with a target.
     starts = small(s.academic_years.select(F.col("academic_year_id").alias("to_year"), "start_date"),
-                   "academic_years")
+                   "academic_years", base=s.academic_years)
     moves = ok.where(F.col("to_class").isNotNull())
     new_rows = (active.join(moves, ["from_year", "from_class"])
                 .join(starts, "to_year")
@@ -206,7 +206,7 @@ def register_people(s: School, batch: DataFrame, order_by: list[str]) -> tuple[S
     All tables of a row are accepted or refused together.
     """
     b = cut_lineage(batch.select("fname", "role", "date", "salary", "roll_no", "reg_no", "class_id"))
-    cls = small(s.classes.select("class_id", "academic_year_id"), "classes")
+    cls = small(s.classes.select("class_id", "academic_year_id"), "classes", base=s.classes)
     b = (b.join(cls, "class_id", "left")
          .withColumn("_row", F.monotonically_increasing_id())
          .withColumn("username", F.col("reg_no"))

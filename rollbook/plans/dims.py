@@ -38,19 +38,25 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return hit
 
 
-def small(df: DataFrame, kind: str = "keys") -> DataFrame:
-    """Broadcast-hint ``df`` only if its size is proven below the bound for ``kind``."""
-    return F.broadcast(df) if fits(df, DIM_ROW_BOUNDS[kind]) else df
+def small(df: DataFrame, kind: str = "keys", base: DataFrame | None = None) -> DataFrame:
+    """Broadcast-hint ``df`` only if its size is proven below the bound for ``kind``.
+
+    ``base`` is a table ``df`` is a projection or filter of (never larger); checking the
+    base once per table object lets every report reuse the answer.
+    """
+    return F.broadcast(df) if fits(df if base is None else base, DIM_ROW_BOUNDS[kind]) else df
 
 
 def active_year_ids(academic_years: DataFrame) -> DataFrame:
     """Ids of all active years (several may be active; all count)."""
-    return academic_years.where(F.col("is_active")).select("academic_year_id")
+    # `is_active <=> true` stays a comparison after optimisation (a bare boolean column does not),
+    # so the semi-join prunes year partitions of the joined fact table (dynamic partition pruning).
+    return academic_years.where(F.col("is_active").eqNullSafe(True)).select("academic_year_id")
 
 
 def in_active_year(df: DataFrame, academic_years: DataFrame, col: str = "academic_year_id") -> DataFrame:
     """Rows of ``df`` whose ``col`` is an active year: a (broadcast) left-semi join."""
-    ids = small(active_year_ids(academic_years), "academic_years")
+    ids = small(active_year_ids(academic_years), "academic_years", base=academic_years)
     if col != "academic_year_id":
         ids = ids.withColumnRenamed("academic_year_id", col)
     return df.join(ids, col, "left_semi")

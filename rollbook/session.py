@@ -14,6 +14,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     parts = shuffle_partitions or int(os.environ.get("ROLLBOOK_SHUFFLE_PARTITIONS", "8"))
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -4,11 +4,11 @@
 ``School`` and return a DataFrame (reports) or a new ``School`` /
 DataFrame (table changes); nothing is collected to the driver.
 
-Layout at rest (``write_school``): the fact tables are partitioned by
-academic year (enrollments, marks through the enrollment id are not, so
-marks/attendance/payments are sorted by ``enrollment_id`` inside files for
-row-group pruning); fee payments are partitioned by payment year so the
-date-range reports prune whole directories.
+Layout at rest (``write_school``): enrollments are partitioned by academic
+year, so the active-year semi-join prunes the other years' directories
+(dynamic partition pruning); marks, attendance and assignments are sorted
+by ``enrollment_id`` inside files and payments by ``payment_date``, so
+Parquet row-group min/max statistics skip data for key and date filters.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ LAYOUT: dict[str, tuple[list[str], list[str]]] = {
     "marks": ([], ["enrollment_id"]),
     "attendance_students": ([], ["enrollment_id", "attendance_date"]),
     "student_fee_assignments": ([], ["enrollment_id"]),
-    "fee_payments": (["payment_year"], ["enrollment_id"]),
+    "fee_payments": ([], ["payment_date", "enrollment_id"]),
     "student_master": ([], ["student_master_id"]),
 }
 
@@ -71,8 +71,6 @@ def write_school(school: School, path: str, mode: str = "overwrite") -> None:
     for name in SCHEMAS:
         df = school.table(name)
         parts, sort_cols = LAYOUT.get(name, ([], []))
-        if "payment_year" in parts:
-            df = df.withColumn("payment_year", F.year("payment_date"))
         # No repartition by the partition column: one year would become one task.
         # Each task sorts its own rows and writes one file per partition value it holds.
         writer_df = df.sortWithinPartitions(*parts, *sort_cols) if (parts or sort_cols) else df
@@ -86,6 +84,7 @@ def read_school(spark: SparkSession, path: str) -> School:
     """Read the tables written by ``write_school`` with their declared schemas."""
     tables = {}
     for name, schema in SCHEMAS.items():
-        df = spark.read.parquet(f"{path}/{name}")
+        # Declared schema on read: partition columns keep their declared types (no inference).
+        df = spark.read.schema(schema).parquet(f"{path}/{name}")
         tables[name] = conform(df, name)
     return School(**tables)
