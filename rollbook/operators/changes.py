@@ -37,14 +37,16 @@ def next_id_base(existing: DataFrame, id_col: str, start: int) -> Column:
     return F.coalesce(existing.agg(F.max(id_col).alias("m")).scalar(), F.lit(start - 1).cast("long"))
 
 
-def assign_ids(df: DataFrame, id_col: str, base: Column, order_by: list[str]) -> DataFrame:
+def assign_ids(df: DataFrame, id_col: str, base: Column, order_by: list[str],
+               presorted: bool = False) -> DataFrame:
     """Number the rows of ``df`` as base+1, base+2, … in ``order_by`` order (a total order).
 
     Distributed: a global sort (range partitions), a reliable checkpoint so the
     partitions are fixed, then per-partition counts (one row per partition) turned
-    into offsets.  Deterministic on recomputation.
+    into offsets.  Deterministic on recomputation.  ``presorted`` means ``df`` is
+    already a row filter of a globally sorted, checkpointed frame (no second sort).
     """
-    ordered = cut_lineage(df.orderBy(*order_by))
+    ordered = df if presorted else cut_lineage(df.orderBy(*order_by))
     pos = (ordered.withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
     counts = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
@@ -82,13 +84,19 @@ def _flag_keys(df: DataFrame, key_sets: list[tuple[list[str], DataFrame, str]])
 
 
 def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
-                   skip: tuple[str, ...] = ()) -> DataFrame:
+                   skip: tuple[str, ...] = (), with_ids: bool | None = None,
+                   row_key: list[str] | None = None) -> DataFrame:
     """``batch`` with defaults applied and a ``reason`` column (NULL when the row is acceptable).
 
-    ``batch`` carries a unique ``_row`` position; ``order_by`` + ``_row`` is a total order.
+    ``row_key`` identifies a batch row: by default a unique ``_row`` position the batch
+    carries (``order_by`` + ``_row`` is then a total order); or ``order_by`` itself when
+    the caller guarantees it is unique.
     """
+    row_key = row_key or ["_row"]
     schema = SCHEMAS[table]
     pk = PRIMARY_KEYS[table]
+    # Key checks on the id only when the batch brings ids (otherwise they are all new).
+    with_ids = (pk in batch.columns) if with_ids is None else with_ids
     cols = {f.name for f in schema.fields}
     for c in sorted(cols - set(batch.columns)):
         batch = batch.withColumn(c, F.lit(None).cast(schema[c].dataType))
@@ -101,16 +109,16 @@ def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
     checks += [(F.length(c) > n, f"too_long:{c}") for c, n in MAX_LENGTHS.get(table, {}).items()]
     df = batch.withColumn(REASON, _first_reason(checks))
 
-    order = list(dict.fromkeys([*order_by, "_row"]))
-    keys = [[pk]] + [list(k) for k in UNIQUE_KEYS.get(table, [])]
+    order = list(dict.fromkeys([*order_by, *row_key]))
+    keys = ([[pk]] if with_ids else []) + [list(k) for k in UNIQUE_KEYS.get(table, [])]
     ok = df.where(F.col(REASON).isNull())
     flags = []
     for k in keys:
         present = ok.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k]))
         # In-batch clash: every row but the first (by order) of a key value.
         first = present.groupBy(*k).agg(F.min(F.struct(*order)).alias("_first"))
-        later = present.join(first, k).where(F.struct(*order) != F.col("_first")).select("_row")
-        flags.append((["_row"], later, f"duplicate_in_batch:{','.join(k)}"))
+        later = present.join(first, k).where(F.struct(*order) != F.col("_first")).select(*row_key)
+        flags.append((row_key, later, f"duplicate_in_batch:{','.join(k)}"))
         # Clash with the current table (keys reduced to distinct values first).
         current = s.table(table).select(*k)
         clash = present.select(*k).distinct().join(current.distinct(), k, "left_semi")
@@ -126,24 +134,32 @@ def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
 
 def append_rows(s: School, table: str, batch: DataFrame, order_by: list[str],
                 fill: dict[str, Column] | None = None, skip: tuple[str, ...] = (),
-                id_base_from: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                id_base_from: DataFrame | None = None,
+                unique_order: bool = False) -> tuple[DataFrame, DataFrame]:
     """(accepted rows in the table's schema with new ids, rejected batch rows with a reason).
 
     ``order_by`` decides which of two clashing rows is kept and the order of
     the new ids; ties fall back to the batch's (checkpointed) row position.
     ``fill`` gives columns computed from the new id (e.g. a receipt number).
     ``id_base_from`` is the table whose maximum id new ids continue after
-    (default: the current table).
+    (default: the current table).  ``unique_order`` promises that no two batch rows
+    share their ``order_by`` values (e.g. distinct keys); the batch then needs no
+    checkpoint to get a row identity.
     """
     pk = PRIMARY_KEYS[table]
-    b = cut_lineage(batch).withColumn("_row", F.monotonically_increasing_id())
-    order = list(dict.fromkeys([*order_by, "_row"]))
-    checked = cut_lineage(validate_batch(s, table, b, order_by, skip))
+    if unique_order:
+        b, row_key = batch, list(order_by)
+    else:
+        # Reliable checkpoint first: the row position is then the same on any recomputation.
+        b, row_key = cut_lineage(batch).withColumn("_row", F.monotonically_increasing_id()), ["_row"]
+    order = list(dict.fromkeys([*order_by, *row_key]))
+    # One checkpoint of the validated batch, globally sorted: ids are numbered on it directly.
+    checked = cut_lineage(validate_batch(s, table, b, order_by, skip, row_key=row_key).orderBy(*order))
     rejected = checked.where(F.col(REASON).isNotNull()).drop("_row")
     ok = checked.where(F.col(REASON).isNull()).drop(REASON)
     base = next_id_base(s.table(table) if id_base_from is None else id_base_from, pk, ID_START[table])
     given = ok.where(F.col(pk).isNotNull())
-    new = assign_ids(ok.where(F.col(pk).isNull()).drop(pk), pk, base, order)
+    new = assign_ids(ok.where(F.col(pk).isNull()).drop(pk), pk, base, order, presorted=True)
     accepted = given.unionByName(new).drop("_row")
     for c, expr in (fill or {}).items():
         accepted = accepted.withColumn(c, F.coalesce(F.col(c), expr))
@@ -244,7 +260,8 @@ def assign_fees(s: School, batch: DataFrame, mode: str = "upsert") -> DataFrame:
         updated, fresh = cur, b
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    accepted, _rejected = append_rows(s, "student_fee_assignments", fresh, ["enrollment_id", "total_amount"])
+    accepted, _rejected = append_rows(s, "student_fee_assignments", fresh, ["enrollment_id", "total_amount"],
+                                      unique_order=(mode == "upsert"))
     return updated.unionByName(accepted)
 
 
@@ -268,8 +285,9 @@ def class_fee_batch(s: School, year: int, classes: DataFrame | None, as_of) -> D
 
 def assign_class_fees(s: School, year: int, classes: DataFrame | None, as_of) -> DataFrame:
     """New assignment rows from the fee structure (levels without a structure drop out)."""
+    # One structure per level and year: one row per enrollment.
     accepted, _ = append_rows(s, "student_fee_assignments", class_fee_batch(s, year, classes, as_of),
-                              ["enrollment_id"])
+                              ["enrollment_id"], unique_order=True)
     return accepted
 
 
@@ -280,7 +298,7 @@ def upsert_fee_structure(s: School, batch: DataFrame) -> DataFrame:
     key = ["class_level", "academic_year_id"]
     updated = update_rows(s.fee_structures, b, key)
     fresh = b.join(s.fee_structures.select(*key), key, "left_anti")
-    accepted, _ = append_rows(s, "fee_structures", fresh, key)
+    accepted, _ = append_rows(s, "fee_structures", fresh, key, unique_order=True)
     return updated.unionByName(accepted)
 
 

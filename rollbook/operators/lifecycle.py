@@ -47,14 +47,13 @@ def add_marks(s: School, batch: DataFrame) -> tuple[School, DataFrame, DataFrame
     b = (b.join(years, "subject_id", "left")
          .withColumn("_pre", F.when(invalid, F.lit("invalid_data"))
                      .when(F.col("academic_year_id").isNull(), F.lit("missing_parent:subject_id"))))
-    b = cut_lineage(b)
     ok = b.where(F.col("_pre").isNull())
 
     # Exams to create: (name, year) pairs of the batch not in the exams table.
     wanted = ok.select("exam_name", "academic_year_id").distinct()
     missing = wanted.join(s.exams.select("exam_name", "academic_year_id"), ["exam_name", "academic_year_id"],
                           "left_anti")
-    new_exams, _ = append_rows(s, "exams", missing, ["academic_year_id", "exam_name"])
+    new_exams, _ = append_rows(s, "exams", missing, ["academic_year_id", "exam_name"], unique_order=True)
     exams = s.exams.unionByName(new_exams)
 
     rows = (ok.join(small(exams.select("exam_id", "exam_name", "academic_year_id"), "exams"),
@@ -89,9 +88,9 @@ def promote(s: School, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
         'active', admission on the target year's start, same login), then every
         row of the source class becomes 'promoted'.
     """
-    m = cut_lineage(mapping.select(
+    m = mapping.select(
         F.col("from_year").cast("long"), F.col("from_class").cast("long"),
-        F.col("to_year").cast("long"), F.col("to_class").cast("long")))
+        F.col("to_year").cast("long"), F.col("to_class").cast("long"))
     enr = s.student_enrollments
     active = enr.where(F.col("status") == "active").select(
         F.col("academic_year_id").alias("from_year"), F.col("class_id").alias("from_class"),
