@@ -85,12 +85,14 @@ def _flag_keys(df: DataFrame, key_sets: list[tuple[list[str], DataFrame, str]])
 
 def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
                    skip: tuple[str, ...] = (), with_ids: bool | None = None,
-                   row_key: list[str] | None = None) -> DataFrame:
+                   row_key: list[str] | None = None, check_current: bool = True) -> DataFrame:
     """``batch`` with defaults applied and a ``reason`` column (NULL when the row is acceptable).
 
     ``row_key`` identifies a batch row: by default a unique ``_row`` position the batch
     carries (``order_by`` + ``_row`` is then a total order); or ``order_by`` itself when
-    the caller guarantees it is unique.
+    the caller guarantees it is unique.  ``skip`` lists columns whose NOT NULL and
+    parent checks the caller has already proven; ``check_current=False`` skips the
+    key clash against the current table (when the caller removed those keys).
     """
     row_key = row_key or ["_row"]
     schema = SCHEMAS[table]
@@ -119,6 +121,8 @@ def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
         first = present.groupBy(*k).agg(F.min(F.struct(*order)).alias("_first"))
         later = present.join(first, k).where(F.struct(*order) != F.col("_first")).select(*row_key)
         flags.append((row_key, later, f"duplicate_in_batch:{','.join(k)}"))
+        if not check_current:
+            continue
         # Clash with the current table (keys reduced to distinct values first).
         current = s.table(table).select(*k)
         clash = present.select(*k).distinct().join(current.distinct(), k, "left_semi")
@@ -135,26 +139,25 @@ def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
 def append_rows(s: School, table: str, batch: DataFrame, order_by: list[str],
                 fill: dict[str, Column] | None = None, skip: tuple[str, ...] = (),
                 id_base_from: DataFrame | None = None,
-                unique_order: bool = False) -> tuple[DataFrame, DataFrame]:
+                check_current: bool = True) -> tuple[DataFrame, DataFrame]:
     """(accepted rows in the table's schema with new ids, rejected batch rows with a reason).
 
     ``order_by`` decides which of two clashing rows is kept and the order of
     the new ids; ties fall back to the batch's (checkpointed) row position.
     ``fill`` gives columns computed from the new id (e.g. a receipt number).
     ``id_base_from`` is the table whose maximum id new ids continue after
-    (default: the current table).  ``unique_order`` promises that no two batch rows
-    share their ``order_by`` values (e.g. distinct keys); the batch then needs no
-    checkpoint to get a row identity.
+    (default: the current table).
+
+    The batch is checkpointed first: its row position is then the same on any
+    recomputation, and the several validation joins read it instead of
+    recomputing its lineage.
     """
     pk = PRIMARY_KEYS[table]
-    if unique_order:
-        b, row_key = batch, list(order_by)
-    else:
-        # Reliable checkpoint first: the row position is then the same on any recomputation.
-        b, row_key = cut_lineage(batch).withColumn("_row", F.monotonically_increasing_id()), ["_row"]
+    b, row_key = cut_lineage(batch).withColumn("_row", F.monotonically_increasing_id()), ["_row"]
     order = list(dict.fromkeys([*order_by, *row_key]))
     # One checkpoint of the validated batch, globally sorted: ids are numbered on it directly.
-    checked = cut_lineage(validate_batch(s, table, b, order_by, skip, row_key=row_key).orderBy(*order))
+    checked = cut_lineage(validate_batch(s, table, b, order_by, skip, row_key=row_key,
+                                         check_current=check_current).orderBy(*order))
     rejected = checked.where(F.col(REASON).isNotNull()).drop("_row")
     ok = checked.where(F.col(REASON).isNull()).drop(REASON)
     base = next_id_base(s.table(table) if id_base_from is None else id_base_from, pk, ID_START[table])
@@ -260,8 +263,7 @@ def assign_fees(s: School, batch: DataFrame, mode: str = "upsert") -> DataFrame:
         updated, fresh = cur, b
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    accepted, _rejected = append_rows(s, "student_fee_assignments", fresh, ["enrollment_id", "total_amount"],
-                                      unique_order=(mode == "upsert"))
+    accepted, _rejected = append_rows(s, "student_fee_assignments", fresh, ["enrollment_id", "total_amount"])
     return updated.unionByName(accepted)
 
 
@@ -285,9 +287,8 @@ def class_fee_batch(s: School, year: int, classes: DataFrame | None, as_of) -> D
 
 def assign_class_fees(s: School, year: int, classes: DataFrame | None, as_of) -> DataFrame:
     """New assignment rows from the fee structure (levels without a structure drop out)."""
-    # One structure per level and year: one row per enrollment.
     accepted, _ = append_rows(s, "student_fee_assignments", class_fee_batch(s, year, classes, as_of),
-                              ["enrollment_id"], unique_order=True)
+                              ["enrollment_id"])
     return accepted
 
 
@@ -298,7 +299,7 @@ def upsert_fee_structure(s: School, batch: DataFrame) -> DataFrame:
     key = ["class_level", "academic_year_id"]
     updated = update_rows(s.fee_structures, b, key)
     fresh = b.join(s.fee_structures.select(*key), key, "left_anti")
-    accepted, _ = append_rows(s, "fee_structures", fresh, key, unique_order=True)
+    accepted, _ = append_rows(s, "fee_structures", fresh, key)
     return updated.unionByName(accepted)
 
 

@@ -53,7 +53,7 @@ def add_marks(s: School, batch: DataFrame) -> tuple[School, DataFrame, DataFrame
     wanted = ok.select("exam_name", "academic_year_id").distinct()
     missing = wanted.join(s.exams.select("exam_name", "academic_year_id"), ["exam_name", "academic_year_id"],
                           "left_anti")
-    new_exams, _ = append_rows(s, "exams", missing, ["academic_year_id", "exam_name"], unique_order=True)
+    new_exams, _ = append_rows(s, "exams", missing, ["academic_year_id", "exam_name"])
     exams = s.exams.unionByName(new_exams)
 
     rows = (ok.join(small(exams.select("exam_id", "exam_name", "academic_year_id"), "exams"),
@@ -63,7 +63,9 @@ def add_marks(s: School, batch: DataFrame) -> tuple[School, DataFrame, DataFrame
     key = ["enrollment_id", "subject_id", "exam_id"]
     kept = s.marks.join(rows.select(*key).distinct(), key, "left_anti")
     s2 = s.replace(exams=exams, marks=kept)
-    accepted, rejected = append_rows(s2, "marks", rows, key, id_base_from=s.marks)
+    # subject and exam come from joins (proven); the batch's triples were removed from the table.
+    accepted, rejected = append_rows(s2, "marks", rows, key, id_base_from=s.marks,
+                                     skip=("subject_id", "exam_id"), check_current=False)
     pre_rejected = b.where(F.col("_pre").isNotNull()).select(
         "enrollment_id", "subject_id", "exam_name", F.col("_pre").alias(REASON))
     rejected = rejected.select("enrollment_id", "subject_id", F.lit(None).cast("string").alias("exam_name"),

@@ -1,0 +1,4 @@
+"""Intentionally empty: the reference has no streams, windows, watermarks or
+state (every table change is a request-time insert or update), so no
+Structured Streaming operator is built.  Batch table changes live in
+``rollbook.operators.changes`` and ``rollbook.operators.lifecycle``."""
