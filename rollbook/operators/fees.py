@@ -203,7 +203,11 @@ def recent_transactions(s: School, n: int = 50) -> DataFrame:
                                  "payment_mode", "receipt_no")
            .orderBy(F.desc("payment_date"), F.desc("payment_id")).limit(n))
     enr = s.student_enrollments.select("enrollment_id", "student_master_id", "class_id")
-    x = with_student(top.join(enr, "enrollment_id"), s, "reg_no", "fname", "lname").join(
+    # The top n is at most n rows (a proven bound): broadcast it, and the n joined rows again,
+    # so enrollments and students are scanned without being shuffled.
+    with_enr = F.broadcast(top).join(enr, "enrollment_id")
+    students = s.student_master.select("student_master_id", "reg_no", "fname", "lname")
+    x = students.join(F.broadcast(with_enr), "student_master_id").join(
         classes_dim(s, "class_level", "division"), "class_id")
     return (x.select("payment_id", "amount_paid", "payment_date", "payment_mode", "receipt_no",
                      full_name("fname", "lname").alias("student_name"), "reg_no", "class_level", "division")

@@ -128,7 +128,7 @@ def promote(s: School, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     starts = small(s.academic_years.select(F.col("academic_year_id").alias("to_year"), "start_date"),
                    "academic_years", base=s.academic_years)
     moves = ok.where(F.col("to_class").isNotNull())
-    new_rows = (active.join(moves, ["from_year", "from_class"])
+    new_rows = (active.join(small(moves, "keys"), ["from_year", "from_class"])
                 .join(starts, "to_year")
                 .select("student_master_id", F.col("to_year").alias("academic_year_id"),
                         F.col("to_class").alias("class_id"), "roll_no",
