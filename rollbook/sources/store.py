@@ -66,15 +66,23 @@ LAYOUT: dict[str, tuple[list[str], list[str]]] = {
 }
 
 
-def write_school(school: School, path: str, mode: str = "overwrite") -> None:
-    """Write every table under ``path/<table>`` as Parquet with the layout above."""
+def write_school(school: School, path: str, mode: str = "overwrite", files_per_table: int | None = None) -> None:
+    """Write every table under ``path/<table>`` as Parquet with the layout above.
+
+    Tables with a layout are range-partitioned on (partition columns, clustering
+    columns) before the write: tasks get balanced, contiguous key ranges (a large
+    year is split over many tasks, never one), each file covers a narrow key range
+    so row-group min/max statistics prune, and each task writes into one or two
+    partition directories instead of all of them.
+    """
+    spark = school.spark
+    n = files_per_table or int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name in SCHEMAS:
         df = school.table(name)
         parts, sort_cols = LAYOUT.get(name, ([], []))
-        # No repartition by the partition column: one year would become one task.
-        # Each task sorts its own rows and writes one file per partition value it holds.
-        writer_df = df.sortWithinPartitions(*parts, *sort_cols) if (parts or sort_cols) else df
-        writer = writer_df.write.mode(mode)
+        if parts or sort_cols:
+            df = df.repartitionByRange(n, *parts, *sort_cols).sortWithinPartitions(*parts, *sort_cols)
+        writer = df.write.mode(mode)
         if parts:
             writer = writer.partitionBy(*parts)
         writer.parquet(f"{path}/{name}")
