@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ColLike = "Column | str"
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x

@@ -17,16 +17,12 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.exprs import grade
 from rollbook.operators.changes import (
-    REASON, append_rows, assign_ids, next_id_base, update_rows, validate_batch)
+    REASON, append_rows, assign_ids, next_id_base, validate_batch)
 from rollbook.plans.dims import cut_lineage, small
 from rollbook.sources.schema import FOREIGN_KEYS, ID_START, PRIMARY_KEYS, SCHEMAS
 from rollbook.sources.store import School, conform
 
 
-def _coalesce_reason(*cols: Column) -> Column:
-    return F.coalesce(*cols)
-
-
 # ---------------------------------------------------------------------------------------------
 # W9
 

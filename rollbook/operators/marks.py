@@ -7,6 +7,8 @@ only behind the size check of ``rollbook.plans.dims``.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,8 +99,13 @@ def attendance_month(s: School, year: int | None = None, month: int | None = Non
     """
     a = restrict(s.attendance_students, keys, "enrollment_id")
     if year is not None:
-        a = a.where(F.year("attendance_date") == F.lit(year))
-    if month is not None:
+        # Half-open date ranges rather than YEAR()/MONTH() = …, so the filter reaches the scan.
+        if month is None:
+            lo, hi = dt.date(year, 1, 1), dt.date(year + 1, 1, 1)
+        else:
+            lo, hi = dt.date(year, month, 1), dt.date(year + (month == 12), month % 12 + 1, 1)
+        a = a.where((F.col("attendance_date") >= F.lit(lo)) & (F.col("attendance_date") < F.lit(hi)))
+    elif month is not None:
         a = a.where(F.month("attendance_date") == F.lit(month))
     present = (F.col("status") == "Present").cast("int")
     return (a.groupBy("enrollment_id", F.year("attendance_date").alias("year"),

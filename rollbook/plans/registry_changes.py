@@ -163,6 +163,59 @@ SELECT enrollment_id, student_master_id, academic_year_id, class_id,
 """)(_move_left_students)
 
 
+def _subject_teacher(s):
+    # Every subject taught by an employee whose login is inactive goes to the class's teacher.
+    inactive = s.users.where(F.col("status") == "inactive").select("user_id")
+    gone = s.employees.join(inactive, "user_id", "left_semi").select(F.col("employee_id").alias("teacher_id"))
+    ch = (s.subjects.join(gone, "teacher_id", "left_semi").select("subject_id", "class_id")
+          .join(s.classes.where(F.col("class_teacher_id").isNotNull()).select("class_id", "class_teacher_id"),
+                "class_id")
+          .select("subject_id", F.col("class_teacher_id").alias("teacher_id")))
+    return changes.update_rows(s.subjects, ch, "subject_id")
+
+
+register("change_subject_teacher", """
+, gone AS (SELECT e.employee_id FROM employees e JOIN users u ON u.user_id = e.user_id WHERE u.status = 'inactive')
+SELECT s.subject_id, s.subject_name, s.class_id,
+       CASE WHEN s.teacher_id IN (SELECT employee_id FROM gone) AND c.class_teacher_id IS NOT NULL
+            THEN c.class_teacher_id ELSE s.teacher_id END AS teacher_id,
+       s.academic_year_id
+  FROM subjects s JOIN classes c ON c.class_id = s.class_id
+""")(_subject_teacher)
+
+
+def _employee_profile(s):
+    # Every employee updates their own profile by login: upper-case last name, new mobile and e-mail.
+    ch = s.employees.select("user_id", "fname", F.upper("lname").alias("lname"), "gender",
+                            F.concat(F.lit("P"), F.col("employee_id").cast("string")).alias("mobile"),
+                            F.concat(F.col("reg_no"), F.lit("@school")).alias("email"))
+    return changes.update_rows(s.employees, ch, "user_id")
+
+
+register("update_employee_profile", """
+SELECT employee_id, user_id, fname, upper(lname) AS lname, reg_no, gender,
+       'P' || CAST(employee_id AS VARCHAR) AS mobile, reg_no || '@school' AS email, joining_date,
+       CAST(salary AS DOUBLE) AS salary
+  FROM employees
+""")(_employee_profile)
+
+
+def _role_change(s):
+    # Accountants with a negative salary become teachers.
+    keys = (s.employees.where(F.col("salary") < 0).select("user_id")
+            .join(s.users.where(F.col("role") == "accountant"), "user_id", "left_semi"))
+    return changes.set_columns(s.users, keys, "user_id", {"role": "teacher"})
+
+
+register("set_user_role", """
+SELECT user_id, username,
+       CASE WHEN role = 'accountant' AND user_id IN (SELECT user_id FROM employees WHERE salary < 0)
+            THEN 'teacher' ELSE role END AS role,
+       status, created_at
+  FROM users
+""")(_role_change)
+
+
 # Contact change of every student whose login is inactive.
 def _contact_changes(s):
     u = s.users.where((F.col("role") == "student") & (F.col("status") == "inactive"))
