@@ -179,6 +179,16 @@ def payment_receipt() -> Column:
     return F.concat(F.lit("RCP"), F.col("payment_id").cast("string"))
 
 
+def one_per_key(df: DataFrame, key: list[str], by: list[str], largest: bool = True) -> DataFrame:
+    """One row per ``key``: the row with the largest (or smallest) ``by`` values, then the
+    largest remaining columns — a deterministic choice, unlike ``dropDuplicates``, so a
+    recomputed partition keeps the same row.  Partial aggregation: skew-safe."""
+    rest = [c for c in df.columns if c not in key and c not in by]
+    pick = F.max if largest else F.min
+    best = df.groupBy(*key).agg(pick(F.struct(*by, *rest)).alias("_best"))
+    return best.select(*key, *[F.col(f"_best.{c}").alias(c) for c in [*by, *rest]]).select(*df.columns)
+
+
 # ---------------------------------------------------------------------------------------------
 # Keyed update
 
@@ -229,8 +239,8 @@ def update_student_contact(s: School, changes: DataFrame) -> DataFrame:
     """
     from rollbook.plans.dims import in_active_year
     enr = in_active_year(s.student_enrollments, s.academic_years).select("user_id", "student_master_id")
-    resolved = (changes.select("user_id", "mobile", "email", "address").join(enr, "user_id")
-                .drop("user_id").dropDuplicates(["student_master_id"]))
+    resolved = one_per_key(changes.select("user_id", "mobile", "email", "address").join(enr, "user_id"),
+                           ["student_master_id"], ["user_id"], largest=False).drop("user_id")
     return update_rows(s.student_master, resolved, "student_master_id")
 
 
@@ -253,8 +263,10 @@ def assign_fees(s: School, batch: DataFrame, mode: str = "upsert") -> DataFrame:
     amount and date; enrollments without one get a new row.  ``append``: every
     batch row is a new assignment (what the bulk form does).
     """
-    b = batch.select("enrollment_id", "total_amount", "assigned_date").dropDuplicates(["enrollment_id"]) \
-        if mode == "upsert" else batch.select("enrollment_id", "total_amount", "assigned_date")
+    b = batch.select("enrollment_id", "total_amount", "assigned_date")
+    if mode == "upsert":
+        # One change per enrollment, chosen deterministically: latest date, then larger amount.
+        b = one_per_key(b, ["enrollment_id"], ["assigned_date", "total_amount"])
     cur = s.student_fee_assignments
     if mode == "upsert":
         updated = update_rows(cur, b, "enrollment_id")
@@ -294,8 +306,8 @@ def assign_class_fees(s: School, year: int, classes: DataFrame | None, as_of) ->
 
 def upsert_fee_structure(s: School, batch: DataFrame) -> DataFrame:
     """Insert or replace the amount on (class_level, academic_year_id) → new fee_structures."""
-    b = batch.select("class_level", "academic_year_id", "total_amount").dropDuplicates(
-        ["class_level", "academic_year_id"])
+    b = one_per_key(batch.select("class_level", "academic_year_id", "total_amount"),
+                    ["class_level", "academic_year_id"], ["total_amount"])
     key = ["class_level", "academic_year_id"]
     updated = update_rows(s.fee_structures, b, key)
     fresh = b.join(s.fee_structures.select(*key), key, "left_anti")

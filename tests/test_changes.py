@@ -178,3 +178,12 @@ def test_delete_cascade(school, spark):
     assert {r.class_id: r.class_teacher_id for r in out.classes.collect()}[3001] is None   # set null
     assert {r.enrollment_id: r.user_id for r in out.student_enrollments.collect()}[501] is None
     assert out.student_enrollments.count() == 4
+
+
+def test_conflicting_changes_resolve_deterministically(school, spark):
+    batch = spark.createDataFrame([(501, D(900), dt.date(2024, 2, 1)), (501, D(800), dt.date(2024, 3, 1)),
+                                   (501, D(950), dt.date(2024, 3, 1))],
+                                  "enrollment_id long, total_amount decimal(10,2), assigned_date date")
+    out = changes.assign_fees(school, batch, "upsert").collect()
+    assert [(r.enrollment_id, r.total_amount, r.assigned_date) for r in out] == [
+        (501, D(950), dt.date(2024, 3, 1))]                   # latest date, then larger amount
