@@ -189,6 +189,11 @@ def subject_details(s: School, keys: DataFrame | None = None) -> DataFrame:
                     full_name_strict("fname", "lname").alias("teacher")))
 
 
+def subject_by_id(s: School, keys: DataFrame | None = None) -> DataFrame:
+    """R42 (id form): subject id, name, class and teacher ids."""
+    return restrict(s.subjects, keys, "subject_id").select("subject_id", "subject_name", "class_id", "teacher_id")
+
+
 def subjects_of_teacher(s: School, keys: DataFrame | None = None) -> DataFrame:
     """All subject columns of a teacher (or of every teacher)."""
     return restrict(s.subjects, keys, "teacher_id").orderBy("teacher_id", "subject_id")

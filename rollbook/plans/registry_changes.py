@@ -72,6 +72,99 @@ SELECT enrollment_id, reason FROM checked WHERE reason IS NOT NULL
 """)(lambda s: _append_payments(s)[1].select("enrollment_id", "reason"))
 
 
+# W1, subject form: a 'Computing' subject for every class of the latest year, taught by the
+# class teacher (classes without one are refused: teacher_id is NOT NULL).
+def _subject_batch(s):
+    latest = s.academic_years.agg(F.max("academic_year_id").alias("academic_year_id"))
+    return (s.classes.join(latest, "academic_year_id", "left_semi")
+            .select(F.lit("Computing").alias("subject_name"), "class_id",
+                    F.col("class_teacher_id").alias("teacher_id"), "academic_year_id"))
+
+
+def _append_subjects(s):
+    return changes.append_rows(s, "subjects", _subject_batch(s), ["class_id"])
+
+
+_SUBJECT_BATCH_SQL = """
+, batch AS (
+  SELECT 'Computing' AS subject_name, class_id, class_teacher_id AS teacher_id, academic_year_id
+    FROM classes WHERE academic_year_id = (SELECT max(academic_year_id) FROM academic_years)
+)
+"""
+
+register("append_subjects", _SUBJECT_BATCH_SQL + """
+SELECT (SELECT max(subject_id) FROM subjects) + row_number() OVER (ORDER BY class_id) AS subject_id,
+       subject_name, class_id, teacher_id, academic_year_id
+  FROM batch WHERE teacher_id IS NOT NULL
+""")(lambda s: _append_subjects(s)[0])
+
+register("append_subjects_rejected", _SUBJECT_BATCH_SQL + """
+SELECT class_id, 'missing:teacher_id' AS reason FROM batch WHERE teacher_id IS NULL
+""")(lambda s: _append_subjects(s)[1].select("class_id", "reason"))
+
+
+# W1, single fee assignment form: every active-year enrollment without an assignment gets
+# 1000 per level, assigned on as_of.
+def _fee_assignment_batch(s):
+    enr = in_active_year(s.student_enrollments, s.academic_years).select("enrollment_id", "class_id")
+    missing = enr.join(s.student_fee_assignments.select("enrollment_id"), "enrollment_id", "left_anti")
+    return (missing.join(s.classes.select("class_id", "class_level"), "class_id")
+            .select("enrollment_id", (1000 * F.col("class_level")).cast("decimal(10,2)").alias("total_amount"),
+                    F.lit(AS_OF).alias("assigned_date")))
+
+
+register("append_fee_assignment", f"""
+, batch AS (
+  SELECT se.enrollment_id, CAST(1000 * c.class_level AS DECIMAL(10,2)) AS total_amount
+    FROM student_enrollments se JOIN academic_years ay ON ay.academic_year_id = se.academic_year_id
+    JOIN classes c ON c.class_id = se.class_id
+   WHERE ay.is_active AND se.enrollment_id NOT IN (SELECT enrollment_id FROM student_fee_assignments)
+)
+SELECT (SELECT max(assignment_id) FROM student_fee_assignments) + row_number() OVER (ORDER BY enrollment_id)
+         AS assignment_id,
+       enrollment_id, CAST(total_amount AS DOUBLE) AS total_amount, DATE '{AS_OF}' AS assigned_date
+  FROM batch
+""")(lambda s: changes.append_rows(s, "student_fee_assignments", _fee_assignment_batch(s),
+                                   ["enrollment_id"])[0])
+
+
+# W1, payment with a given receipt: receipt numbers repeat inside the batch and some are
+# already taken, so both duplicate rules are exercised.
+def _receipt_batch(s):
+    enr = in_active_year(s.student_enrollments, s.academic_years)
+    return enr.select("enrollment_id", F.lit(500).cast("decimal(10,2)").alias("amount_paid"),
+                      F.lit(AS_OF).alias("payment_date"), F.lit("Bank").alias("payment_mode"),
+                      F.concat(F.lit("RCP"), (F.col("enrollment_id") % 1000).cast("string")).alias("receipt_no"))
+
+
+def _append_receipts(s):
+    return changes.append_rows(s, "fee_payments", _receipt_batch(s), ["enrollment_id"])
+
+
+_RECEIPT_BATCH_SQL = f"""
+, batch AS (
+  SELECT se.enrollment_id, 'RCP' || CAST(se.enrollment_id % 1000 AS VARCHAR) AS receipt_no
+  {_ACTIVE_ENR}
+), checked AS (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY receipt_no ORDER BY enrollment_id) > 1
+                   THEN 'duplicate_in_batch:receipt_no'
+                 WHEN receipt_no IN (SELECT receipt_no FROM fee_payments) THEN 'duplicate_key:receipt_no'
+            END AS reason
+    FROM batch
+)
+"""
+
+register("append_payments_given_receipt", _RECEIPT_BATCH_SQL + f"""
+SELECT (SELECT max(payment_id) FROM fee_payments) + row_number() OVER (ORDER BY enrollment_id) AS payment_id,
+       enrollment_id, 500.0 AS amount_paid, DATE '{AS_OF}' AS payment_date, 'Bank' AS payment_mode, receipt_no
+  FROM checked WHERE reason IS NULL
+""")(lambda s: _append_receipts(s)[0])
+
+register("append_payments_given_receipt_rejected", _RECEIPT_BATCH_SQL + """
+SELECT enrollment_id, reason FROM checked WHERE reason IS NOT NULL
+""")(lambda s: _append_receipts(s)[1].select("enrollment_id", "reason"))
+
+
 # Keyed updates.
 def _teacher_raise(s):
     teachers = s.users.where(F.col("role") == "teacher").select("user_id")
