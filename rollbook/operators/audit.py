@@ -65,9 +65,17 @@ def value_rules(table: str) -> list[tuple[str, str, F.Column]]:
         rules.append(("allowed", c, F.col(c).isNotNull() & ~F.col(c).isin(list(allowed))))
     for c, n in MAX_LENGTHS.get(table, {}).items():
         rules.append(("max_length", c, F.length(c) > n))
+    for c, (p, sc) in decimal_columns(table).items():
+        rules.append(("range", c, F.abs(F.col(c)) >= F.lit(10 ** (p - sc))))
     return rules
 
 
+def decimal_columns(table: str) -> dict[str, tuple[int, int]]:
+    """Declared DECIMAL(p, s) columns of ``table``: a value must stay below 10^(p-s) in magnitude."""
+    return {f.name: (f.dataType.precision, f.dataType.scale) for f in SCHEMAS[table].fields
+            if f.dataType.typeName() == "decimal"}
+
+
 def audit_values(df: DataFrame, table: str) -> DataFrame:
     """Q3: violations per rule of one table, all rules counted in one pass over the table."""
     rules = value_rules(table)

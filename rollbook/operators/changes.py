@@ -279,6 +279,15 @@ def assign_fees(s: School, batch: DataFrame, mode: str = "upsert") -> DataFrame:
     return updated.unionByName(accepted)
 
 
+def class_fee_flat_batch(s: School, classes: DataFrame, amount, assigned_date) -> DataFrame:
+    """W5 bulk form: every active-year enrollment of the given classes at one amount."""
+    from rollbook.plans.dims import in_active_year
+    enr = in_active_year(s.student_enrollments, s.academic_years).select("enrollment_id", "class_id")
+    enr = enr.join(small(classes.select("class_id").distinct(), "keys"), "class_id", "left_semi")
+    return enr.select("enrollment_id", F.lit(amount).cast("decimal(10,2)").alias("total_amount"),
+                      F.lit(assigned_date).cast("date").alias("assigned_date"))
+
+
 def dedupe_assignments(assignments: DataFrame) -> DataFrame:
     """W5 cure: keep one assignment per enrollment (the lowest assignment id)."""
     first = assignments.groupBy("enrollment_id").agg(F.min("assignment_id").alias("assignment_id"))

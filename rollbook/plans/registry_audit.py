@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from rollbook.catalog import register
 from rollbook.operators import audit
+from rollbook.operators.audit import decimal_columns
 from rollbook.sources.schema import (
     ALLOWED_VALUES, FOREIGN_KEYS, MAX_LENGTHS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS, not_null_columns)
 
@@ -40,6 +41,7 @@ def _values_sql() -> str:
         rules += [(f"allowed:{c}", f"{c} IS NOT NULL AND {c} NOT IN ({', '.join(_lit(v) for v in vals)})")
                   for c, vals in ALLOWED_VALUES.get(table, {}).items()]
         rules += [(f"max_length:{c}", f"length({c}) > {n}") for c, n in MAX_LENGTHS.get(table, {}).items()]
+        rules += [(f"range:{c}", f"abs({c}) >= {10 ** (p - sc)}") for c, (p, sc) in decimal_columns(table).items()]
         for name, pred in rules:
             parts.append(f"SELECT '{table}' AS table_name, '{name}' AS rule, "
                          f"count(*) FILTER (WHERE {pred}) AS violations FROM {table}")

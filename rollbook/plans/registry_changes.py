@@ -394,6 +394,28 @@ SELECT (SELECT max(assignment_id) FROM student_fee_assignments)
   FROM batch b
 """)(lambda s: changes.assign_fees(s, _fee_batch(s), "append"))
 
+def _bulk_class_fees(s):
+    # The bulk form appends (its ON DUPLICATE KEY never matches): level-10 classes of the active
+    # year, which have no fee structure, get 60000 each.
+    cls = in_active_year(s.classes, s.academic_years).where(F.col("class_level") == 10).select("class_id")
+    return changes.assign_fees(s, changes.class_fee_flat_batch(s, cls, 60000, AS_OF), "append")
+
+
+register("assign_fees_bulk", f"""
+, batch AS (
+  SELECT se.enrollment_id FROM student_enrollments se
+    JOIN academic_years ay ON ay.academic_year_id = se.academic_year_id
+    JOIN classes c ON c.class_id = se.class_id
+   WHERE ay.is_active AND c.class_level = 10 AND c.academic_year_id = se.academic_year_id
+)
+SELECT assignment_id, enrollment_id, CAST(total_amount AS DOUBLE) AS total_amount, assigned_date
+  FROM student_fee_assignments
+UNION ALL
+SELECT (SELECT max(assignment_id) FROM student_fee_assignments) + row_number() OVER (ORDER BY enrollment_id),
+       enrollment_id, 60000.0, DATE '{AS_OF}'
+  FROM batch
+""")(_bulk_class_fees)
+
 register("dedupe_assignments", """
 SELECT assignment_id, enrollment_id, CAST(total_amount AS DOUBLE) AS total_amount, assigned_date
   FROM student_fee_assignments

@@ -233,6 +233,19 @@ def _sizes_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def _delete_art(s):
+    keys = s.subjects.where(F.col("subject_name") == "Art").select("subject_id")
+    return table_sizes(lifecycle.delete_cascade(s, "subjects", keys))
+
+
+register("delete_subjects", """
+, del_sub AS (SELECT subject_id FROM subjects WHERE subject_name = 'Art')
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS table_name, count(*) AS rows, "
+    + (f"count(*) FILTER (WHERE {col} IS NULL)" if col else "CAST(0 AS BIGINT)") + " AS nulls FROM "
+    + name + (" WHERE subject_id NOT IN (SELECT subject_id FROM del_sub)" if name in ("subjects", "marks") else "")
+    for name, col in [(t, _NULLABLE_REFS.get(t)) for t in SCHEMAS]))(_delete_art)
+
 register("delete_cascade", """
 , del_users AS (SELECT user_id FROM users WHERE status = 'inactive')
 , del_emp AS (SELECT employee_id FROM employees WHERE user_id IN (SELECT user_id FROM del_users))
