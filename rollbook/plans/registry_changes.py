@@ -156,7 +156,7 @@ _RECEIPT_BATCH_SQL = f"""
 
 register("append_payments_given_receipt", _RECEIPT_BATCH_SQL + f"""
 SELECT (SELECT max(payment_id) FROM fee_payments) + row_number() OVER (ORDER BY enrollment_id) AS payment_id,
-       enrollment_id, 500.0 AS amount_paid, DATE '{AS_OF}' AS payment_date, 'Bank' AS payment_mode, receipt_no
+       enrollment_id, CAST(500 AS DOUBLE) AS amount_paid, DATE '{AS_OF}' AS payment_date, 'Bank' AS payment_mode, receipt_no
   FROM checked WHERE reason IS NULL
 """)(lambda s: _append_receipts(s)[0])
 
@@ -412,7 +412,7 @@ SELECT assignment_id, enrollment_id, CAST(total_amount AS DOUBLE) AS total_amoun
   FROM student_fee_assignments
 UNION ALL
 SELECT (SELECT max(assignment_id) FROM student_fee_assignments) + row_number() OVER (ORDER BY enrollment_id),
-       enrollment_id, 60000.0, DATE '{AS_OF}'
+       enrollment_id, CAST(60000 AS DOUBLE), DATE '{AS_OF}'
   FROM batch
 """)(_bulk_class_fees)
 
