@@ -16,7 +16,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(parts))
-         .config("spark.sql.adaptive.enabled", "true")
+         .config("spark.sql.adaptive.enabled", os.environ.get("ROLLBOOK_AQE", "true"))
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          # Remove a reliable checkpoint's files once its DataFrame is no longer referenced.
