@@ -160,8 +160,10 @@ def append_rows(s: School, table: str, batch: DataFrame, order_by: list[str],
                                          check_current=check_current).orderBy(*order))
     rejected = checked.where(F.col(REASON).isNotNull()).drop("_row")
     ok = checked.where(F.col(REASON).isNull()).drop(REASON)
-    base = next_id_base(s.table(table) if id_base_from is None else id_base_from, pk, ID_START[table])
     given = ok.where(F.col(pk).isNotNull())
+    # New ids continue after both the table's ids and any ids the batch brings itself.
+    taken = (s.table(table) if id_base_from is None else id_base_from).select(pk).unionByName(given.select(pk))
+    base = next_id_base(taken, pk, ID_START[table])
     new = assign_ids(ok.where(F.col(pk).isNull()).drop(pk), pk, base, order, presorted=True)
     accepted = given.unionByName(new).drop("_row")
     for c, expr in (fill or {}).items():

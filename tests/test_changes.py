@@ -187,3 +187,12 @@ def test_conflicting_changes_resolve_deterministically(school, spark):
     out = changes.assign_fees(school, batch, "upsert").collect()
     assert [(r.enrollment_id, r.total_amount, r.assigned_date) for r in out] == [
         (501, D(950), dt.date(2024, 3, 1))]                   # latest date, then larger amount
+
+
+def test_generated_ids_skip_ids_the_batch_brings(school, spark):
+    batch = spark.createDataFrame([(None, "Tom", "E7"), (2002 + 1, "Una", "E8"), (None, "Val", "E9")],
+                                  "employee_id long, fname string, reg_no string") \
+        .withColumn("user_id", F.lit(10).cast("long"))
+    acc, rej = changes.append_rows(school, "employees", batch, ["reg_no"])
+    assert sorted((r.reg_no, r.employee_id) for r in acc.collect()) == [("E7", 2004), ("E8", 2003), ("E9", 2005)]
+    assert rej.count() == 0
