@@ -47,3 +47,14 @@ def test_matches_duckdb(spark, duck, name):
     err = compare(name, df.columns, [tuple(r) for r in df.collect()], [d[0] for d in cur.description],
                   cur.fetchall())
     assert err is None, err
+
+
+def test_fee_summary_matches_fixture_totals(spark):
+    """FIXTURES.md states R8 for the active year at sf0.001: 18,090,000 exact, 29,780,000 as written."""
+    from rollbook.operators import fees
+    from rollbook.sources.fixtures import derive_school
+    s = derive_school(spark, SF_SMALL)
+    exact = fees.fee_summary(s, 7006).first()
+    written = fees.fee_summary_as_written(s, 7006).first()
+    assert float(exact.total_fees) == 18_090_000 and float(written.total_fees) == 29_780_000
+    assert fees.defaulters(s).count() == 30
