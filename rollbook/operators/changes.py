@@ -114,19 +114,25 @@ def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
     order = list(dict.fromkeys([*order_by, *row_key]))
     keys = ([[pk]] if with_ids else []) + [list(k) for k in UNIQUE_KEYS.get(table, [])]
     ok = df.where(F.col(REASON).isNull())
-    flags = []
-    for k in keys:
+    for i, k in enumerate(keys):
+        # One summary row per key value of the batch: its first row (by order) and whether the
+        # current table already holds the value.  Joined back once: later rows of a value are
+        # in-batch duplicates; the first row of a taken value clashes with the table.
         present = ok.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k]))
-        # In-batch clash: every row but the first (by order) of a key value.
-        first = present.groupBy(*k).agg(F.min(F.struct(*order)).alias("_first"))
-        later = present.join(first, k).where(F.struct(*order) != F.col("_first")).select(*row_key)
-        flags.append((row_key, later, f"duplicate_in_batch:{','.join(k)}"))
-        if not check_current:
-            continue
-        # Clash with the current table (keys reduced to distinct values first).
-        current = s.table(table).select(*k)
-        clash = present.select(*k).distinct().join(current.distinct(), k, "left_semi")
-        flags.append((k, clash, f"duplicate_key:{','.join(k)}"))
+        info = present.groupBy(*k).agg(F.min(F.struct(*order)).alias(f"_first{i}"))
+        taken = F.lit(False)
+        if check_current:
+            current = s.table(table).select(*k).distinct().withColumn(f"_taken{i}", F.lit(True))
+            info = info.join(current, k, "left")
+            taken = F.col(f"_taken{i}").isNotNull()
+        name = ",".join(k)
+        df = (df.join(info, k, "left")
+              .withColumn(REASON, F.when(F.col(REASON).isNotNull(), F.col(REASON))
+                          .when(F.col(f"_first{i}").isNull(), F.lit(None))
+                          .when(F.struct(*order) != F.col(f"_first{i}"), F.lit(f"duplicate_in_batch:{name}"))
+                          .when(taken, F.lit(f"duplicate_key:{name}")))
+              .drop(f"_first{i}", f"_taken{i}"))
+    flags = []
     for child, col, parent, ppk, _rule in FOREIGN_KEYS:
         if child != table or col in skip:
             continue
