@@ -93,9 +93,13 @@ def promote(s: School, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     active = enr.where(F.col("status") == "active").select(
         F.col("academic_year_id").alias("from_year"), F.col("class_id").alias("from_class"),
         "student_master_id", "roll_no", "user_id")
-    n_active = active.groupBy("from_year", "from_class").agg(F.count(F.lit(1)).alias("n_active"))
+    # One pass over enrollments per (year, class): active students and any rows at all.
+    per_class = enr.groupBy("academic_year_id", "class_id").agg(
+        F.count_if(F.col("status") == "active").alias("n_active"))
+    n_active = per_class.select(F.col("academic_year_id").alias("from_year"),
+                                F.col("class_id").alias("from_class"), "n_active")
     targets = s.classes.select(F.col("class_id").alias("to_class"), F.col("academic_year_id").alias("to_year"))
-    occupied = enr.select(F.col("academic_year_id").alias("to_year"), F.col("class_id").alias("to_class")).distinct()
+    occupied = per_class.select(F.col("academic_year_id").alias("to_year"), F.col("class_id").alias("to_class"))
     first_target = m.where(F.col("to_class").isNotNull()).groupBy("to_year", "to_class").agg(
         F.min(F.struct("from_year", "from_class")).alias("_first"))
     # Students of each mapping who already hold an enrollment in the target year.
