@@ -56,18 +56,3 @@ def exams_dim(s: School, *cols: str) -> DataFrame:
 def with_student(df: DataFrame, s: School, *cols: str) -> DataFrame:
     """Attach student_master columns (a shuffle join: students grow with the data)."""
     return df.join(s.student_master.select("student_master_id", *cols), "student_master_id", "inner")
-
-
-def one_row(parts: dict[str, DataFrame]) -> DataFrame:
-    """Combine 1-row global aggregates into one row without a cross join.
-
-    Each part is a DataFrame with one column ``v``; they are tagged, unioned
-    and folded with a conditional aggregate (at most ``len(parts)`` rows).
-    """
-    tagged, types = None, {}
-    for name, df in parts.items():
-        types[name] = df.schema["v"].dataType
-        t = df.select(F.lit(name).alias("metric"), F.col("v").cast("string").alias("v"))
-        tagged = t if tagged is None else tagged.unionByName(t)
-    return tagged.agg(*[F.max(F.when(F.col("metric") == n, F.col("v"))).cast(types[n]).alias(n)
-                        for n in parts])

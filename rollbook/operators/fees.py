@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.exprs import full_name, full_name_strict, zero_if_null
 from rollbook.operators.common import (
-    assignments_by_amount, assignments_by_enrollment, classes_dim, one_row, paid_by_enrollment,
+    assignments_by_amount, assignments_by_enrollment, classes_dim, paid_by_enrollment,
     with_student, years_dim)
 from rollbook.plans.dims import in_active_year, restrict
 from rollbook.sources.store import School
@@ -249,19 +249,22 @@ def payment_modes(s: School, as_of: dt.date) -> DataFrame:
 
 
 def accountant_dashboard(s: School, as_of: dt.date) -> DataFrame:
-    """One row — active students, this month's and all-time collection, active pending."""
+    """One row — active students, this month's and all-time collection, active pending.
+
+    Both collection figures come from one pass over payments (a conditional sum);
+    the other two are scalar subqueries, so no cross join is needed.
+    """
     enr = in_active_year(s.student_enrollments, s.academic_years)
     month_start = dt.date(as_of.year, as_of.month, 1)
     next_month = dt.date(as_of.year + (as_of.month == 12), as_of.month % 12 + 1, 1)
-    pay = s.fee_payments
-    this_month = pay.where((F.col("payment_date") >= F.lit(month_start))
-                           & (F.col("payment_date") < F.lit(next_month)))
+    in_month = (F.col("payment_date") >= F.lit(month_start)) & (F.col("payment_date") < F.lit(next_month))
     per_enr = (enr.select("enrollment_id").join(assignments_by_enrollment(s), "enrollment_id", "inner")
                .join(paid_by_enrollment(s), "enrollment_id", "left"))
     pending = F.col("fee") - F.col("n_assign") * zero_if_null("paid")
-    return one_row({
-        "total_students": enr.agg(F.count(F.lit(1)).alias("v")),
-        "monthly_collection": this_month.agg(zero_if_null(F.sum("amount_paid")).alias("v")),
-        "total_collected": pay.agg(zero_if_null(F.sum("amount_paid")).alias("v")),
-        "total_pending": per_enr.agg(zero_if_null(F.sum(pending)).alias("v")),
-    })
+    students = enr.agg(F.count(F.lit(1))).scalar()
+    total_pending = per_enr.agg(zero_if_null(F.sum(pending))).scalar()
+    collections = s.fee_payments.agg(
+        zero_if_null(F.sum(F.when(in_month, F.col("amount_paid")))).alias("monthly_collection"),
+        zero_if_null(F.sum("amount_paid")).alias("total_collected"))
+    return collections.select(students.alias("total_students"), "monthly_collection", "total_collected",
+                              total_pending.alias("total_pending"))
