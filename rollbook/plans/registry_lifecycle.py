@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rollbook.catalog import register
 from rollbook.operators import lifecycle
 from rollbook.operators.changes import append, append_rows
-from rollbook.plans.dims import in_active_year
+from rollbook.plans.dims import cut_lineage, in_active_year
 from rollbook.sources.schema import SCHEMAS
 
 ADMIT_DAY = dt.date(2001, 6, 1)
@@ -76,12 +76,13 @@ def rollover(s):
     new_year = latest.select(F.format_string("%d-%02d", y + 1, (y + 2) % 100).alias("year_name"),
                              F.add_months("start_date", 12).alias("start_date"),
                              F.add_months("end_date", 12).alias("end_date"))
-    years_acc, _ = append_rows(s, "academic_years", new_year, ["start_date"])
+    # Accepted rows are reused (parents, scalars, targets): materialise them once.
+    years_acc = cut_lineage(append_rows(s, "academic_years", new_year, ["start_date"])[0])
     s1 = append(s, "academic_years", years_acc)
     new_id = years_acc.agg(F.max("academic_year_id")).scalar()
     src = s.classes.join(latest.select("academic_year_id"), "academic_year_id")
     new_cls = src.select("class_level", "division", "class_teacher_id", new_id.alias("academic_year_id"))
-    cls_acc, _ = append_rows(s1, "classes", new_cls, ["class_level", "division"])
+    cls_acc = cut_lineage(append_rows(s1, "classes", new_cls, ["class_level", "division"])[0])
     s2 = append(s1, "classes", cls_acc)
     tgt = cls_acc.select(F.col("class_id").alias("to_class"), (F.col("class_level") - 1).alias("class_level"),
                          "division")
