@@ -85,14 +85,16 @@ def _flag_keys(df: DataFrame, key_sets: list[tuple[list[str], DataFrame, str]])
 
 def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
                    skip: tuple[str, ...] = (), with_ids: bool | None = None,
-                   row_key: list[str] | None = None, check_current: bool = True) -> DataFrame:
+                   row_key: list[str] | None = None, check_current: bool = True,
+                   check_batch: bool = True) -> DataFrame:
     """``batch`` with defaults applied and a ``reason`` column (NULL when the row is acceptable).
 
     ``row_key`` identifies a batch row: by default a unique ``_row`` position the batch
     carries (``order_by`` + ``_row`` is then a total order); or ``order_by`` itself when
     the caller guarantees it is unique.  ``skip`` lists columns whose NOT NULL and
     parent checks the caller has already proven; ``check_current=False`` skips the
-    key clash against the current table (when the caller removed those keys).
+    key clash against the current table (when the caller removed those keys);
+    ``check_batch=False`` skips in-batch duplicate checks (when the batch holds distinct keys).
     """
     row_key = row_key or ["_row"]
     schema = SCHEMAS[table]
@@ -114,24 +116,30 @@ def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
     order = list(dict.fromkeys([*order_by, *row_key]))
     keys = ([[pk]] if with_ids else []) + [list(k) for k in UNIQUE_KEYS.get(table, [])]
     ok = df.where(F.col(REASON).isNull())
-    for i, k in enumerate(keys):
+    for i, k in enumerate(keys if (check_batch or check_current) else []):
         # One summary row per key value of the batch: its first row (by order) and whether the
         # current table already holds the value.  Joined back once: later rows of a value are
         # in-batch duplicates; the first row of a taken value clashes with the table.
         present = ok.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k]))
-        info = present.groupBy(*k).agg(F.min(F.struct(*order)).alias(f"_first{i}"))
+        if check_batch:
+            info = present.groupBy(*k).agg(F.min(F.struct(*order)).alias(f"_first{i}"))
+        else:
+            info = present.select(*k).distinct()
         taken = F.lit(False)
         if check_current:
             current = s.table(table).select(*k).distinct().withColumn(f"_taken{i}", F.lit(True))
             info = info.join(current, k, "left")
             taken = F.col(f"_taken{i}").isNotNull()
         name = ",".join(k)
+        later = (F.struct(*order) != F.col(f"_first{i}")) if check_batch else F.lit(False)
+        info = info.withColumn(f"_seen{i}", F.lit(True))
+        matched = F.col(f"_seen{i}").isNotNull()
         df = (df.join(info, k, "left")
               .withColumn(REASON, F.when(F.col(REASON).isNotNull(), F.col(REASON))
-                          .when(F.col(f"_first{i}").isNull(), F.lit(None))
-                          .when(F.struct(*order) != F.col(f"_first{i}"), F.lit(f"duplicate_in_batch:{name}"))
+                          .when(~matched, F.lit(None))
+                          .when(later, F.lit(f"duplicate_in_batch:{name}"))
                           .when(taken, F.lit(f"duplicate_key:{name}")))
-              .drop(f"_first{i}", f"_taken{i}"))
+              .drop(f"_first{i}", f"_taken{i}", f"_seen{i}"))
     flags = []
     for child, col, parent, ppk, _rule in FOREIGN_KEYS:
         if child != table or col in skip:
@@ -145,7 +153,7 @@ def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
 def append_rows(s: School, table: str, batch: DataFrame, order_by: list[str],
                 fill: dict[str, Column] | None = None, skip: tuple[str, ...] = (),
                 id_base_from: DataFrame | None = None,
-                check_current: bool = True) -> tuple[DataFrame, DataFrame]:
+                check_current: bool = True, check_batch: bool = True) -> tuple[DataFrame, DataFrame]:
     """(accepted rows in the table's schema with new ids, rejected batch rows with a reason).
 
     ``order_by`` decides which of two clashing rows is kept and the order of
@@ -163,7 +171,8 @@ def append_rows(s: School, table: str, batch: DataFrame, order_by: list[str],
     order = list(dict.fromkeys([*order_by, *row_key]))
     # One checkpoint of the validated batch, globally sorted: ids are numbered on it directly.
     checked = cut_lineage(validate_batch(s, table, b, order_by, skip, row_key=row_key,
-                                         check_current=check_current).orderBy(*order))
+                                         check_current=check_current, check_batch=check_batch)
+                          .orderBy(*order))
     rejected = checked.where(F.col(REASON).isNotNull()).drop("_row")
     ok = checked.where(F.col(REASON).isNull()).drop(REASON)
     given = ok.where(F.col(pk).isNotNull())

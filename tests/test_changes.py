@@ -196,3 +196,11 @@ def test_generated_ids_skip_ids_the_batch_brings(school, spark):
     acc, rej = changes.append_rows(school, "employees", batch, ["reg_no"])
     assert sorted((r.reg_no, r.employee_id) for r in acc.collect()) == [("E7", 2004), ("E8", 2003), ("E9", 2005)]
     assert rej.count() == 0
+
+
+def test_clash_only_check_without_batch_check(school, spark):
+    batch = spark.createDataFrame([("S1", "Dup"), ("N5", "New"), ("N5", "Twin")], "reg_no string, fname string")
+    ok = changes.validate_batch(school, "student_master", batch.withColumn("_row", F.monotonically_increasing_id()),
+                                ["reg_no"], check_batch=False)
+    reasons = sorted((r.reg_no, r.reason) for r in ok.collect())
+    assert reasons == [("N5", None), ("N5", None), ("S1", "duplicate_key:reg_no")]
