@@ -77,12 +77,16 @@ def rollover(s):
                              F.add_months("start_date", 12).alias("start_date"),
                              F.add_months("end_date", 12).alias("end_date"))
     # Accepted rows are reused (parents, scalars, targets): materialise them once.
-    years_acc = cut_lineage(append_rows(s, "academic_years", new_year, ["start_date"])[0])
+    # One row: no in-batch duplicates; its name may still clash with an existing year.
+    years_acc = cut_lineage(append_rows(s, "academic_years", new_year, ["start_date"], check_batch=False)[0])
     s1 = append(s, "academic_years", years_acc)
     new_id = years_acc.agg(F.max("academic_year_id")).scalar()
     src = s.classes.join(latest.select("academic_year_id"), "academic_year_id")
     new_cls = src.select("class_level", "division", "class_teacher_id", new_id.alias("academic_year_id"))
-    cls_acc = cut_lineage(append_rows(s1, "classes", new_cls, ["class_level", "division"])[0])
+    # Copies of one year's classes (distinct level/division) into a year that has none yet;
+    # the class teacher reference is still checked.
+    cls_acc = cut_lineage(append_rows(s1, "classes", new_cls, ["class_level", "division"],
+                                      skip=("academic_year_id",), check_current=False, check_batch=False)[0])
     s2 = append(s1, "classes", cls_acc)
     tgt = cls_acc.select(F.col("class_id").alias("to_class"), (F.col("class_level") - 1).alias("class_level"),
                          "division")
