@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollbook.llm import toxicity
+from rollbook.llm import importance, pieces, toxicity
 from rollbook.llm.base import materialise, table, unpacked
 
 
@@ -14,7 +15,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return unpacked(toxicity.score(docs, model).where("predicted = 0"), docs.columns)
 
 
-STAGES = [("toxicity", drop_toxic)]
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of an importance sample as large as the share that passes for quality."""
+    labels = table(spark, sf_dir, "labels")
+    ratios = importance.fit(docs, labels)
+    weighed = importance.weighed_table(docs, ratios)
+    edge = importance.kth_largest(weighed, importance.sample_size(weighed, labels))
+    # The key depends on the row alone, so that scoring again spares a shuffle of the texts.
+    again = importance.weigh(docs, ratios)
+    return unpacked(again if edge is None else again.where(F.col("key") >= edge), docs.columns)
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their SentencePiece pieces."""
+    rows = pieces.encode(docs)
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "ids", "n_tokens")
+
+
+STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("pieces", to_pieces)]
 
 #: The models of the stages cannot be expressed in SQL.
 ORACLE_SQL = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import toxicity, warc
+from rollbook.llm import importance, langid, pieces, toxicity, warc
 from rollbook.llm.base import table
 
 
@@ -17,6 +17,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+            .select("row.doc_id", "ids", "n_tokens", "round_trip"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, payload,
@@ -34,4 +47,7 @@ FROM d
 QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
+    "op5_quality_resampling": (op5_quality_resampling, None),
+    "op6_sentencepiece": (op6_sentencepiece, None),
+    "op7_language_id": (op7_language_id, None),
 }
