@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import importance, langid, pieces, toxicity, warc
+from rollbook.llm import importance, jaccard_join, langid, pieces, toxicity, warc
 from rollbook.llm.base import table
 
 
@@ -17,6 +17,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.ngram_jaccard(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,9 +48,25 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM d
 """
 
+OP4_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(len(words) - 2, least(len(words), 1))),
+         lambda i: array_to_string(words[i + 1:i + 3], ' '))) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 90 * (p.size + q.size - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM w UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT w.doc_id, CAST(coalesce(n.size, 0) AS BIGINT) AS n_shingles, min(r.reached) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.node = w.doc_id GROUP BY ALL
+"""
+
 QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
+    "op4_ngram_jaccard": (op4_ngram_jaccard, OP4_SQL),
     "op5_quality_resampling": (op5_quality_resampling, None),
     "op6_sentencepiece": (op6_sentencepiece, None),
     "op7_language_id": (op7_language_id, None),
