@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import importance, jaccard_join, langid, pieces, toxicity, warc
+from rollbook.llm import importance, jaccard_join, langid, pieces, recurrent_lm, toxicity, warc
 from rollbook.llm.base import table
 
 
@@ -34,6 +34,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op9_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.language_model(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, payload,
@@ -70,4 +74,5 @@ QUERIES = {
     "op5_quality_resampling": (op5_quality_resampling, None),
     "op6_sentencepiece": (op6_sentencepiece, None),
     "op7_language_id": (op7_language_id, None),
+    "op9_recurrent_lm": (op9_recurrent_lm, None),
 }
