@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import importance, jaccard_join, langid, pieces, recurrent_lm, toxicity, warc
+from rollbook.llm import decontaminate, importance, jaccard_join, langid, pieces, recurrent_lm, toxicity, warc
 from rollbook.llm.base import table
 
 
@@ -17,6 +17,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_jaccard(table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -52,6 +56,16 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM d
 """
 
+OP3_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS words FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(len(words) - 4, 0)), lambda i: array_to_string(words[i + 1:i + 5], ' '))) AS s FROM d),
+bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(greatest(len(words) - 4, 0)), lambda i: array_to_string(words[i + 1:i + 5], ' '))) AS s FROM b),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, CAST(count(*) AS INT) AS n_shared, CAST(n_item AS INT) AS n_item, count(*) / n_item AS containment
+FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+"""
+
 OP4_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -70,6 +84,7 @@ FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.node = w.doc_id GROUP BY ALL
 QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
+    "op3_decontamination": (op3_decontamination, OP3_SQL),
     "op4_ngram_jaccard": (op4_ngram_jaccard, OP4_SQL),
     "op5_quality_resampling": (op5_quality_resampling, None),
     "op6_sentencepiece": (op6_sentencepiece, None),
