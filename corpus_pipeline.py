@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import importance, pieces, toxicity
+from rollbook.llm import decontaminate, importance, jaccard_join, pieces, toxicity
 from rollbook.llm.base import materialise, table, unpacked
 
 
@@ -26,13 +26,26 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return unpacked(again if edge is None else again.where(F.col("key") >= edge), docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return jaccard_join.one_of_each(docs, words=5, percent=80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    found = materialise(found.select(F.col("doc_id").alias("leaky_id")).distinct(), "leaky")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["leaky_id"]), "left_anti")
+
+
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their SentencePiece pieces."""
     rows = pieces.encode(docs)
     return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "ids", "n_tokens")
 
 
-STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("pieces", to_pieces)]
+STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("near copies", drop_near_copies),
+          ("decontamination", drop_leaks), ("pieces", to_pieces)]
 
 #: The models of the stages cannot be expressed in SQL.
 ORACLE_SQL = None
@@ -41,5 +54,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

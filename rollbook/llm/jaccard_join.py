@@ -100,8 +100,8 @@ def frequent_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, size, class_id (of the set), group_id (of size and prefix), prefix, frequent
-    ones among it.  Documents without words have size 0 and nulls."""
+    """The columns besides text, size, class_id (of the set), group_id (of size and prefix),
+    prefix, and how many frequent ones end it.  Documents without words have size 0 and nulls."""
     rank = np.argsort(frequent)
     shipped = docs.sparkSession.sparkContext.broadcast((frequent[rank], rank))
 
@@ -112,7 +112,7 @@ def sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
                 sizes, classes, groups, prefixes, heavy = [], [], [], [], []
-                for text in part.column(1):
+                for text in part.column(part.num_columns - 1):
                     s = shingles(text.as_py(), words, hashes)
                     sizes.append(len(s))
                     if not len(s):
@@ -138,12 +138,13 @@ def sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
                     groups.append(fingerprint(np.append(first, len(s))))
                     prefixes.append(first)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), pa.array(groups, pa.binary()),
+                    [*part.columns[:-1], pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), pa.array(groups, pa.binary()),
                      pa.array(prefixes, pa.list_(pa.int64())), pa.array(heavy, pa.int32())],
-                    ["doc_id", "size", "class_id", "group_id", "prefix", "heavy"])
+                    [*kept, "size", "class_id", "group_id", "prefix", "heavy"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, size int, class_id binary, group_id binary, prefix array<bigint>, heavy int")
+    kept = [c for c in docs.columns if c != "text"]
+    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select(*kept, "text").mapInArrow(run, f"{types}, size int, class_id binary, group_id binary, prefix array<bigint>, heavy int")
 
 
 def needed(size_a: str, size_b: str, percent: int) -> Column:
@@ -203,15 +204,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return both.where(100 * shared >= percent * (F.size("tokens_a") + F.size("tokens_b") - shared)).select("a", "b")
 
 
-def ngram_jaccard(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text).
-
-    Two documents are linked if their shingle sets have a Jaccard similarity of at least
-    ``percent`` / 100; component_id is the least doc_id that links reach.  Null and empty
-    texts and texts without words have no shingles and no links.  Every row is a document
-    of its own, also if its id or text repeats.
-    """
-    docs = docs.select("doc_id", "text")
+def joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The columns of ``docs`` (doc_id, text and others) besides text, n_shingles, component_id
+    and root, a name of the component (null for documents without words)."""
     seen = materialise(sketches(docs, words, percent, frequent_shingles(docs, words, percent)), "sketches")
     full = seen.where("size > 0")
     classes = materialise(full.groupBy("class_id", "group_id", "size", "heavy").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "classes")
@@ -264,7 +259,35 @@ def ngram_jaccard(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFra
 
     roots = components(links.unionByName(more))
     least = (classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", "doc_id", F.coalesce("root", "class_id").alias("root")))
-    least = least.join(least.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("class_id", "component_id")
-    alone = seen.where("size = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return (full.select("doc_id", "class_id", F.col("size").cast("long").alias("n_shingles")).join(least, "class_id")
-            .select("doc_id", "n_shingles", "component_id").unionByName(alone))
+    least = least.join(least.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("class_id", "root", "component_id")
+    kept = [c for c in docs.columns if c != "text"]
+    alone = seen.where("size = 0").select(*kept, F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root"))
+    return (full.select(*kept, "class_id", F.col("size").cast("long").alias("n_shingles")).join(least, "class_id")
+            .select(*kept, "n_shingles", "component_id", "root").unionByName(alone))
+
+
+def ngram_jaccard(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text).
+
+    Two documents are linked if their shingle sets have a Jaccard similarity of at least
+    ``percent`` / 100; component_id is the least doc_id that links reach.  Null and empty
+    texts and texts without words have no shingles and no links.  Every row is a document
+    of its own, also if its id or text repeats.
+    """
+    return joined(docs.select("doc_id", "text"), words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all columns, one of each component: that with the least doc_id.
+
+    Documents without words stay.  Rows with equal id and text are one document, and one of
+    them stays.
+    """
+    row_id = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))))
+    keyed = docs.select("doc_id", "text", row_id.alias("row_id"))
+    found = materialise(joined(keyed, words, percent).select("doc_id", "row_id", "root"), "joined")
+    stay = (found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row_id")).alias("first")).select("first.row_id")
+            .unionByName(found.where("root is null").select("row_id")).distinct())
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id.alias("row_id"))
+    rows = source.join(materialise(stay, "stay"), "row_id").dropDuplicates(["row_id"])
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import decontaminate, importance, jaccard_join, langid, pieces, recurrent_lm, toxicity, warc
+from rollbook.llm import decontaminate, importance, jaccard_join, langid, multi_index, pieces, recurrent_lm, tool_calls, toxicity, warc
 from rollbook.llm.base import table
 
 
@@ -38,10 +38,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 def op9_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.language_model(table(spark, sf_dir, "documents"))
 
 
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations")))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, payload,
@@ -81,6 +89,47 @@ SELECT w.doc_id, CAST(coalesce(n.size, 0) AS BIGINT) AS n_shingles, min(r.reache
 FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.node = w.doc_id GROUP BY ALL
 """
 
+OP10_SQL = """
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, length(coalesce(text, '')) AS size FROM conversations),
+c AS (SELECT conv_id, turn, role, size, regexp_extract(t, '^[A-Za-z]*') AS word,
+        CASE WHEN role = 'system' THEN 'setup' WHEN size % 3 = 0 THEN 'search' ELSE 'count' END AS name,
+        CASE WHEN conv_id % 7 = 3 THEN CASE WHEN turn < 5 THEN turn + 2 END
+             WHEN conv_id % 11 = 5 THEN CASE WHEN turn <= 3 THEN 4 - turn ELSE turn - 2 END
+             WHEN turn > 2 THEN turn - 2 END AS needs
+      FROM m WHERE role IN ('assistant', 'system')),
+e AS (SELECT x.conv_id, x.turn AS a, y.turn AS b FROM c x JOIN c y ON x.conv_id = y.conv_id AND x.needs = y.turn),
+p AS (SELECT conv_id, turn AS a, turn AS b, 0 AS hops FROM c UNION
+      SELECT p.conv_id, p.a, e.b, p.hops + 1 FROM p JOIN e ON e.conv_id = p.conv_id AND e.a = p.b WHERE p.hops < 20),
+r AS (SELECT conv_id, a AS turn, max(b) AS ready, max(hops) AS hops FROM p GROUP BY ALL),
+v AS (SELECT p.conv_id, p.a AS turn, max(p.hops) AS level FROM p JOIN r x ON x.conv_id = p.conv_id AND x.turn = p.a
+      JOIN r y ON y.conv_id = p.conv_id AND y.turn = p.b WHERE x.ready = y.ready GROUP BY ALL),
+u AS (SELECT m.conv_id, m.turn, m.turn - 1 AS called, m.size FROM m WHERE role = 'user' AND turn > 0),
+f AS (SELECT c.*, r.ready, CASE WHEN r.hops < 20 THEN v.level END AS level, 'call_' || c.conv_id || '_' || c.turn AS call_id,
+        CASE WHEN c.needs IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c y WHERE y.conv_id = c.conv_id AND y.turn = c.needs)
+             THEN 'missing dependency call_' || c.conv_id || '_' || c.needs END AS missing,
+        CASE WHEN c.name = 'setup' THEN concat_ws('; ', CASE WHEN c.conv_id % 23 = 7 THEN 'arguments are no JSON object' END, 'unknown tool')
+             WHEN c.conv_id % 23 = 7 THEN 'arguments are no JSON object'
+             ELSE nullif(concat_ws('; ', CASE WHEN c.conv_id % 13 = 0 AND c.name = 'search' THEN 'missing field query' END,
+               CASE WHEN c.conv_id % 17 = 1 THEN 'unknown field extra' END, CASE WHEN c.turn = 5 THEN 'value not allowed for unit' END,
+               CASE WHEN c.conv_id % 9 = 4 THEN 'wrong type of size' END), '') END AS errors,
+        CASE WHEN c.conv_id % 23 <> 7 THEN '"arguments":{' || CASE WHEN c.conv_id % 17 = 1 THEN '"extra":[1,2],' ELSE '' END
+          || CASE WHEN c.conv_id % 13 = 0 THEN '' ELSE '"query":"' || c.word || '",' END || '"size":'
+          || CASE WHEN c.conv_id % 9 = 4 THEN '"' || c.size || '"' ELSE CAST(c.size AS VARCHAR) END
+          || ',"unit":"' || CASE WHEN c.turn = 5 THEN 'byte' ELSE 'char' END || '"},' ELSE '' END AS arguments
+      FROM c JOIN r USING (conv_id, turn) JOIN v USING (conv_id, turn))
+SELECT f.conv_id, f.ready, CAST(f.level AS INT) AS level, f.turn, 0 AS part, f.call_id,
+       CASE WHEN f.level IS NULL THEN 'cycle' WHEN f.missing IS NOT NULL THEN 'missing dependency' WHEN f.errors IS NOT NULL THEN 'invalid'
+            WHEN u.turn IS NULL THEN 'no result' ELSE 'ok' END AS status,
+       nullif(concat_ws('; ', f.errors, f.missing), '') AS errors,
+       '{' || f.arguments || '"id":"' || f.call_id || '","name":"' || f.name || '","type":"tool_call"}' AS json
+FROM f LEFT JOIN u ON u.conv_id = f.conv_id AND u.called = f.turn
+UNION ALL
+SELECT u.conv_id, f.ready, CAST(f.level AS INT), u.turn, 1, 'call_' || u.conv_id || '_' || u.called,
+       CASE WHEN f.turn IS NULL THEN 'orphan' ELSE 'ok' END, NULL,
+       '{"content":"' || u.size || '","id":"call_' || u.conv_id || '_' || u.called || '","type":"tool_result"}'
+FROM u LEFT JOIN f ON u.conv_id = f.conv_id AND u.called = f.turn
+"""
+
 QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
@@ -89,5 +138,7 @@ QUERIES = {
     "op5_quality_resampling": (op5_quality_resampling, None),
     "op6_sentencepiece": (op6_sentencepiece, None),
     "op7_language_id": (op7_language_id, None),
+    "op8_multi_index": (op8_multi_index, None),
     "op9_recurrent_lm": (op9_recurrent_lm, None),
+    "op10_tool_calls": (op10_tool_calls, OP10_SQL),
 }
