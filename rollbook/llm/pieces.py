@@ -77,7 +77,7 @@ class DoubleArray:
                     tree.append({})
                 at = tree[at][code]
             ends[at] = value
-        size = 4 * len(tree) + 4 * alphabet + 64
+        size = 4 * len(tree) + 5 * alphabet + 2 * 4096  # a window of bases and all codes fit behind the last node
         base_of = np.zeros(size, np.int64)
         check = np.full(size, -1, np.int64)
         value = np.full(size, -1, np.int64)
