@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.plans.dims import small
 from rollbook.sources.schema import (
     ALLOWED_VALUES, FOREIGN_KEYS, MAX_LENGTHS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS, not_null_columns)
 from rollbook.sources.store import School
@@ -96,8 +95,7 @@ def audit_all_values(s: School) -> DataFrame:
 def audit_closed_year(s: School) -> DataFrame:
     """Q4: what a closed year forbids — two enrollments of a student in one year (double
     promotion), and attendance or admissions dated after a closed year's end."""
-    closed = small(s.academic_years.where(F.col("is_closed").eqNullSafe(True)).select("academic_year_id", "end_date"),
-                   "academic_years", base=s.academic_years)
+    closed = s.academic_years.where(F.col("is_closed").eqNullSafe(True)).select("academic_year_id", "end_date")
     dup = (audit_unique(s.student_enrollments, ["student_master_id", "academic_year_id"])
            .select(F.lit("duplicate_enrollment").alias("rule"), F.col("student_master_id").alias("key"),
                    "academic_year_id", F.lit(None).cast("date").alias("dated")))
@@ -115,7 +113,6 @@ def audit_closed_year(s: School) -> DataFrame:
 
 def audit_enrollment_class_year(s: School) -> DataFrame:
     """Q5: enrollments whose class belongs to another academic year."""
-    cls = small(s.classes.select("class_id", F.col("academic_year_id").alias("class_year_id")), "classes",
-                base=s.classes)
+    cls = s.classes.select("class_id", F.col("academic_year_id").alias("class_year_id"))
     return (s.student_enrollments.select("enrollment_id", "class_id", "academic_year_id")
             .join(cls, "class_id").where(F.col("academic_year_id") != F.col("class_year_id")))

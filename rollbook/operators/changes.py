@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.plans.dims import cut_lineage, small
+from rollbook.plans.dims import cut_lineage
 from rollbook.sources.schema import (
     ALLOWED_VALUES, DEFAULTS, FOREIGN_KEYS, ID_START, MAX_LENGTHS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS,
     not_null_columns)
@@ -69,14 +69,22 @@ def _first_reason(checks: list[tuple[Column, str]]) -> Column:
     return expr if expr is not None else F.lit(None).cast("string")
 
 
-def _flag_keys(df: DataFrame, key_sets: list[tuple[list[str], DataFrame, str]]) -> DataFrame:
+def spread_nulls(df: DataFrame, key: list[str], row: list[str]) -> DataFrame:
+    """``df`` with ``_spread``: 0 where the key is whole, else a hash of the row.  Rows with a NULL in
+    the key match nothing in a join; with this column in it they do not all meet in one task."""
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+    return df.withColumn("_spread", F.when(whole, F.lit(0).cast("long")).otherwise(F.xxhash64(*row)))
+
+
+def _flag_keys(df: DataFrame, key_sets: list[tuple[list[str], DataFrame, str]], row: list[str]) -> DataFrame:
     """For each (columns, bad key table, reason): rows whose key is in the bad table get the reason.
 
     The bad tables hold distinct keys only, so each is one row per key.
     """
     for i, (cols, bad, reason) in enumerate(key_sets):
         flag = f"_bad{i}"
-        df = (df.join(bad.select(*cols).distinct().withColumn(flag, F.lit(True)), cols, "left")
+        keys = bad.select(*cols).distinct().withColumn(flag, F.lit(True)).withColumn("_spread", F.lit(0).cast("long"))
+        df = (spread_nulls(df, cols, row).join(keys, [*cols, "_spread"], "left").drop("_spread")
               .withColumn(REASON, F.when(F.col(REASON).isNull() & F.col(flag).isNotNull(), F.lit(reason))
                           .otherwise(F.col(REASON)))
               .drop(flag))
@@ -86,15 +94,17 @@ def _flag_keys(df: DataFrame, key_sets: list[tuple[list[str], DataFrame, str]])
 def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
                    skip: tuple[str, ...] = (), with_ids: bool | None = None,
                    row_key: list[str] | None = None, check_current: bool = True,
-                   check_batch: bool = True) -> DataFrame:
+                   check_batch: bool = True, enforce_closed: bool = False) -> DataFrame:
     """``batch`` with defaults applied and a ``reason`` column (NULL when the row is acceptable).
 
     ``row_key`` identifies a batch row: by default a unique ``_row`` position the batch
     carries (``order_by`` + ``_row`` is then a total order); or ``order_by`` itself when
-    the caller guarantees it is unique.  ``skip`` lists columns whose NOT NULL and
-    parent checks the caller has already proven; ``check_current=False`` skips the
+    the caller guarantees it is unique.  ``skip`` lists columns that the caller has
+    already proven; ``check_current=False`` skips the
     key clash against the current table (when the caller removed those keys);
     ``check_batch=False`` skips in-batch duplicate checks (when the batch holds distinct keys).
+    ``enforce_closed`` refuses rows of a closed academic year (``closed_year``), found by the
+    row's year or by the year of its enrollment.
     """
     row_key = row_key or ["_row"]
     schema = SCHEMAS[table]
@@ -109,8 +119,8 @@ def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
 
     checks = [(F.col(c).isNull(), f"missing:{c}") for c in not_null_columns(table) if c != pk and c not in skip]
     checks += [(F.col(c).isNotNull() & ~F.col(c).isin(list(vals)), f"bad_value:{c}")
-               for c, vals in ALLOWED_VALUES.get(table, {}).items()]
-    checks += [(F.length(c) > n, f"too_long:{c}") for c, n in MAX_LENGTHS.get(table, {}).items()]
+               for c, vals in ALLOWED_VALUES.get(table, {}).items() if c not in skip]
+    checks += [(F.length(c) > n, f"too_long:{c}") for c, n in MAX_LENGTHS.get(table, {}).items() if c not in skip]
     df = batch.withColumn(REASON, _first_reason(checks))
 
     order = list(dict.fromkeys([*order_by, *row_key]))
@@ -132,9 +142,9 @@ def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
             taken = F.col(f"_taken{i}").isNotNull()
         name = ",".join(k)
         later = (F.struct(*order) != F.col(f"_first{i}")) if check_batch else F.lit(False)
-        info = info.withColumn(f"_seen{i}", F.lit(True))
+        info = info.withColumn(f"_seen{i}", F.lit(True)).withColumn("_spread", F.lit(0).cast("long"))
         matched = F.col(f"_seen{i}").isNotNull()
-        df = (df.join(info, k, "left")
+        df = (spread_nulls(df, k, order).join(info, [*k, "_spread"], "left").drop("_spread")
               .withColumn(REASON, F.when(F.col(REASON).isNotNull(), F.col(REASON))
                           .when(~matched, F.lit(None))
                           .when(later, F.lit(f"duplicate_in_batch:{name}"))
@@ -147,13 +157,20 @@ def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
         wanted = ok.where(F.col(col).isNotNull()).select(col).distinct()
         missing = wanted.join(s.table(parent).select(F.col(ppk).alias(col)), col, "left_anti")
         flags.append(([col], missing, f"missing_parent:{col}"))
-    return _flag_keys(df, flags)
+    if enforce_closed:
+        closed = s.academic_years.where(F.col("is_closed").eqNullSafe(True)).select("academic_year_id")
+        if "academic_year_id" in cols and table != "academic_years":
+            flags.append((["academic_year_id"], closed, "closed_year"))
+        elif "enrollment_id" in cols and table != "student_enrollments":
+            flags.append((["enrollment_id"], s.student_enrollments.join(closed, "academic_year_id", "left_semi"), "closed_year"))
+    return _flag_keys(df, flags, order)
 
 
 def append_rows(s: School, table: str, batch: DataFrame, order_by: list[str],
                 fill: dict[str, Column] | None = None, skip: tuple[str, ...] = (),
                 id_base_from: DataFrame | None = None,
-                check_current: bool = True, check_batch: bool = True) -> tuple[DataFrame, DataFrame]:
+                check_current: bool = True, check_batch: bool = True,
+                enforce_closed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(accepted rows in the table's schema with new ids, rejected batch rows with a reason).
 
     ``order_by`` decides which of two clashing rows is kept and the order of
@@ -171,7 +188,8 @@ def append_rows(s: School, table: str, batch: DataFrame, order_by: list[str],
     order = list(dict.fromkeys([*order_by, *row_key]))
     # One checkpoint of the validated batch, globally sorted: ids are numbered on it directly.
     checked = cut_lineage(validate_batch(s, table, b, order_by, skip, row_key=row_key,
-                                         check_current=check_current, check_batch=check_batch)
+                                         check_current=check_current, check_batch=check_batch,
+                                         enforce_closed=enforce_closed)
                           .orderBy(*order))
     rejected = checked.where(F.col(REASON).isNotNull()).drop("_row")
     ok = checked.where(F.col(REASON).isNull()).drop(REASON)
@@ -210,16 +228,17 @@ def one_per_key(df: DataFrame, key: list[str], by: list[str], largest: bool = Tr
 # Keyed update
 
 def update_rows(df: DataFrame, changes: DataFrame, key: str | list[str],
-                where: Column | None = None) -> DataFrame:
-    """Set the non-key columns of ``changes`` on the rows of ``df`` with the same key.
+                where: Column | None = None, order_by: list[str] | None = None) -> DataFrame:
+    """W2 without checks: set the non-key columns of ``changes`` on the rows of ``df`` with the same key.
 
-    ``where`` further restricts which matched rows change (e.g. ``role = 'teacher'``).
-    ``changes`` must hold one row per key; it is broadcast only behind the size check.
+    ``where`` further restricts which matched rows change (e.g. ``role = 'teacher'``).  Of
+    several changes of one key the first by ``order_by`` (then by the new values) counts.
     """
     key = [key] if isinstance(key, str) else list(key)
-    cols = [c for c in changes.columns if c not in key]
+    cols = [c for c in changes.columns if c not in key and c in df.columns]
+    changes = one_per_key(changes, key, order_by or [], largest=False)
     ch = changes.select(*key, *[F.col(c).alias(f"_new_{c}") for c in cols]).withColumn("_hit", F.lit(True))
-    joined = df.join(small(ch, "keys"), key, "left")
+    joined = df.join(ch, key, "left")
     hit = F.col("_hit").isNotNull()
     if where is not None:
         hit = hit & F.coalesce(where, F.lit(False))
@@ -228,6 +247,52 @@ def update_rows(df: DataFrame, changes: DataFrame, key: str | list[str],
     return joined.select(*out)
 
 
+def update_table(s: School, table: str, changes: DataFrame, key: str | list[str] | None = None,
+                 where: Column | None = None, order_by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the table with the accepted changes, the refused changes with a reason).
+
+    The changed columns are checked as for new rows: missing value, allowed values, lengths,
+    parents, and keys that another row holds or an earlier change takes.  One change for each
+    key counts, the first by ``order_by`` (then by the new values); the others are refused
+    (``duplicate_in_batch``), as are keys without a row (``no_row``).  Rows that ``where``
+    excludes stay and are not reported.
+    """
+    pk = PRIMARY_KEYS[table]
+    key = [pk] if key is None else [key] if isinstance(key, str) else list(key)
+    cols = [c for c in changes.columns if c not in key and c in SCHEMAS[table].names]
+    b = cut_lineage(changes).withColumn("_row", F.monotonically_increasing_id())
+    rank = F.struct(*(order_by or []), *cols, "_row")
+    first = b.groupBy(*key).agg(F.min(rank).alias("_first"))
+    b = b.join(first, key, "left").withColumn("_pre", F.when(
+        reduce(lambda x, y: x | y, [F.col(k).isNull() for k in key]), F.lit("no_row"))
+        .when(rank != F.col("_first"), F.lit(f"duplicate_in_batch:{','.join(key)}"))).drop("_first")
+    current = s.table(table)
+    rows = current if where is None else current.withColumn("_where", F.coalesce(where, F.lit(False)))
+    keep = [c for c in current.columns if c not in cols] + ([] if where is None else ["_where"])
+    hit = b.where("_pre is null").join(rows.select(*keep), key)
+    if where is not None:
+        hit = hit.where("_where").drop("_where")
+    known = b.where("_pre is null").join(current.select(*key).distinct(), key, "left_anti").select("_row", F.lit("no_row").alias("_none"))
+    # A refused key clash is judged against the other rows as they are now.
+    proven = tuple(c for c in SCHEMAS[table].names if c not in cols)
+    checked = hit.drop("_pre")
+    for i, k in enumerate(UNIQUE_KEYS.get(table, [])):
+        if not set(k) & set(cols):
+            continue
+        others = current.select(*k, F.col(pk).alias("_other"))
+        taken = checked.select(pk, *k).join(others, list(k)).where(F.col("_other") != F.col(pk)).select(pk).distinct().withColumn(f"_clash{i}", F.lit(f"duplicate_key:{','.join(k)}"))
+        checked = checked.join(taken, pk, "left")
+    clashes = [c for c in checked.columns if c.startswith("_clash")]
+    checked = checked.withColumn("_clash", F.coalesce(*clashes) if clashes else F.lit(None).cast("string")).drop(*clashes)
+    checked = validate_batch(s, table, cut_lineage(checked), order_by or [], proven, with_ids=False, check_current=False)
+    checked = cut_lineage(checked.withColumn(REASON, F.coalesce(F.col(REASON), F.col("_clash"))))
+    accepted = checked.where(F.col(REASON).isNull()).select(pk, *cols)
+    told = checked.where(F.col(REASON).isNotNull()).select("_row", F.col(REASON).alias("_late"))
+    rejected = (b.join(known, "_row", "left").join(told, "_row", "left").withColumn(REASON, F.coalesce("_pre", "_none", "_late"))
+                .where(F.col(REASON).isNotNull()).select(*changes.columns, REASON))
+    return update_rows(current, accepted, pk), rejected
+
+
 def changed_count(df: DataFrame, changes: DataFrame, key: str | list[str], where: Column | None = None) -> DataFrame:
     """Number of rows an ``update_rows`` with the same arguments changes (one-row frame)."""
     key = [key] if isinstance(key, str) else list(key)
@@ -249,22 +314,24 @@ def set_columns(df: DataFrame, keys: DataFrame, key: str, values: dict[str, obje
 # ---------------------------------------------------------------------------------------------
 # W3, W4
 
-def update_student_contact(s: School, changes: DataFrame) -> DataFrame:
-    """Changes (user_id, mobile, email, address) → new student_master.
+def update_student_contact(s: School, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changes (user_id, mobile, email, address) → (new student_master, refused changes).
 
-    The user is resolved through their active-year enrollment to the student.
+    The user is resolved through their active-year enrollment to the student; a user
+    without one is refused (``no_row``).
     """
     from rollbook.plans.dims import in_active_year
-    enr = in_active_year(s.student_enrollments, s.academic_years).select("user_id", "student_master_id")
-    resolved = one_per_key(changes.select("user_id", "mobile", "email", "address").join(enr, "user_id"),
-                           ["student_master_id"], ["user_id"], largest=False).drop("user_id")
-    return update_rows(s.student_master, resolved, "student_master_id")
+    enr = in_active_year(s.student_enrollments, s.academic_years).where("user_id is not null").select("user_id", "student_master_id")
+    enr = one_per_key(enr, ["user_id"], ["student_master_id"], largest=False)
+    resolved = changes.select("user_id", "mobile", "email", "address").join(enr, "user_id", "left")
+    table, refused = update_table(s, "student_master", resolved, "student_master_id", order_by=["user_id"])
+    return table, refused.drop("student_master_id")
 
 
 def toggle_status(enrollments: DataFrame, keys: DataFrame) -> DataFrame:
     """Flip 'active' ↔ 'left' on the keyed enrollments (anything else becomes 'active')."""
     k = keys.select("enrollment_id").distinct().withColumn("_hit", F.lit(True))
-    j = enrollments.join(small(k, "keys"), "enrollment_id", "left")
+    j = enrollments.join(k, "enrollment_id", "left")
     new = F.when(F.col("status") == "active", F.lit("left")).otherwise(F.lit("active"))
     return j.select(*[F.when(F.col("_hit").isNotNull(), new).otherwise(F.col("status")).alias("status")
                       if c == "status" else F.col(c) for c in enrollments.columns])
@@ -273,34 +340,40 @@ def toggle_status(enrollments: DataFrame, keys: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 # W5, W6, W7
 
-def assign_fees(s: School, batch: DataFrame, mode: str = "upsert") -> DataFrame:
-    """Batch (enrollment_id, total_amount, assigned_date) → new student_fee_assignments.
+def assign_fees(s: School, batch: DataFrame, mode: str = "upsert", enforce_closed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Batch (enrollment_id, total_amount, assigned_date) → (new student_fee_assignments, refused rows).
 
     ``upsert``: every existing assignment of a batch enrollment gets the new
     amount and date; enrollments without one get a new row.  ``append``: every
-    batch row is a new assignment (what the bulk form does).
+    batch row is a new assignment (what the bulk form does).  Rows are checked
+    first: a refused row changes nothing.  Of several accepted rows of an enrollment the
+    upsert takes the latest date, then the larger amount.
     """
-    b = batch.select("enrollment_id", "total_amount", "assigned_date")
-    if mode == "upsert":
-        # One change per enrollment, chosen deterministically: latest date, then larger amount.
-        b = one_per_key(b, ["enrollment_id"], ["assigned_date", "total_amount"])
-    cur = s.student_fee_assignments
-    if mode == "upsert":
-        updated = update_rows(cur, b, "enrollment_id")
-        fresh = b.join(cur.select("enrollment_id").distinct(), "enrollment_id", "left_anti")
-    elif mode == "append":
-        updated, fresh = cur, b
-    else:
+    if mode not in ("upsert", "append"):
         raise ValueError(f"unknown mode {mode!r}")
-    accepted, _rejected = append_rows(s, "student_fee_assignments", fresh, ["enrollment_id", "total_amount"])
-    return updated.unionByName(accepted)
+    table, cols = "student_fee_assignments", ["enrollment_id", "total_amount", "assigned_date"]
+    cur = s.student_fee_assignments
+    if mode == "append":
+        accepted, rejected = append_rows(s, table, batch.select(*cols), ["enrollment_id", "total_amount"], enforce_closed=enforce_closed)
+        return cur.unionByName(accepted), rejected.select(*cols, REASON)
+    checked = _checked(s, table, batch.select(*cols), ["enrollment_id"], enforce_closed=enforce_closed)
+    b = one_per_key(checked.where(F.col(REASON).isNull()).select(*cols), ["enrollment_id"], ["assigned_date", "total_amount"])
+    fresh = b.join(cur.select("enrollment_id").distinct(), "enrollment_id", "left_anti")
+    accepted, _proven = append_rows(s, table, fresh, ["enrollment_id", "total_amount"], skip=("enrollment_id", "total_amount", "assigned_date"))
+    return update_rows(cur, b, "enrollment_id").unionByName(accepted), checked.where(F.col(REASON).isNotNull()).select(*cols, REASON)
+
+
+def _checked(s: School, table: str, batch: DataFrame, order_by: list[str], **how) -> DataFrame:
+    """The batch with the reason of each refused row, kept; keys of the batch and the table may clash."""
+    b = cut_lineage(batch).withColumn("_row", F.monotonically_increasing_id())
+    return cut_lineage(validate_batch(s, table, b, order_by, check_current=False, check_batch=False, with_ids=False, **how))
 
 
 def class_fee_flat_batch(s: School, classes: DataFrame, amount, assigned_date) -> DataFrame:
     """W5 bulk form: every active-year enrollment of the given classes at one amount."""
     from rollbook.plans.dims import in_active_year
     enr = in_active_year(s.student_enrollments, s.academic_years).select("enrollment_id", "class_id")
-    enr = enr.join(small(classes.select("class_id").distinct(), "keys"), "class_id", "left_semi")
+    enr = enr.join(classes.select("class_id").distinct(), "class_id", "left_semi")
     return enr.select("enrollment_id", F.lit(amount).cast("decimal(10,2)").alias("total_amount"),
                       F.lit(assigned_date).cast("date").alias("assigned_date"))
 
@@ -315,48 +388,47 @@ def class_fee_batch(s: School, year: int, classes: DataFrame | None, as_of) -> D
     """W6 batch: enrollments of the classes (any year) at their level's fee of ``year``."""
     enr = s.student_enrollments.select("enrollment_id", "class_id")
     if classes is not None:
-        enr = enr.join(small(classes.select("class_id").distinct(), "classes"), "class_id", "left_semi")
-    fs = small(s.fee_structures.where(F.col("academic_year_id") == F.lit(year))
-               .select("class_level", "total_amount"), "fee_structures", base=s.fee_structures)
-    return (enr.join(small(s.classes.select("class_id", "class_level"), "classes", base=s.classes), "class_id")
+        enr = enr.join(classes.select("class_id").distinct(), "class_id", "left_semi")
+    fs = s.fee_structures.where(F.col("academic_year_id") == F.lit(year)).select("class_level", "total_amount")
+    return (enr.join(s.classes.select("class_id", "class_level"), "class_id")
             .join(fs, "class_level")
             .select("enrollment_id", "total_amount", F.lit(as_of).cast("date").alias("assigned_date")))
 
 
-def assign_class_fees(s: School, year: int, classes: DataFrame | None, as_of) -> DataFrame:
-    """New assignment rows from the fee structure (levels without a structure drop out)."""
-    accepted, _ = append_rows(s, "student_fee_assignments", class_fee_batch(s, year, classes, as_of),
-                              ["enrollment_id"])
-    return accepted
+def assign_class_fees(s: School, year: int, classes: DataFrame | None, as_of, enforce_closed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(new assignment rows from the fee structure, refused rows); levels without a structure drop out."""
+    return append_rows(s, "student_fee_assignments", class_fee_batch(s, year, classes, as_of), ["enrollment_id"], enforce_closed=enforce_closed)
 
 
-def upsert_fee_structure(s: School, batch: DataFrame) -> DataFrame:
-    """Insert or replace the amount on (class_level, academic_year_id) → new fee_structures."""
-    b = one_per_key(batch.select("class_level", "academic_year_id", "total_amount"),
-                    ["class_level", "academic_year_id"], ["total_amount"])
-    key = ["class_level", "academic_year_id"]
-    updated = update_rows(s.fee_structures, b, key)
+def upsert_fee_structure(s: School, batch: DataFrame, enforce_closed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Insert or replace the amount on (class_level, academic_year_id) → (new fee_structures, refused rows).
+
+    Rows are checked first: a refused row changes nothing.  Of several accepted rows of a
+    level and year the largest amount counts.
+    """
+    key, cols = ["class_level", "academic_year_id"], ["class_level", "academic_year_id", "total_amount"]
+    checked = _checked(s, "fee_structures", batch.select(*cols), key, enforce_closed=enforce_closed)
+    b = one_per_key(checked.where(F.col(REASON).isNull()).select(*cols), key, ["total_amount"])
     fresh = b.join(s.fee_structures.select(*key), key, "left_anti")
-    accepted, _ = append_rows(s, "fee_structures", fresh, key)
-    return updated.unionByName(accepted)
+    accepted, _proven = append_rows(s, "fee_structures", fresh, key, skip=("academic_year_id", "class_level", "total_amount"),
+                                    check_current=False, check_batch=False)
+    return update_rows(s.fee_structures, b, key).unionByName(accepted), checked.where(F.col(REASON).isNotNull()).select(*cols, REASON)
 
 
 # ---------------------------------------------------------------------------------------------
 # W8
 
-def mark_attendance(s: School, batch: DataFrame, order_by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Batch (enrollment_id, attendance_date, status) → (new attendance table, rejected).
+def mark_attendance(s: School, batch: DataFrame, order_by: list[str] | None = None,
+                    enforce_closed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Batch (enrollment_id, attendance_date, status) → (new attendance table, refused rows).
 
-    Existing rows of a batch (enrollment, date) are replaced (delete + insert,
-    so they get new ids); a repeated pair inside the batch is rejected.
+    Stored rows of an accepted (enrollment, date) are replaced (delete + insert,
+    so they get new ids); a refused row leaves what is stored.  A repeated pair
+    inside the batch is refused.
     """
     order_by = order_by or ["enrollment_id", "attendance_date"]
-    b = batch.select("enrollment_id", "attendance_date", "status", *[c for c in order_by if c not in
-                                                                     ("enrollment_id", "attendance_date", "status")])
     key = ["enrollment_id", "attendance_date"]
-    # Validation against the table without the replaced pairs: replaced rows do not clash.
-    kept = s.attendance_students.join(b.select(*key).distinct(), key, "left_anti")
-    # New ids continue after the old maximum (deleted rows do not give their ids back).
-    accepted, rejected = append_rows(s.replace(attendance_students=kept), "attendance_students",
-                                     b, order_by, id_base_from=s.attendance_students)
+    b = batch.select(*key, "status", *[c for c in order_by if c not in (*key, "status")])
+    accepted, rejected = append_rows(s, "attendance_students", b, order_by, check_current=False, enforce_closed=enforce_closed)
+    kept = s.attendance_students.join(accepted.select(*key), key, "left_anti")
     return kept.unionByName(accepted), rejected

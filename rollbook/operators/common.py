@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.plans.dims import small
 from rollbook.sources.store import School
 
 
@@ -34,23 +33,23 @@ def assignments_by_enrollment(s: School) -> DataFrame:
 
 
 def classes_dim(s: School, *cols: str) -> DataFrame:
-    return small(s.classes.select("class_id", *cols), "classes", base=s.classes)
+    return s.classes.select("class_id", *cols)
 
 
 def years_dim(s: School, *cols: str) -> DataFrame:
-    return small(s.academic_years.select("academic_year_id", *cols), "academic_years", base=s.academic_years)
+    return s.academic_years.select("academic_year_id", *cols)
 
 
 def employees_dim(s: School, *cols: str) -> DataFrame:
-    return small(s.employees.select("employee_id", *cols), "employees", base=s.employees)
+    return s.employees.select("employee_id", *cols)
 
 
 def subjects_dim(s: School, *cols: str) -> DataFrame:
-    return small(s.subjects.select("subject_id", *cols), "subjects", base=s.subjects)
+    return s.subjects.select("subject_id", *cols)
 
 
 def exams_dim(s: School, *cols: str) -> DataFrame:
-    return small(s.exams.select("exam_id", *cols), "exams", base=s.exams)
+    return s.exams.select("exam_id", *cols)
 
 
 def with_student(df: DataFrame, s: School, *cols: str) -> DataFrame:

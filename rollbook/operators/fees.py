@@ -195,23 +195,16 @@ def payment_history(s: School, keys: DataFrame | None = None, newest_first: bool
 def recent_transactions(s: School, n: int = 50) -> DataFrame:
     """The n latest payments (date desc, id desc) with student and class.
 
-    The top n is taken on payments first (per-partition top-n, then a merge)
-    and only those n rows are joined; the declared foreign keys make the
-    reference's inner joins lossless, so the result is the same.
+    Payments without an enrollment, student or class are not listed, so the joins come
+    first; the top n is then taken in each partition and merged.
     """
-    top = (s.fee_payments.select("payment_id", "enrollment_id", "amount_paid", "payment_date",
-                                 "payment_mode", "receipt_no")
-           .orderBy(F.desc("payment_date"), F.desc("payment_id")).limit(n))
     enr = s.student_enrollments.select("enrollment_id", "student_master_id", "class_id")
-    # The top n is at most n rows (a proven bound): broadcast it, and the n joined rows again,
-    # so enrollments and students are scanned without being shuffled.
-    with_enr = F.broadcast(top).join(enr, "enrollment_id")
     students = s.student_master.select("student_master_id", "reg_no", "fname", "lname")
-    x = students.join(F.broadcast(with_enr), "student_master_id").join(
-        classes_dim(s, "class_level", "division"), "class_id")
+    x = (s.fee_payments.select("payment_id", "enrollment_id", "amount_paid", "payment_date", "payment_mode", "receipt_no")
+         .join(enr, "enrollment_id").join(students, "student_master_id").join(classes_dim(s, "class_level", "division"), "class_id"))
     return (x.select("payment_id", "amount_paid", "payment_date", "payment_mode", "receipt_no",
                      full_name("fname", "lname").alias("student_name"), "reg_no", "class_level", "division")
-            .orderBy(F.desc("payment_date"), F.desc("payment_id")))
+            .orderBy(F.desc("payment_date"), F.desc("payment_id")).limit(n))
 
 
 def _in_year(col: str, year: int) -> "F.Column":

@@ -17,58 +17,77 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.exprs import grade
 from rollbook.operators.changes import (
-    REASON, append_rows, assign_ids, next_id_base, validate_batch)
-from rollbook.plans.dims import cut_lineage, small
-from rollbook.sources.schema import FOREIGN_KEYS, ID_START, PRIMARY_KEYS, SCHEMAS
+    REASON, append_rows, assign_ids, next_id_base, spread_nulls, validate_batch)
+from rollbook.plans.dims import cut_lineage
+from rollbook.sources.schema import FOREIGN_KEYS, ID_START, MAX_LENGTHS, PRIMARY_KEYS, SCHEMAS
 from rollbook.sources.store import School, conform
 
 
 # ---------------------------------------------------------------------------------------------
 # W9
 
-def add_marks(s: School, batch: DataFrame) -> tuple[School, DataFrame, DataFrame]:
+def add_marks(s: School, batch: DataFrame, order_by: list[str] | None = None,
+              enforce_closed: bool = False) -> tuple[School, DataFrame, DataFrame]:
     """Batch (subject_id, exam_name, max_marks, enrollment_id, marks_obtained).
 
-    The exam is found by (exam_name, the subject's year) and created when
-    missing; the grade is computed; existing marks of a batch
-    (enrollment, subject, exam) are replaced (new ids, as delete + insert).
-    Returns (new school, accepted mark rows, rejected batch rows).
+    The exam is found by (exam_name, the subject's year) and created when missing; the
+    grade is computed; stored marks of an accepted (enrollment, subject, exam) are replaced
+    (new ids, as delete + insert).  Every batch row is accepted or refused with a reason, and
+    refused rows keep their columns: a number that does not fit its column is ``bad_value``,
+    an exam that cannot be created refuses its marks.  Of rows of one triple the first by
+    ``order_by`` (default: the marks, then the position in the batch) is taken.
+    Returns (new school, accepted mark rows, refused batch rows).
     """
-    b = batch.select("subject_id", "exam_name", "max_marks", "enrollment_id",
-                     F.col("marks_obtained").cast("decimal(5,2)").alias("marks_obtained"))
-    b = b.withColumn("max_marks", F.col("max_marks").cast("decimal(5,2)"))
-    invalid = (F.col("subject_id").isNull() | F.col("exam_name").isNull() | F.col("max_marks").isNull()
-               | (F.col("max_marks") == 0) | F.col("enrollment_id").isNull())
-    years = small(s.subjects.select("subject_id", "academic_year_id"), "subjects", base=s.subjects)
+    given = ["subject_id", "exam_name", "max_marks", "enrollment_id", "marks_obtained"]
+    order_by = order_by or ["marks_obtained", "max_marks"]
+    b = cut_lineage(batch.select(*given, *[c for c in order_by if c not in given])).withColumn("_line", F.monotonically_increasing_id())
+    number = lambda c: F.col(c).try_cast("decimal(5,2)")
+    missing = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in ("subject_id", "exam_name", "max_marks", "enrollment_id")])
+    years = s.subjects.select("subject_id", "academic_year_id")
     b = (b.join(years, "subject_id", "left")
-         .withColumn("_pre", F.when(invalid, F.lit("invalid_data"))
+         .withColumn("_got", number("marks_obtained")).withColumn("_max", number("max_marks"))
+         .withColumn("_pre", F.when(missing | (F.col("_max") == 0), F.lit("invalid_data"))
+                     .when(F.col("_max").isNull(), F.lit("bad_value:max_marks"))
+                     .when(F.col("marks_obtained").isNotNull() & F.col("_got").isNull(), F.lit("bad_value:marks_obtained"))
+                     .when(F.length("exam_name") > MAX_LENGTHS["exams"]["exam_name"], F.lit("too_long:exam_name"))
                      .when(F.col("academic_year_id").isNull(), F.lit("missing_parent:subject_id"))))
+    b = cut_lineage(b)
     ok = b.where(F.col("_pre").isNull())
+    order = [*order_by, "_line"]
+
+    # Which marks can be stored is settled before an exam is created: one of a triple, with its enrollment.
+    named = ok.select("_line", *order_by, "enrollment_id", "subject_id", "exam_name", "academic_year_id")
+    first = named.groupBy("enrollment_id", "subject_id", "exam_name").agg(F.min(F.struct(*order)).alias("_first"))
+    closed = s.academic_years.where(F.col("is_closed").eqNullSafe(True)).select("academic_year_id") if enforce_closed else None
+    wanted = named.select("enrollment_id").distinct()
+    orphans = wanted.join(s.student_enrollments.select("enrollment_id"), "enrollment_id", "left_anti").withColumn("_orphan", F.lit(True))
+    judged = named.join(first, ["enrollment_id", "subject_id", "exam_name"]).join(orphans, "enrollment_id", "left")
+    reason = (F.when(F.col("_orphan"), F.lit("missing_parent:enrollment_id"))
+              .when(F.struct(*order) != F.col("_first"), F.lit("duplicate_in_batch:enrollment_id,subject_id,exam_id")))
+    if closed is not None:
+        shut = s.student_enrollments.join(closed, "academic_year_id", "left_semi").select("enrollment_id").withColumn("_shut", F.lit(True))
+        judged = judged.join(shut, "enrollment_id", "left").join(closed.withColumn("_shut_year", F.lit(True)), "academic_year_id", "left")
+        reason = reason.when(F.col("_shut") | F.col("_shut_year"), F.lit("closed_year"))
+    judged = cut_lineage(judged.select("_line", reason.alias("_late")))
+    b = b.join(judged, "_line", "left").withColumn(REASON, F.coalesce("_pre", "_late"))
+    rejected = b.where(F.col(REASON).isNotNull()).select(*given, REASON)
+    good = b.where(F.col(REASON).isNull())
 
-    # Exams to create: (name, year) pairs of the batch not in the exams table.
-    wanted = ok.select("exam_name", "academic_year_id").distinct()
-    missing = wanted.join(s.exams.select("exam_name", "academic_year_id"), ["exam_name", "academic_year_id"],
-                          "left_anti")
     # Distinct pairs, absent from the table, years taken from subjects: nothing left to check.
-    new_exams, _ = append_rows(s, "exams", missing, ["academic_year_id", "exam_name"],
-                               skip=("academic_year_id",), check_current=False, check_batch=False)
+    exam = ["exam_name", "academic_year_id"]
+    missing_exams = good.select(*exam).distinct().join(s.exams.select(*exam), exam, "left_anti")
+    new_exams, _proven = append_rows(s, "exams", missing_exams, ["academic_year_id", "exam_name"],
+                                     skip=("academic_year_id",), check_current=False, check_batch=False)
     exams = s.exams.unionByName(new_exams)
-
-    rows = (ok.join(small(exams.select("exam_id", "exam_name", "academic_year_id"), "exams"),
-                    ["exam_name", "academic_year_id"])
-            .select("enrollment_id", "subject_id", "exam_id", "marks_obtained", "max_marks",
-                    grade("marks_obtained", "max_marks").alias("grade")))
+    rows = (good.join(exams.select("exam_id", *exam), exam)
+            .select("enrollment_id", "subject_id", "exam_id", F.col("_got").alias("marks_obtained"), F.col("_max").alias("max_marks"),
+                    grade("_got", "_max").alias("grade")))
     key = ["enrollment_id", "subject_id", "exam_id"]
-    kept = s.marks.join(rows.select(*key).distinct(), key, "left_anti")
-    s2 = s.replace(exams=exams, marks=kept)
-    # subject and exam come from joins (proven); the batch's triples were removed from the table.
-    accepted, rejected = append_rows(s2, "marks", rows, key, id_base_from=s.marks,
-                                     skip=("subject_id", "exam_id"), check_current=False)
-    pre_rejected = b.where(F.col("_pre").isNotNull()).select(
-        "enrollment_id", "subject_id", "exam_name", F.col("_pre").alias(REASON))
-    rejected = rejected.select("enrollment_id", "subject_id", F.lit(None).cast("string").alias("exam_name"),
-                               REASON).unionByName(pre_rejected)
-    return s2.replace(marks=kept.unionByName(accepted)), accepted, rejected
+    # Distinct triples with their parents: all are accepted.
+    accepted, _proven = append_rows(s.replace(exams=exams), "marks", rows, key, skip=("subject_id", "exam_id", "enrollment_id"),
+                                    check_current=False, check_batch=False)
+    kept = s.marks.join(accepted.select(*key), key, "left_anti")
+    return s.replace(exams=exams, marks=kept.unionByName(accepted)), accepted, rejected
 
 
 # ---------------------------------------------------------------------------------------------
@@ -78,12 +97,15 @@ def promote(s: School, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mapping (from_year, from_class, to_year, to_class) → (new enrollments, refused mappings).
 
     Per mapping, as one transaction of the reference:
+      * no source, or no target year → ``missing_parameters``;
+      * a source class counts once, by its least (to_year, to_class) → the others ``duplicate_source``;
       * no 'active' student in the source class → refused ``no_students``;
       * no target class → every row of the source class becomes 'passed';
       * target must exist in the target year (``target_missing``), be empty
         (``already_promoted``), be named by one mapping only (``duplicate_target``)
         and hold none of the students already in the target year
-        (``student_already_enrolled``);
+        (``student_already_enrolled``); of mappings that would enrol one student
+        twice in a year the least (from_year, from_class) counts (``duplicate_student``);
       * accepted: each active student is copied with its roll number (status
         'active', admission on the target year's start, same login), then every
         row of the source class becomes 'promoted'.
@@ -102,6 +124,15 @@ def promote(s: School, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
                                 F.col("class_id").alias("from_class"), "n_active")
     targets = s.classes.select(F.col("class_id").alias("to_class"), F.col("academic_year_id").alias("to_year"))
     occupied = per_class.select(F.col("academic_year_id").alias("to_year"), F.col("class_id").alias("to_class"))
+    # Repeated mappings are told apart by their position, so each keeps its own verdict.
+    m = cut_lineage(m).withColumn("_line", F.monotonically_increasing_id())
+    target = F.struct(F.coalesce("to_year", F.lit(0)), F.coalesce("to_class", F.lit(0)), "_line")
+    whole = F.col("from_year").isNotNull() & F.col("from_class").isNotNull() & F.col("to_year").isNotNull()
+    first_source = m.where(whole).groupBy("from_year", "from_class").agg(F.min(target).alias("_own"))
+    m = (m.join(first_source, ["from_year", "from_class"], "left")
+         .withColumn("_pre", F.when(~whole, F.lit("missing_parameters")).when(target != F.col("_own"), F.lit("duplicate_source"))).drop("_own"))
+    m = cut_lineage(m)
+    every, m = m, m.where(F.col("_pre").isNull())
     first_target = m.where(F.col("to_class").isNotNull()).groupBy("to_year", "to_class").agg(
         F.min(F.struct("from_year", "from_class")).alias("_first"))
     # Students of each mapping who already hold an enrollment in the target year.
@@ -109,28 +140,35 @@ def promote(s: School, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     clashes = (active.join(m.where(F.col("to_class").isNotNull()), ["from_year", "from_class"])
                .join(in_target_year, ["student_master_id", "to_year"], "left_semi")
                .groupBy("from_year", "from_class").agg(F.count(F.lit(1)).alias("n_clash")))
+    # Students active in several source classes that go to one year: later sources clash.
+    moving = active.join(m.where(F.col("to_class").isNotNull()), ["from_year", "from_class"])
+    earlier = moving.groupBy("student_master_id", "to_year").agg(F.min(F.struct("from_year", "from_class")).alias("_source"))
+    twice = (moving.join(earlier, ["student_master_id", "to_year"]).where(F.struct("from_year", "from_class") != F.col("_source"))
+             .select("from_year", "from_class").distinct().withColumn("_twice", F.lit(True)))
 
     j = (m.join(n_active, ["from_year", "from_class"], "left")
          .join(targets.withColumn("_exists", F.lit(True)), ["to_year", "to_class"], "left")
          .join(occupied.withColumn("_occupied", F.lit(True)), ["to_year", "to_class"], "left")
          .join(first_target, ["to_year", "to_class"], "left")
-         .join(clashes, ["from_year", "from_class"], "left"))
+         .join(clashes, ["from_year", "from_class"], "left")
+         .join(twice, ["from_year", "from_class"], "left"))
     reason = (F.when(F.coalesce(F.col("n_active"), F.lit(0)) == 0, F.lit("no_students"))
               .when(F.col("to_class").isNull(), F.lit(None))
               .when(F.col("_exists").isNull(), F.lit("target_missing"))
               .when(F.col("_occupied").isNotNull(), F.lit("already_promoted"))
               .when(F.struct("from_year", "from_class") != F.col("_first"), F.lit("duplicate_target"))
-              .when(F.coalesce(F.col("n_clash"), F.lit(0)) > 0, F.lit("student_already_enrolled")))
-    decided = cut_lineage(j.withColumn(REASON, reason).select("from_year", "from_class", "to_year", "to_class",
-                                                              REASON))
+              .when(F.coalesce(F.col("n_clash"), F.lit(0)) > 0, F.lit("student_already_enrolled"))
+              .when(F.col("_twice").isNotNull(), F.lit("duplicate_student")))
+    columns = ["from_year", "from_class", "to_year", "to_class", REASON]
+    decided = cut_lineage(j.withColumn(REASON, reason).select(*columns).unionByName(
+        every.where(F.col("_pre").isNotNull()).withColumn(REASON, F.col("_pre")).select(*columns)))
     refused = decided.where(F.col(REASON).isNotNull())
     ok = decided.where(F.col(REASON).isNull())
 
     # New enrollments for accepted mappings with a target.
-    starts = small(s.academic_years.select(F.col("academic_year_id").alias("to_year"), "start_date"),
-                   "academic_years", base=s.academic_years)
+    starts = s.academic_years.select(F.col("academic_year_id").alias("to_year"), "start_date")
     moves = ok.where(F.col("to_class").isNotNull())
-    new_rows = (active.join(small(moves, "keys"), ["from_year", "from_class"])
+    new_rows = (active.join(moves, ["from_year", "from_class"])
                 .join(starts, "to_year")
                 .select("student_master_id", F.col("to_year").alias("academic_year_id"),
                         F.col("to_class").alias("class_id"), "roll_no",
@@ -164,6 +202,16 @@ def _validated_pair(s: School, b: DataFrame, order: list[str],
     return out.withColumn(REASON, F.coalesce(*reasons)).drop("_pre", *[f"_r{i}" for i in range(len(sides))])
 
 
+def _missing(b: DataFrame, columns: list[str]) -> Column:
+    """``missing:<column>`` for the first required column that is NULL, an empty string or 0."""
+    def absent(c: str) -> Column:
+        kind = b.schema[c].dataType.simpleString()
+        empty = F.col(c) == F.lit("") if kind == "string" else F.col(c) == F.lit(0) if kind in ("int", "bigint", "smallint") else F.lit(False)
+        return F.coalesce(F.col(c).isNull() | empty, F.lit(True))
+
+    return reduce(lambda e, c: e.when(absent(c), F.lit(f"missing:{c}")), columns[1:], F.when(absent(columns[0]), F.lit(f"missing:{columns[0]}")))
+
+
 ADMIT_REQUIRED = ["reg_no", "fname", "gender", "roll_no", "class_id", "academic_year_id", "admission_date"]
 
 
@@ -174,8 +222,7 @@ def admit_students(s: School, batch: DataFrame, order_by: list[str]) -> tuple[Sc
     Returns (new school, accepted rows with both new ids, rejected rows with a reason).
     """
     b = cut_lineage(batch.select(*ADMIT_REQUIRED)).withColumn("_row", F.monotonically_increasing_id())
-    pre = reduce(lambda e, c: e.when(F.col(c).isNull(), F.lit(f"missing:{c}")), ADMIT_REQUIRED[1:],
-                 F.when(F.col(ADMIT_REQUIRED[0]).isNull(), F.lit(f"missing:{ADMIT_REQUIRED[0]}")))
+    pre = _missing(b, ADMIT_REQUIRED)
     b = b.withColumn("_pre", pre)
     order = list(dict.fromkeys([*order_by, "_row"]))
     checked = cut_lineage(_validated_pair(s, b, order, [
@@ -209,13 +256,12 @@ def register_people(s: School, batch: DataFrame, order_by: list[str]) -> tuple[S
     All tables of a row are accepted or refused together.
     """
     b = cut_lineage(batch.select("fname", "role", "date", "salary", "roll_no", "reg_no", "class_id"))
-    cls = small(s.classes.select("class_id", "academic_year_id"), "classes", base=s.classes)
+    cls = s.classes.select("class_id", "academic_year_id")
     b = (b.join(cls, "class_id", "left")
          .withColumn("_row", F.monotonically_increasing_id())
          .withColumn("username", F.col("reg_no"))
          .withColumn("joining_date", F.col("date")).withColumn("admission_date", F.col("date")))
-    pre = reduce(lambda e, c: e.when(F.col(c).isNull(), F.lit(f"missing:{c}")), REGISTER_REQUIRED[1:],
-                 F.when(F.col(REGISTER_REQUIRED[0]).isNull(), F.lit(f"missing:{REGISTER_REQUIRED[0]}")))
+    pre = _missing(b, REGISTER_REQUIRED)
     pre = pre.when((F.col("role") == "student") & F.col("class_id").isNotNull()
                    & F.col("academic_year_id").isNull(), F.lit("missing_parent:class_id"))
     b = b.withColumn("_pre", pre)
@@ -291,7 +337,8 @@ def delete_cascade(s: School, table: str, keys: DataFrame) -> School:
             df = df.join(deleted[name], PRIMARY_KEYS[name], "left_anti")
         for col, gone in nulled.get(name, []):
             flag = f"_gone_{col}"
-            df = (df.join(gone.withColumn(flag, F.lit(True)), col, "left")
+            lost = gone.withColumn(flag, F.lit(True)).withColumn("_spread", F.lit(0).cast("long"))
+            df = (spread_nulls(df, [col], [PRIMARY_KEYS[name]]).join(lost, [col, "_spread"], "left").drop("_spread")
                   .withColumn(col, F.when(F.col(flag).isNull(), F.col(col))).drop(flag))
         out[name] = conform(df, name)
     return School(**out)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.exprs import full_name, grade, percentage
 from rollbook.operators.common import (
     classes_dim, employees_dim, exams_dim, subjects_dim, with_student, years_dim)
-from rollbook.plans.dims import in_active_year, restrict, small
+from rollbook.plans.dims import in_active_year, restrict
 from rollbook.sources.store import School
 
 
@@ -152,7 +152,7 @@ def student_dashboard(s: School, keys: DataFrame | None = None) -> DataFrame:
          .join(teacher, "class_teacher_id", "left")
          .join(years_dim(s, "year_name"), "academic_year_id")
          .join(att, "enrollment_id", "left")
-         .join(small(_class_subject_names(s), "subjects", base=s.subjects), ["class_id", "academic_year_id"], "left"))
+         .join(_class_subject_names(s), ["class_id", "academic_year_id"], "left"))
     return x.select("enrollment_id", "user_id", "roll_no", "class_level", "division", "year_name",
                     full_name("fname", "lname").alias("class_teacher"),
                     F.coalesce("total_days", F.lit(0)).alias("total_days"),
@@ -173,9 +173,9 @@ def teacher_classes(s: School, keys: DataFrame | None = None) -> DataFrame:
     emp = restrict(s.employees.select("employee_id", "user_id"), keys, "user_id")
     active_classes = in_active_year(s.classes, s.academic_years).select(
         "class_id", "class_level", "division", "academic_year_id")
-    pairs = (_teacher_classes(s).join(small(emp.withColumnRenamed("employee_id", "teacher_id"), "employees", base=s.employees),
+    pairs = (_teacher_classes(s).join(emp.withColumnRenamed("employee_id", "teacher_id"),
                                       "teacher_id")
-             .join(small(active_classes, "classes", base=s.classes), "class_id"))
+             .join(active_classes, "class_id"))
     return (pairs.join(years_dim(s, "year_name"), "academic_year_id")
             .join(_class_sizes(s), "class_id", "left")
             .select("user_id", "class_id", "class_level", "division", "year_name",
@@ -187,7 +187,7 @@ def teacher_subjects(s: School, keys: DataFrame | None = None) -> DataFrame:
     """Per teacher (user): the active-year subjects they teach."""
     emp = restrict(s.employees.select("employee_id", "user_id"), keys, "user_id")
     sub = in_active_year(s.subjects, s.academic_years)
-    return (sub.join(small(emp.withColumnRenamed("employee_id", "teacher_id"), "employees", base=s.employees), "teacher_id")
+    return (sub.join(emp.withColumnRenamed("employee_id", "teacher_id"), "teacher_id")
             .join(classes_dim(s, "class_level", "division"), "class_id")
             .join(years_dim(s, "year_name"), "academic_year_id")
             .select("user_id", "subject_id", "subject_name", "class_id", "class_level", "division", "year_name")
@@ -209,13 +209,13 @@ def teacher_dashboard(s: School, keys: DataFrame | None = None) -> DataFrame:
     emp = restrict(s.employees.select("employee_id", "user_id"), keys, "user_id")
     pairs = _teacher_classes(s)
     active_cls = in_active_year(s.classes, s.academic_years).select("class_id")
-    n_classes = (pairs.join(small(active_cls, "classes", base=s.classes), "class_id", "left_semi")
+    n_classes = (pairs.join(active_cls, "class_id", "left_semi")
                  .groupBy("teacher_id").agg(F.count(F.lit(1)).alias("total_classes")))
     n_subjects = (in_active_year(s.subjects, s.academic_years)
                   .groupBy("teacher_id").agg(F.count(F.lit(1)).alias("total_subjects")))
     # Each active enrollment meets each distinct teacher of its class once: count per teacher.
     enr = in_active_year(s.student_enrollments, s.academic_years).select("class_id")
-    n_students = (enr.join(small(pairs, "subjects", base=s.subjects), "class_id")
+    n_students = (enr.join(pairs, "class_id")
                   .groupBy("teacher_id").agg(F.count(F.lit(1)).alias("total_students")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return (emp.withColumnRenamed("employee_id", "teacher_id")

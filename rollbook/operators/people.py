@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.exprs import full_name, full_name_strict
 from rollbook.operators.common import classes_dim, employees_dim, with_student, years_dim
-from rollbook.plans.dims import in_active_year, restrict, small
+from rollbook.plans.dims import in_active_year, restrict
 from rollbook.sources.store import School
 
 
@@ -37,9 +37,8 @@ def students_by_year(s: School, year: int | None = None, match_year: bool = True
     x = with_student(enr.select("enrollment_id", "student_master_id", "class_id", "academic_year_id", "roll_no",
                                 "status"), s, "reg_no", "fname", "lname")
     on = ["class_id", "academic_year_id"] if match_year else ["class_id"]
-    cls = small(s.classes.select("class_id", "class_level", "division",
-                                 *(["academic_year_id"] if match_year else [])), "classes",
-                base=s.classes)
+    cls = s.classes.select("class_id", "class_level", "division",
+                                 *(["academic_year_id"] if match_year else []))
     cols = ["academic_year_id", "enrollment_id", "class_id", "roll_no"] + ([] if match_year else ["status"])
     return (x.join(cls, on)
             .select(*cols, "reg_no", full_name("fname", "lname").alias("name"), "class_level", "division")
@@ -204,7 +203,7 @@ def subjects_of_student(s: School, keys: DataFrame | None = None) -> DataFrame:
     enr = _by_user(in_active_year(s.student_enrollments, s.academic_years), keys).select(
         "user_id", "enrollment_id", "class_id")
     teacher = employees_dim(s, "fname", "lname").withColumnRenamed("employee_id", "teacher_id")
-    sub = small(s.subjects.select("class_id", "subject_id", "subject_name", "teacher_id"), "subjects", base=s.subjects)
+    sub = s.subjects.select("class_id", "subject_id", "subject_name", "teacher_id")
     return (enr.join(sub, "class_id").join(teacher, "teacher_id")
             .select("user_id", "enrollment_id", "subject_id", "subject_name",
                     full_name_strict("fname", "lname").alias("teacher_name")))

@@ -1,51 +1,17 @@
-"""Plan helpers: size-checked broadcasts, the active-year filter, lineage cuts.
+"""Plan helpers: the active-year filter, key filters, lineage cuts.
 
-Broadcasting is only done behind an explicit row-count check: a dimension
-is broadcast when ``limit(bound + 1).count()`` proves it holds at most
-``bound`` rows; otherwise the join is left to Spark (sort-merge, or an AQE
-runtime broadcast if the shuffled side turns out small).
+Joins carry no broadcast hints: Spark broadcasts a side whose size in bytes it
+knows (file statistics, or what a shuffle has written) to be below its threshold.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Row bounds under which a dimension may be broadcast (~ tens of MB at most).
-DIM_ROW_BOUNDS = {
-    "academic_years": 100_000,
-    "classes": 1_000_000,
-    "subjects": 2_000_000,
-    "exams": 1_000_000,
-    "fee_structures": 1_000_000,
-    "employees": 1_000_000,
-    "keys": 1_000_000,
-}
-
-_checked: "weakref.WeakKeyDictionary[DataFrame, bool]" = weakref.WeakKeyDictionary()
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows (one bounded scan, memoised per DataFrame)."""
-    hit = _checked.get(df)
-    if hit is None:
-        hit = df.limit(max_rows + 1).count() <= max_rows
-        _checked[df] = hit
-    return hit
-
-
-def small(df: DataFrame, kind: str = "keys", base: DataFrame | None = None) -> DataFrame:
-    """Broadcast-hint ``df`` only if its size is proven below the bound for ``kind``.
-
-    ``base`` is a table ``df`` is a projection or filter of (never larger); checking the
-    base once per table object lets every report reuse the answer.
-    """
-    return F.broadcast(df) if fits(df if base is None else base, DIM_ROW_BOUNDS[kind]) else df
-
 
 def active_year_ids(academic_years: DataFrame) -> DataFrame:
     """Ids of all active years (several may be active; all count)."""
@@ -55,8 +21,8 @@ def active_year_ids(academic_years: DataFrame) -> DataFrame:
 
 
 def in_active_year(df: DataFrame, academic_years: DataFrame, col: str = "academic_year_id") -> DataFrame:
-    """Rows of ``df`` whose ``col`` is an active year: a (broadcast) left-semi join."""
-    ids = small(active_year_ids(academic_years), "academic_years", base=academic_years)
+    """Rows of ``df`` whose ``col`` is an active year: a left-semi join."""
+    ids = active_year_ids(academic_years)
     if col != "academic_year_id":
         ids = ids.withColumnRenamed("academic_year_id", col)
     return df.join(ids, col, "left_semi")
@@ -67,7 +33,7 @@ def restrict(df: DataFrame, keys: DataFrame | None, col: str) -> DataFrame:
     if keys is None:
         return df
     k = keys.select(col).distinct()
-    return df.join(small(k, "keys"), col, "left_semi")
+    return df.join(k, col, "left_semi")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -314,7 +314,7 @@ def _contact_changes(s):
     u = s.users.where((F.col("role") == "student") & (F.col("status") == "inactive"))
     ch = u.select("user_id", F.concat(F.lit("X"), F.col("user_id").cast("string")).alias("mobile"),
                   F.lit(None).cast("string").alias("email"), F.lit("moved").alias("address"))
-    return changes.update_student_contact(s, ch)
+    return changes.update_student_contact(s, ch)[0]
 
 
 register("update_student_contact", f"""
@@ -354,11 +354,10 @@ SELECT enrollment_id, student_master_id, academic_year_id, class_id, roll_no, ad
 """)(_toggle)
 
 
-# A new fee for every active-year enrollment of levels 1-3.
+# A new fee for every active-year enrollment.
 def _fee_batch(s):
     enr = in_active_year(s.student_enrollments, s.academic_years).select("enrollment_id", "class_id")
     return (enr.join(s.classes.select("class_id", "class_level"), "class_id")
-            .where(F.col("class_level") <= 3)
             .select("enrollment_id", (50000 + 1000 * F.col("class_level")).cast("decimal(10,2)").alias("total_amount"),
                     F.lit(AS_OF).alias("assigned_date")))
 
@@ -369,7 +368,7 @@ _FEE_BATCH_SQL = f"""
          DATE '{AS_OF}' AS assigned_date
     FROM student_enrollments se JOIN academic_years ay ON ay.academic_year_id = se.academic_year_id
     JOIN classes c ON c.class_id = se.class_id
-   WHERE ay.is_active AND c.class_level <= 3
+   WHERE ay.is_active
 )
 """
 
@@ -382,7 +381,7 @@ SELECT (SELECT max(assignment_id) FROM student_fee_assignments)
          + row_number() OVER (ORDER BY b.enrollment_id, b.total_amount),
        b.enrollment_id, CAST(b.total_amount AS DOUBLE), b.assigned_date
   FROM batch b WHERE b.enrollment_id NOT IN (SELECT enrollment_id FROM student_fee_assignments)
-""")(lambda s: changes.assign_fees(s, _fee_batch(s), "upsert"))
+""")(lambda s: changes.assign_fees(s, _fee_batch(s), "upsert")[0])
 
 register("assign_fees_append", _FEE_BATCH_SQL + """
 SELECT assignment_id, enrollment_id, CAST(total_amount AS DOUBLE) AS total_amount, assigned_date
@@ -392,13 +391,13 @@ SELECT (SELECT max(assignment_id) FROM student_fee_assignments)
          + row_number() OVER (ORDER BY b.enrollment_id, b.total_amount),
        b.enrollment_id, CAST(b.total_amount AS DOUBLE), b.assigned_date
   FROM batch b
-""")(lambda s: changes.assign_fees(s, _fee_batch(s), "append"))
+""")(lambda s: changes.assign_fees(s, _fee_batch(s), "append")[0])
 
 def _bulk_class_fees(s):
     # The bulk form appends (its ON DUPLICATE KEY never matches): level-10 classes of the active
     # year, which have no fee structure, get 60000 each.
     cls = in_active_year(s.classes, s.academic_years).where(F.col("class_level") == 10).select("class_id")
-    return changes.assign_fees(s, changes.class_fee_flat_batch(s, cls, 60000, AS_OF), "append")
+    return changes.assign_fees(s, changes.class_fee_flat_batch(s, cls, 60000, AS_OF), "append")[0]
 
 
 register("assign_fees_bulk", f"""
@@ -426,7 +425,8 @@ SELECT assignment_id, enrollment_id, CAST(total_amount AS DOUBLE) AS total_amoun
 # Fees of every active-year class from the active year's structure.
 def _class_fees(s):
     cls = in_active_year(s.classes, s.academic_years).select("class_id")
-    return changes.assign_class_fees(s, 7006, cls, AS_OF)
+    year = s.academic_years.where(F.col("is_active")).agg(F.max("academic_year_id")).scalar()
+    return changes.assign_class_fees(s, year, cls, AS_OF)[0]
 
 
 register("assign_class_fees", f"""
@@ -435,8 +435,8 @@ SELECT (SELECT max(assignment_id) FROM student_fee_assignments)
        se.enrollment_id, CAST(fs.total_amount AS DOUBLE) AS total_amount, DATE '{AS_OF}' AS assigned_date
   FROM student_enrollments se
   JOIN classes c ON se.class_id = c.class_id
-  JOIN fee_structures fs ON fs.class_level = c.class_level AND fs.academic_year_id = 7006
- WHERE c.academic_year_id = 7006
+  JOIN fee_structures fs ON fs.class_level = c.class_level AND fs.academic_year_id = (SELECT max(academic_year_id) FROM academic_years WHERE is_active)
+ WHERE c.academic_year_id IN (SELECT academic_year_id FROM academic_years WHERE is_active)
 """)(_class_fees)
 
 
@@ -463,7 +463,7 @@ SELECT (SELECT max(structure_id) FROM fee_structures)
   FROM batch b
  WHERE NOT EXISTS (SELECT 1 FROM fee_structures f
                     WHERE f.class_level = b.class_level AND f.academic_year_id = b.academic_year_id)
-""")(lambda s: changes.upsert_fee_structure(s, _structure_batch(s)))
+""")(lambda s: changes.upsert_fee_structure(s, _structure_batch(s))[0])
 
 
 # One day's attendance for every active-year student login.
@@ -488,3 +488,137 @@ SELECT (SELECT max(attendance_id) FROM attendance_students)
        b.enrollment_id, b.attendance_date, b.status
   FROM batch b
 """)(lambda s: changes.mark_attendance(s, _attendance_batch(s))[0])
+
+
+# Batches with rows that must be refused: by the last digit of the roll number some have a bad
+# value, a missing one, an unknown parent or a repeated key.  What is stored must survive them.
+def _digit(d: int):
+    return F.col("roll_no") % 10 == d
+
+
+def _bad_attendance(s):
+    enr = in_active_year(s.student_enrollments, s.academic_years).join(
+        s.attendance_students.select("enrollment_id", "attendance_date"), "enrollment_id")
+    b = enr.select("roll_no", F.when(_digit(1), F.col("enrollment_id") + 10**9).otherwise(F.col("enrollment_id")).alias("enrollment_id"),
+                   "attendance_date", F.when(_digit(0), "Late").when(_digit(2), F.lit(None)).otherwise("Present").alias("status"))
+    again = b.where(_digit(3)).withColumn("status", F.lit("Absent"))
+    return b.unionByName(again).drop("roll_no")
+
+
+_BAD_ATTENDANCE_SQL = """
+, given AS (
+  SELECT se.roll_no, se.enrollment_id, a.attendance_date
+    FROM attendance_students a JOIN student_enrollments se USING (enrollment_id)
+   WHERE se.academic_year_id IN (SELECT academic_year_id FROM academic_years WHERE is_active)
+), batch AS (
+  SELECT roll_no % 10 AS d, enrollment_id + CASE WHEN roll_no % 10 = 1 THEN 1000000000 ELSE 0 END AS enrollment_id, attendance_date,
+         CASE roll_no % 10 WHEN 0 THEN 'Late' WHEN 2 THEN NULL ELSE 'Present' END AS status FROM given
+  UNION ALL SELECT 3, enrollment_id, attendance_date, 'Absent' FROM given WHERE roll_no % 10 = 3
+), judged AS (
+  SELECT *, CASE d WHEN 0 THEN 'bad_value:status' WHEN 1 THEN 'missing_parent:enrollment_id' WHEN 2 THEN 'missing:status'
+                   WHEN 3 THEN CASE WHEN status = 'Present' THEN 'duplicate_in_batch:enrollment_id,attendance_date' END END AS reason
+    FROM batch
+)
+"""
+
+register("mark_attendance_rejected", _BAD_ATTENDANCE_SQL + """
+SELECT enrollment_id, attendance_date, status, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda s: changes.mark_attendance(s, _bad_attendance(s), ["status"])[1].select("enrollment_id", "attendance_date", "status", "reason"))
+
+register("mark_attendance_with_bad_rows", _BAD_ATTENDANCE_SQL + """
+SELECT enrollment_id, attendance_date, status FROM judged WHERE reason IS NULL
+UNION ALL
+SELECT a.enrollment_id, a.attendance_date, a.status FROM attendance_students a
+ WHERE (a.enrollment_id, a.attendance_date) NOT IN (SELECT (enrollment_id, attendance_date) FROM judged WHERE reason IS NULL)
+""")(lambda s: changes.mark_attendance(s, _bad_attendance(s), ["status"])[0].drop("attendance_id"))
+
+
+def _bad_fees(s):
+    enr = in_active_year(s.student_enrollments, s.academic_years)
+    return enr.select(F.when(_digit(1), F.col("enrollment_id") + 10**9).otherwise(F.col("enrollment_id")).alias("enrollment_id"),
+                      F.when(~_digit(0), F.lit(70000)).cast("decimal(10,2)").alias("total_amount"),
+                      F.when(~_digit(2), F.lit(AS_OF)).cast("date").alias("assigned_date"))
+
+
+_BAD_FEES_SQL = f"""
+, judged AS (
+  SELECT enrollment_id + CASE WHEN roll_no % 10 = 1 THEN 1000000000 ELSE 0 END AS enrollment_id,
+         CAST(CASE WHEN roll_no % 10 <> 0 THEN 70000 END AS DOUBLE) AS total_amount,
+         CASE WHEN roll_no % 10 <> 2 THEN DATE '{AS_OF}' END AS assigned_date,
+         CASE roll_no % 10 WHEN 0 THEN 'missing:total_amount' WHEN 1 THEN 'missing_parent:enrollment_id' WHEN 2 THEN 'missing:assigned_date' END AS reason
+    FROM student_enrollments WHERE academic_year_id IN (SELECT academic_year_id FROM academic_years WHERE is_active)
+)
+"""
+
+register("assign_fees_rejected", _BAD_FEES_SQL + """
+SELECT enrollment_id, total_amount, assigned_date, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda s: changes.assign_fees(s, _bad_fees(s), "upsert")[1])
+
+register("assign_fees_with_bad_rows", _BAD_FEES_SQL + """
+SELECT a.enrollment_id, coalesce(j.total_amount, a.total_amount) AS total_amount, coalesce(j.assigned_date, a.assigned_date) AS assigned_date
+  FROM student_fee_assignments a LEFT JOIN (SELECT * FROM judged WHERE reason IS NULL) j USING (enrollment_id)
+UNION ALL
+SELECT enrollment_id, total_amount, assigned_date FROM judged
+ WHERE reason IS NULL AND enrollment_id NOT IN (SELECT enrollment_id FROM student_fee_assignments)
+""")(lambda s: changes.assign_fees(s, _bad_fees(s), "upsert")[0].drop("assignment_id"))
+
+
+def _bad_structures(s):
+    y = s.classes.select("class_level", "academic_year_id").distinct()
+    lv = F.col("class_level")
+    return y.select(F.when(lv == 9, 11).otherwise(lv).alias("class_level"),
+                    F.when(lv == 8, F.col("academic_year_id") + 10**6).otherwise(F.col("academic_year_id")).alias("academic_year_id"),
+                    F.when(lv != 7, 1000 * lv).cast("decimal(10,2)").alias("total_amount"))
+
+
+register("upsert_fee_structure_rejected", """
+SELECT DISTINCT CASE WHEN class_level = 9 THEN 11 ELSE class_level END AS class_level,
+       academic_year_id + CASE WHEN class_level = 8 THEN 1000000 ELSE 0 END AS academic_year_id,
+       CAST(CASE WHEN class_level <> 7 THEN 1000 * class_level END AS DOUBLE) AS total_amount,
+       CASE class_level WHEN 7 THEN 'missing:total_amount' WHEN 8 THEN 'missing_parent:academic_year_id' ELSE 'bad_value:class_level' END AS reason
+  FROM classes WHERE class_level IN (7, 8, 9)
+""")(lambda s: changes.upsert_fee_structure(s, _bad_structures(s))[1])
+
+
+# W2 with checks: a new class, roll number and status for the active year's enrollments.
+def _enrollment_changes(s):
+    enr = in_active_year(s.student_enrollments, s.academic_years)
+    lowest = enr.groupBy("class_id").agg(F.min("roll_no").alias("lowest"))
+    b = enr.join(lowest, "class_id").select(
+        F.when(_digit(4), F.col("enrollment_id") + 10**9).otherwise(F.col("enrollment_id")).alias("enrollment_id"),
+        F.when(_digit(1), F.lit(999999)).otherwise(F.col("class_id")).cast("long").alias("class_id"),
+        F.when(_digit(3), F.col("lowest")).otherwise(F.col("roll_no") + 2000000).alias("new_roll"),
+        F.when(_digit(0), "gone").otherwise("left").alias("status"), "roll_no")
+    again = b.where(_digit(2)).withColumn("status", F.lit("passed"))
+    return b.unionByName(again).select("enrollment_id", "class_id", F.col("new_roll").alias("roll_no"), "status")
+
+
+_ENROLLMENT_CHANGES_SQL = """
+, active AS (SELECT *, min(roll_no) OVER (PARTITION BY class_id) AS lowest FROM student_enrollments
+              WHERE academic_year_id IN (SELECT academic_year_id FROM academic_years WHERE is_active)),
+batch AS (
+  SELECT roll_no AS old, lowest, enrollment_id + CASE WHEN roll_no % 10 = 4 THEN 1000000000 ELSE 0 END AS enrollment_id,
+         CASE WHEN roll_no % 10 = 1 THEN 999999 ELSE class_id END AS class_id,
+         CAST(CASE WHEN roll_no % 10 = 3 THEN lowest ELSE roll_no + 2000000 END AS INTEGER) AS roll_no,
+         CASE WHEN roll_no % 10 = 0 THEN 'gone' ELSE 'left' END AS status
+    FROM active
+), judged AS (
+  SELECT *, CASE old % 10 WHEN 0 THEN 'bad_value:status' WHEN 1 THEN 'missing_parent:class_id' WHEN 4 THEN 'no_row'
+                 WHEN 3 THEN CASE WHEN old = min(CASE WHEN old % 10 = 3 THEN old END) OVER (PARTITION BY class_id) THEN
+                               CASE WHEN old <> lowest THEN 'duplicate_key:class_id,roll_no' END
+                             ELSE 'taken' END END AS reason FROM batch
+  UNION ALL SELECT old, lowest, enrollment_id, class_id, roll_no, 'passed', 'duplicate_in_batch:enrollment_id' FROM batch WHERE old % 10 = 2
+)
+"""
+
+register("update_enrollments_rejected", _ENROLLMENT_CHANGES_SQL + """
+SELECT enrollment_id, class_id, roll_no, status, CASE WHEN reason = 'taken' OR reason LIKE 'duplicate%roll_no' THEN 'roll taken' ELSE reason END AS reason
+  FROM judged WHERE reason IS NOT NULL
+""")(lambda s: changes.update_table(s, "student_enrollments", _enrollment_changes(s))[1]
+     .withColumn("reason", F.when(F.col("reason").rlike("^duplicate.*roll_no$"), "roll taken").otherwise(F.col("reason"))))
+
+register("update_enrollments", _ENROLLMENT_CHANGES_SQL + """
+SELECT se.enrollment_id, se.student_master_id, se.academic_year_id, se.class_id, coalesce(j.roll_no, se.roll_no) AS roll_no,
+       se.admission_date, se.user_id, coalesce(j.status, se.status) AS status
+  FROM student_enrollments se LEFT JOIN (SELECT * FROM judged WHERE reason IS NULL) j USING (enrollment_id)
+""")(lambda s: changes.update_table(s, "student_enrollments", _enrollment_changes(s))[0])

@@ -68,6 +68,65 @@ SELECT (SELECT max(mark_id) FROM marks) + row_number() OVER (ORDER BY enrollment
 """)(lambda s: lifecycle.add_marks(s, marks_batch(s))[1])
 
 
+# Marks of which some must be refused, by the last digit of the roll number: an exam name that is
+# too long, a number that does not fit, an unknown subject or enrollment, a repeated triple.
+def bad_marks_batch(s) -> DataFrame:
+    d = (F.col("enrollment_id") % 10)
+    b = marks_batch(s).select(
+        F.when(d == 2, F.col("subject_id") + 10**6).otherwise(F.col("subject_id")).alias("subject_id"),
+        F.when(d == 0, F.repeat(F.lit("x"), 60)).otherwise(F.col("exam_name")).alias("exam_name"),
+        F.when(d == 5, 0).otherwise(F.col("max_marks")).alias("max_marks"),
+        F.when(d == 4, F.col("enrollment_id") + 10**9).otherwise(F.col("enrollment_id")).alias("enrollment_id"),
+        F.when(d == 1, 1000).otherwise(F.col("marks_obtained")).alias("marks_obtained"), d.alias("d"))
+    again = b.where("d = 3").withColumn("marks_obtained", F.lit(100).cast("long"))
+    return b.withColumn("marks_obtained", F.col("marks_obtained").cast("long")).unionByName(again).withColumn("line", F.when(
+        (F.col("d") == 3) & F.col("marks_obtained").eqNullSafe(F.lit(100)), 1).otherwise(0)).drop("d")
+
+
+register("add_marks_rejected", """
+, batch AS (
+  SELECT se.enrollment_id % 10 AS d, sub.subject_id, CASE WHEN sub.subject_id % 2 = 0 THEN 'Final' ELSE 'Retest' END AS exam_name, se.enrollment_id,
+         CASE WHEN se.roll_no % 23 <> 0 THEN (se.roll_no * 7 + sub.subject_id) % 101 END AS marks_obtained
+    FROM student_enrollments se JOIN subjects sub ON sub.class_id = se.class_id
+   WHERE se.status = 'active' AND se.academic_year_id IN (SELECT academic_year_id FROM academic_years WHERE is_active)
+)
+SELECT subject_id + CASE WHEN d = 2 THEN 1000000 ELSE 0 END AS subject_id, CASE WHEN d = 0 THEN repeat('x', 60) ELSE exam_name END AS exam_name,
+       CAST(CASE WHEN d = 5 THEN 0 ELSE 100 END AS INTEGER) AS max_marks, enrollment_id + CASE WHEN d = 4 THEN 1000000000 ELSE 0 END AS enrollment_id,
+       CAST(CASE WHEN d = 1 THEN 1000 WHEN d = 3 THEN 100 ELSE marks_obtained END AS BIGINT) AS marks_obtained,
+       CASE d WHEN 0 THEN 'too_long:exam_name' WHEN 1 THEN 'bad_value:marks_obtained' WHEN 2 THEN 'missing_parent:subject_id'
+              WHEN 3 THEN 'duplicate_in_batch:enrollment_id,subject_id,exam_id' WHEN 4 THEN 'missing_parent:enrollment_id' ELSE 'invalid_data' END AS reason
+  FROM batch WHERE d <= 5
+""")(lambda s: lifecycle.add_marks(s, bad_marks_batch(s), ["line"])[2])
+
+
+# W10 with mappings that must be refused: by the class id without a target year, twice from one
+# source, or to a class that is not in the target year.
+def _bad_mappings(s) -> DataFrame:
+    latest = s.academic_years.agg(F.max("academic_year_id")).scalar()
+    c = s.classes.where(F.col("academic_year_id") == latest)
+    kind = F.col("class_id") % 4
+    m = c.select(F.col("academic_year_id").alias("from_year"), F.col("class_id").alias("from_class"),
+                 F.when(kind != 1, F.col("academic_year_id")).alias("to_year"),
+                 F.when(kind == 2, F.lit(999999)).when(kind == 3, F.col("class_id")).cast("long").alias("to_class"))
+    return m.unionByName(m.where(F.col("from_class") % 4 == 0).withColumn("to_class", F.col("from_class")))
+
+
+register("promote_refused", """
+, latest AS (SELECT class_id, academic_year_id AS y, class_id % 4 AS kind FROM classes
+              WHERE academic_year_id = (SELECT max(academic_year_id) FROM academic_years)),
+busy AS (SELECT DISTINCT class_id FROM student_enrollments WHERE status = 'active'),
+used AS (SELECT DISTINCT class_id FROM student_enrollments)
+SELECT y AS from_year, class_id AS from_class, CASE WHEN kind <> 1 THEN y END AS to_year,
+       CASE kind WHEN 0 THEN class_id WHEN 2 THEN 999999 WHEN 3 THEN class_id END AS to_class,
+       CASE kind WHEN 0 THEN 'duplicate_source' WHEN 1 THEN 'missing_parameters'
+            ELSE CASE WHEN class_id NOT IN (SELECT class_id FROM busy) THEN 'no_students'
+                      WHEN kind = 2 THEN 'target_missing' ELSE 'already_promoted' END END AS reason
+  FROM latest
+UNION ALL
+SELECT y, class_id, y, NULL, 'no_students' FROM latest WHERE kind = 0 AND class_id NOT IN (SELECT class_id FROM busy)
+""")(lambda s: lifecycle.promote(s, _bad_mappings(s))[1])
+
+
 # Roll over to a new year — create the year after the latest one and copies of its
 # classes, then promote every class of the latest year one level up (level 10 passes).
 def rollover(s):

@@ -2,9 +2,9 @@
 
 The reference ships no data, so test tables are computed from ``customer``,
 ``supplier``, ``orders``, ``lineitem`` and ``events`` by integer arithmetic
-that DuckDB repeats in ``rollbook.sources.fixtures_sql``.  Grids of small
-ids (years, classes, subjects, exams, fee levels) come from ``spark.range``
-with div/mod — no cross joins.  Everything else grows with the input tables.
+that DuckDB repeats in ``rollbook.sources.fixtures_sql``.  Years and classes are
+those that customers are enrolled in; subjects, exams and fee levels hang on
+them.  No table is made up beside the input tables, but for the one admin user.
 """
 
 from __future__ import annotations
@@ -35,9 +35,9 @@ def _year_start(y: Column) -> Column:
     return F.make_date((F.lit(FIRST_YEAR) + y).cast("int"), F.lit(1), F.lit(1))
 
 
-def _years(spark: SparkSession) -> DataFrame:
-    y = F.col("id")
-    return spark.range(N_YEARS).select(
+def _years(cy: DataFrame) -> DataFrame:
+    y = F.col("y")
+    return cy.select(y).distinct().select(
         (7001 + y).alias("academic_year_id"),
         F.format_string("%d-%02d", FIRST_YEAR + y, (FIRST_YEAR + 1 + y) % 100).alias("year_name"),
         _year_start(y).alias("start_date"),
@@ -48,44 +48,49 @@ def _years(spark: SparkSession) -> DataFrame:
     )
 
 
-def _classes(spark: SparkSession) -> DataFrame:
-    ordc = F.col("id")  # ord = 30*y + o
-    o = ordc % 30
-    return spark.range(N_YEARS * 30).select(
+def _class_places(cy: DataFrame) -> DataFrame:
+    """(y, o, ord) of each class with an enrollment: o = 3 * level + division, ord = 30 * y + o."""
+    ck, y = F.col("c_custkey"), F.col("y")
+    return (cy.select(y, (3 * ((ck + y) % 10) + ck % 3).alias("o")).distinct()
+            .withColumn("ord", 30 * F.col("y") + F.col("o")))
+
+
+def _classes(places: DataFrame) -> DataFrame:
+    o, ordc = F.col("o"), F.col("ord")
+    return places.select(
         (3001 + ordc).alias("class_id"),
         (1 + F.floor(o / 3)).cast("int").alias("class_level"),
         _pick(DIVISION_NAMES, o % 3).alias("division"),
-        (7001 + F.floor(ordc / 30)).alias("academic_year_id"),
+        (7001 + F.col("y")).alias("academic_year_id"),
         F.when(ordc % 7 == 0, F.lit(None)).otherwise(2001 + ordc % 9).alias("class_teacher_id"),
     )
 
 
-def _subjects(spark: SparkSession) -> DataFrame:
-    sid = F.col("id")  # 5*ord + k
-    ordc = F.floor(sid / 5)
-    return (spark.range(N_YEARS * 30 * 5)
-            .where(F.floor(F.col("id") / 5) % 30 != 29)
+def _subjects(places: DataFrame) -> DataFrame:
+    sid = 5 * F.col("ord") + F.col("k")
+    return (places.where(F.col("o") != 29)
+            .select("y", "ord", F.explode(F.array(*[F.lit(k).cast("long") for k in range(5)])).alias("k"))
             .select((5001 + sid).alias("subject_id"),
-                    _pick(SUBJECT_NAMES, sid % 5).alias("subject_name"),
-                    (3001 + ordc).alias("class_id"),
+                    _pick(SUBJECT_NAMES, F.col("k")).alias("subject_name"),
+                    (3001 + F.col("ord")).alias("class_id"),
                     (2001 + sid % 9).alias("teacher_id"),
-                    (7001 + F.floor(ordc / 30)).alias("academic_year_id")))
+                    (7001 + F.col("y")).alias("academic_year_id")))
 
 
-def _exams(spark: SparkSession) -> DataFrame:
-    i = F.col("id")
-    return spark.range(N_YEARS * 3).select(
-        (8001 + i).alias("exam_id"), _pick(EXAM_NAMES, i % 3).alias("exam_name"),
-        (7001 + F.floor(i / 3)).alias("academic_year_id"))
+def _exams(cy: DataFrame) -> DataFrame:
+    y, e = F.col("y"), F.col("e")
+    return (cy.select(y).distinct().select(y, F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("e"))
+            .select((8001 + 3 * y + e).alias("exam_id"), _pick(EXAM_NAMES, e).alias("exam_name"),
+                    (7001 + y).alias("academic_year_id")))
 
 
-def _fee_structures(spark: SparkSession) -> DataFrame:
-    i = F.col("id")  # 10*y + l
-    level = i % 10 + 1
-    return (spark.range(N_YEARS * 10).where(i != 10 * ACTIVE_Y + 9)
-            .select((1501 + i).alias("structure_id"), level.cast("int").alias("class_level"),
-                    (7001 + F.floor(i / 10)).alias("academic_year_id"),
-                    (40000 + 30000 * level).cast(MONEY).alias("total_amount")))
+def _fee_structures(places: DataFrame) -> DataFrame:
+    i = 10 * F.col("y") + F.col("level") - 1
+    return (places.select("y", (1 + F.floor(F.col("o") / 3)).alias("level")).distinct()
+            .where(i != 10 * ACTIVE_Y + 9)
+            .select((1501 + i).alias("structure_id"), F.col("level").cast("int").alias("class_level"),
+                    (7001 + F.col("y")).alias("academic_year_id"),
+                    (40000 + 30000 * F.col("level")).cast(MONEY).alias("total_amount")))
 
 
 def _enrollment_cols(ck: Column, y: Column) -> list[Column]:
@@ -202,9 +207,10 @@ def derive_school(spark: SparkSession, sf_dir: str) -> School:
                           "attendance_date",
                           F.when(F.col("absent") == 1, "Absent").otherwise("Present").alias("status")))
 
-    classes = _classes(spark)
-    fee_structures = _fee_structures(spark)
-    years = _years(spark)
+    places = _class_places(cy)
+    classes = _classes(places)
+    fee_structures = _fee_structures(places)
+    years = _years(cy)
     # Fee assignment per enrollment from the level's structure; some get a duplicate copy.
     assign = (enrollments.where(F.col("enrollment_id") % 9 != 0)
               .join(F.broadcast(classes.select("class_id", "class_level")), "class_id")
@@ -219,7 +225,7 @@ def derive_school(spark: SparkSession, sf_dir: str) -> School:
 
     tables = dict(
         academic_years=years, users=users, employees=employees, classes=classes,
-        student_master=student_master, student_enrollments=enrollments, subjects=_subjects(spark),
-        exams=_exams(spark), marks=marks, attendance_students=attendance,
+        student_master=student_master, student_enrollments=enrollments, subjects=_subjects(places),
+        exams=_exams(cy), marks=marks, attendance_students=attendance,
         fee_structures=fee_structures, student_fee_assignments=assignments, fee_payments=fee_payments)
     return School(**{k: conform(v, k) for k, v in tables.items()})
