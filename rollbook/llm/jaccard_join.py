@@ -1,18 +1,21 @@
 """N-gram Jaccard self-join by grouped prefixes, and its connected components.
 
 Documents become sets of hashed word shingles; equal sets are one class.  In one
-order of all shingles (rare ones by hash, then the frequent ones by count) two sets
-can only reach the threshold if their prefixes share a shingle.  Classes with the
-same prefix and size form a group, and groups are filtered before members meet:
-
-* shingles in few groups: all pairs of groups are counted, and a pair goes on only if
-  the shingles shared in the prefixes leave room for the overlap that it needs;
-* frequent shingles, which stand in a prefix only where little else is left (families of
-  copies, boilerplate): each group first meets the one centre it shares most with; once
-  those links are known, only groups of different components are paired and counted.
-
-Members of what is left are verified on whole shingle sets.  Skipped pairs are
-those already in one component, so no two different components hold a link.
+order of all shingles two sets can only reach the threshold if their prefixes share
+a shingle.  The order begins with the lowest hashes, the frequent ones among them
+last.  Classes with the same prefix and size form a group, and groups are filtered
+before members meet:
+
+* rare shingles: all pairs of groups are counted, and a pair goes on only if what the
+  prefixes share leaves room for the overlap that it needs; members of the pairs left
+  are verified on whole sets;
+* late shingles, the frequent ones, stand in a prefix only where little else is left
+  (families of copies, boilerplate).  Each group first meets the one centre it shares most
+  of them with.  Then the groups that such shingles connect, a family, are cut into blocks
+  of like size, and blocks that are not yet in one component are compared whole, set by
+  set, inside a task; only links that join components leave it.
+
+Pairs that are skipped are in one component already or cannot reach the threshold.
 """
 
 from __future__ import annotations
@@ -21,18 +24,21 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.base import materialise
+from rollbook.llm.base import materialise, release
 from rollbook.llm.components import components
 
-#: A shingle in the prefixes of at least FREQUENT documents moves to the end of the order, at most
-#: MAX_FREQUENT of them (the list is broadcast).  Both only steer the work: any order is right.
+#: A shingle in at least FREQUENT documents moves behind the others, at most MAX_FREQUENT of them
+#: (the list is broadcast).  Both only steer the work: any order is right.
 FREQUENT = 16
 MAX_FREQUENT = 500_000
+#: Shingles in a block of a family.
+BLOCK = 150_000
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -50,7 +56,7 @@ def shingles(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
     found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not found:
         return np.empty(0, np.int64)
-    if len(hashes) > 500_000:
+    if len(hashes) > 200_000:
         hashes.clear()
     h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     n = min(words, len(found))
@@ -71,12 +77,21 @@ def fingerprint(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
-def frequent_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
-    """The shingles in many documents, rarer ones first, among the hashes that prefixes take."""
-    edge = np.int64(-(1 << 63) + int(min(1.0, 1.5 * (100 - percent) / 100) * (1 << 64)) - 1)
+def low_edge(percent: int) -> np.int64:
+    """The largest of the low hashes: half as many again as prefixes take of a set."""
+    return np.int64(-(1 << 63) + int(min(1.0, 1.5 * (100 - percent) / 100) * ((1 << 64) - 1)))
+
+
+def shared_shingles(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(token, n) of the shingles with low hashes in more than one document, as a written table."""
+    edge = low_edge(percent)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n, pa.int64())], ["token", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: WordHashes = WordHashes()
+        hashes = WordHashes()
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
@@ -84,26 +99,29 @@ def frequent_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
                 s = shingles(text.as_py(), words, hashes)
                 held.append(s[:np.searchsorted(s, edge, "right")])
                 size += len(held[-1])
-                if size > 4_000_000:
-                    yield flushed(held)
+                if size > 1_000_000:
+                    yield counted(held)
                     held, size = [], 0
         if held:
-            yield flushed(held)
+            yield counted(held)
+        release()
+
+    return materialise(docs.select("text").where("text is not null").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+                       .where("n > 1"), "shared")
 
-    def flushed(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n, pa.int64())], ["token", "n"])
 
-    found = (docs.select("text").where("text is not null").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-             .where(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "token").limit(MAX_FREQUENT).toArrow())
+def frequent_shingles(shared: DataFrame) -> np.ndarray:
+    """The frequent ones of shared shingles, rarer ones first; at most MAX_FREQUENT."""
+    found = shared.where(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "token").limit(MAX_FREQUENT).toArrow()
     return found.column("token").to_numpy()[::-1].copy()
 
 
 def sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """The columns besides text, size, class_id (of the set), group_id (of size and prefix),
-    prefix, and how many frequent ones end it.  Documents without words have size 0 and nulls."""
+    prefix, and how many late shingles (frequent ones, then those with higher hashes) end it.  Documents without words have size 0 and nulls."""
     rank = np.argsort(frequent)
     shipped = docs.sparkSession.sparkContext.broadcast((frequent[rank], rank))
+    edge = low_edge(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = shipped.value
@@ -120,20 +138,15 @@ def sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
                             column.append(None)
                         continue
                     p = prefix_length(len(s), percent)
+                    low = s[:np.searchsorted(s, edge, "right")]
                     if len(known):
-                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        often = known[at] == s
-                        first = s[~often][:p]
-                        if len(first) < p:
-                            late = np.flatnonzero(often)
-                            late = late[np.argsort(ranks[at[late]])][:p - len(first)]
-                            first = np.concatenate([first, s[late]])
-                            heavy.append(len(late))
-                        else:
-                            heavy.append(0)
+                        at = np.minimum(np.searchsorted(known, low), len(known) - 1)
+                        often = known[at] == low
+                        rare, late = low[~often], low[often][np.argsort(ranks[at[often]])]
                     else:
-                        first = s[:p]
-                        heavy.append(0)
+                        rare, late = low, low[:0]
+                    first = np.concatenate([rare, late, s[len(low):]])[:p]
+                    heavy.append(max(0, p - len(rare)))
                     classes.append(fingerprint(s))
                     groups.append(fingerprint(np.append(first, len(s))))
                     prefixes.append(first)
@@ -141,6 +154,7 @@ def sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
                     [*part.columns[:-1], pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), pa.array(groups, pa.binary()),
                      pa.array(prefixes, pa.list_(pa.int64())), pa.array(heavy, pa.int32())],
                     [*kept, "size", "class_id", "group_id", "prefix", "heavy"])
+        release()
 
     kept = [c for c in docs.columns if c != "text"]
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
@@ -176,12 +190,8 @@ def class_pairs(pairs: DataFrame, but: DataFrame | None = None) -> DataFrame:
     return materialise(pairs if but is None else pairs.join(but, ["a", "b"], "left_anti"), "pairs")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of distinct class pairs (a, b), a written table, those whose whole shingle sets reach the threshold.
-
-    The sets are made anew from the texts of the classes that occur, one document of each.
-    """
-    used = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
+def whole_sets(used: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(class_id, tokens) of the classes in ``used`` (class_id, distinct), made anew from one text of each."""
     wanted = classes.join(used, "class_id").select(F.col("doc_id").alias("wanted_id"), F.col("class_id").alias("wanted"))
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text", "wanted")
 
@@ -196,18 +206,100 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
                         ids.append(want.as_py())
                         sets.append(s)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["class_id", "tokens"])
+        release()
+
+    return materialise(texts.mapInArrow(run, "class_id binary, tokens array<bigint>"), "sets").dropDuplicates(["class_id"])
 
-    sets = materialise(texts.mapInArrow(run, "class_id binary, tokens array<bigint>"), "sets").dropDuplicates(["class_id"])
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of distinct class pairs (a, b), a written table, those whose whole sets reach the threshold."""
+    used = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
+    sets = whole_sets(used, docs, classes, words)
     side = lambda name: sets.select(F.col("class_id").alias(name), F.col("tokens").alias(f"tokens_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return both.where(100 * shared >= percent * (F.size("tokens_a") + F.size("tokens_b") - shared)).select("a", "b")
 
 
+def links_of_blocks(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each set of one block reaches the threshold with each set of the other."""
+    def columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (x, of_x), (y, of_y) = columns(left), columns(right)
+    common = np.intersect1d(x, y)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for i in range(0, len(common), 8192):
+        part = common[i:i + 8192]
+        dense = []
+        for tokens, owner, n in ((x, of_x, len(left)), (y, of_y, len(right))):
+            at = np.minimum(np.searchsorted(part, tokens), len(part) - 1)
+            hit = part[at] == tokens
+            table = np.zeros((n, len(part)), np.float32)
+            table[owner[hit], at[hit]] = 1
+            dense.append(table)
+        shared += dense[0] @ dense[1].T
+    sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
+    return 100 * shared.astype(np.int64) >= percent * (sizes - shared.astype(np.int64))
+
+
+def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components within families.
+
+    ``members``: class_id, family, size, home (component so far).  A family is cut by size into
+    bands, of which only neighbours can reach the threshold, and a band into blocks of about
+    BLOCK shingles.  Two blocks meet in one task unless all their members are in one component.
+    """
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)) if percent < 100 else F.col("size").cast("long")
+    members = members.withColumn("band", band)
+    cut = members.groupBy("family", "band").agg(F.ceil(F.sum("size") / BLOCK).alias("n"))
+    members = materialise(members.join(cut, ["family", "band"]).withColumn("salt", F.pmod(F.xxhash64("class_id"), "n")).drop("n", "size"), "members")
+    blocks = members.groupBy("family", "band", "salt").agg(F.min("home").alias("low"), F.max("home").alias("high"))
+    one = blocks.select("family", F.col("band").alias("band_a"), F.col("salt").alias("salt_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"),
+                        F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    meet = one.join(blocks, ["family", "band"]).where(
+        ((F.col("band") > F.col("band_a")) | (F.col("salt") >= F.col("salt_a"))) & (F.least("low", "low_a") != F.greatest("high", "high_a")))
+    meet = materialise(meet.select("family", "band_a", "salt_a", F.col("band").alias("band_b"), F.col("salt").alias("salt_b")), "meet")
+    key = ["family", "band_a", "salt_a", "band_b", "salt_b"]
+    first = members.withColumnsRenamed({"band": "band_a", "salt": "salt_a"}).join(meet, ["family", "band_a", "salt_a"]).withColumn("side", F.lit(0))
+    second = members.withColumnsRenamed({"band": "band_b", "salt": "salt_b"}).join(
+        meet.where("band_a <> band_b or salt_a <> salt_b"), ["family", "band_b", "salt_b"]).withColumn("side", F.lit(1))
+    rows = first.select(*key, "side", "class_id", "home").unionByName(second.select(*key, "side", "class_id", "home")).join(sets, "class_id")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["side", "class_id"])
+        left, right = part[part.side == 0], part[part.side == 1]
+        same = not len(right)
+        right = left if same else right
+        found = links_of_blocks(list(left.tokens), list(right.tokens), percent)
+        if same:
+            found = np.triu(found, 1)
+        names = pd.factorize(pd.concat([left.home, right.home]))[0]
+        root = list(range(names.max() + 1))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        out = []
+        of_left, of_right = names[:len(left)], names[len(left):]
+        found &= of_left[:, None] != of_right[None, :]
+        for i, j in zip(*np.nonzero(found)):
+            a, b = find(of_left[i]), find(of_right[j])
+            if a != b:
+                root[a] = b
+                out.append((left.class_id.iat[i], right.class_id.iat[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return rows.groupBy(*key).applyInPandas(run, "a binary, b binary")
+
+
 def joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The columns of ``docs`` (doc_id, text and others) besides text, n_shingles, component_id
     and root, a name of the component (null for documents without words)."""
-    seen = materialise(sketches(docs, words, percent, frequent_shingles(docs, words, percent)), "sketches")
+    known = shared_shingles(docs, words, percent)
+    seen = materialise(sketches(docs, words, percent, frequent_shingles(known)), "sketches")
     full = seen.where("size > 0")
     classes = materialise(full.groupBy("class_id", "group_id", "size", "heavy").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "classes")
     members = classes.groupBy("group_id").agg(F.min("class_id").alias("centre"), F.count("*").alias("members"))
@@ -215,8 +307,10 @@ def joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     groups = full.select("group_id", "size", "heavy", "prefix").dropDuplicates(["group_id"])
     postings = (groups.select("group_id", "size", "heavy", F.posexplode("prefix").alias("place", "token"), F.size("prefix").alias("length"))
                 .select("group_id", "size", "heavy", "token", (F.col("place") >= F.col("length") - F.col("heavy")).alias("late")))
-    common = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    postings = materialise(postings.join(common, "token"), "postings")
+    # Low hashes are counted, the few others in prefixes are not.
+    counted = F.col("token") <= int(low_edge(percent))
+    columns = ["group_id", "size", "heavy", "token", "late"]
+    postings = materialise(postings.where(counted).join(known.select("token"), "token").select(*columns).unionByName(postings.where(~counted).select(*columns)), "postings")
     light, late = postings.where("not late").drop("late"), postings.where("late").drop("late")
 
     # Light shingles: all pairs of groups, counted; the frequent ones of both prefixes may come on top.
@@ -239,24 +333,22 @@ def joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     met = class_pairs(first.unionByName(inner))
     links = materialise(verified(met, docs, classes, words, percent), "links")
 
-    # What could still link two components: the same group pairs, pairs over frequent shingles, members of one group.
+    # What could still link two components: members of the same group pairs, and families over late shingles.
     homes = materialise(classes.join(components(links), F.col("class_id") == F.col("node"), "left")
-                        .select("group_id", "class_id", F.coalesce("root", "class_id").alias("home")), "homes")
-    home = homes.groupBy("group_id").agg(F.min("home").alias("home"), F.max("home").alias("last")).select(
-        "group_id", "home", (F.col("home") != F.col("last")).alias("mixed"))
-    placed = late.join(home, "group_id")
-    main = placed.groupBy("token").agg(F.min("home").alias("main"), F.max("home").alias("last"), F.max("mixed").alias("any"))
-    placed = materialise(placed.join(main.where("main <> last or any").select("token", "main"), "token"), "placed")
-    rest = paired(placed.where("home <> main or mixed"), placed, percent).select(
-        "token", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.least("size_a", "size_b").alias("size_a"), F.greatest("size_a", "size_b").alias("size_b")).distinct()
-    rest = roomy(rest.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared")), percent).select("a", "b")
-    mixed = home.where("mixed").select(F.col("group_id").alias("a"), F.col("group_id").alias("b"))
+                        .select("group_id", "class_id", "size", F.coalesce("root", "class_id").alias("home")), "homes")
     side = lambda n: homes.select(F.col("group_id").alias(n), F.col("class_id").alias(f"class_{n}"), F.col("home").alias(f"home_{n}"))
-    left = near.unionByName(rest).unionByName(mixed)
-    left = left.join(side("a"), "a").join(side("b"), "b").where("home_a <> home_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    left = near.join(side("a"), "a").join(side("b"), "b").where("home_a <> home_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
     more = verified(class_pairs(left, met), docs, classes, words, percent)
 
+    least_late = late.groupBy("token").agg(F.min("group_id").alias("b"))
+    families = components(late.join(least_late, "token").select(F.col("group_id").alias("a"), "b")).select(F.col("node").alias("group_id"), F.col("root").alias("family"))
+    mixed = homes.groupBy("group_id").agg(F.min("home").alias("home"), F.max("home").alias("last")).where("home <> last").select("group_id")
+    family = (families.unionByName(mixed.join(families, "group_id", "left_anti").select("group_id", F.col("group_id").alias("family"))))
+    kin = homes.join(family, "group_id").select("class_id", "family", "size", "home")
+    apart = kin.groupBy("family").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high").select("family")
+    kin = materialise(kin.join(apart, "family"), "kin")
+    more = more.unionByName(compared(kin, whole_sets(kin.select("class_id"), docs, classes, words), percent))
+
     roots = components(links.unionByName(more))
     least = (classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", "doc_id", F.coalesce("root", "class_id").alias("root")))
     least = least.join(least.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("class_id", "root", "component_id")

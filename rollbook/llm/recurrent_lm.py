@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.base import id_crc, materialise
+from rollbook.llm.base import id_crc, materialise, release
 
 END = b""
 #: Words the network knows; words whose counts are broadcast (all others are joined); documents
@@ -331,6 +331,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 yield apart(rows, rare, times)
         if facts:
             yield scored()
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(
