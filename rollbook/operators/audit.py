@@ -94,7 +94,8 @@ def audit_all_values(s: School) -> DataFrame:
 
 def audit_closed_year(s: School) -> DataFrame:
     """Q4: what a closed year forbids — two enrollments of a student in one year (double
-    promotion), and attendance or admissions dated after a closed year's end."""
+    promotion), attendance or admissions dated after a closed year's end, and marks of a
+    closed year's enrollment in an exam of a later year."""
     closed = s.academic_years.where(F.col("is_closed").eqNullSafe(True)).select("academic_year_id", "end_date")
     dup = (audit_unique(s.student_enrollments, ["student_master_id", "academic_year_id"])
            .select(F.lit("duplicate_enrollment").alias("rule"), F.col("student_master_id").alias("key"),
@@ -108,7 +109,13 @@ def audit_closed_year(s: School) -> DataFrame:
                 .where(F.col("attendance_date") > F.col("end_date"))
                 .select(F.lit("attendance_after_close").alias("rule"), F.col("attendance_id").alias("key"),
                         "academic_year_id", F.col("attendance_date").alias("dated")))
-    return dup.unionByName(late_adm).unionByName(late_att)
+    # A mark of a closed year's enrollment must be of an exam of that year.
+    exams = s.exams.select("exam_id", F.col("academic_year_id").alias("exam_year"))
+    marks = (s.marks.select("mark_id", "enrollment_id", "exam_id").join(closed_enr, "enrollment_id").join(exams, "exam_id")
+             .where(F.col("exam_year") > F.col("academic_year_id"))
+             .select(F.lit("mark_after_close").alias("rule"), F.col("mark_id").alias("key"),
+                     "academic_year_id", F.lit(None).cast("date").alias("dated")))
+    return reduce(DataFrame.unionByName, [dup, late_adm, late_att, marks])
 
 
 def audit_enrollment_class_year(s: School) -> DataFrame:

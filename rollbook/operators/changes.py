@@ -430,5 +430,5 @@ def mark_attendance(s: School, batch: DataFrame, order_by: list[str] | None = No
     key = ["enrollment_id", "attendance_date"]
     b = batch.select(*key, "status", *[c for c in order_by if c not in (*key, "status")])
     accepted, rejected = append_rows(s, "attendance_students", b, order_by, check_current=False, enforce_closed=enforce_closed)
-    kept = s.attendance_students.join(accepted.select(*key), key, "left_anti")
+    kept = conform(s.attendance_students.join(accepted.select(*key), key, "left_anti"), "attendance_students")
     return kept.unionByName(accepted), rejected

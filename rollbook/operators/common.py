@@ -1,9 +1,10 @@
 """Building blocks shared by the reports.
 
-Fact tables (payments, marks, attendance, assignments) are always reduced
-to one row per join key *before* they are joined: the partial aggregate
-runs map-side, so even an enrollment holding a third of all payments is
-collapsed to one row per map task before the shuffle.
+Fact tables (payments, marks, attendance, assignments) are reduced to one row per
+join key before they are joined.  Reports of some enrollments (one year, one class,
+given keys) first keep only their facts with a semi-join: Spark turns the wanted ids
+into a runtime filter of the scan where that pays, and the aggregate and the joins
+behind it reuse the partitioning by enrollment.
 """
 
 from __future__ import annotations
@@ -14,21 +15,26 @@ from pyspark.sql import functions as F
 from rollbook.sources.store import School
 
 
-def paid_by_enrollment(s: School) -> DataFrame:
+def of_enrollments(facts: DataFrame, only: DataFrame | None) -> DataFrame:
+    """The facts of the enrollments in ``only`` (``None`` = all)."""
+    return facts if only is None else facts.join(only.select("enrollment_id"), "enrollment_id", "left_semi")
+
+
+def paid_by_enrollment(s: School, only: DataFrame | None = None) -> DataFrame:
     """enrollment_id, paid, n_payments — one row per enrollment with payments."""
-    return (s.fee_payments.groupBy("enrollment_id")
+    return (of_enrollments(s.fee_payments.select("enrollment_id", "amount_paid"), only).groupBy("enrollment_id")
             .agg(F.sum("amount_paid").alias("paid"), F.count(F.lit(1)).alias("n_payments")))
 
 
-def assignments_by_amount(s: School) -> DataFrame:
+def assignments_by_amount(s: School, only: DataFrame | None = None) -> DataFrame:
     """enrollment_id, total_amount, n_copies — equal assignments of one enrollment merged."""
-    return (s.student_fee_assignments.groupBy("enrollment_id", "total_amount")
-            .agg(F.count(F.lit(1)).alias("n_copies")))
+    return (of_enrollments(s.student_fee_assignments.select("enrollment_id", "total_amount"), only)
+            .groupBy("enrollment_id", "total_amount").agg(F.count(F.lit(1)).alias("n_copies")))
 
 
-def assignments_by_enrollment(s: School) -> DataFrame:
+def assignments_by_enrollment(s: School, only: DataFrame | None = None) -> DataFrame:
     """enrollment_id, fee, n_assign — all assignments of an enrollment summed."""
-    return (s.student_fee_assignments.groupBy("enrollment_id")
+    return (of_enrollments(s.student_fee_assignments.select("enrollment_id", "total_amount"), only).groupBy("enrollment_id")
             .agg(F.sum("total_amount").alias("fee"), F.count(F.lit(1)).alias("n_assign")))
 
 

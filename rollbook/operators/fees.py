@@ -22,6 +22,10 @@ from rollbook.plans.dims import in_active_year, restrict
 from rollbook.sources.store import School
 
 
+def wanted_ids(keys: DataFrame | None) -> DataFrame | None:
+    return None if keys is None else keys.select("enrollment_id").distinct()
+
+
 def _year_filter(df: DataFrame, year: int | None, col: str = "academic_year_id") -> DataFrame:
     return df if year is None else df.where(F.col(col) == F.lit(year))
 
@@ -33,9 +37,9 @@ def fee_status(s: School) -> DataFrame:
     per assignment copy of that amount, as in the reference's grouped join.
     """
     enr = in_active_year(s.student_enrollments, s.academic_years)
-    paid = paid_by_enrollment(s)
+    paid = paid_by_enrollment(s, enr)
     x = (enr.select("enrollment_id", "student_master_id", "roll_no", "class_id", "academic_year_id")
-         .join(assignments_by_amount(s), "enrollment_id", "left")
+         .join(assignments_by_amount(s, enr), "enrollment_id", "left")
          .join(paid, "enrollment_id", "left"))
     x = with_student(x, s, "reg_no", "fname", "lname", "mobile")
     x = x.join(classes_dim(s, "class_level", "division"), "class_id").join(years_dim(s, "year_name"),
@@ -49,10 +53,14 @@ def fee_status(s: School) -> DataFrame:
             .orderBy("class_level", "division", "roll_no", "enrollment_id"))
 
 
-def _assigned_vs_paid(s: School, enr: DataFrame) -> DataFrame:
-    """Per (enrollment, assigned amount) of ``enr``: total_amount, paid, pending (inner on assignments)."""
-    x = (enr.join(assignments_by_amount(s), "enrollment_id", "inner")
-         .join(paid_by_enrollment(s), "enrollment_id", "left"))
+def _assigned_vs_paid(s: School, enr: DataFrame, some: bool) -> DataFrame:
+    """Per (enrollment, assigned amount) of ``enr``: total_amount, paid, pending (inner on assignments).
+
+    ``some``: ``enr`` is a part of all enrollments, so facts are kept to it first.
+    """
+    only = enr if some else None
+    x = (enr.join(assignments_by_amount(s, only), "enrollment_id", "inner")
+         .join(paid_by_enrollment(s, only), "enrollment_id", "left"))
     paid = zero_if_null(F.col("paid") * F.col("n_copies"))
     return (x.withColumn("total_paid", paid)
             .withColumn("pending_amount", F.col("total_amount") - F.col("total_paid")))
@@ -62,7 +70,7 @@ def defaulters(s: School) -> DataFrame:
     """R2: active-year assignments with pending > 0, largest pending first."""
     enr = in_active_year(s.student_enrollments, s.academic_years).select(
         "enrollment_id", "student_master_id", "roll_no", "class_id")
-    x = _assigned_vs_paid(s, enr).where(F.col("pending_amount") > 0)
+    x = _assigned_vs_paid(s, enr, True).where(F.col("pending_amount") > 0)
     x = with_student(x, s, "reg_no", "fname", "lname", "mobile").join(
         classes_dim(s, "class_level", "division"), "class_id")
     return (x.select("enrollment_id", full_name("fname", "lname").alias("student_name"), "reg_no",
@@ -75,7 +83,7 @@ def defaulters_by_year(s: School, year: int | None = None) -> DataFrame:
     """As R2 for one year (or every year); NULL-propagating name; sorted by class."""
     enr = _year_filter(s.student_enrollments, year).select(
         "enrollment_id", "student_master_id", "class_id", "academic_year_id")
-    x = _assigned_vs_paid(s, enr).where(F.col("pending_amount") > 0)
+    x = _assigned_vs_paid(s, enr, year is not None).where(F.col("pending_amount") > 0)
     x = with_student(x, s, "reg_no", "fname", "lname").join(classes_dim(s, "class_level", "division"),
                                                              "class_id")
     return (x.select("academic_year_id", "enrollment_id", "reg_no",
@@ -91,7 +99,7 @@ def fee_class_report(s: School, class_id: int | None = None, year: int | None =
     if class_id is not None:
         enr = enr.where(F.col("class_id") == F.lit(class_id))
     enr = enr.select("enrollment_id", "student_master_id", "class_id", "academic_year_id")
-    x = with_student(_assigned_vs_paid(s, enr), s, "reg_no", "fname", "lname")
+    x = with_student(_assigned_vs_paid(s, enr, year is not None or class_id is not None), s, "reg_no", "fname", "lname")
     return (x.select("class_id", "academic_year_id", "enrollment_id", "reg_no",
                      full_name_strict("fname", "lname").alias("name"), "total_amount",
                      F.col("total_paid").alias("paid"), F.col("pending_amount").alias("pending"))
@@ -101,8 +109,8 @@ def fee_class_report(s: School, class_id: int | None = None, year: int | None =
 def class_wise_fees(s: School) -> DataFrame:
     """Per active-year class: students, fees, collected (once per assignment copy), pending."""
     enr = in_active_year(s.student_enrollments, s.academic_years).select("enrollment_id", "class_id")
-    per_enr = (enr.join(assignments_by_enrollment(s), "enrollment_id", "left")
-               .join(paid_by_enrollment(s), "enrollment_id", "left")
+    per_enr = (enr.join(assignments_by_enrollment(s, enr), "enrollment_id", "left")
+               .join(paid_by_enrollment(s, enr), "enrollment_id", "left")
                .select("class_id", "enrollment_id", "fee",
                        (zero_if_null("paid") * F.coalesce(F.col("n_assign"), F.lit(1))).alias("collected")))
     per_class = per_enr.groupBy("class_id").agg(
@@ -121,7 +129,7 @@ def fee_balance(s: School, keys: DataFrame | None = None, with_default: bool = F
     (``keys`` gives the wanted enrollments; by default every enrollment).
     """
     asg = restrict(s.student_fee_assignments, keys, "enrollment_id")
-    x = asg.join(paid_by_enrollment(s), "enrollment_id", "left")
+    x = asg.join(paid_by_enrollment(s, wanted_ids(keys)), "enrollment_id", "left")
     out = x.select("assignment_id", "enrollment_id", "total_amount",
                    zero_if_null("paid").alias("total_paid"),
                    (F.col("total_amount") - zero_if_null("paid")).alias("balance"), "assigned_date")
@@ -138,8 +146,8 @@ def fee_balance(s: School, keys: DataFrame | None = None, with_default: bool = F
 
 def fee_status_by_total(s: School, keys: DataFrame | None = None) -> DataFrame:
     """Per (enrollment, assigned amount): equal copies merged, payments counted per copy."""
-    asg = restrict(assignments_by_amount(s), keys, "enrollment_id")
-    x = asg.join(paid_by_enrollment(s), "enrollment_id", "left")
+    asg = assignments_by_amount(s, wanted_ids(keys))
+    x = asg.join(paid_by_enrollment(s, wanted_ids(keys)), "enrollment_id", "left")
     paid = zero_if_null(F.col("paid") * F.col("n_copies"))
     return x.select("enrollment_id", "total_amount", paid.alias("paid"),
                     (F.col("total_amount") - paid).alias("pending"))
@@ -148,8 +156,9 @@ def fee_status_by_total(s: School, keys: DataFrame | None = None) -> DataFrame:
 def fee_summary(s: School, year: int | None = None) -> DataFrame:
     """R8 (exact): per year, Σ assigned fees, Σ payments of enrollments with an assignment, pending."""
     enr = _year_filter(s.student_enrollments, year).select("enrollment_id", "academic_year_id")
-    per_enr = (enr.join(assignments_by_enrollment(s), "enrollment_id", "inner")
-               .join(paid_by_enrollment(s), "enrollment_id", "left"))
+    only = None if year is None else enr
+    per_enr = (enr.join(assignments_by_enrollment(s, only), "enrollment_id", "inner")
+               .join(paid_by_enrollment(s, only), "enrollment_id", "left"))
     agg = per_enr.groupBy("academic_year_id").agg(
         F.sum("fee").alias("total_fees"), zero_if_null(F.sum("paid")).alias("collected"))
     return agg.select("academic_year_id", "total_fees", "collected",
@@ -163,8 +172,9 @@ def fee_summary_as_written(s: School, year: int | None = None) -> DataFrame:
     assignment; collected is NULL when no enrollment has a payment.
     """
     enr = _year_filter(s.student_enrollments, year).select("enrollment_id", "academic_year_id")
-    per_enr = (enr.join(assignments_by_enrollment(s), "enrollment_id", "inner")
-               .join(paid_by_enrollment(s), "enrollment_id", "left"))
+    only = None if year is None else enr
+    per_enr = (enr.join(assignments_by_enrollment(s, only), "enrollment_id", "inner")
+               .join(paid_by_enrollment(s, only), "enrollment_id", "left"))
     fees = F.col("fee") * F.greatest(F.coalesce(F.col("n_payments"), F.lit(0)), F.lit(1))
     coll = F.col("paid") * F.col("n_assign")
     agg = per_enr.groupBy("academic_year_id").agg(F.sum(fees).alias("total_fees"),
@@ -251,8 +261,8 @@ def accountant_dashboard(s: School, as_of: dt.date) -> DataFrame:
     month_start = dt.date(as_of.year, as_of.month, 1)
     next_month = dt.date(as_of.year + (as_of.month == 12), as_of.month % 12 + 1, 1)
     in_month = (F.col("payment_date") >= F.lit(month_start)) & (F.col("payment_date") < F.lit(next_month))
-    per_enr = (enr.select("enrollment_id").join(assignments_by_enrollment(s), "enrollment_id", "inner")
-               .join(paid_by_enrollment(s), "enrollment_id", "left"))
+    per_enr = (enr.select("enrollment_id").join(assignments_by_enrollment(s, enr), "enrollment_id", "inner")
+               .join(paid_by_enrollment(s, enr), "enrollment_id", "left"))
     pending = F.col("fee") - F.col("n_assign") * zero_if_null("paid")
     students = enr.agg(F.count(F.lit(1))).scalar()
     total_pending = per_enr.agg(zero_if_null(F.sum(pending))).scalar()

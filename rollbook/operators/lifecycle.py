@@ -86,7 +86,7 @@ def add_marks(s: School, batch: DataFrame, order_by: list[str] | None = None,
     # Distinct triples with their parents: all are accepted.
     accepted, _proven = append_rows(s.replace(exams=exams), "marks", rows, key, skip=("subject_id", "exam_id", "enrollment_id"),
                                     check_current=False, check_batch=False)
-    kept = s.marks.join(accepted.select(*key), key, "left_anti")
+    kept = conform(s.marks.join(accepted.select(*key), key, "left_anti"), "marks")
     return s.replace(exams=exams, marks=kept.unionByName(accepted)), accepted, rejected
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.exprs import full_name, grade, percentage
 from rollbook.operators.common import (
+    of_enrollments,
     classes_dim, employees_dim, exams_dim, subjects_dim, with_student, years_dim)
 from rollbook.plans.dims import in_active_year, restrict
 from rollbook.sources.store import School
@@ -23,8 +24,8 @@ def _class_filter(df: DataFrame, class_id: int | None) -> DataFrame:
     return df if class_id is None else df.where(F.col("class_id") == F.lit(class_id))
 
 
-def _marks_per_enrollment(s: School) -> DataFrame:
-    return s.marks.groupBy("enrollment_id").agg(
+def _marks_per_enrollment(s: School, only: DataFrame) -> DataFrame:
+    return of_enrollments(s.marks, only).groupBy("enrollment_id").agg(
         F.countDistinct("subject_id").alias("total_subjects"),
         F.sum("marks_obtained").alias("total_marks_obtained"),
         F.sum("max_marks").alias("total_max_marks"))
@@ -34,7 +35,7 @@ def _scored(s: School, class_id: int | None) -> DataFrame:
     enr = _class_filter(in_active_year(s.student_enrollments, s.academic_years), class_id)
     # Inner join: an enrollment without marks rows has no distinct subject (HAVING count > 0).
     x = enr.select("enrollment_id", "student_master_id", "class_id", "roll_no").join(
-        _marks_per_enrollment(s), "enrollment_id", "inner")
+        _marks_per_enrollment(s, enr), "enrollment_id", "inner")
     x = with_student(x, s, "reg_no", "fname", "lname")
     return x.withColumn("percentage", percentage("total_marks_obtained", "total_max_marks"))
 
@@ -143,7 +144,7 @@ def student_dashboard(s: School, keys: DataFrame | None = None) -> DataFrame:
     """
     enr = in_active_year(s.student_enrollments, s.academic_years).where(F.col("user_id").isNotNull())
     enr = restrict(enr, keys, "user_id")
-    att = s.attendance_students.groupBy("enrollment_id").agg(
+    att = of_enrollments(s.attendance_students, enr).groupBy("enrollment_id").agg(
         F.count(F.lit(1)).alias("total_days"),
         F.sum((F.col("status") == "Present").cast("long")).alias("present_days"))
     teacher = employees_dim(s, "fname", "lname").withColumnRenamed("employee_id", "class_teacher_id")
@@ -213,10 +214,10 @@ def teacher_dashboard(s: School, keys: DataFrame | None = None) -> DataFrame:
                  .groupBy("teacher_id").agg(F.count(F.lit(1)).alias("total_classes")))
     n_subjects = (in_active_year(s.subjects, s.academic_years)
                   .groupBy("teacher_id").agg(F.count(F.lit(1)).alias("total_subjects")))
-    # Each active enrollment meets each distinct teacher of its class once: count per teacher.
-    enr = in_active_year(s.student_enrollments, s.academic_years).select("class_id")
-    n_students = (enr.join(pairs, "class_id")
-                  .groupBy("teacher_id").agg(F.count(F.lit(1)).alias("total_students")))
+    # Active enrollments are counted for each class, then summed over each teacher's classes.
+    heads = (in_active_year(s.student_enrollments, s.academic_years)
+             .groupBy("class_id").agg(F.count(F.lit(1)).alias("heads")))
+    n_students = heads.join(pairs, "class_id").groupBy("teacher_id").agg(F.sum("heads").alias("total_students"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return (emp.withColumnRenamed("employee_id", "teacher_id")
             .join(n_classes, "teacher_id", "left").join(n_subjects, "teacher_id", "left")

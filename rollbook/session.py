@@ -9,13 +9,17 @@ from pyspark.sql import SparkSession
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "rollbook") -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or int(os.environ.get("ROLLBOOK_SHUFFLE_PARTITIONS", "8"))
-    b = (SparkSession.builder.master(master).appName(app)
+    """A session for tests, bench and tools; master and partitions stay as configured unless given
+    (``BENCH_CPUS`` means local threads, and as many partitions)."""
+    cpus = os.environ.get("BENCH_CPUS")
+    b = SparkSession.builder.appName(app)
+    if master or cpus:
+        b = b.master(master or f"local[{cpus}]")
+    if shuffle_partitions or cpus:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+    b = (b
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.sql.adaptive.enabled", os.environ.get("ROLLBOOK_AQE", "true"))
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -59,7 +59,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 LAYOUT: dict[str, tuple[list[str], list[str]]] = {
     "student_enrollments": (["academic_year_id"], ["class_id", "enrollment_id"]),
     "marks": ([], ["enrollment_id"]),
-    "attendance_students": ([], ["enrollment_id", "attendance_date"]),
+    "attendance_students": ([], ["attendance_date", "enrollment_id"]),
     "student_fee_assignments": ([], ["enrollment_id"]),
     "fee_payments": ([], ["payment_date", "enrollment_id"]),
     "student_master": ([], ["student_master_id"]),
@@ -73,15 +73,20 @@ def write_school(school: School, path: str, mode: str = "overwrite", files_per_t
     columns) before the write: tasks get balanced, contiguous key ranges (a large
     year is split over many tasks, never one), each file covers a narrow key range
     so row-group min/max statistics prune, and each task writes into one or two
-    partition directories instead of all of them.
+    partition directories instead of all of them.  Without ``files_per_table`` Spark
+    merges ranges to its advisory partition size, so the number of files follows the data.
+    A folder that the school itself is read from is refused: writing would destroy it.
     """
-    spark = school.spark
-    n = files_per_table or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    target = path.rstrip("/").removeprefix("file:").replace("//", "/")
+    for name in SCHEMAS:
+        if any(f"{target}/" in f.removeprefix("file:").replace("//", "/") for f in school.table(name).inputFiles()):
+            raise ValueError(f"{path} holds the files that table {name} is read from")
     for name in SCHEMAS:
         df = school.table(name)
         parts, sort_cols = LAYOUT.get(name, ([], []))
         if parts or sort_cols:
-            df = df.repartitionByRange(n, *parts, *sort_cols).sortWithinPartitions(*parts, *sort_cols)
+            by = [*parts, *sort_cols]
+            df = df.repartitionByRange(*([files_per_table] if files_per_table else []), *by).sortWithinPartitions(*by)
         writer = df.write.mode(mode)
         if parts:
             writer = writer.partitionBy(*parts)

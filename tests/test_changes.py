@@ -66,10 +66,10 @@ def test_toggle_status(school, spark):
 def test_assign_fees_upsert_idempotent_and_dedupe(school, spark):
     batch = spark.createDataFrame([(501, D(900), dt.date(2024, 2, 1)), (503, D(700), dt.date(2024, 2, 1))],
                                   "enrollment_id long, total_amount decimal(10,2), assigned_date date")
-    once = changes.assign_fees(school, batch, "upsert")
-    twice = changes.assign_fees(school.replace(student_fee_assignments=once), batch, "upsert")
+    once, _ = changes.assign_fees(school, batch, "upsert")
+    twice, _ = changes.assign_fees(school.replace(student_fee_assignments=once), batch, "upsert")
     assert _content(once, []) == _content(twice, [])
-    appended = changes.assign_fees(school.replace(student_fee_assignments=once), batch, "append")
+    appended, _ = changes.assign_fees(school.replace(student_fee_assignments=once), batch, "append")
     assert appended.count() == 4
     assert changes.dedupe_assignments(appended).count() == 2
 
@@ -78,7 +78,7 @@ def test_upsert_fee_structure(school, spark):
     batch = spark.createDataFrame([(9, 7002, D(1200)), (10, 7002, D(1500))],
                                   "class_level int, academic_year_id long, total_amount decimal(10,2)")
     out = {(r.class_level, r.academic_year_id): (r.structure_id, r.total_amount)
-           for r in changes.upsert_fee_structure(school, batch).collect()}
+           for r in changes.upsert_fee_structure(school, batch)[0].collect()}
     assert out == {(9, 7002): (1501, D(1200)), (10, 7002): (1502, D(1500))}
 
 
@@ -184,7 +184,7 @@ def test_conflicting_changes_resolve_deterministically(school, spark):
     batch = spark.createDataFrame([(501, D(900), dt.date(2024, 2, 1)), (501, D(800), dt.date(2024, 3, 1)),
                                    (501, D(950), dt.date(2024, 3, 1))],
                                   "enrollment_id long, total_amount decimal(10,2), assigned_date date")
-    out = changes.assign_fees(school, batch, "upsert").collect()
+    out = changes.assign_fees(school, batch, "upsert")[0].collect()
     assert [(r.enrollment_id, r.total_amount, r.assigned_date) for r in out] == [
         (501, D(950), dt.date(2024, 3, 1))]                   # latest date, then larger amount
 
@@ -204,3 +204,97 @@ def test_clash_only_check_without_batch_check(school, spark):
                                 ["reg_no"], check_batch=False)
     reasons = sorted((r.reg_no, r.reason) for r in ok.collect())
     assert reasons == [("N5", None), ("N5", None), ("S1", "duplicate_key:reg_no")]
+
+
+def test_attendance_refused_row_keeps_what_is_stored(school, spark):
+    s = school.replace(attendance_students=spark.createDataFrame(
+        [(6001, 501, dt.date(2024, 2, 1), "Present")], school.attendance_students.schema))
+    batch = spark.createDataFrame([(501, dt.date(2024, 2, 1), "Late")], "enrollment_id long, attendance_date date, status string")
+    table, rej = changes.mark_attendance(s, batch)
+    assert [tuple(r) for r in table.collect()] == [(6001, 501, dt.date(2024, 2, 1), "Present")]
+    assert [r.reason for r in rej.collect()] == ["bad_value:status"]
+
+
+def test_marks_rows_in_are_rows_out(school, spark):
+    batch = spark.createDataFrame(
+        [(5001, "x" * 60, "50", 501, "45"), (5001, "Final", "100", 501, "1000"), (5001, "Final", "100", 999, "5"),
+         (5001, "Final", "100", 502, "50"), (5001, "Final", "100", 502, "60"), (None, "Final", "100", 502, "60"), (5001, "Final", "1e9", 502, "1")],
+        "subject_id long, exam_name string, max_marks string, enrollment_id long, marks_obtained string")
+    s2, acc, rej = lifecycle.add_marks(school, batch)
+    assert [(r.enrollment_id, r.marks_obtained) for r in acc.collect()] == [(502, D(50))]
+    assert sorted((r.reason, r.exam_name[:5], r.marks_obtained) for r in rej.collect()) == [
+        ("bad_value:marks_obtained", "Final", "1000"), ("bad_value:max_marks", "Final", "1"),
+        ("duplicate_in_batch:enrollment_id,subject_id,exam_id", "Final", "60"), ("invalid_data", "Final", "60"),
+        ("missing_parent:enrollment_id", "Final", "5"), ("too_long:exam_name", "xxxxx", "45")]
+    assert acc.count() + rej.count() == batch.count() and s2.exams.count() == school.exams.count()
+    last = lifecycle.add_marks(school, batch.withColumn("nth", -F.col("marks_obtained").try_cast("int")), ["nth"])[1]
+    assert [r.marks_obtained for r in last.collect()] == [D(60)]
+
+
+def test_fees_are_checked_before_anything_changes(school, spark):
+    first = spark.createDataFrame([(501, D(100), dt.date(2024, 1, 1))], "enrollment_id long, total_amount decimal(10,2), assigned_date date")
+    s = school.replace(student_fee_assignments=changes.assign_fees(school, first, "upsert")[0])
+    bad = spark.createDataFrame([(501, None, dt.date(2024, 2, 1)), (999, D(5), dt.date(2024, 2, 1))], first.schema)
+    for mode in ("upsert", "append"):
+        table, rej = changes.assign_fees(s, bad, mode)
+        assert [(r.enrollment_id, r.total_amount) for r in table.collect()] == [(501, D(100))]
+        assert sorted((r.enrollment_id, r.reason) for r in rej.collect()) == [(501, "missing:total_amount"), (999, "missing_parent:enrollment_id")]
+
+
+def test_promote_repeated_sources_and_students(spark, base_rows):
+    rows = dict(base_rows)
+    rows["academic_years"] = base_rows["academic_years"] + [
+        {"academic_year_id": 7003, "year_name": "2025-26", "start_date": "2025-01-01", "end_date": "2025-12-31", "is_active": False, "is_closed": False}]
+    rows["classes"] = base_rows["classes"] + [{"class_id": c, "class_level": 10, "division": d, "academic_year_id": 7003} for c, d in ((3010, "A"), (3011, "B"))]
+    s = make_school(spark, **rows)
+    cols = "from_year long, from_class long, to_year long, to_class long"
+    for extra in ((7002, 3001, 7003, 3011), (7002, 3001, 7003, 3010)):
+        enr, refused = lifecycle.promote(s, spark.createDataFrame([(7002, 3001, 7003, 3010), extra, (7002, 3002, None, None)], cols))
+        assert sorted((r.from_class, r.reason) for r in refused.collect()) == [(3001, "duplicate_source"), (3002, "missing_parameters")]
+        ids = [r.enrollment_id for r in enr.collect()]
+        assert len(ids) == len(set(ids)) == 6
+        assert audit.audit_unique(enr, ["student_master_id", "academic_year_id"]).count() == 0
+
+
+def test_checked_updates(school, spark):
+    ch = spark.createDataFrame(
+        [(501, 2, "active"), (502, 9, "active"), (502, 8, "left"), (503, 1, "gone"), (999, 5, "active"), (None, 1, "active")],
+        "enrollment_id long, roll_no int, status string")
+    table, rej = changes.update_table(school, "student_enrollments", ch)
+    assert sorted((r.enrollment_id or 0, r.roll_no, r.reason) for r in rej.collect()) == [
+        (0, 1, "no_row"), (501, 2, "duplicate_key:class_id,roll_no"), (502, 9, "duplicate_in_batch:enrollment_id"),
+        (503, 1, "bad_value:status"), (999, 5, "no_row")]
+    got = {r.enrollment_id: (r.roll_no, r.status) for r in table.collect()}
+    assert got[502] == (8, "left") and got[501][0] == 1 and table.count() == school.student_enrollments.count()
+    roles = spark.createDataFrame([(10, "wizard"), (11, "teacher"), (11, "admin")], "user_id long, role string")
+    users, rej = changes.update_table(school, "users", roles)
+    assert users.count() == school.users.count() and sorted(r.reason for r in rej.collect()) == ["bad_value:role", "duplicate_in_batch:user_id"]
+    teacher = spark.createDataFrame([(5001, 987654)], "subject_id long, teacher_id long")
+    assert [r.reason for r in changes.update_table(school, "subjects", teacher)[1].collect()] == ["missing_parent:teacher_id"]
+
+
+def test_closed_years_are_enforced_on_demand(spark, base_rows):
+    rows = dict(base_rows)
+    rows["academic_years"] = [dict(r, is_closed=True) for r in base_rows["academic_years"]]
+    s = make_school(spark, **rows)
+    day = spark.createDataFrame([(501, dt.date(2024, 2, 1), "Present")], "enrollment_id long, attendance_date date, status string")
+    assert changes.mark_attendance(s, day)[1].count() == 0
+    assert [r.reason for r in changes.mark_attendance(s, day, enforce_closed=True)[1].collect()] == ["closed_year"]
+    batch = spark.createDataFrame([(5001, "Final", 100, 501, 45)], "subject_id long, exam_name string, max_marks int, enrollment_id long, marks_obtained int")
+    assert [r.reason for r in lifecycle.add_marks(s, batch, enforce_closed=True)[2].collect()] == ["closed_year"]
+    assert lifecycle.add_marks(s, batch)[2].count() == 0
+
+
+def test_admission_refuses_empty_values(school, spark):
+    batch = spark.createDataFrame([("", "A", "Male", 5, 3001, 7002, dt.date(2024, 6, 1)), ("N1", "", "Male", 5, 3001, 7002, dt.date(2024, 6, 1)),
+                                   ("N2", "B", "Male", 0, 3001, 7002, dt.date(2024, 6, 1))],
+                                  "reg_no string, fname string, gender string, roll_no int, class_id long, academic_year_id long, admission_date date")
+    _, acc, rej = lifecycle.admit_students(school, batch, ["reg_no"])
+    assert acc.count() == 0 and sorted(r.reason for r in rej.collect()) == ["missing:fname", "missing:reg_no", "missing:roll_no"]
+
+
+def test_recent_transactions_skip_orphans(school, spark):
+    from rollbook.operators import fees
+    s = school.replace(fee_payments=spark.createDataFrame(
+        [(1, 501, D(5), dt.date(2024, 1, 1), "Cash", "R1"), (2, 99999, D(5), dt.date(2024, 2, 1), "Cash", "R2")], school.fee_payments.schema))
+    assert [r.payment_id for r in fees.recent_transactions(s, 1).collect()] == [1]

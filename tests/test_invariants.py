@@ -31,7 +31,7 @@ def test_changes_keep_declared_rules(school):
     acc, _ = changes.append_rows(school, "fee_payments", _payment_batch(school), ["enrollment_id"],
                                  fill={"receipt_no": changes.payment_receipt()})
     s = changes.append(school, "fee_payments", acc)
-    s = s.replace(student_fee_assignments=changes.assign_fees(s, _fee_batch(s), "upsert"))
+    s = s.replace(student_fee_assignments=changes.assign_fees(s, _fee_batch(s), "upsert")[0])
     s = s.replace(attendance_students=changes.mark_attendance(s, _attendance_batch(s))[0])
     s, _, _ = lifecycle.add_marks(s, marks_batch(s))
     s, _, _ = lifecycle.admit_students(s, admission_batch(s), ["reg_no"])
@@ -51,8 +51,8 @@ def test_rollover_keeps_declared_rules(school, spark):
 
 def test_upsert_fee_structure_is_idempotent(school, spark):
     from rollbook.plans.registry_changes import _structure_batch
-    once = changes.upsert_fee_structure(school, _structure_batch(school))
-    twice = changes.upsert_fee_structure(school.replace(fee_structures=once), _structure_batch(school))
+    once, _ = changes.upsert_fee_structure(school, _structure_batch(school))
+    twice, _ = changes.upsert_fee_structure(school.replace(fee_structures=once), _structure_batch(school))
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
 
 

@@ -21,3 +21,11 @@ def test_round_trip_keeps_rows_types_and_results(spark):
         assert types(back.table(name).schema) == types(s.table(name).schema) == types(schema), name
         assert back.table(name).count() == s.table(name).count(), name
     assert sorted(map(tuple, fees.defaulters(back).collect())) == sorted(map(tuple, fees.defaulters(s).collect()))
+
+
+def test_writing_over_the_source_is_refused(spark):
+    import pytest
+    path = tempfile.mkdtemp(prefix="run-store-", dir="/tmp") + "/school"
+    write_school(derive_school(spark, SF_SMALL), path)
+    with pytest.raises(ValueError, match="read from"):
+        write_school(read_school(spark, path), path)
