@@ -62,3 +62,8 @@ def test_fee_summary_matches_fixture_totals(spark):
     written = fees.fee_summary_as_written(s, 7006).first()
     assert float(exact.total_fees) == 18_090_000 and float(written.total_fees) == 29_780_000
     assert fees.defaulters(s).count() == 30
+
+
+def test_entry_works_without_the_training_data_operators(monkeypatch):
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(entry_mod.queries()) == set(REGISTRY) == set(entry_mod.oracle_sql())
