@@ -622,3 +622,42 @@ SELECT se.enrollment_id, se.student_master_id, se.academic_year_id, se.class_id,
        se.admission_date, se.user_id, coalesce(j.status, se.status) AS status
   FROM student_enrollments se LEFT JOIN (SELECT * FROM judged WHERE reason IS NULL) j USING (enrollment_id)
 """)(lambda s: changes.update_table(s, "student_enrollments", _enrollment_changes(s))[0])
+
+
+# W1 for years and classes, with rows that must be refused.
+def _bad_years(s):
+    y = s.academic_years
+    fresh = y.agg(F.max("start_date").alias("start_date"), F.max("end_date").alias("end_date")).select(
+        F.lit("2099-00").alias("year_name"), F.add_months("start_date", 12).alias("start_date"), F.add_months("end_date", 12).alias("end_date"))
+    long = y.select(F.concat("year_name", F.lit("-long")).alias("year_name"), "start_date", "end_date")
+    return y.select("year_name", "start_date", "end_date").unionByName(long).unionByName(fresh)
+
+
+register("append_years_rejected", """
+SELECT year_name, 'duplicate_key:year_name' AS reason FROM academic_years
+UNION ALL SELECT year_name || '-long', 'too_long:year_name' FROM academic_years
+""")(lambda s: changes.append_rows(s, "academic_years", _bad_years(s), ["start_date"])[1].select("year_name", "reason"))
+
+register("append_years", """
+SELECT max(academic_year_id) + 1 AS academic_year_id, '2099-00' AS year_name, CAST(max(start_date) + INTERVAL 12 MONTH AS DATE) AS start_date,
+       CAST(max(end_date) + INTERVAL 12 MONTH AS DATE) AS end_date, false AS is_active, false AS is_closed
+  FROM academic_years
+""")(lambda s: changes.append_rows(s, "academic_years", _bad_years(s), ["start_date"])[0].drop("created_at"))
+
+
+def _bad_classes(s):
+    kind = F.col("class_id") % 4
+    return s.classes.select(
+        F.when(kind == 3, 12).otherwise(F.col("class_level")).alias("class_level"),
+        F.when(kind == 1, "Z").otherwise(F.col("division")).alias("division"),
+        F.when(kind == 2, F.col("academic_year_id") + 10**6).otherwise(F.col("academic_year_id")).alias("academic_year_id"), "class_teacher_id")
+
+
+register("append_classes_rejected", """
+SELECT CAST(CASE WHEN class_id % 4 = 3 THEN 12 ELSE class_level END AS INTEGER) AS class_level, CASE WHEN class_id % 4 = 1 THEN 'Z' ELSE division END AS division,
+       academic_year_id + CASE WHEN class_id % 4 = 2 THEN 1000000 ELSE 0 END AS academic_year_id,
+       CASE class_id % 4 WHEN 0 THEN 'duplicate_key:class_level,division,academic_year_id' WHEN 1 THEN 'bad_value:division'
+            WHEN 2 THEN 'missing_parent:academic_year_id' ELSE 'bad_value:class_level' END AS reason
+  FROM classes
+""")(lambda s: changes.append_rows(s, "classes", _bad_classes(s), ["class_level", "division"])[1].select(
+    "class_level", "division", "academic_year_id", "reason"))

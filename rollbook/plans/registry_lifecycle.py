@@ -315,3 +315,29 @@ register("delete_cascade", """
 , del_emp AS (SELECT employee_id FROM employees WHERE user_id IN (SELECT user_id FROM del_users))
 , del_sub AS (SELECT subject_id FROM subjects WHERE teacher_id IN (SELECT employee_id FROM del_emp))
 """ + _sizes_sql())(_delete_inactive)
+
+
+# What is left, row by row, after deleting classes, a year, students and employees.
+def _deleted(s, table: str, keys):
+    return lifecycle.delete_cascade(s, table, keys)
+
+
+register("delete_classes_marks", """
+, gone AS (SELECT class_id FROM classes WHERE class_id % 5 = 0)
+SELECT mark_id, enrollment_id, subject_id, exam_id, CAST(marks_obtained AS DOUBLE) AS marks_obtained, CAST(max_marks AS DOUBLE) AS max_marks, grade FROM marks
+ WHERE enrollment_id NOT IN (SELECT enrollment_id FROM student_enrollments SEMI JOIN gone USING (class_id))
+   AND subject_id NOT IN (SELECT subject_id FROM subjects SEMI JOIN gone USING (class_id))
+""")(lambda s: _deleted(s, "classes", s.classes.where("class_id % 5 = 0")).marks)
+
+register("delete_year_payments", """
+SELECT payment_id, enrollment_id, CAST(amount_paid AS DOUBLE) AS amount_paid, payment_date, payment_mode, receipt_no FROM fee_payments
+ WHERE enrollment_id IN (SELECT enrollment_id FROM student_enrollments WHERE academic_year_id > (SELECT min(academic_year_id) FROM academic_years))
+""")(lambda s: _deleted(s, "academic_years", s.academic_years.orderBy("academic_year_id").limit(1)).fee_payments)
+
+register("delete_students_attendance", """
+SELECT a.* FROM attendance_students a JOIN student_enrollments se USING (enrollment_id) WHERE se.student_master_id % 3 <> 0
+""")(lambda s: _deleted(s, "student_master", s.student_master.where("student_master_id % 3 = 0")).attendance_students)
+
+register("delete_employees_classes", """
+SELECT class_id, class_level, division, academic_year_id, CASE WHEN class_teacher_id % 2 = 0 THEN class_teacher_id END AS class_teacher_id FROM classes
+""")(lambda s: _deleted(s, "employees", s.employees.where("employee_id % 2 = 1")).classes)
