@@ -3,32 +3,38 @@
 Tokens are words and one end for each text.  The network predicts the most frequent
 words (the head) and one symbol for all others; a word outside the head then has its
 share of their training counts.  The output softmax is factored into classes of words
-of like frequency.  Training is truncated backpropagation in numpy on a bounded
-sample, shared out over tasks whose parameters are averaged; the counts cover the
-whole training part.  Scoring runs many texts in step, and each keeps its state from
+of like frequency.  The head grows with the corpus.  Training is truncated
+backpropagation in numpy: every round learns from every training text, shared out over
+tasks whose parameters Spark averages.  Scoring runs many texts in step, and each keeps its state from
 window to window, so that a text of any length is scored whole.
 """
 
 from __future__ import annotations
 
-import pickle
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.base import id_crc, materialise, release
 
 END = b""
-#: Words the network knows; words whose counts are broadcast (all others are joined); documents
-#: the network is trained on, by a hash of the id.
-HEAD, FREQUENT, TRAIN_DOCS = 1000, 200_000, 3000
+#: Words the network knows at least, and words whose counts are broadcast at least (all others
+#: are joined).  The network knows every word that is seen sqrt(tokens) / RARITY times.
+HEAD, FREQUENT, RARITY = 1000, 200_000, 16
+#: The least size of a class; classes are as large as they are many in a larger head.
 STATE, EMBED, CLASS_SIZE = 16, 16, 32
-ROUNDS, SHARDS, LANES, WINDOW, RATE = 3, 8, 32, 32, 0.01
+ROUNDS, LANES, WINDOW, RATE = 3, 32, 32, 0.01
+#: Long streams are trained in more lanes, such that they still make LONG windows; tokens held
+#: at once by a training task; parameters in a row of the average.
+MOST_LANES, LONG, HELD_TOKENS, PART = 256, 100, 2_000_000, 16_384
 #: Tokens scored together in one task, and hidden states per block of the output layer.
 BLOCK_TOKENS, BLOCK_STATES = 4_000_000, 200_000
 
@@ -57,12 +63,16 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 # -- the network ---------------------------------------------------------------------------
 
+def class_size(head: int) -> int:
+    return max(CLASS_SIZE, math.isqrt(head))
+
+
 def layout(head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of each symbol, its place there, and the size of each class.  Symbol 0 is all
     words outside the head, a class of its own; the head follows by falling frequency."""
-    symbols = np.arange(head + 1)
-    of = np.where(symbols == 0, 0, 1 + (symbols - 1) // CLASS_SIZE)
-    place = np.where(symbols == 0, 0, (symbols - 1) % CLASS_SIZE)
+    symbols, most = np.arange(head + 1), class_size(head)
+    of = np.where(symbols == 0, 0, 1 + (symbols - 1) // most)
+    place = np.where(symbols == 0, 0, (symbols - 1) % most)
     return of, place, np.bincount(of)
 
 
@@ -72,7 +82,7 @@ def start_parameters(head: int, seed: int = 7) -> dict[str, np.ndarray]:
     draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
     return {"embed": draw(head + 2, EMBED), "wx": draw(EMBED, 3 * STATE), "wh": draw(STATE, 3 * STATE), "b": np.zeros(3 * STATE, np.float32),
             "wc": draw(STATE, len(classes)), "bc": np.zeros(len(classes), np.float32),
-            "ww": draw(len(classes), STATE, CLASS_SIZE), "bw": np.zeros((len(classes), CLASS_SIZE), np.float32)}
+            "ww": draw(len(classes), STATE, class_size(head)), "bw": np.zeros((len(classes), class_size(head)), np.float32)}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -136,10 +146,12 @@ def gradients(p: dict, symbols: np.ndarray, before: np.ndarray, fresh: np.ndarra
     d *= scale
     g["wc"], g["bc"] = flat.T @ d, d.sum(0)
     down = d @ p["wc"].T
-    for k in np.unique(classes):
-        if k == 0 or sizes[k] < 2:
+    order = np.argsort(classes, kind="stable")
+    cuts = np.searchsorted(classes[order], np.arange(len(sizes) + 1))
+    for k in range(1, len(sizes)):
+        rows = order[cuts[k]:cuts[k + 1]]
+        if not len(rows) or sizes[k] < 2:
             continue
-        rows = np.flatnonzero(classes == k)
         w, b = _members(p, sizes, k)
         d = np.exp(_log_softmax(flat[rows] @ w + b))
         d[np.arange(len(rows)), place[goal[rows]]] -= 1
@@ -161,12 +173,16 @@ def gradients(p: dict, symbols: np.ndarray, before: np.ndarray, fresh: np.ndarra
     flat_gates, source = gates.reshape(-1, 3 * STATE), before.reshape(-1)
     g["b"] = flat_gates.sum(0)
     g["wx"] = p["embed"][source].T @ flat_gates
-    np.add.at(g["embed"], source, flat_gates @ p["wx"].T)
+    back = flat_gates @ p["wx"].T
+    g["embed"] = np.stack([np.bincount(source, back[:, i], len(p["embed"])) for i in range(EMBED)], 1).astype(np.float32)
     return g, state
 
 
 def train(p: dict, texts: list[np.ndarray], rate: float) -> dict:
-    """One pass of truncated backpropagation (Adam) over texts laid end to end in lanes."""
+    """One pass of truncated backpropagation (Adam) over texts laid end to end in lanes.
+
+    Every token is learnt from; the first few come again where the lanes need filling.
+    """
     head = len(p["embed"]) - 2
     shape = layout(head)
     if not texts:
@@ -175,9 +191,9 @@ def train(p: dict, texts: list[np.ndarray], rate: float) -> dict:
     first = np.zeros(len(stream), bool)
     first[np.cumsum([0, *map(len, texts[:-1])])] = True
     source = np.where(first, head + 1, np.roll(stream, 1))
-    lanes = max(1, min(LANES, len(stream) // WINDOW))
-    length = len(stream) // lanes
-    cut = lambda x: x[:lanes * length].reshape(lanes, length).T
+    lanes = max(1, min(LANES, len(stream) // WINDOW), min(MOST_LANES, len(stream) // (WINDOW * LONG)))
+    length = -(-len(stream) // lanes)
+    cut = lambda x: np.resize(x, (lanes, length)).T
     symbols, before, fresh = cut(stream), cut(source), cut(first)
     p = {k: v.copy() for k, v in p.items()}
     mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
@@ -185,7 +201,7 @@ def train(p: dict, texts: list[np.ndarray], rate: float) -> dict:
     for t in range(0, length, WINDOW):
         g, state = gradients(p, symbols[t:t + WINDOW], before[t:t + WINDOW], fresh[t:t + WINDOW], state, shape)
         n += 1
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        norm = math.sqrt(sum(float((v * v).sum()) for v in g.values()))
         for k, v in g.items():
             v = v / max(1.0, norm)
             mean[k] = 0.9 * mean[k] + 0.1 * v
@@ -194,6 +210,16 @@ def train(p: dict, texts: list[np.ndarray], rate: float) -> dict:
     return p
 
 
+def _flat(p: dict) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in sorted(p)])
+
+
+def _shaped(flat: np.ndarray, like: dict) -> dict:
+    names = sorted(like)
+    cuts = np.cumsum([like[k].size for k in names])[:-1]
+    return {k: v.reshape(like[k].shape) for k, v in zip(names, np.split(flat, cuts))}
+
+
 def text_scores(p: dict, texts: list[np.ndarray]) -> np.ndarray:
     """The log10 probability of each text's symbols.  All texts advance in step, longest first."""
     head = len(p["embed"]) - 2
@@ -233,40 +259,73 @@ def text_scores(p: dict, texts: list[np.ndarray]) -> np.ndarray:
 
 # -- on tables -----------------------------------------------------------------------------
 
-def fit(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> dict:
-    """Counts of all training texts, and the network trained on ``train_docs`` of them."""
+def trained(symbols: DataFrame, p: dict, rate: float) -> tuple[dict, int]:
+    """The parameters after a round over all ``symbols`` (one array for each text), and its tokens.
+
+    Each task passes over all its texts; the average of the tasks' parameters, weighted by
+    tokens, is taken in Spark, so that the driver gets one set whatever the number of tasks.
+    """
+    shipped = symbols.sparkSession.sparkContext.broadcast(p)
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, held, size, n = shipped.value, [], 0, 0
+        for batch in batches:
+            column = batch.column(0)
+            values, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
+            ends = ends - ends[0]
+            for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                held.append(values[begin:end])
+                size += end - begin
+                if size >= HELD_TOKENS:
+                    q, held, size, n = train(q, held, rate), [], 0, n + size
+        if held:
+            q, n = train(q, held, rate), n + size
+        if n:
+            flat = _flat(q)
+            parts = [flat[i:i + PART].tobytes() for i in range(0, len(flat), PART)]
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([task] * len(parts), pa.int32()),
+                                              pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["part", "task", "n", "p"])
+        release()
+
+    def average(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, total = rows.sort_values("task"), int(rows.n.sum())
+        out = sum(n / total * np.frombuffer(x, np.float32).astype(np.float64) for n, x in zip(rows.n, rows.p))
+        return pd.DataFrame({"part": [rows.part.iat[0]], "n": [total], "p": [out.astype(np.float32).tobytes()]})
+
+    # One set of parameters, in parts.
+    parts = sorted(symbols.mapInArrow(shard, "part int, task int, n long, p binary").groupBy("part").applyInPandas(average, "part int, n long, p binary").collect())
+    if not parts:
+        return p, 0
+    return _shaped(np.frombuffer(b"".join(bytes(r["p"]) for r in parts), np.float32), p), parts[0]["n"]
+
+
+def fit(docs: DataFrame, train_rows: Column, text_col: str = "text") -> dict:
+    """Counts of all training texts, and the network trained on all of them in every round."""
     rows = docs.where(train_rows)
     vocabulary = materialise(word_counts(rows.select(text_col)), "words")
     n, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = vocabulary.orderBy(F.col("c").desc(), "word").limit(FREQUENT).toArrow()
+    head = min(kinds, max(HEAD, vocabulary.where(F.col("c") >= math.sqrt(n) / RARITY).count()))
+    top = vocabulary.orderBy(F.col("c").desc(), "word").limit(max(FREQUENT, head)).toArrow()
     words, counts = top.column("word").to_pylist(), top.column("c").to_numpy()
-    head = min(HEAD, len(words))
-    known = {w: i for i, w in enumerate(words)}
     model = {"N": n, "V": kinds, "vocabulary": vocabulary, "words": words, "counts": counts, "head": head}
-    chosen = (rows.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(9)).alias("h")).where("id is not null")
-              .orderBy("h", "id").limit(train_docs).select("id", "h").distinct())
-    # At most train_docs ids by construction, hence the broadcast.
-    sample = materialise(rows.join(F.broadcast(chosen), F.col(id_col) == F.col("id")).select("h", F.col(text_col).alias("text")), "sample")
-    symbols = docs.sparkSession.sparkContext.broadcast({w: i + 1 for w, i in known.items() if i < head})
-    p = start_parameters(head)
-    rate = RATE
+    known = docs.sparkSession.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words[:head])})
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = known.value.get
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                texts = [np.fromiter(map(at, w, repeat(0)), np.int32, len(w)) for w in (tokens_of(t.as_py()) for t in batch.column(0).slice(begin, 1000))]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.list_(pa.int32()))], ["symbols"])
+        release()
+
+    symbols = materialise(rows.select(text_col).mapInArrow(encode, "symbols array<int>"), "symbols")
+    p, rate, seen = start_parameters(head), RATE, []
     for _ in range(ROUNDS):
-        shipped = docs.sparkSession.sparkContext.broadcast(p)
-
-        def shard(batches: Iterator[pa.RecordBatch], shipped=shipped, rate=rate) -> Iterator[pa.RecordBatch]:
-            at = symbols.value.get
-            texts = [np.array([at(w, 0) for w in tokens_of(t.as_py())], np.int64) for batch in batches for t in batch.column(1)]
-            size = sum(map(len, texts))
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array([size]), pa.array([pickle.dumps(train(shipped.value, texts, rate))], pa.binary())], ["n", "p"])
-
-        shards = sample.repartition(SHARDS, "h").sortWithinPartitions("h").mapInArrow(shard, "n long, p binary").collect()  # SHARDS small parameter sets
-        if shards:
-            total = sum(r["n"] for r in shards)
-            trained = [(r["n"] / total, pickle.loads(r["p"])) for r in sorted(shards, key=lambda r: (r["n"], bytes(r["p"])))]
-            p = {k: sum(np.float32(share) * q[k] for share, q in trained).astype(np.float32) for k in p}
+        p, tokens = trained(symbols, p, rate)
+        seen.append(tokens)
         rate /= 2
-    return model | {"parameters": p}
+    return model | {"parameters": p, "trained": seen}
 
 
 NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "n_outside", "logs", "logs_outside", "network", "word", "n"]

@@ -133,3 +133,20 @@ def test_empty_table_and_nothing_to_learn_from(spark):
     docs = documents(spark, ODD)
     got = m.score(docs.select("doc_id", "text", F.lit(True).alias("held_out")), m.fit(docs.select("doc_id", "text"), F.lit(False))).collect()
     assert {(r.train_tokens, r.n_known, r.base_score) for r in got} == {(0, 0, 0.0)} and all(math.isfinite(r.score) for r in got)
+
+
+def test_every_round_learns_from_every_training_text_and_the_head_grows(spark):
+    """More texts than any fixed sample, in several tasks; more common words than the least head."""
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 1500}" for j in range(20))) for i in range(3500)]
+    rows += [(i, "again x") for i in range(50)] + [(None, "no id"), (None, None)]
+    model = m.fit(documents(spark, rows).repartition(3), F.col("doc_id").isNull() | (F.col("doc_id") >= 0))
+    assert model["N"] == sum(len((t or "").split()) + 1 for _, t in rows)
+    assert model["trained"] == [model["N"]] * m.ROUNDS
+    assert model["head"] == 1500 + 3 and len(m.layout(model["head"])[2]) - 1 <= 41
+
+
+def test_no_token_is_cut_off_between_lanes(monkeypatch):
+    seen = []
+    monkeypatch.setattr(m, "gradients", lambda p, symbols, *_: (seen.append(symbols.ravel()), ({}, np.zeros(1)))[1])
+    m.train(m.start_parameters(3000), [np.arange(1, 2500), np.arange(2500, 3001)], m.RATE)
+    assert set(np.concatenate(seen).tolist()) == set(range(1, 3001))
