@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rollbook.llm import decontaminate, importance, jaccard_join, langid, multi_index, pieces, recurrent_lm, tool_calls, toxicity, warc
@@ -50,6 +52,10 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations")))
 
 
+def op10_tool_calls_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations"), whole=True))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, payload,
@@ -130,6 +136,14 @@ SELECT u.conv_id, f.ready, CAST(f.level AS INT), u.turn, 1, 'call_' || u.conv_id
 FROM u LEFT JOIN f ON u.conv_id = f.conv_id AND u.called = f.turn
 """
 
+#: OP10_SQL with whole texts, escaped by DuckDB, as queries and contents.
+OP10_WHOLE_SQL = reduce(lambda sql, change: sql.replace(*change), [
+    ("regexp_extract(t, '^[A-Za-z]*') AS word", "CAST(to_json(t) AS VARCHAR) AS word"),
+    ("""'"query":"' || c.word || '",'""", """'"query":' || c.word || ','"""),
+    ("m.size FROM m", "CAST(to_json(m.t) AS VARCHAR) AS content FROM m"),
+    ("""'{"content":"' || u.size || '","id":"call_'""", """'{"content":' || u.content || ',"id":"call_'"""),
+], OP10_SQL)
+
 QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
@@ -142,3 +156,6 @@ QUERIES = {
     "op9_recurrent_lm": (op9_recurrent_lm, None),
     "op10_tool_calls": (op10_tool_calls, OP10_SQL),
 }
+
+#: Besides the one query of each operator: the same over more of the input.
+WHOLE = {"op10_tool_calls_whole_text": (op10_tool_calls_whole_text, OP10_WHOLE_SQL)}
