@@ -37,8 +37,9 @@ from rollbook.llm.components import components
 #: (the list is broadcast).  Both only steer the work: any order is right.
 FREQUENT = 16
 MAX_FREQUENT = 500_000
-#: Shingles in a block of a family.
-BLOCK = 150_000
+#: Shingles and sets in a block of a family, about, and sets whose overlaps are held as whole
+#: numbers at once.
+BLOCK, BLOCK_SETS, STRIP = 150_000, 2000, 256
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -239,8 +240,21 @@ def links_of_blocks(left: list[np.ndarray], right: list[np.ndarray], percent: in
             table[owner[hit], at[hit]] = 1
             dense.append(table)
         shared += dense[0] @ dense[1].T
-    sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
-    return 100 * shared.astype(np.int64) >= percent * (sizes - shared.astype(np.int64))
+    size_left, size_right = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+    out = np.empty(shared.shape, bool)
+    for i in range(0, len(left), STRIP):
+        overlap = shared[i:i + STRIP].astype(np.int64)
+        out[i:i + STRIP] = 100 * overlap >= percent * (size_left[i:i + STRIP, None] + size_right - overlap)
+    return out
+
+
+def in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` (class_id, family, size and others) with band and salt, which with the family
+    name a block of about BLOCK shingles and BLOCK_SETS sets at most."""
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)) if percent < 100 else F.col("size").cast("long")
+    members = members.withColumn("band", band)
+    cut = members.groupBy("family", "band").agg(F.ceil(F.greatest(F.sum("size") / BLOCK, F.count("*") / BLOCK_SETS)).alias("n"))
+    return members.join(cut, ["family", "band"]).withColumn("salt", F.pmod(F.xxhash64("class_id"), "n")).drop("n")
 
 
 def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -248,12 +262,9 @@ def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     ``members``: class_id, family, size, home (component so far).  A family is cut by size into
     bands, of which only neighbours can reach the threshold, and a band into blocks of about
-    BLOCK shingles.  Two blocks meet in one task unless all their members are in one component.
+    BLOCK shingles and BLOCK_SETS sets at most.  Two blocks meet in one task unless all their members are in one component.
     """
-    band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)) if percent < 100 else F.col("size").cast("long")
-    members = members.withColumn("band", band)
-    cut = members.groupBy("family", "band").agg(F.ceil(F.sum("size") / BLOCK).alias("n"))
-    members = materialise(members.join(cut, ["family", "band"]).withColumn("salt", F.pmod(F.xxhash64("class_id"), "n")).drop("n", "size"), "members")
+    members = materialise(in_blocks(members, percent).drop("size"), "members")
     blocks = members.groupBy("family", "band", "salt").agg(F.min("home").alias("low"), F.max("home").alias("high"))
     one = blocks.select("family", F.col("band").alias("band_a"), F.col("salt").alias("salt_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"),
                         F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))

@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from odd import ODD, documents, prose
 from rollbook.llm import components as c
@@ -97,3 +99,33 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in c.components(spark.createDataFrame(chain + star + chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 161)}
     assert c.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_blocks_are_bounded_by_sets(spark):
+    """Many short sets of one family, few shingles in all: 9,000 sets of 8."""
+    members = spark.range(9000).selectExpr("cast(string(id) as binary) AS class_id", "'f' AS family", "8 AS size", "id AS home")
+    blocks = [r["count"] for r in j.in_blocks(members, 80).groupBy("family", "band", "salt").count().collect()]
+    assert sum(blocks) == 9000 and max(blocks) < 1.25 * j.BLOCK_SETS
+
+
+def test_blocks_need_no_whole_matrices_of_numbers():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, 8)) for _ in range(1500)]
+    tracemalloc.start()
+    got = j.links_of_blocks(sets, sets, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 1500 * 1500 * 2  # bytes of two int64 matrices
+    for a in range(0, 1500, 97):
+        want = [100 * len(np.intersect1d(sets[a], s)) >= 50 * len(np.union1d(sets[a], s)) for s in sets]
+        assert got[a].tolist() == want
+
+
+def test_small_blocks_match_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(j, "BLOCK_SETS", 3)
+    monkeypatch.setattr(j, "FREQUENT", 3)
+    monkeypatch.setattr(j, "STRIP", 2)
+    rng = random.Random(9)
+    rows = [(i, "one two " + " ".join(rng.choice("abcd") for _ in range(8))) for i in range(60)]
+    got = j.ngram_jaccard(documents(spark, rows), 3, 60).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 3, 60)
