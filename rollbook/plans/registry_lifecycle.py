@@ -258,6 +258,51 @@ SELECT (SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY reg_no) AS
 """)(lambda s: lifecycle.register_people(s, registration_batch(s), ["reg_no"])[1])
 
 
+# The same staff, and every student as a new login in a class of the latest year that has classes.
+def whole_registration_batch(s) -> DataFrame:
+    sid = F.col("student_master_id")
+    latest = s.classes.where(F.col("academic_year_id") == s.classes.agg(F.max("academic_year_id")).scalar())
+    ids = latest.agg(F.array_sort(F.collect_list("class_id"))).scalar()
+    students = s.student_master.select(
+        "fname", F.lit("student").alias("role"), F.lit(ADMIT_DAY).alias("date"),
+        F.lit(None).cast("decimal(10,2)").alias("salary"), (F.lit(1500000000) + sid).cast("int").alias("roll_no"),
+        F.concat(F.lit("G"), sid.cast("string")).alias("reg_no"),
+        F.get(ids, (sid % F.size(ids)).cast("int")).alias("class_id"))
+    return registration_batch(s).where(F.col("role").isNull() | (F.col("role") != "student")).unionByName(students)
+
+
+def _register_all(s) -> DataFrame:
+    after, accepted, _ = lifecycle.register_people(s, whole_registration_batch(s), ["reg_no"])
+    placed = after.student_enrollments.select("enrollment_id", "class_id", "academic_year_id")
+    return accepted.select("user_id", "username", "role", "employee_id", "student_master_id", "enrollment_id").join(
+        placed, "enrollment_id", "left")
+
+
+register("register_all_people", """
+, latest AS (
+  SELECT list(class_id ORDER BY class_id) AS ids, max(academic_year_id) AS year FROM classes
+   WHERE academic_year_id = (SELECT max(academic_year_id) FROM classes)
+), batch AS (
+  SELECT CASE WHEN gender = 'Other' THEN NULL WHEN employee_id % 10 = 0 THEN 'accountant' ELSE 'teacher' END
+           AS role,
+         'R' || CAST(employee_id AS VARCHAR) AS reg_no, CAST(NULL AS BIGINT) AS class_id, CAST(NULL AS BIGINT) AS year
+    FROM employees
+  UNION ALL
+  SELECT 'student', 'G' || CAST(student_master_id AS VARCHAR), ids[1 + student_master_id % len(ids)], year
+    FROM student_master, latest
+), ok AS (SELECT * FROM batch WHERE role IS NOT NULL)
+SELECT (SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY reg_no) AS user_id, reg_no AS username, role,
+       CASE WHEN role <> 'student' THEN (SELECT max(employee_id) FROM employees)
+            + row_number() OVER (PARTITION BY role = 'student' ORDER BY reg_no) END AS employee_id,
+       CASE WHEN role = 'student' THEN (SELECT max(student_master_id) FROM student_master)
+            + row_number() OVER (PARTITION BY role = 'student' ORDER BY reg_no) END AS student_master_id,
+       CASE WHEN role = 'student' THEN (SELECT max(enrollment_id) FROM student_enrollments)
+            + row_number() OVER (PARTITION BY role = 'student' ORDER BY reg_no) END AS enrollment_id,
+       class_id, year AS academic_year_id
+  FROM ok
+""")(_register_all)
+
+
 # Delete every inactive login and follow the foreign keys.
 _NULLABLE_REFS = {"classes": "class_teacher_id", "student_enrollments": "user_id"}
 
@@ -341,3 +386,8 @@ SELECT a.* FROM attendance_students a JOIN student_enrollments se USING (enrollm
 register("delete_employees_classes", """
 SELECT class_id, class_level, division, academic_year_id, CASE WHEN class_teacher_id % 2 = 0 THEN class_teacher_id END AS class_teacher_id FROM classes
 """)(lambda s: _deleted(s, "employees", s.employees.where("employee_id % 2 = 1")).classes)
+
+register("delete_left_students_attendance", """
+, gone AS (SELECT student_master_id FROM student_enrollments WHERE status = 'left')
+SELECT a.* FROM attendance_students a JOIN student_enrollments se USING (enrollment_id) WHERE se.student_master_id NOT IN (SELECT student_master_id FROM gone)
+""")(lambda s: _deleted(s, "student_master", s.student_enrollments.where("status = 'left'").select("student_master_id").distinct()).attendance_students)

@@ -67,3 +67,21 @@ def test_fee_summary_matches_fixture_totals(spark):
 def test_entry_works_without_the_training_data_operators(monkeypatch):
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     assert set(entry_mod.queries()) == set(REGISTRY) == set(entry_mod.oracle_sql())
+
+
+@pytest.mark.parametrize("name", ["register_all_people", "delete_left_students_attendance"])
+def test_entries_over_all_rows_match_duckdb(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    df = entry_mod.queries()[name](spark, SF_SMALL)
+    cur = con.execute(entry_mod.oracle_sql()[name])
+    rows = [tuple(r) for r in df.collect()]
+    assert rows and compare(name, df.columns, rows, [d[0] for d in cur.description], cur.fetchall()) is None
+
+
+def test_every_student_is_registered(spark):
+    from rollbook.sources.fixtures import derive_school
+
+    students = derive_school(spark, SF_SMALL).student_master.count()
+    assert entry_mod.queries()["register_all_people"](spark, SF_SMALL).where("role = 'student'").count() == students
