@@ -36,7 +36,11 @@ def id_crc(col: str) -> Column:
 
 def packed(df: DataFrame) -> DataFrame:
     """The whole row as one struct ``row``, so that added columns cannot clash with it."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    return df.select(packed_columns(df.columns))
+
+
+def packed_columns(columns: list[str]) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
 
 
 def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollbook.llm import decontaminate, importance, jaccard_join, langid, multi_index, pieces, recurrent_lm, tool_calls, toxicity, warc
+from rollbook.llm import (
+    alignment, decontaminate, importance, jaccard_join, langid, line_dedup, merkle, multi_index, pieces, recurrent_lm, tool_calls, toxicity, warc)
 from rollbook.llm.base import table
 
 
@@ -56,6 +58,21 @@ def op10_tool_calls_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations"), whole=True))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.alignment(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return rows.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return rows.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_n_chars()).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, payload,
@@ -144,6 +161,51 @@ OP10_WHOLE_SQL = reduce(lambda sql, change: sql.replace(*change), [
     ("""'{"content":"' || u.size || '","id":"call_'""", """'{"content":' || u.content || ',"id":"call_'"""),
 ], OP10_SQL)
 
+OP12_SQL = """
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(range(len(lines))) AS at, unnest(lines) AS line FROM s),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+d AS (SELECT k.doc_id, k.at, k.line, keeper IS NOT NULL AND keeper <> k.doc_id AS dropped FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT dropped), '')) AS kept_sha256
+FROM d GROUP BY doc_id
+"""
+
+OP13_SQL = """
+WITH RECURSIVE c AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS steps),
+v AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, n_chars, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS f FROM documents),
+x AS (SELECT doc_id, grp, list_aggregate(list_transform(f, lambda s: coalesce(strlen(s) || ':' || s, '-')), 'string_agg', '') AS told,
+             list_aggregate(list_transform([f[1], f[2], f[3], CAST(n_chars + 1 AS VARCHAR), f[5]], lambda s: coalesce(strlen(s) || ':' || s, '-')), 'string_agg', '') AS false_told
+      FROM v),
+l AS (SELECT doc_id, grp, sha256(told) AS leaf, sha256(false_told) AS false_leaf, row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1 AS idx,
+             count(*) OVER (PARTITION BY grp) AS n FROM x),
+t AS (SELECT grp, 0 AS level, idx, leaf AS h, n FROM l UNION ALL
+      SELECT grp, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY grp, level, idx // 2, n),
+s AS (SELECT grp, h AS subroot, level AS height, row_number() OVER (ORDER BY encode(grp)) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, idx, subroot AS h, n FROM s UNION ALL
+      SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY level, idx // 2, n),
+w AS (SELECT l.doc_id, t.level AS step, CASE WHEN xor(l.idx >> t.level, 1) = b.idx THEN b.h END AS sibling, (l.idx >> t.level) % 2 = 1 AS at_left
+      FROM l JOIN t ON t.grp = l.grp AND t.n > 1 AND t.idx = l.idx >> t.level
+      LEFT JOIN t b ON b.grp = l.grp AND b.level = t.level AND b.idx = xor(l.idx >> t.level, 1)
+      UNION ALL
+      SELECT l.doc_id, s.height + u.level, b.h, (s.idx >> u.level) % 2 = 1
+      FROM l JOIN s USING (grp) JOIN u ON u.n > 1 AND u.idx = s.idx >> u.level
+      LEFT JOIN u b ON b.level = u.level AND b.idx = xor(s.idx >> u.level, 1)),
+p AS (SELECT doc_id, sha256(coalesce(string_agg(sibling, '' ORDER BY step), '')) AS proof_sha256 FROM w GROUP BY doc_id),
+m AS (SELECT doc_id, 0 AS step, CASE WHEN mod(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+             lambda a, b: xor(a >> 8, steps[xor(a & 255, b) + 1])), 4294967295), 7) = 0 THEN false_leaf ELSE leaf END AS h FROM l, c UNION ALL
+      SELECT m.doc_id, m.step + 1, sha256(CASE WHEN w.at_left THEN coalesce(w.sibling, '') || m.h ELSE m.h || coalesce(w.sibling, '') END)
+      FROM m JOIN w ON w.doc_id = m.doc_id AND w.step = m.step),
+z AS (SELECT doc_id, max_by(h, step) AS folded_root FROM m GROUP BY doc_id)
+SELECT l.doc_id, l.leaf, s.subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, z.folded_root,
+       z.folded_root = (SELECT h FROM u WHERE n = 1) AS verified
+FROM l JOIN s USING (grp) LEFT JOIN p USING (doc_id) JOIN z USING (doc_id)
+"""
+
 QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
@@ -155,6 +217,9 @@ QUERIES = {
     "op8_multi_index": (op8_multi_index, None),
     "op9_recurrent_lm": (op9_recurrent_lm, None),
     "op10_tool_calls": (op10_tool_calls, OP10_SQL),
+    "op11_alignment": (op11_alignment, None),
+    "op12_line_dedup": (op12_line_dedup, OP12_SQL),
+    "op13_merkle": (op13_merkle, OP13_SQL),
 }
 
 #: Besides the one query of each operator: the same over more of the input.

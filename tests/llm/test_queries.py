@@ -18,7 +18,7 @@ EXPRESSIBLE = [n for n, (_, sql) in QUERIES.items() if sql]
 
 def test_one_query_for_each_operator_and_the_pipeline():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and {*QUERIES, "pipeline"} <= set(entry.queries())
+    assert numbers == list(range(1, 14)) and {*QUERIES, "pipeline"} <= set(entry.queries())
     assert set(EXPRESSIBLE) <= set(entry.oracle_sql()) and "pipeline" not in entry.oracle_sql()
 
 
