@@ -163,13 +163,13 @@ OP10_WHOLE_SQL = reduce(lambda sql, change: sql.replace(*change), [
 
 OP12_SQL = """
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, unnest(range(len(lines))) AS at, unnest(lines) AS line FROM s),
+l AS (SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM s),
 k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''),
                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-d AS (SELECT k.doc_id, k.at, k.line, keeper IS NOT NULL AND keeper <> k.doc_id AS dropped FROM k LEFT JOIN r USING (key))
+d AS (SELECT k.doc_id, k.pos, k.line, keeper IS NOT NULL AND keeper <> k.doc_id AS dropped FROM k LEFT JOIN r USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT dropped), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM d GROUP BY doc_id
 """
 
