@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,65 +86,71 @@ class Aligner:
         self.second = SentencePieceProcessor(model_file=b_path)
         self.a, self.b = a, b
         self.len_a, self.len_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        # Ids as text with what may follow: inside a group, behind its first half; behind it, behind a part.
+        self.names = [f"{i}{c}" for i in range(len(a)) for c in ",|"] + [f"{i}{c}" for i in range(len(b)) for c in ",;\n"]
         self.clear()
 
     def clear(self) -> None:
-        #: For each part its place in the lists below: tokens of both sides, groups as text, pair codes.
+        #: For each part its place in what follows: tokens of both sides, pairs (``codes`` from ``begin``
+        #: on), groups as text; a part that is not given back byte by byte has no groups.
         self.at: dict[str, int] = {}
-        self.n_a: list[int] = []
-        self.n_b: list[int] = []
-        self.groups: list[bytes | None] = []
-        self.pairs: list[np.ndarray] = []
+        self.n_a = self.n_b = self.n_pairs = self.begin = self.codes = np.empty(0, np.int64)
+        self.groups: list[str | None] = []
 
     def learn(self, parts: list[str]) -> None:
+        """Tokenize and align parts that are not known yet, laid one behind the other."""
         ids_a = [e.ids for e in self.first.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
         ids_b = self.second.encode(parts, num_threads=1)
         na, nb = (np.fromiter(map(len, x), np.int64, len(parts)) for x in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((ids_a, na), (ids_b, nb)))
-        whole = [all(b"".join(map(surface.__getitem__, ids)) == raw for surface, ids in ((self.a, x), (self.b, y)))
-                 for x, y, raw in zip(ids_a, ids_b, ((" " + p).encode("utf-8", "surrogatepass") for p in parts))]
-        # Where tokens end, as distances in bytes; parts lie one behind the other, those that
-        # are not given back whole are left out.
-        ok = np.array(whole, bool)
-        keep_a, keep_b = np.repeat(ok, na), np.repeat(ok, nb)
-        flat_a, flat_b = flat_a[keep_a], flat_b[keep_b]
-        part_a = np.repeat(np.arange(len(parts)), na)[keep_a]
-        end_a, end_b = np.cumsum(self.len_a[flat_a]), np.cumsum(self.len_b[flat_b])
-        common, last_a, last_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
-        codes = flat_a[last_a] * len(self.b) + flat_b[last_b]
-        ends = np.searchsorted(part_a[last_a], np.arange(len(parts)), "right").tolist()
-        texts_a, texts_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        told = []
-        i = j = 0
-        for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
-            told.append(f"{texts_a[i]}|{texts_b[j]}" if x - i == y - j == 1 else f"{','.join(texts_a[i:x])}|{','.join(texts_b[j:y])}")
-            i, j = x, y
-        begin = 0
-        for k, (part, fine, end) in enumerate(zip(parts, whole, ends)):
-            self.at[part] = len(self.groups)
-            self.n_a.append(int(na[k]))
-            self.n_b.append(int(nb[k]))
-            self.groups.append(";".join(told[begin:end]).encode() if fine else None)
-            self.pairs.append(codes[begin:end])
-            begin = end
-
-    def align(self, texts: list[str | None]) -> list[tuple[int, int, bytes, np.ndarray]]:
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((ids_a, na), (ids_b, nb)))
+        raw = [(" " + p).encode("utf-8", "surrogatepass") for p in parts]
+        ok = np.ones(len(parts), bool)
+        if not all(self.read(surface, flat.tolist()) == b"".join(raw) for surface, flat in ((self.a, flat_a), (self.b, flat_b))):
+            ok = np.array([self.read(self.a, x) == r == self.read(self.b, y) for x, y, r in zip(ids_a, ids_b, raw)], bool)
+            flat_a, flat_b = flat_a[np.repeat(ok, na)], flat_b[np.repeat(ok, nb)]
+        part = np.repeat(np.arange(len(parts)), np.where(ok, na, 0))
+        _, last_a, last_b = np.intersect1d(np.cumsum(self.len_a[flat_a]), np.cumsum(self.len_b[flat_b]), assume_unique=True, return_indices=True)
+        # Both sides' tokens in the order of the text of groups.
+        n_groups, i, j = len(last_a), np.arange(len(flat_a)), np.arange(len(flat_b))
+        group_a, group_b = np.searchsorted(last_a, i), np.searchsorted(last_b, j)
+        ends_a, ends_b = np.zeros(len(i), np.int64), np.zeros(len(j), np.int64)
+        ends_a[last_a], ends_b[last_b] = 1, 1
+        ends_b[last_b[np.flatnonzero(np.diff(part[last_a], append=-1))]] = 2
+        order = np.empty(len(i) + len(j), np.int64)
+        order[i + np.append(0, last_b + 1)[group_a]] = 2 * flat_a + ends_a
+        order[j + last_a[group_b] + 1 if n_groups else j] = 2 * len(self.a) + 3 * flat_b + ends_b
+        told = iter("".join(map(self.names.__getitem__, order.tolist())).split("\n"))
+        self.at.update(zip(parts, range(len(self.groups), len(self.groups) + len(parts))))
+        self.groups.extend(next(told) if fine else None for fine in ok.tolist())
+        n = np.bincount(part[last_a], minlength=len(parts))
+        self.begin = np.append(self.begin, len(self.codes) + np.cumsum(n) - n)
+        self.n_a, self.n_b, self.n_pairs = np.append(self.n_a, na), np.append(self.n_b, nb), np.append(self.n_pairs, n)
+        self.codes = np.append(self.codes, flat_a[last_a] * len(self.b) + flat_b[last_b])
+
+    @staticmethod
+    def read(surface: list[bytes], ids: list[int]) -> bytes:
+        return b"".join(map(surface.__getitem__, ids))
+
+    def align(self, texts: list[str | None]) -> list[tuple[int, int, str, np.ndarray]]:
         """Of each text the tokens of both sides, the groups as text and the pair of each group."""
         parted = [PLACE.split(t) if t else [] for t in texts]
         if len(self.at) > CACHE:
             self.clear()
-        new = [p for p in {p for parts in parted for p in parts} if p not in self.at]
+        new = list(set().union(*parted).difference(self.at))
         for begin in range(0, len(new), AT_ONCE):
             self.learn(new[begin:begin + AT_ONCE])
         out = []
-        none = (0, 0, b"", np.empty(0, np.int64))
+        none = (0, 0, "", np.empty(0, np.int64))
         for parts in parted:
-            at = [self.at[p] for p in parts]
-            groups = [self.groups[i] for i in at]
+            at = list(map(self.at.__getitem__, parts))
+            groups = list(map(self.groups.__getitem__, at))
             if not at or None in groups:
                 out.append(none)
                 continue
-            out.append((sum(map(self.n_a.__getitem__, at)), sum(map(self.n_b.__getitem__, at)), b";".join(groups), np.concatenate([self.pairs[i] for i in at])))
+            n = self.n_pairs[at]
+            total = int(n.sum())
+            codes = self.codes[np.repeat(self.begin[at] - np.cumsum(n) + n, n) + np.arange(total)]
+            out.append((int(self.n_a[at].sum()), int(self.n_b[at].sum()), ";".join(groups), codes))
         return out
 
 
@@ -162,7 +169,7 @@ def aligned(docs: DataFrame, text_col: str, keep: list[str], paths: tuple[str, s
                 offsets = pa.array(np.cumsum([0, *(len(k) for k, _ in kinds)]), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([k[i] for k in kinds]) if kinds else [], pa.int64())) for i in (0, 1)]
                 numbers = [pa.array([f(x) for x in found], pa.int64()) for f in (lambda x: x[0], lambda x: x[1], lambda x: len(x[3]))]
-                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), *numbers, pa.array([sha256(x[2]).hexdigest() if x[2] else "" for x in found], pa.string()), *lists], names)
+                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), *numbers, pa.array([sha256(x[2].encode()).hexdigest() if x[2] else "" for x in found], pa.string()), *lists], names)
         release()
 
     longs = T.ArrayType(T.LongType())
