@@ -5,9 +5,10 @@ A text gets the dummy space, spaces become the marker U+2581, and the best path
 the largest sum of scores.  A character that no path covers is spelt in byte pieces.
 Decoding joins pieces, turns the markers into spaces again and drops the dummy.
 
-All new segments of a batch are cut at once: the trie is walked for every start
+All new segments of a batch are cut together: the trie is walked for every start
 position in step, then the best paths are filled in by position from the segments'
-beginnings, both with numpy.
+beginnings, both with numpy.  A long segment (a text without spaces) is walked window by window,
+so that its matches are never held at once.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from rollbook.llm.base import with_scores
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE = 400_000
+#: Characters cut together, of a segment that is cut on its own, and of its windows.
+TOGETHER, ALONE, STRETCH = 1_000_000, 200, 100_000
 #: The public model file; a parameter of every function that needs one.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -136,7 +139,7 @@ def prepare(loaded: dict) -> dict:
     line = "" if "\n" in {c for p in pieces for c in p} else "\n"
     return {
         "base": trie.base, "check": trie.check, "value": trie.value, "letters": np.array(letters or [0], np.uint32),
-        "scores": scores, "bytes": loaded["bytes"], "unknown": loaded["unknown"], "surface": surface,
+        "scores": scores, "reach": max(map(len, pieces), default=1), "bytes": loaded["bytes"], "unknown": loaded["unknown"], "surface": surface,
         "unknown_score": float(scores[plain].min() if len(plain) else 0.0) - UNKNOWN_PENALTY,
         "segment": r"(?s).+" if inner else f"{MARK}*[^{MARK}{line}]+|{MARK}+" + (f"|{line}+" if line else ""),
     }
@@ -149,22 +152,17 @@ class Model:
         self.trie = DoubleArray(data["base"], data["check"], data["value"])
         self.letters, self.scores, self.surface = data["letters"], data["scores"], data["surface"]
         self.bytes, self.unknown, self.unknown_score = data["bytes"], data["unknown"], data["unknown_score"]
-        self.segment = re.compile(data["segment"])
+        self.segment, self.reach = re.compile(data["segment"]), data["reach"]
 
     def codes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
         return np.where(self.letters[at] == points, at + 1, 0), points
 
-    def cut(self, segments: list[str]) -> list[bytes]:
-        """The best path of each segment, as the bytes of its int32 ids."""
-        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
-        ends = np.cumsum(lengths)
-        begins = ends - lengths
-        codes, points = self.codes("".join(segments))
-        n = len(codes)
-        stop = np.repeat(ends, lengths)
-        # All matches: from every start, one more character in each round, while any walk goes on.
+    def matches(self, codes: np.ndarray, stop: np.ndarray, n: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all pieces from the first ``n`` places on, each ending by ``stop`` of its start;
+        a character that is no piece counts as piece -1.  The trie is walked from all starts in step."""
+        n = len(codes) if n is None else n
         starts, states, depth = np.arange(n), np.zeros(n, np.int64), 0
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         single = np.zeros(n, bool)
@@ -182,6 +180,45 @@ class Model:
         missing = np.flatnonzero(~single)
         found.append((missing, missing + 1, np.full(len(missing), -1)))
         start, end, piece = (np.concatenate(x) for x in zip(*found))
+        return start, end, piece
+
+    def cut_alone(self, segment: str) -> bytes:
+        """The best path of one long segment: matches of a window at a time, best scores of a window and
+        a piece's length, and for each place the last piece of its best path."""
+        n, reach = len(segment), self.reach
+        last_piece, last_size = np.empty(n + 1, np.int32), np.empty(n + 1, np.int32)
+        best, pieces, sizes = [0.0], [0], [0]
+        for begin in range(0, n, STRETCH):
+            size = min(STRETCH, n - begin)
+            codes, _ = self.codes(segment[begin:begin + size + reach])
+            start, end, piece = self.matches(codes, np.full(size, len(codes)), size)
+            order = np.argsort(start, kind="stable")
+            score = np.where(piece >= 0, self.scores[piece], self.unknown_score)
+            more = size + reach + 1 - len(best)
+            best, pieces, sizes = best + [-np.inf] * more, pieces + [0] * more, sizes + [0] * more
+            for a, b, p, x in zip(*(v[order].tolist() for v in (start, end, piece, score))):
+                total = best[a] + x
+                if total > best[b]:  # the first of equals has the longest piece
+                    best[b], pieces[b], sizes[b] = total, p, b - a
+            last_piece[begin + 1:begin + size + 1], last_size[begin + 1:begin + size + 1] = pieces[1:size + 1], sizes[1:size + 1]
+            best, pieces, sizes = best[size:], pieces[size:], sizes[size:]
+        path: list[int] = []
+        at = n
+        while at:
+            p = int(last_piece[at])
+            path.extend([p] if p >= 0 else reversed(self.spell(segment[at - 1])))
+            at -= int(last_size[at])
+        return np.array(path[::-1], np.int32).tobytes()
+
+    def cut(self, segments: list[str]) -> list[bytes]:
+        """The best path of each segment, as the bytes of its int32 ids."""
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        ends = np.cumsum(lengths)
+        begins = ends - lengths
+        codes, points = self.codes("".join(segments))
+        n = len(codes)
+        stop = np.repeat(ends, lengths)
+        start, end, piece = self.matches(codes, stop)
         score = np.where(piece >= 0, self.scores[piece], self.unknown_score)
         # Fill the best score of each position, by its distance from the segment's beginning.
         first = np.repeat(begins, lengths)
@@ -242,23 +279,29 @@ class Model:
     def encoder(self) -> Callable[[list], list[np.ndarray]]:
         cache: dict[str, bytes] = {}
 
+        def learn(new: list[str]) -> None:
+            held: list[str] = []
+            size = 0
+            for segment in new:
+                held.append(segment)
+                size += len(segment)
+                if size >= TOGETHER:
+                    cache.update(zip(held, self.cut(held)))
+                    held, size = [], 0
+            if held:
+                cache.update(zip(held, self.cut(held)))
+
         def encode(texts: list[str | None]) -> list[np.ndarray]:
-            out = []
-            for text in texts:
-                if not text:
-                    out.append(np.empty(0, np.int32))
-                    continue
-                segments = self.segment.findall(MARK + text.replace(" ", MARK))
-                if len(cache) > CACHE:
-                    cache.clear()
-                new = [s for s in set(segments) if s not in cache]
-                if new:
-                    short = [s for s in new if len(s) < 1000]
-                    cache.update(zip(short, self.cut(short)))
-                    once = {s: self.cut([s])[0] for s in new if len(s) >= 1000}
-                    out.append(np.frombuffer(b"".join([once[s] if s in once else cache[s] for s in segments]), np.int32))
-                else:
-                    out.append(np.frombuffer(b"".join(map(cache.__getitem__, segments)), np.int32))
+            parted = [self.segment.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+            if len(cache) > CACHE:
+                cache.clear()
+            new = sorted(set().union(*parted).difference(cache), key=len)
+            alone = [s for s in new if len(s) > ALONE]
+            learn(new[:len(new) - len(alone)])
+            cache.update((s, self.cut_alone(s)) for s in alone)
+            out = [np.frombuffer(b"".join(map(cache.__getitem__, segments)), np.int32) for segments in parted]
+            for s in alone:  # not worth their room
+                del cache[s]
             return out
 
         return encode

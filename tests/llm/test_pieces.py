@@ -44,6 +44,26 @@ def test_paths_are_the_best(model, loaded):
         assert total == pytest.approx(best_score(model, loaded, segment))
 
 
+def test_long_segments_are_cut_like_short_ones(model, monkeypatch):
+    rng = random.Random(7)
+    segments = ["".join(rng.choice("abcdethino▁.,é日😀\n") for _ in range(n)) for n in (1, 2, 16, 17, 40, 333, 900)] + ["x" * 500, "日" * 50, "the" * 40, "▁" * 300]
+    whole = model.cut(segments)
+    for stretch in (1, 7, 50, 100_000):
+        monkeypatch.setattr(m, "STRETCH", stretch)
+        assert [model.cut_alone(s) for s in segments] == whole
+
+
+def test_parts_of_a_batch_change_nothing(model, monkeypatch):
+    rng = random.Random(9)
+    texts = [prose(rng, rng.randrange(60)) + "x" * rng.choice([0, 0, 250, 1000]) for _ in range(60)] + [None, "", " "]
+    one_by_one = [model.encoder()([t])[0].tolist() for t in texts]
+    for together, alone, kept in ((1, 200, 400_000), (500, 3, 10), (1_000_000, 10_000, 0)):
+        for name, value in (("TOGETHER", together), ("ALONE", alone), ("CACHE", kept)):
+            monkeypatch.setattr(m, name, value)
+        encode = model.encoder()
+        assert [x.tolist() for part in (texts[:30], texts[30:]) for x in encode(part)] == one_by_one
+
+
 def varint(n):
     out = b""
     while n > 127:
