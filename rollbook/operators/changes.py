@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollbook.operators.acceptance import beaten
 from rollbook.plans.dims import cut_lineage
 from rollbook.sources.schema import (
     ALLOWED_VALUES, DEFAULTS, FOREIGN_KEYS, ID_START, MAX_LENGTHS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS,
@@ -91,22 +92,21 @@ def _flag_keys(df: DataFrame, key_sets: list[tuple[list[str], DataFrame, str]],
     return df
 
 
-def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
-                   skip: tuple[str, ...] = (), with_ids: bool | None = None,
-                   row_key: list[str] | None = None, check_current: bool = True,
-                   check_batch: bool = True, enforce_closed: bool = False) -> DataFrame:
-    """``batch`` with defaults applied and a ``reason`` column (NULL when the row is acceptable).
+def key_column(schema, c: str, collation: str | None) -> Column:
+    """A key's column; strings under a collation, so that equal means equal there."""
+    return F.collate(F.col(c), collation) if collation and schema[c].dataType.simpleString() == "string" else F.col(c)
 
-    ``row_key`` identifies a batch row: by default a unique ``_row`` position the batch
-    carries (``order_by`` + ``_row`` is then a total order); or ``order_by`` itself when
-    the caller guarantees it is unique.  ``skip`` lists columns that the caller has
-    already proven; ``check_current=False`` skips the
-    key clash against the current table (when the caller removed those keys);
-    ``check_batch=False`` skips in-batch duplicate checks (when the batch holds distinct keys).
-    ``enforce_closed`` refuses rows of a closed academic year (``closed_year``), found by the
-    row's year or by the year of its enrollment.
+
+def inspect_batch(s: School, table: str, batch: DataFrame, order: list[str], skip: tuple[str, ...] = (), with_ids: bool | None = None,
+                  check_current: bool = True, check_batch: bool = True, enforce_closed: bool = False, collation: str | None = None,
+                  tag: str = "") -> tuple[DataFrame, list[str]]:
+    """``batch`` with defaults applied and what ``settle`` needs, and the names of the unique keys.
+
+    Added columns (all with ``tag``): ``_own``, the reason why a row is refused by itself;
+    ``_outer``, that of a missing parent or closed year; for key i ``_first{i}``, the order of the first row
+    (with no ``_own``) that has the value, ``_many{i}``, whether others have it too, and ``_taken{i}``,
+    whether the table holds it.
     """
-    row_key = row_key or ["_row"]
     schema = SCHEMAS[table]
     pk = PRIMARY_KEYS[table]
     # Key checks on the id only when the batch brings ids (otherwise they are all new).
@@ -121,35 +121,25 @@ def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
     checks += [(F.col(c).isNotNull() & ~F.col(c).isin(list(vals)), f"bad_value:{c}")
                for c, vals in ALLOWED_VALUES.get(table, {}).items() if c not in skip]
     checks += [(F.length(c) > n, f"too_long:{c}") for c, n in MAX_LENGTHS.get(table, {}).items() if c not in skip]
-    df = batch.withColumn(REASON, _first_reason(checks))
+    own = f"_own{tag}"
+    df = batch.withColumn(own, _first_reason(checks))
 
-    order = list(dict.fromkeys([*order_by, *row_key]))
     keys = ([[pk]] if with_ids else []) + [list(k) for k in UNIQUE_KEYS.get(table, [])]
-    ok = df.where(F.col(REASON).isNull())
+    ok = df.where(F.col(own).isNull())
     for i, k in enumerate(keys if (check_batch or check_current) else []):
-        # One summary row per key value of the batch: its first row (by order) and whether the
-        # current table already holds the value.  Joined back once: later rows of a value are
-        # in-batch duplicates; the first row of a taken value clashes with the table.
-        present = ok.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k]))
-        if check_batch:
-            info = present.groupBy(*k).agg(F.min(F.struct(*order)).alias(f"_first{i}"))
-        else:
-            info = present.select(*k).distinct()
+        # One summary row per key value of the batch: its first row (by order), whether more rows
+        # have it and whether the current table already holds it.  Joined back once.
+        parts = [f"_k{j}" for j in range(len(k))]
+        value = lambda frame: [key_column(schema, c, collation).alias(p) for c, p in zip(k, parts)]  # noqa: E731,B023
+        present = ok.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])).select(*value(ok), F.struct(*order).alias("_rank"))
+        info = present.groupBy(*parts).agg(F.min("_rank").alias(f"_first{tag}{i}"), (F.count("*") > 1).alias(f"_many{tag}{i}"))
         taken = F.lit(False)
         if check_current:
-            current = s.table(table).select(*k).distinct().withColumn(f"_taken{i}", F.lit(True))
-            info = info.join(current, k, "left")
-            taken = F.col(f"_taken{i}").isNotNull()
-        name = ",".join(k)
-        later = (F.struct(*order) != F.col(f"_first{i}")) if check_batch else F.lit(False)
-        info = info.withColumn(f"_seen{i}", F.lit(True)).withColumn("_spread", F.lit(0).cast("long"))
-        matched = F.col(f"_seen{i}").isNotNull()
-        df = (spread_nulls(df, k, order).join(info, [*k, "_spread"], "left").drop("_spread")
-              .withColumn(REASON, F.when(F.col(REASON).isNotNull(), F.col(REASON))
-                          .when(~matched, F.lit(None))
-                          .when(later, F.lit(f"duplicate_in_batch:{name}"))
-                          .when(taken, F.lit(f"duplicate_key:{name}")))
-              .drop(f"_first{i}", f"_taken{i}", f"_seen{i}"))
+            current = s.table(table)
+            info = info.join(current.select(*value(current)).distinct().withColumn("_there", F.lit(True)), parts, "left")
+            taken = F.col("_there").isNotNull()
+        info = info.select(*parts, f"_first{tag}{i}", f"_many{tag}{i}", taken.alias(f"_taken{tag}{i}"), F.lit(0).cast("long").alias("_spread"))
+        df = spread_nulls(df, k, order).select("*", *value(df)).join(info, [*parts, "_spread"], "left").drop("_spread", *parts)
     flags = []
     for child, col, parent, ppk, _rule in FOREIGN_KEYS:
         if child != table or col in skip:
@@ -163,19 +153,83 @@ def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
             flags.append((["academic_year_id"], closed, "closed_year"))
         elif "enrollment_id" in cols and table != "student_enrollments":
             flags.append((["enrollment_id"], s.student_enrollments.join(closed, "academic_year_id", "left_semi"), "closed_year"))
-    return _flag_keys(df, flags, order)
+    # A row that fails alone keeps its own reason.
+    df = _flag_keys(df.withColumn(REASON, F.col(own)), flags, order)
+    df = df.withColumn(f"_outer{tag}", F.when(F.col(own).isNull(), F.col(REASON))).drop(REASON)
+    return df, [",".join(k) for k in keys] if check_batch or check_current else []
+
+
+def settle(df: DataFrame, sides: list[tuple[str, list[str]]], order: list[str], row_key: list[str], check_batch: bool = True,
+           prior: str | None = None) -> DataFrame:
+    """The inspected batch with ``reason``, NULL for rows that are stored when the batch is taken in ``order``.
+
+    ``sides``: (tag, key names) of each table that ``inspect_batch`` has looked at; a row is stored in
+    all of them or in none.  Rows that are refused for themselves, for a parent, for a value that a
+    table holds or for ``prior`` (a column with a reason) hold no values; the others are accepted in order.
+    A row with several faults names its own first, then keys, parents, and ``prior``.
+    """
+    rank = F.struct(*order)
+    keys = [(tag, i, name) for tag, names in sides for i, name in enumerate(names)]
+    faults = [F.col(f"_{x}{tag}").isNotNull() for tag, _ in sides for x in ("own", "outer")]
+    faults += [F.coalesce(f"_taken{tag}{i}", F.lit(False)) for tag, i, _ in keys] + ([F.col(prior).isNotNull()] if prior else [])
+    lost = lambda n: F.lit(False)
+    if check_batch and keys:
+        df = cut_lineage(df)
+        claim = F.array(*[F.when(F.col(f"_many{tag}{i}"), F.struct(F.lit(n).alias("key"), F.col(f"_first{tag}{i}").alias("holder"))) for n, (tag, i, _) in enumerate(keys)])
+        claims = (df.select(F.struct(*row_key).alias("row"), rank.alias("rank"), (~reduce(lambda a, b: a | b, faults)).alias("eligible"), F.explode(claim).alias("claim"))
+                  .where("claim is not null").select("row", "rank", "eligible", "claim.*"))
+        df = df.withColumn("_me", F.struct(*row_key)).join(beaten(claims).select(F.col("row").alias("_me"), F.col("keys").alias("_lost")), "_me", "left").drop("_me")
+        lost = lambda n: F.coalesce(F.array_contains("_lost", n), F.lit(False))
+    reasons = []
+    for tag, names in sides:
+        reasons.append(F.col(f"_own{tag}"))
+        for n, (other, i, name) in enumerate(keys):
+            if other == tag:
+                taken = F.coalesce(f"_taken{tag}{i}", F.lit(False))
+                later = taken & (rank != F.col(f"_first{tag}{i}")) if check_batch else F.lit(False)
+                reasons.append(F.when(later | lost(n), F.lit(f"duplicate_in_batch:{name}")).when(taken, F.lit(f"duplicate_key:{name}")))
+        reasons.append(F.col(f"_outer{tag}"))
+    made = [f"_{x}{tag}" for tag, _ in sides for x in ("own", "outer")] + [f"_{x}{tag}{i}" for tag, i, _ in keys for x in ("first", "many", "taken")]
+    return df.withColumn(REASON, F.coalesce(*reasons, *([F.col(prior)] if prior else []))).drop(*made, "_lost")
+
+
+def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
+                   skip: tuple[str, ...] = (), with_ids: bool | None = None,
+                   row_key: list[str] | None = None, check_current: bool = True,
+                   check_batch: bool = True, enforce_closed: bool = False,
+                   collation: str | None = None, prior: str | None = None) -> DataFrame:
+    """``batch`` with defaults applied and a ``reason`` column (NULL when the row is acceptable).
+
+    Rows are taken in order, as if stored one by one: a row is a duplicate in the batch only of an
+    accepted row before it.  ``row_key`` identifies a batch row: by default a unique ``_row``
+    position the batch carries (``order_by`` + ``_row`` is then a total order); or ``order_by``
+    itself when the caller guarantees it is unique.  ``skip`` lists columns that the caller has
+    already proven; ``check_current=False`` skips the key clash against the current table (when
+    the caller removed those keys); ``check_batch=False`` skips in-batch duplicate checks (when
+    the batch holds distinct keys).  ``enforce_closed`` refuses rows of a closed academic year
+    (``closed_year``), found by the row's year or by the year of its enrollment.  ``collation``
+    compares the strings of unique keys, e.g. ``UNICODE_CI_AI`` without regard to case and
+    accents.  ``prior`` names a column with the caller's own reason to refuse a row.
+    """
+    row_key = row_key or ["_row"]
+    order = list(dict.fromkeys([*order_by, *row_key]))
+    df, names = inspect_batch(s, table, batch, order, skip, with_ids, check_current, check_batch, enforce_closed, collation)
+    return settle(df, [("", names)], order, row_key, check_batch, prior)
 
 
 def append_rows(s: School, table: str, batch: DataFrame, order_by: list[str],
                 fill: dict[str, Column] | None = None, skip: tuple[str, ...] = (),
                 id_base_from: DataFrame | None = None,
                 check_current: bool = True, check_batch: bool = True,
-                enforce_closed: bool = False) -> tuple[DataFrame, DataFrame]:
+                enforce_closed: bool = False, collation: str | None = None,
+                generate: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted rows in the table's schema with new ids, rejected batch rows with a reason).
 
     ``order_by`` decides which of two clashing rows is kept and the order of
     the new ids; ties fall back to the batch's (checkpointed) row position.
-    ``fill`` gives columns computed from the new id (e.g. a receipt number).
+    ``fill`` gives columns computed from the new id (e.g. a receipt number); ``generate``
+    (column to prefix) those whose values must be new as well (``generate_unique``).
+    ``collation`` compares the strings of unique keys.
     ``id_base_from`` is the table whose maximum id new ids continue after
     (default: the current table).
 
@@ -189,7 +243,7 @@ def append_rows(s: School, table: str, batch: DataFrame, order_by: list[str],
     # One checkpoint of the validated batch, globally sorted: ids are numbered on it directly.
     checked = cut_lineage(validate_batch(s, table, b, order_by, skip, row_key=row_key,
                                          check_current=check_current, check_batch=check_batch,
-                                         enforce_closed=enforce_closed)
+                                         enforce_closed=enforce_closed, collation=collation)
                           .orderBy(*order))
     rejected = checked.where(F.col(REASON).isNotNull()).drop("_row")
     ok = checked.where(F.col(REASON).isNull()).drop(REASON)
@@ -201,9 +255,31 @@ def append_rows(s: School, table: str, batch: DataFrame, order_by: list[str],
     accepted = given.unionByName(new).drop("_row")
     for c, expr in (fill or {}).items():
         accepted = accepted.withColumn(c, F.coalesce(F.col(c), expr))
+    for c, prefix in (generate or {}).items():
+        accepted = generate_unique(accepted, c, prefix, pk, s.table(table))
     return conform(accepted, table), rejected
 
 
+def generate_unique(rows: DataFrame, col: str, prefix: str, id_col: str, stored: DataFrame) -> DataFrame:
+    """``rows`` with the empty values of ``col`` filled by ``prefix`` and the row's id, which is new in
+    ``id_col``, unless a row of ``rows`` or ``stored`` has that value.  Rows whose value is taken get,
+    in the order of their ids, numbers behind all ids and all numbers that follow the prefix anywhere.
+
+    Candidates meet the given and stored values in one anti join; numbers are assigned without
+    moving rows through one task.
+    """
+    rows = cut_lineage(rows)
+    taken = rows.select(col).unionByName(stored.select(col)).where(F.col(col).isNotNull()).distinct()
+    own = F.concat(F.lit(prefix), F.col(id_col).cast("string"))
+    given, empty = rows.where(F.col(col).isNotNull()), rows.where(F.col(col).isNull()).withColumn(col, own)
+    free, moved = empty.join(taken, col, "left_anti"), empty.join(taken, col, "left_semi")
+    number = F.when(F.col(col).startswith(prefix), F.try_to_number(F.substring(col, len(prefix) + 1, 18), F.lit("9" * 18))).cast("long")
+    last = rows.select(F.col(id_col).alias("n")).unionByName(stored.select(F.col(id_col).alias("n"))).unionByName(
+        taken.where(F.length(col) <= len(prefix) + 17).select(number.alias("n")))
+    moved = assign_ids(moved.drop(col), "_number", next_id_base(last, "n", 1), [id_col])
+    return given.unionByName(free).unionByName(moved.withColumn(col, F.concat(F.lit(prefix), F.col("_number").cast("string"))).drop("_number"))
+
+
 def append(s: School, table: str, accepted: DataFrame) -> School:
     """The school with ``accepted`` rows added to ``table``."""
     return s.replace(**{table: s.table(table).unionByName(conform(accepted, table))})
@@ -248,11 +324,13 @@ def update_rows(df: DataFrame, changes: DataFrame, key: str | list[str],
 
 
 def update_table(s: School, table: str, changes: DataFrame, key: str | list[str] | None = None,
-                 where: Column | None = None, order_by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                 where: Column | None = None, order_by: list[str] | None = None, enforce_closed: bool = False,
+                 collation: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(the table with the accepted changes, the refused changes with a reason).
 
     The changed columns are checked as for new rows: missing value, allowed values, lengths,
-    parents, and keys that another row holds or an earlier change takes.  One change for each
+    parents, and keys that another row holds or an earlier accepted change takes (strings compared
+    under ``collation``); ``enforce_closed`` refuses changes of rows of a closed year.  One change for each
     key counts, the first by ``order_by`` (then by the new values); the others are refused
     (``duplicate_in_batch``), as are keys without a row (``no_row``).  Rows that ``where``
     excludes stay and are not reported.
@@ -279,13 +357,15 @@ def update_table(s: School, table: str, changes: DataFrame, key: str | list[str]
     for i, k in enumerate(UNIQUE_KEYS.get(table, [])):
         if not set(k) & set(cols):
             continue
-        others = current.select(*k, F.col(pk).alias("_other"))
-        taken = checked.select(pk, *k).join(others, list(k)).where(F.col("_other") != F.col(pk)).select(pk).distinct().withColumn(f"_clash{i}", F.lit(f"duplicate_key:{','.join(k)}"))
+        parts = [f"_k{j}" for j in range(len(k))]
+        value = [key_column(SCHEMAS[table], c, collation).alias(p) for c, p in zip(k, parts)]
+        others = current.select(*value, F.col(pk).alias("_other"))
+        taken = checked.select(pk, *value).join(others, parts).where(F.col("_other") != F.col(pk)).select(pk).distinct().withColumn(f"_clash{i}", F.lit(f"duplicate_key:{','.join(k)}"))
         checked = checked.join(taken, pk, "left")
     clashes = [c for c in checked.columns if c.startswith("_clash")]
     checked = checked.withColumn("_clash", F.coalesce(*clashes) if clashes else F.lit(None).cast("string")).drop(*clashes)
-    checked = validate_batch(s, table, cut_lineage(checked), order_by or [], proven, with_ids=False, check_current=False)
-    checked = cut_lineage(checked.withColumn(REASON, F.coalesce(F.col(REASON), F.col("_clash"))))
+    checked = cut_lineage(validate_batch(s, table, cut_lineage(checked), order_by or [], proven, with_ids=False, check_current=False,
+                                         enforce_closed=enforce_closed, collation=collation, prior="_clash"))
     accepted = checked.where(F.col(REASON).isNull()).select(pk, *cols)
     told = checked.where(F.col(REASON).isNotNull()).select("_row", F.col(REASON).alias("_late"))
     rejected = (b.join(known, "_row", "left").join(told, "_row", "left").withColumn(REASON, F.coalesce("_pre", "_none", "_late"))

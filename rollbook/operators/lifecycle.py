@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.exprs import grade
 from rollbook.operators.changes import (
-    REASON, append_rows, assign_ids, next_id_base, spread_nulls, validate_batch)
+    REASON, append_rows, assign_ids, inspect_batch, next_id_base, settle, spread_nulls)
 from rollbook.plans.dims import cut_lineage
 from rollbook.sources.schema import FOREIGN_KEYS, ID_START, MAX_LENGTHS, PRIMARY_KEYS, SCHEMAS
 from rollbook.sources.store import School, conform
@@ -93,11 +93,12 @@ def add_marks(s: School, batch: DataFrame, order_by: list[str] | None = None,
 # ---------------------------------------------------------------------------------------------
 # W10
 
-def promote(s: School, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
+def promote(s: School, mapping: DataFrame, enforce_closed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Mapping (from_year, from_class, to_year, to_class) → (new enrollments, refused mappings).
 
     Per mapping, as one transaction of the reference:
       * no source, or no target year → ``missing_parameters``;
+      * with ``enforce_closed``, a source or target year that is closed → ``closed_year``;
       * a source class counts once, by its least (to_year, to_class) → the others ``duplicate_source``;
       * no 'active' student in the source class → refused ``no_students``;
       * no target class → every row of the source class becomes 'passed';
@@ -124,13 +125,19 @@ def promote(s: School, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
                                 F.col("class_id").alias("from_class"), "n_active")
     targets = s.classes.select(F.col("class_id").alias("to_class"), F.col("academic_year_id").alias("to_year"))
     occupied = per_class.select(F.col("academic_year_id").alias("to_year"), F.col("class_id").alias("to_class"))
+    # One row for each closed year.
+    closed = s.academic_years.where(F.col("is_closed").eqNullSafe(True) & F.lit(enforce_closed)).select(F.col("academic_year_id").alias("year"))
     # Repeated mappings are told apart by their position, so each keeps its own verdict.
     m = cut_lineage(m).withColumn("_line", F.monotonically_increasing_id())
     target = F.struct(F.coalesce("to_year", F.lit(0)), F.coalesce("to_class", F.lit(0)), "_line")
     whole = F.col("from_year").isNotNull() & F.col("from_class").isNotNull() & F.col("to_year").isNotNull()
-    first_source = m.where(whole).groupBy("from_year", "from_class").agg(F.min(target).alias("_own"))
+    allowed = (m.where(whole).join(closed, F.col("from_year") == F.col("year"), "left_anti").join(closed, F.col("to_year") == F.col("year"), "left_anti"))
+    first_source = allowed.groupBy("from_year", "from_class").agg(F.min(target).alias("_own"))
     m = (m.join(first_source, ["from_year", "from_class"], "left")
-         .withColumn("_pre", F.when(~whole, F.lit("missing_parameters")).when(target != F.col("_own"), F.lit("duplicate_source"))).drop("_own"))
+         .join(closed.withColumnRenamed("year", "from_year").withColumn("_from_closed", F.lit(True)), "from_year", "left")
+         .join(closed.withColumnRenamed("year", "to_year").withColumn("_to_closed", F.lit(True)), "to_year", "left")
+         .withColumn("_pre", F.when(~whole, F.lit("missing_parameters"))
+                     .when(F.coalesce("_from_closed", "_to_closed").isNotNull(), F.lit("closed_year")).when(target != F.col("_own"), F.lit("duplicate_source"))).drop("_own", "_from_closed", "_to_closed"))
     m = cut_lineage(m)
     every, m = m, m.where(F.col("_pre").isNull())
     first_target = m.where(F.col("to_class").isNotNull()).groupBy("to_year", "to_class").agg(
@@ -188,18 +195,21 @@ def promote(s: School, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
 # W11, W12
 
 def _validated_pair(s: School, b: DataFrame, order: list[str],
-                    sides: list[tuple[str, list[str], tuple[str, ...], Column | None]]) -> DataFrame:
+                    sides: list[tuple[str, list[str], tuple[str, ...], Column | None]], enforce_closed: bool = False,
+                    collation: str | None = None) -> DataFrame:
     """Validate one batch against several tables; ``reason`` is the first refusal of any side.
+    Rows are taken in order, each into all its tables or into none.
 
     ``sides``: (table, batch columns for it, columns not to check, row filter or None).
     """
-    out = b
+    out, looked = b.withColumn("_own", F.col("_pre")).withColumn("_outer", F.lit(None).cast("string")), [("", [])]
     for i, (table, cols, skip, cond) in enumerate(sides):
-        part = b if cond is None else b.where(cond)
-        v = validate_batch(s, table, part.select(*dict.fromkeys(["_row", *order, *cols])), order, skip)
-        out = out.join(v.select("_row", F.col(REASON).alias(f"_r{i}")), "_row", "left")
-    reasons = [F.col("_pre")] + [F.col(f"_r{i}") for i in range(len(sides))]
-    return out.withColumn(REASON, F.coalesce(*reasons)).drop("_pre", *[f"_r{i}" for i in range(len(sides))])
+        part, tag = b if cond is None else b.where(cond), f"_{i}_"
+        v, names = inspect_batch(s, table, part.select(*dict.fromkeys(["_row", *order, *cols])), order, skip,
+                                 enforce_closed=enforce_closed, collation=collation, tag=tag)
+        out = out.join(v.select("_row", *[c for c in v.columns if tag in c]), "_row", "left")
+        looked.append((tag, names))
+    return settle(out, looked, order, ["_row"]).drop("_pre")
 
 
 def _missing(b: DataFrame, columns: list[str]) -> Column:
@@ -215,10 +225,13 @@ def _missing(b: DataFrame, columns: list[str]) -> Column:
 ADMIT_REQUIRED = ["reg_no", "fname", "gender", "roll_no", "class_id", "academic_year_id", "admission_date"]
 
 
-def admit_students(s: School, batch: DataFrame, order_by: list[str]) -> tuple[School, DataFrame, DataFrame]:
+def admit_students(s: School, batch: DataFrame, order_by: list[str], enforce_closed: bool = False,
+                   collation: str | None = None) -> tuple[School, DataFrame, DataFrame]:
     """Batch (reg_no, fname, gender, roll_no, class_id, academic_year_id, admission_date).
 
-    A student row and its enrollment are accepted together or refused together.
+    A student row and its enrollment are accepted together or refused together, in order:
+    a refused row holds neither its number nor its place.  ``enforce_closed`` refuses
+    rows of closed years; ``collation`` compares registration numbers.
     Returns (new school, accepted rows with both new ids, rejected rows with a reason).
     """
     b = cut_lineage(batch.select(*ADMIT_REQUIRED)).withColumn("_row", F.monotonically_increasing_id())
@@ -229,7 +242,7 @@ def admit_students(s: School, batch: DataFrame, order_by: list[str]) -> tuple[Sc
         ("student_master", ["reg_no", "fname", "gender"], (), None),
         ("student_enrollments", ["class_id", "academic_year_id", "roll_no", "admission_date"],
          ("student_master_id",), None),
-    ]))
+    ], enforce_closed, collation))
     ok = checked.where(F.col(REASON).isNull()).drop(REASON)
     rejected = checked.where(F.col(REASON).isNotNull()).drop("_row")
     sid = next_id_base(s.student_master, "student_master_id", ID_START["student_master"])
@@ -248,12 +261,14 @@ def admit_students(s: School, batch: DataFrame, order_by: list[str]) -> tuple[Sc
 REGISTER_REQUIRED = ["fname", "reg_no", "role", "date"]
 
 
-def register_people(s: School, batch: DataFrame, order_by: list[str]) -> tuple[School, DataFrame, DataFrame]:
+def register_people(s: School, batch: DataFrame, order_by: list[str], enforce_closed: bool = False,
+                    collation: str | None = None) -> tuple[School, DataFrame, DataFrame]:
     """Batch (fname, role, date, salary, roll_no, reg_no, class_id); username = reg_no.
 
     Each row creates a user and, by role, an employee (joining_date = date) or a
     student with an enrollment in the class's year (admission_date = date).
-    All tables of a row are accepted or refused together.
+    All tables of a row are accepted or refused together, in order.  ``enforce_closed`` refuses
+    rows of closed years; ``collation`` compares user names and registration numbers.
     """
     b = cut_lineage(batch.select("fname", "role", "date", "salary", "roll_no", "reg_no", "class_id"))
     cls = s.classes.select("class_id", "academic_year_id")
@@ -273,7 +288,7 @@ def register_people(s: School, batch: DataFrame, order_by: list[str]) -> tuple[S
         ("student_master", ["reg_no", "fname"], (), is_student),
         ("student_enrollments", ["class_id", "academic_year_id", "roll_no", "admission_date"],
          ("student_master_id",), is_student),
-    ]))
+    ], enforce_closed, collation))
     ok = checked.where(F.col(REASON).isNull()).drop(REASON)
     rejected = checked.where(F.col(REASON).isNotNull()).drop("_row")
 
