@@ -22,9 +22,17 @@ def _key_text(cols) -> F.Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
 
 
-def audit_unique(df: DataFrame, cols: list[str] | tuple[str, ...]) -> DataFrame:
-    """Q1: key values held by more than one row (rows with a NULL in the key never clash)."""
+def audit_unique(df: DataFrame, cols: list[str] | tuple[str, ...], collation: str | None = None) -> DataFrame:
+    """Q1: key values held by more than one row (rows with a NULL in the key never clash).
+
+    Under a ``collation`` (e.g. ``UNICODE_CI_AI``) strings that are equal there are one value, shown by the least of them.
+    """
     keyed = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
+    if collation:
+        text = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
+        keyed = keyed.select(*cols, *[(F.collate(F.col(c), collation) if c in text else F.col(c)).alias(f"_{c}") for c in cols])
+        same = keyed.groupBy(*[f"_{c}" for c in cols]).agg(F.min(F.struct(*cols)).alias("_least"), F.count(F.lit(1)).alias("n"))
+        return same.where(F.col("n") > 1).select(*[F.col(f"_least.{c}").alias(c) for c in cols], "n")
     return keyed.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 

@@ -8,6 +8,8 @@ user id (a NULL user id can never be looked up).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -238,6 +240,35 @@ def search(df: DataFrame, col: str, keyword: str, accent_insensitive: bool = Fal
     return df.where(F.lower(F.col(col)).contains(keyword.lower()))
 
 
+def _grams(text: F.Column, size: int) -> F.Column:
+    """The different substrings of ``size`` characters."""
+    return F.array_distinct(F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))
+                            .otherwise(F.array().cast("array<string>")))
+
+
+def search_keywords(df: DataFrame, col: str, keywords: DataFrame) -> DataFrame:
+    """R48 for a table of keywords (``keyword``): each different keyword with the rows of ``df`` whose
+    ``col`` contains it case-insensitively.  The empty keyword is in every text; a NULL matches nothing.
+
+    Postings of the three-character substrings that occur in keywords (of shorter ones for
+    shorter keywords) are joined with each keyword's rarest, then checked exactly.  No row
+    meets a keyword with which it shares no substring.
+    """
+    words = keywords.select("keyword").where("keyword is not null").distinct().withColumn("_word", F.lower("keyword"))
+    size = F.least(F.length("_word"), F.lit(3))
+    grams = reduce(lambda e, n: e.when(size == n, _grams(F.col("_word"), n)), (1, 2, 3), F.when(size == 0, F.array(F.lit(""))))
+    wanted = words.select("keyword", "_word", F.explode(grams).alias("_gram"))
+    text = F.lower(F.col(col))
+    every = F.concat(F.array(F.lit("")), *[_grams(F.col("_text"), n) for n in (1, 2, 3)])
+    rows = df.where(F.col(col).isNotNull()).select(F.struct(*df.columns).alias("_row"), text.alias("_text"))
+    postings = rows.select("_row", "_text", F.explode(every).alias("_gram")).join(wanted.select("_gram").distinct(), "_gram", "left_semi")
+    common = postings.groupBy("_gram").agg(F.count("*").alias("_n"))
+    # A substring that no row has makes the keyword find nothing.
+    rarest = wanted.join(common, "_gram", "left").groupBy("keyword", "_word").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_best"))
+    asked = rarest.where("_best.n > 0").select("keyword", "_word", F.col("_best._gram").alias("_gram"))
+    return postings.join(asked, "_gram").where(F.contains("_text", "_word")).select("keyword", "_row.*")
+
+
 def search_subjects(s: School, keyword: str) -> DataFrame:
     return search(s.subjects, "subject_name", keyword)
 
@@ -268,8 +299,9 @@ def recent_users(s: School, n: int = 10) -> DataFrame:
             .select("user_id", "username", "role"))
 
 
-def users_exist(s: School, wanted: DataFrame) -> DataFrame:
-    """For each wanted username, how many users carry it (0 when none)."""
-    n = s.users.groupBy("username").agg(F.count(F.lit(1)).alias("count"))
-    return (wanted.select("username").distinct().join(n, "username", "left")
+def users_exist(s: School, wanted: DataFrame, collation: str | None = None) -> DataFrame:
+    """For each wanted username, how many users carry it (0 when none), compared under ``collation``."""
+    key = F.collate("username", collation) if collation else F.col("username")
+    n = s.users.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("count"))
+    return (wanted.select("username").distinct().withColumn("_key", key).join(n, "_key", "left")
             .select("username", F.coalesce("count", F.lit(0)).alias("count")))

@@ -138,3 +138,27 @@ def test_collated_keys(spark, base_rows):
     assert sorted(r.username for r in ok.collect()) == ["Ann", "José"]
     assert sorted((r.username, r.reason) for r in rejected.collect()) == [("JOSE", "duplicate_in_batch:username"), ("s1", "duplicate_key:username")]
     assert changes.append_rows(s, "users", users, ["username"])[0].count() == 4
+
+
+def test_search_for_a_table_of_keywords(spark):
+    from rollbook.operators import people
+    names = ["Maths", "Mathematics 2", "Art", "", None, "50%_off", "naïve Ärt", "aaa", "MATHS"]
+    rows = spark.createDataFrame([(i, n, "x") for i, n in enumerate(names)], "id int, name string, _gram string")
+    words = ["math", "A", "ar", "ärt", "", None, "%_", "_", "zzz", "aaaa", "aaa", "mathematics 2", "s", "Maths", "maths", "maths", "50% off"]
+    found = people.search_keywords(rows.repartition(3), "name", spark.createDataFrame([(w,) for w in words], "keyword string"))
+    want = sorted((w, i) for w in {w for w in words if w is not None} for i, n in enumerate(names) if n is not None and w.lower() in n.lower())
+    assert sorted((r.keyword, r.id) for r in found.collect()) == want and found.columns == ["keyword", "id", "name", "_gram"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and all("Join Inner, (" in line or "LeftSemi" in line or "LeftOuter" in line for line in plan.splitlines() if "Join " in line)
+    assert people.search_keywords(rows, "name", spark.createDataFrame([], "keyword string")).collect() == []
+
+
+def test_names_looked_up_under_a_collation(spark, base_rows):
+    from rollbook.operators import people
+    s = make_school(spark, **base_rows)
+    wanted = spark.createDataFrame([("ÁDMIN",), ("s1",), ("S9",)], "username string")
+    assert sorted(people.users_exist(s, wanted, "UNICODE_CI_AI").collect()) == [("S9", 0), ("s1", 1), ("ÁDMIN", 1)]
+    assert sorted(people.users_exist(s, wanted).collect()) == [("S9", 0), ("s1", 0), ("ÁDMIN", 0)]
+    same = s.users.select("username").unionByName(wanted)
+    assert sorted(audit.audit_unique(same, ["username"], "UNICODE_CI_AI").collect()) == [("S1", 2), ("admin", 2)]
+    assert audit.audit_unique(same, ["username"]).collect() == []
