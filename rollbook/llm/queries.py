@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +52,6 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations")))
 
 
-def op10_tool_calls_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations"), whole=True))
-
-
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = alignment.alignment(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return rows.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -114,7 +108,7 @@ FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.node = w.doc_id GROUP BY ALL
 
 OP10_SQL = """
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, length(coalesce(text, '')) AS size FROM conversations),
-c AS (SELECT conv_id, turn, role, size, regexp_extract(t, '^[A-Za-z]*') AS word,
+c AS (SELECT conv_id, turn, role, size, CAST(to_json(t) AS VARCHAR) AS query,
         CASE WHEN role = 'system' THEN 'setup' WHEN size % 3 = 0 THEN 'search' ELSE 'count' END AS name,
         CASE WHEN conv_id % 7 = 3 THEN CASE WHEN turn < 5 THEN turn + 2 END
              WHEN conv_id % 11 = 5 THEN CASE WHEN turn <= 3 THEN 4 - turn ELSE turn - 2 END
@@ -126,7 +120,7 @@ p AS (SELECT conv_id, turn AS a, turn AS b, 0 AS hops FROM c UNION
 r AS (SELECT conv_id, a AS turn, max(b) AS ready, max(hops) AS hops FROM p GROUP BY ALL),
 v AS (SELECT p.conv_id, p.a AS turn, max(p.hops) AS level FROM p JOIN r x ON x.conv_id = p.conv_id AND x.turn = p.a
       JOIN r y ON y.conv_id = p.conv_id AND y.turn = p.b WHERE x.ready = y.ready GROUP BY ALL),
-u AS (SELECT m.conv_id, m.turn, m.turn - 1 AS called, m.size FROM m WHERE role = 'user' AND turn > 0),
+u AS (SELECT m.conv_id, m.turn, m.turn - 1 AS called, CAST(to_json(m.t) AS VARCHAR) AS content FROM m WHERE role = 'user' AND turn > 0),
 f AS (SELECT c.*, r.ready, CASE WHEN r.hops < 20 THEN v.level END AS level, 'call_' || c.conv_id || '_' || c.turn AS call_id,
         CASE WHEN c.needs IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c y WHERE y.conv_id = c.conv_id AND y.turn = c.needs)
              THEN 'missing dependency call_' || c.conv_id || '_' || c.needs END AS missing,
@@ -136,7 +130,7 @@ f AS (SELECT c.*, r.ready, CASE WHEN r.hops < 20 THEN v.level END AS level, 'cal
                CASE WHEN c.conv_id % 17 = 1 THEN 'unknown field extra' END, CASE WHEN c.turn = 5 THEN 'value not allowed for unit' END,
                CASE WHEN c.conv_id % 9 = 4 THEN 'wrong type of size' END), '') END AS errors,
         CASE WHEN c.conv_id % 23 <> 7 THEN '"arguments":{' || CASE WHEN c.conv_id % 17 = 1 THEN '"extra":[1,2],' ELSE '' END
-          || CASE WHEN c.conv_id % 13 = 0 THEN '' ELSE '"query":"' || c.word || '",' END || '"size":'
+          || CASE WHEN c.conv_id % 13 = 0 THEN '' ELSE '"query":' || c.query || ',' END || '"size":'
           || CASE WHEN c.conv_id % 9 = 4 THEN '"' || c.size || '"' ELSE CAST(c.size AS VARCHAR) END
           || ',"unit":"' || CASE WHEN c.turn = 5 THEN 'byte' ELSE 'char' END || '"},' ELSE '' END AS arguments
       FROM c JOIN r USING (conv_id, turn) JOIN v USING (conv_id, turn))
@@ -149,18 +143,10 @@ FROM f LEFT JOIN u ON u.conv_id = f.conv_id AND u.called = f.turn
 UNION ALL
 SELECT u.conv_id, f.ready, CAST(f.level AS INT), u.turn, 1, 'call_' || u.conv_id || '_' || u.called,
        CASE WHEN f.turn IS NULL THEN 'orphan' ELSE 'ok' END, NULL,
-       '{"content":"' || u.size || '","id":"call_' || u.conv_id || '_' || u.called || '","type":"tool_result"}'
+       '{"content":' || u.content || ',"id":"call_' || u.conv_id || '_' || u.called || '","type":"tool_result"}'
 FROM u LEFT JOIN f ON u.conv_id = f.conv_id AND u.called = f.turn
 """
 
-#: OP10_SQL with whole texts, escaped by DuckDB, as queries and contents.
-OP10_WHOLE_SQL = reduce(lambda sql, change: sql.replace(*change), [
-    ("regexp_extract(t, '^[A-Za-z]*') AS word", "CAST(to_json(t) AS VARCHAR) AS word"),
-    ("""'"query":"' || c.word || '",'""", """'"query":' || c.word || ','"""),
-    ("m.size FROM m", "CAST(to_json(m.t) AS VARCHAR) AS content FROM m"),
-    ("""'{"content":"' || u.size || '","id":"call_'""", """'{"content":' || u.content || ',"id":"call_'"""),
-], OP10_SQL)
-
 OP12_SQL = """
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM s),
@@ -222,5 +208,5 @@ QUERIES = {
     "op13_merkle": (op13_merkle, OP13_SQL),
 }
 
-#: Besides the one query of each operator: the same over more of the input.
-WHOLE = {"op10_tool_calls_whole_text": (op10_tool_calls_whole_text, OP10_WHOLE_SQL)}
+#: The name under which the query over whole texts was registered first.
+WHOLE = {"op10_tool_calls_whole_text": QUERIES["op10_tool_calls"]}

@@ -20,13 +20,28 @@ TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN"}
 KEY = ["conv_id", "call_id"]
 
 
+def identified() -> Column:
+    return F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+
+
 def first_of(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The earliest row for each identifier; equal turns are decided by the other columns."""
-    ordered = F.struct("turn", *[c for c in columns if c != "turn"])
-    best = rows.groupBy(*KEY).agg(F.min(ordered).alias("first"), F.count("*").alias("copies"))
+    """The earliest row for each identifier and its ``copies``; equal turns are decided by the other columns."""
+    best = rows.where(identified()).groupBy(*KEY).agg(F.min(F.struct(*columns)).alias("first"), F.count("*").alias("copies"))
     return best.select(*KEY, *[F.col(f"first.{c}").alias(c) for c in columns], "copies")
 
 
+def others_of(rows: DataFrame, columns: list[str], first: DataFrame) -> DataFrame:
+    """The rows that ``first_of`` leaves out, with ``status``: ``no identifier`` if conv_id or call_id is null, else ``repeat``.
+
+    Equal rows are counted before they are compared, so many of them are one row each.
+    """
+    again = first.where("copies > 1").select(*KEY, F.struct(*columns).alias("first"))
+    kinds = rows.join(again, KEY).groupBy(*KEY, *columns, "first").agg(F.count("*").alias("n"))
+    more = kinds.withColumn("n", F.col("n") - F.struct(*columns).eqNullSafe(F.col("first")).cast("int")).where("n > 0")
+    repeats = more.select(*KEY, *columns, F.lit("repeat").alias("status"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
+    return rows.where(~identified()).select(*KEY, *columns, F.lit("no identifier").alias("status")).unionByName(repeats)
+
+
 def has_type(value: Column, wanted: Column) -> Column:
     """Whether a JSON value has a schema's type; ``number`` takes any number, an unknown type all."""
     kind = F.schema_of_variant(value)
@@ -105,6 +120,14 @@ def ordered_calls(calls: DataFrame, edges: DataFrame) -> DataFrame:
     return state
 
 
+def call_json() -> Column:
+    return F.to_json(F.named_struct(F.lit("arguments"), F.try_parse_json("arguments"), F.lit("id"), "call_id", F.lit("name"), "name", F.lit("type"), F.lit("tool_call")))
+
+
+def result_json() -> Column:
+    return F.to_json(F.named_struct(F.lit("content"), "content", F.lit("id"), "call_id", F.lit("type"), F.lit("tool_result")))
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row for each call and result message.
 
@@ -114,36 +137,42 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
 
     status of a call: ``ok``, ``no result``, ``invalid`` (see errors), ``missing dependency``,
     ``cycle`` (it, or what it needs, waits for itself; level is null), in rising precedence;
-    of a result: ``ok``, ``early`` (before its call), ``orphan``; ready and level of an orphan are
-    null.  Of messages that repeat an identifier the first stands, and all others of a
-    conversation are counted in ``errors`` as repeats.  Messages without conv_id or call_id
-    are left out.
+    of a result: ``ok``, ``early`` (before its call), ``orphan``.  Of messages that repeat an
+    identifier the earliest stands; each other one has the status ``repeat``, and messages
+    without conv_id or call_id have ``no identifier``: they are written as JSON, but neither
+    linked, validated nor ordered.  ready and level of these and of orphans are null.
+
+    Null or broken arguments are no JSON object, null content and names are left out of the JSON, a
+    null ``needs`` is an empty one, and the empty text is a content like others.  Texts are
+    carried whole, of any length, in one row; they meet in no group.  Other columns of the inputs are not
+    read, whatever their names, and empty tables give no rows.
     """
-    whole = lambda df: df.where("conv_id is not null and call_id is not null")
-    calls = materialise(first_of(whole(calls), ["turn", "name", "arguments", "needs"]).withColumn("parsed", F.try_parse_json("arguments")), "calls")
-    results = materialise(first_of(whole(results), ["turn", "content"]), "results")
+    asked_for, answers = ["turn", "name", "arguments", "needs"], ["turn", "content"]
+    every_call, every_result = calls.select(*KEY, *asked_for), results.select(*KEY, *answers)
+    calls = materialise(first_of(every_call, asked_for).withColumn("parsed", F.try_parse_json("arguments")), "calls")
+    results = materialise(first_of(every_result, answers), "results")
     named = calls.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("needs")).where("needs is not null")
     there = calls.select("conv_id", F.col("call_id").alias("needs"))
     missing = named.join(there, ["conv_id", "needs"], "left_anti").groupBy(*KEY).agg(
         F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("missing dependency "), "needs"))), "; ").alias("missing"))
     order = materialise(ordered_calls(calls, named.join(there, ["conv_id", "needs"], "left_semi")), "order")
-    repeats = F.when(F.col("copies") > 1, F.concat((F.col("copies") - 1).cast("string"), F.lit(" repeats")))
     joined = lambda *c: F.nullif(F.concat_ws("; ", *c), F.lit(""))
 
     told = (calls.join(order, KEY).join(argument_errors(calls, schemas), KEY, "left").join(missing, KEY, "left")
             .join(results.select(*KEY, F.lit(True).alias("answered")), KEY, "left"))
-    body = F.to_json(F.named_struct(F.lit("arguments"), "parsed", F.lit("id"), "call_id", F.lit("name"), "name", F.lit("type"), F.lit("tool_call")))
     asked = told.select(
         "conv_id", "ready", "level", "turn", F.lit(0).alias("part"), "call_id",
         F.when(F.col("level").isNull(), "cycle").when(F.col("missing").isNotNull(), "missing dependency").when(F.col("errors").isNotNull(), "invalid")
         .when(F.col("answered").isNull(), "no result").otherwise("ok").alias("status"),
-        joined("errors", "missing", repeats).alias("errors"), body.alias("json"))
-    answer = F.to_json(F.named_struct(F.lit("content"), "content", F.lit("id"), "call_id", F.lit("type"), F.lit("tool_result")))
+        joined("errors", "missing").alias("errors"), call_json().alias("json"))
     given = results.join(calls.select(*KEY, F.col("turn").alias("asked")).join(order, KEY), KEY, "left").select(
         "conv_id", "ready", "level", "turn", F.lit(1).alias("part"), "call_id",
         F.when(F.col("asked").isNull(), "orphan").when(F.col("turn") < F.col("asked"), "early").otherwise("ok").alias("status"),
-        joined(repeats).alias("errors"), answer.alias("json"))
-    return asked.unionByName(given)
+        F.lit(None).cast("string").alias("errors"), result_json().alias("json"))
+    apart = [rows.select("conv_id", F.lit(None).cast(order.schema["ready"].dataType).alias("ready"), F.lit(None).cast("int").alias("level"), "turn", F.lit(part).alias("part"),
+                         "call_id", "status", F.lit(None).cast("string").alias("errors"), body.alias("json"))
+             for part, rows, body in ((0, others_of(every_call, asked_for, calls), call_json()), (1, others_of(every_result, answers, results), result_json()))]
+    return asked.unionByName(given).unionByName(apart[0]).unionByName(apart[1])
 
 
 def json_text(value: Column) -> Column:
@@ -152,21 +181,20 @@ def json_text(value: Column) -> Column:
     return F.substring(array, F.lit(2), F.length(array) - 2)
 
 
-def from_conversations(conversations: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and tool schemas that stand for the turns of plain chats.
 
     The chats hold no tool calls, so each assistant turn counts as one call and the next user
     turn, if there is one, as its result; system turns call a tool that is unknown.  Some
     chats, by their number, refer to later calls, to each other or to none, and some
-    arguments break the schema, so that every case occurs.  With ``whole`` a call's query is
-    its turn's whole text and a result's content that of its turn; without, the text's first word
-    of A-Z letters and its length.
+    arguments break the schema, so that every case occurs.  A call's query is its turn's whole
+    text and a result's content that of its turn.
     """
     text = F.coalesce("text", F.lit(""))
     rows = conversations.select("conv_id", "turn", "role", text.alias("text"), F.length(text).alias("size"))
     name = F.when(F.col("role") == "system", "setup").when(F.col("size") % 3 == 0, "search").otherwise("count")
     number = F.when(F.col("conv_id") % 9 == 4, F.concat(F.lit('"'), "size", F.lit('"'))).otherwise(F.col("size").cast("string"))
-    query = json_text(F.col("text")) if whole else F.concat(F.lit('"'), F.regexp_extract(F.col("text"), "^([A-Za-z]*)", 1), F.lit('"'))
+    query = json_text(F.col("text"))
     unit = F.when(F.col("turn") == 5, "byte").otherwise("char")
     arguments = F.when(F.col("conv_id") % 23 == 7, F.concat(F.lit('{"size": '), number)).otherwise(F.concat(
         F.lit('{ "size" : '), number, F.when(F.col("conv_id") % 13 == 0, "").otherwise(F.concat(F.lit(', "query":'), query)),
@@ -178,7 +206,7 @@ def from_conversations(conversations: DataFrame, whole: bool = False) -> tuple[D
     calls = rows.where("role in ('assistant', 'system')").select("conv_id", "turn", this(F.col("turn")).alias("call_id"), name.alias("name"),
                                                                  arguments.alias("arguments"), needs.alias("needs"))
     results = rows.where("role = 'user' and turn > 0").select("conv_id", "turn", this(F.col("turn") - 1).alias("call_id"),
-                                                              (F.col("text") if whole else F.col("size").cast("string")).alias("content"))
+                                                              F.col("text").alias("content"))
     spark = conversations.sparkSession
     schemas = spark.createDataFrame([
         (tool, field, kind, required, allowed) for tool in ("search", "count") for field, kind, required, allowed in (

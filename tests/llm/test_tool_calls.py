@@ -76,10 +76,24 @@ def test_cycles_and_what_is_behind_them(spark):
 def test_linking(spark):
     got = run(spark, [call(1, 1, "a"), call(1, 3, "a"), call(1, 2, "b"), call(2, 1, "a"), (None, 1, "a", "put", "{}", None), (1, 1, None, "put", "{}", None)],
               [(1, 2, "a", "first"), (1, 4, "a", "second"), (1, 1, "b", None), (1, 5, "zz", "lost"), (3, 1, "a", 'q"\n'), (None, 1, "a", "x")])
-    said = {(r.conv_id, r.part, r.call_id): (r.status, r.errors, r.turn) for r in got}
-    assert said == {(1, 0, "a"): ("ok", "1 repeats", 1), (1, 0, "b"): ("ok", None, 2), (2, 0, "a"): ("no result", None, 1), (1, 1, "a"): ("ok", "1 repeats", 2),
-                    (1, 1, "b"): ("early", None, 1), (1, 1, "zz"): ("orphan", None, 5), (3, 1, "a"): ("orphan", None, 1)}
-    assert json.loads(next(r.json for r in got if r.conv_id == 3))["content"] == 'q"\n'
+    said = {(r.conv_id, r.part, r.call_id, r.turn): (r.status, r.errors) for r in got}
+    assert said == {(1, 0, "a", 1): ("ok", None), (1, 0, "a", 3): ("repeat", None), (1, 0, "b", 2): ("ok", None), (2, 0, "a", 1): ("no result", None),
+                    (1, 1, "a", 2): ("ok", None), (1, 1, "a", 4): ("repeat", None), (1, 1, "b", 1): ("early", None), (1, 1, "zz", 5): ("orphan", None),
+                    (3, 1, "a", 1): ("orphan", None), (None, 0, "a", 1): ("no identifier", None), (1, 0, None, 1): ("no identifier", None), (None, 1, "a", 1): ("no identifier", None)}
+    assert len(got) == len(said) and json.loads(next(r.json for r in got if r.conv_id == 3))["content"] == 'q"\n'
+    assert {json.loads(r.json)["content"] for r in got if r.call_id == "a" and r.part == 1 and r.conv_id == 1} == {"first", "second"}
+
+
+def test_every_message_has_a_row(spark):
+    """Equal messages, equal turns and rows without identifier: none is lost, the least stands."""
+    calls = [call(1, 1, "a")] * 4 + [(1, 1, "a", "add", "{broken", ["zz"]), (1, 1, "a", None, None, None), (1, None, "a", "put", "{}", None), (None, None, None, None, None, None)] * 2
+    results = [(1, 2, "a", "x")] * 3 + [(1, 2, "a", ""), (1, 2, "a", None), (1, None, "a", "y"), (None, 2, None, "z")]
+    got = run(spark, calls, results)
+    assert len(got) == len(calls) + len(results)
+    count = lambda part, status: sum(r.part == part and r.status == status for r in got)
+    assert (count(0, "repeat"), count(0, "no identifier"), count(1, "repeat"), count(1, "no identifier")) == (9, 2, 5, 1)
+    stands = [r for r in got if r.status not in ("repeat", "no identifier")]
+    assert [(r.part, r.turn) for r in sorted(stands, key=lambda r: r.part)] == [(0, None), (1, None)]
 
 
 def test_empty_tables(spark):
@@ -101,7 +115,7 @@ def test_whole_texts_reach_calls_and_results(spark):
     texts = ['say "hi" \\ / \n\r\t end', "žluťoučký 日本 \U0001f600 \u2028", "\x00\x01\x1f\x7f\b\f", "long " * 5000, "", "{\"a\": 1}"]
     rows = [(100 + i, turn, role, t) for i, t in enumerate(texts) for turn, role in ((1, "assistant"), (2, "user"))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.part): r for r in m.link(*m.from_conversations(df, whole=True)).collect()}
+    got = {(r.conv_id, r.part): r for r in m.link(*m.from_conversations(df)).collect()}
     assert len(got) == len(rows)
     for i, t in enumerate(texts):
         said = json.loads(got[100 + i, 0].json)["arguments"]
@@ -109,15 +123,11 @@ def test_whole_texts_reach_calls_and_results(spark):
         assert json.loads(got[100 + i, 1].json)["content"] == t
 
 
-def test_whole_texts_match_duckdb(spark):
-    import duckdb
-    from rollbook.llm.queries import OP10_SQL, WHOLE
+def test_both_names_are_the_query_over_whole_texts(spark):
+    from rollbook.llm.queries import QUERIES, WHOLE
 
-    query, sql = WHOLE["op10_tool_calls_whole_text"]
+    assert WHOLE["op10_tool_calls_whole_text"] == QUERIES["op10_tool_calls"]
     sf = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{sf}/conversations.parquet')")
-    want, short = con.execute(sql).fetchall(), con.execute(OP10_SQL).fetchall()
-    got = [tuple(r) for r in query(spark, sf).collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert sum(len(r[-1]) for r in got) > 1.5 * sum(len(r[-1]) for r in short)
+    texts = {(r.conv_id, r.turn): r.text or "" for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    rows = QUERIES["op10_tool_calls"][0](spark, sf).collect()
+    assert all(json.loads(r.json)["content"] == texts[r.conv_id, r.turn] for r in rows if r.part == 1) and any(r.part for r in rows)
