@@ -80,7 +80,7 @@ def ordered_calls(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, ready, level) of every call; level is null in and behind a cycle.
 
     ``edges`` (conv_id, call_id, needs) name calls of ``calls`` (conv_id, call_id, turn).  The
-    rounds of the loops grow with the longest chain of calls that come after what refers
+    rounds of the first two loops grow with the longest chain of calls that come after what refers
     to them, and with none there is one round each; every round is written to the shared folder.
     """
     edges = materialise(edges.select(*KEY, "needs").distinct(), "needs")
@@ -110,14 +110,39 @@ def ordered_calls(calls: DataFrame, edges: DataFrame) -> DataFrame:
             *KEY, "ready", F.when(open_ & ~F.coalesce("waits", F.lit(False)), F.lit(level)).otherwise(F.col("level")).alias("level")), "level")
         waiting, last, level = state.where("level is null").count(), waiting, level + 1
     # What is left waits for itself; so does all that needs it.
-    edges, stuck, now = every, 0, waiting
-    while stuck != now:
-        stuck = now
-        behind = told(state, F.col("level").isNull(), "behind")
-        state = materialise(state.join(behind, KEY, "left").select(
-            *KEY, "ready", F.when(~F.coalesce("behind", F.lit(False)), F.col("level")).alias("level")), "stuck")
-        now = state.where("level is null").count()
-    return state
+    if not waiting:
+        return state
+    stuck = behind(every, state.where("level is null").select(*KEY)).withColumn("stuck", F.lit(True))
+    return state.join(stuck, KEY, "left").select(*KEY, "ready", F.when(F.col("stuck").isNull(), F.col("level")).alias("level"))
+
+
+def behind(edges: DataFrame, stuck: DataFrame) -> DataFrame:
+    """(conv_id, call_id) of ``stuck`` and of all calls that need one of them, over any number of others.
+
+    Calls that need one call only jump: each looks at what the one it has reached has reached, so
+    a chain of any length takes rounds by its logarithm.  The rounds after that grow with the calls
+    of several needs on a way.  A call that waits for itself must be in ``stuck``.
+    """
+    mark = stuck.select(*KEY, F.lit(True).alias("mark"))
+    needed = edges.groupBy(*KEY).agg(F.min("needs").alias("to"), F.count("*").alias("n"))
+    chain = materialise(needed.where("n = 1").join(mark, KEY, "left").select(*KEY, "to", F.coalesce("mark", F.lit(False)).alias("bad")), "chain")
+    going = 1
+    while going:
+        after = chain.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("bad").alias("next_bad"))
+        bad = F.col("bad") | F.coalesce("next_bad", F.lit(False))
+        chain = materialise(chain.join(after, ["conv_id", "to"], "left").select(
+            *KEY, F.coalesce("next", "to").alias("to"), bad.alias("bad"), (F.col("next").isNotNull() & ~bad).alias("going")), "chain")
+        going = chain.where("going").count()
+    several = edges.join(needed.where("n > 1"), KEY, "left_semi").select(*KEY, "needs")
+    short = materialise(several.unionByName(chain.where("not bad").select(*KEY, F.col("to").alias("needs"))), "short")
+    found = materialise(stuck.select(*KEY).unionByName(chain.where("bad").select(*KEY)).distinct(), "behind")
+    size, now = -1, found.count()
+    while now != size:
+        size = now
+        more = short.join(found.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").select(*KEY)
+        found = materialise(found.unionByName(more).distinct(), "behind")
+        now = found.count()
+    return found
 
 
 def call_json() -> Column:

@@ -73,6 +73,20 @@ def test_cycles_and_what_is_behind_them(spark):
     assert [r.errors for r in got if r.call_id == "g"] == ["missing dependency zz"] and places(got) == ["e", "g"]
 
 
+def test_all_behind_a_cycle_by_jumps(spark):
+    import random
+    rng = random.Random(3)
+    for kind in range(3):
+        edges = {("x", i): {i - 1} if kind == 0 else {rng.randrange(max(i, 1)) for _ in range(rng.choice([0, 1, 1, 1, 2]))} for i in range(1, 60)} | {("x", 0): {1 if kind == 0 else 0}}
+        stuck, reach = {0, 1} if kind == 0 else {0}, set()
+        for i in range(60):
+            if i in stuck or edges["x", i] & reach:
+                reach.add(i)
+        table = spark.createDataFrame([(1, str(i), str(n)) for (_, i), needs in edges.items() for n in needs] + [(2, str(i), str(i + 1)) for i in range(5)], "conv_id long, call_id string, needs string")
+        found = m.behind(table, spark.createDataFrame([(1, str(i)) for i in stuck], "conv_id long, call_id string"))
+        assert sorted((r.conv_id, int(r.call_id)) for r in found.collect()) == [(1, i) for i in sorted(reach)]
+
+
 def test_linking(spark):
     got = run(spark, [call(1, 1, "a"), call(1, 3, "a"), call(1, 2, "b"), call(2, 1, "a"), (None, 1, "a", "put", "{}", None), (1, 1, None, "put", "{}", None)],
               [(1, 2, "a", "first"), (1, 4, "a", "second"), (1, 1, "b", None), (1, 5, "zz", "lost"), (3, 1, "a", 'q"\n'), (None, 1, "a", "x")])
