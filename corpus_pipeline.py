@@ -39,9 +39,16 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their SentencePiece pieces."""
+    """The documents with the ids of their SentencePiece pieces (``ids``, ``n_tokens``); a column of the
+    documents that has one of these names is called ``given_`` and its name, as often as needed."""
     rows = pieces.encode(docs)
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "ids", "n_tokens")
+    names: list[str] = []
+    for c in docs.columns:
+        name = c
+        while name in ("ids", "n_tokens") or (name != c and name in docs.columns):
+            name = f"given_{name}"
+        names.append(name)
+    return rows.select(*[F.col(f"row.`{c}`").alias(name) for c, name in zip(docs.columns, names)], "ids", "n_tokens")
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("near copies", drop_near_copies),

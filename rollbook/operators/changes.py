@@ -160,21 +160,28 @@ def inspect_batch(s: School, table: str, batch: DataFrame, order: list[str], ski
 
 
 def settle(df: DataFrame, sides: list[tuple[str, list[str]]], order: list[str], row_key: list[str], check_batch: bool = True,
-           prior: str | None = None) -> DataFrame:
+           prior: str | None = None, ordered: bool = False) -> DataFrame:
     """The inspected batch with ``reason``, NULL for rows that are stored when the batch is taken in ``order``.
 
     ``sides``: (tag, key names) of each table that ``inspect_batch`` has looked at; a row is stored in
     all of them or in none.  Rows that are refused for themselves, for a parent, for a value that a
     table holds or for ``prior`` (a column with a reason) hold no values; the others are accepted in order.
     A row with several faults names its own first, then keys, parents, and ``prior``.
+    With ``ordered`` the result is globally sorted by ``order`` and checkpointed.
     """
     rank = F.struct(*order)
     keys = [(tag, i, name) for tag, names in sides for i, name in enumerate(names)]
     faults = [F.col(f"_{x}{tag}").isNotNull() for tag, _ in sides for x in ("own", "outer")]
     faults += [F.coalesce(f"_taken{tag}{i}", F.lit(False)) for tag, i, _ in keys] + ([F.col(prior).isNotNull()] if prior else [])
     lost = lambda n: F.lit(False)
+    sort = lambda frame: cut_lineage(frame.orderBy(*order)) if ordered else frame
+    contested = False
     if check_batch and keys:
-        df = cut_lineage(df)
+        df = sort(df) if ordered else cut_lineage(df)
+        contested = not df.where(reduce(lambda a, b: a | b, [F.coalesce(f"_many{tag}{i}", F.lit(False)) for tag, i, _ in keys])).isEmpty()
+    elif ordered:
+        df = sort(df)
+    if contested:
         claim = F.array(*[F.when(F.col(f"_many{tag}{i}"), F.struct(F.lit(n).alias("key"), F.col(f"_first{tag}{i}").alias("holder"))) for n, (tag, i, _) in enumerate(keys)])
         claims = (df.select(F.struct(*row_key).alias("row"), rank.alias("rank"), (~reduce(lambda a, b: a | b, faults)).alias("eligible"), F.explode(claim).alias("claim"))
                   .where("claim is not null").select("row", "rank", "eligible", "claim.*"))
@@ -190,14 +197,15 @@ def settle(df: DataFrame, sides: list[tuple[str, list[str]]], order: list[str],
                 reasons.append(F.when(later | lost(n), F.lit(f"duplicate_in_batch:{name}")).when(taken, F.lit(f"duplicate_key:{name}")))
         reasons.append(F.col(f"_outer{tag}"))
     made = [f"_{x}{tag}" for tag, _ in sides for x in ("own", "outer")] + [f"_{x}{tag}{i}" for tag, i, _ in keys for x in ("first", "many", "taken")]
-    return df.withColumn(REASON, F.coalesce(*reasons, *([F.col(prior)] if prior else []))).drop(*made, "_lost")
+    out = df.withColumn(REASON, F.coalesce(*reasons, *([F.col(prior)] if prior else []))).drop(*made, "_lost")
+    return sort(out) if contested else out
 
 
 def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
                    skip: tuple[str, ...] = (), with_ids: bool | None = None,
                    row_key: list[str] | None = None, check_current: bool = True,
                    check_batch: bool = True, enforce_closed: bool = False,
-                   collation: str | None = None, prior: str | None = None) -> DataFrame:
+                   collation: str | None = None, prior: str | None = None, ordered: bool = False) -> DataFrame:
     """``batch`` with defaults applied and a ``reason`` column (NULL when the row is acceptable).
 
     Rows are taken in order, as if stored one by one: a row is a duplicate in the batch only of an
@@ -209,12 +217,13 @@ def validate_batch(s: School, table: str, batch: DataFrame, order_by: list[str],
     the batch holds distinct keys).  ``enforce_closed`` refuses rows of a closed academic year
     (``closed_year``), found by the row's year or by the year of its enrollment.  ``collation``
     compares the strings of unique keys, e.g. ``UNICODE_CI_AI`` without regard to case and
-    accents.  ``prior`` names a column with the caller's own reason to refuse a row.
+    accents.  ``prior`` names a column with the caller's own reason to refuse a row; ``ordered`` asks
+    for a result that is globally sorted and checkpointed.
     """
     row_key = row_key or ["_row"]
     order = list(dict.fromkeys([*order_by, *row_key]))
     df, names = inspect_batch(s, table, batch, order, skip, with_ids, check_current, check_batch, enforce_closed, collation)
-    return settle(df, [("", names)], order, row_key, check_batch, prior)
+    return settle(df, [("", names)], order, row_key, check_batch, prior, ordered)
 
 
 def append_rows(s: School, table: str, batch: DataFrame, order_by: list[str],
@@ -241,10 +250,8 @@ def append_rows(s: School, table: str, batch: DataFrame, order_by: list[str],
     b, row_key = cut_lineage(batch).withColumn("_row", F.monotonically_increasing_id()), ["_row"]
     order = list(dict.fromkeys([*order_by, *row_key]))
     # One checkpoint of the validated batch, globally sorted: ids are numbered on it directly.
-    checked = cut_lineage(validate_batch(s, table, b, order_by, skip, row_key=row_key,
-                                         check_current=check_current, check_batch=check_batch,
-                                         enforce_closed=enforce_closed, collation=collation)
-                          .orderBy(*order))
+    checked = validate_batch(s, table, b, order_by, skip, row_key=row_key, check_current=check_current, check_batch=check_batch,
+                             enforce_closed=enforce_closed, collation=collation, ordered=True)
     rejected = checked.where(F.col(REASON).isNotNull()).drop("_row")
     ok = checked.where(F.col(REASON).isNull()).drop(REASON)
     given = ok.where(F.col(pk).isNotNull())
