@@ -88,3 +88,11 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
             after = materialise(stage(spark, after, str(tmp_path)), "odd")
         # Nothing is toxic, poor or leaky here; only the repeated rows and equal texts leave.
         assert after.count() == (len({t for _, t in ODD if (t or "").split()}) + 3 if table is docs else 0)
+
+
+def test_columns_named_like_the_last_stage_are_renamed(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text", "x", 2, "y")], "doc_id long, text string, ids string, n_tokens int, given_ids string")
+    after = materialise(p.to_pieces(spark, docs, str(tmp_path)), "odd")
+    assert after.columns == ["doc_id", "text", "given_given_ids", "given_n_tokens", "given_ids", "ids", "n_tokens"]
+    row = after.first()
+    assert (row.given_given_ids, row.given_n_tokens, row.given_ids, row.n_tokens) == ("x", 2, "y", len(row.ids))
