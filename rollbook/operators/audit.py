@@ -18,10 +18,6 @@ from rollbook.sources.schema import (
 from rollbook.sources.store import School
 
 
-def _key_text(cols) -> F.Column:
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
-
-
 def audit_unique(df: DataFrame, cols: list[str] | tuple[str, ...], collation: str | None = None) -> DataFrame:
     """Q1: key values held by more than one row (rows with a NULL in the key never clash).
 
@@ -37,15 +33,19 @@ def audit_unique(df: DataFrame, cols: list[str] | tuple[str, ...], collation: st
 
 
 def audit_all_unique(s: School) -> DataFrame:
-    """Q1 over every primary and declared unique key: table, columns, key text, rows."""
+    """Q1 over every primary and declared unique key: table, columns, key text, rows.
+
+    One scan of each table, whose rows are unpivoted into one row for each key, and one grouped
+    count over all tables.  Values are grouped as arrays, so that a ``|`` inside one does not
+    make two keys look alike.
+    """
     parts = []
     for table in SCHEMAS:
         keys = [(PRIMARY_KEYS[table],)] + list(UNIQUE_KEYS.get(table, []))
-        for cols in keys:
-            v = audit_unique(s.table(table), list(cols))
-            parts.append(v.select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("columns"),
-                                  _key_text(cols).alias("key"), "n"))
-    return reduce(DataFrame.unionByName, parts)
+        unpivoted = F.array(*[F.struct(F.lit(",".join(cols)).alias("columns"), F.array(*[F.col(c).cast("string") for c in cols]).alias("value")) for cols in keys])
+        parts.append(s.table(table).select(F.lit(table).alias("table_name"), F.inline(unpivoted)).where(~F.exists("value", lambda v: v.isNull())))
+    counts = reduce(DataFrame.unionByName, parts).groupBy("table_name", "columns", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") > 1).select("table_name", "columns", F.array_join("value", "|").alias("key"), "n")
 
 
 def audit_foreign_key(child: DataFrame, col: str, parent: DataFrame, pk: str) -> DataFrame:
@@ -56,13 +56,25 @@ def audit_foreign_key(child: DataFrame, col: str, parent: DataFrame, pk: str) ->
 
 
 def audit_all_foreign_keys(s: School) -> DataFrame:
-    """Q2 over every declared foreign key: child table/column, parent table, value, rows."""
+    """Q2 over every declared foreign key: child table/column, parent table, value, rows.
+
+    One scan of each table, whose rows are unpivoted into their own id, as a parent, and their
+    references, and one aggregate over (parent table, value): whether a parent row has the
+    value, and how many rows refer to it by each key.
+    """
+    parents = {parent for _, _, parent, _, _ in FOREIGN_KEYS}
+    role = lambda n, parent, c: F.struct(F.lit(n).alias("key"), F.lit(parent).alias("parent_table"), F.col(c).cast("long").alias("value"))
     parts = []
-    for child, col, parent, pk, _rule in FOREIGN_KEYS:
-        v = audit_foreign_key(s.table(child), col, s.table(parent), pk)
-        parts.append(v.select(F.lit(child).alias("child_table"), F.lit(col).alias("child_column"),
-                              F.lit(parent).alias("parent_table"), F.col(col).cast("long").alias("value"), "n"))
-    return reduce(DataFrame.unionByName, parts)
+    for table in SCHEMAS:
+        roles = [role(n, parent, col) for n, (child, col, parent, _, _) in enumerate(FOREIGN_KEYS) if child == table]
+        roles += [role(-1, table, PRIMARY_KEYS[table])] if table in parents else []
+        if roles:
+            parts.append(s.table(table).select(F.inline(F.array(*roles))).where("value is not null"))
+    values = reduce(DataFrame.unionByName, parts).groupBy("parent_table", "value").agg(
+        F.max(F.col("key") == -1).alias("known"), *[F.count_if(F.col("key") == n).alias(f"n{n}") for n in range(len(FOREIGN_KEYS))])
+    told = F.array(*[F.struct(F.lit(child).alias("child_table"), F.lit(col).alias("child_column"), F.col(f"n{n}").alias("n"))
+                     for n, (child, col, _, _, _) in enumerate(FOREIGN_KEYS)])
+    return values.where("not known").select("parent_table", "value", F.inline(told)).where("n > 0").select("child_table", "child_column", "parent_table", "value", "n")
 
 
 def value_rules(table: str) -> list[tuple[str, str, F.Column]]:

@@ -86,3 +86,13 @@ def test_building_a_report_starts_no_job(stored):
         build(stored)
     assert list(tracker.getJobIdsForGroup("reports-being-built")) == []
     stored.spark.sparkContext.setJobGroup("", "")
+
+
+def test_all_key_audits_read_each_table_once(spark, tmp_path):
+    from rollbook.operators import audit
+    from rollbook.sources.store import read_school, write_school
+    write_school(derive_school(spark, SF_SMALL), str(tmp_path / "school"))
+    s = read_school(spark, str(tmp_path / "school"))
+    for df in (audit.audit_all_unique(s), audit.audit_all_foreign_keys(s)):
+        plan = df._jdf.queryExecution().optimizedPlan()
+        assert plan.collectLeaves().size() == 13 and "Join" not in plan.toString()
