@@ -43,3 +43,4 @@ from rollbook.plans import registry_audit  # noqa: E402,F401
 from rollbook.plans import registry_changes  # noqa: E402,F401
 from rollbook.plans import registry_lifecycle  # noqa: E402,F401
 from rollbook.plans import registry_order  # noqa: E402,F401
+from rollbook.plans import registry_stored  # noqa: E402,F401

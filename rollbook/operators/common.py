@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.operators.totals import FeeTotals
 from rollbook.sources.store import School
 
 
@@ -20,20 +21,27 @@ def of_enrollments(facts: DataFrame, only: DataFrame | None) -> DataFrame:
     return facts if only is None else facts.join(only.select("enrollment_id"), "enrollment_id", "left_semi")
 
 
-def paid_by_enrollment(s: School, only: DataFrame | None = None) -> DataFrame:
+def paid_by_enrollment(s: School, only: DataFrame | None = None, totals: FeeTotals | None = None) -> DataFrame:
     """enrollment_id, paid, n_payments — one row per enrollment with payments."""
+    if totals is not None:
+        return of_enrollments(totals.paid, only)
     return (of_enrollments(s.fee_payments.select("enrollment_id", "amount_paid"), only).groupBy("enrollment_id")
             .agg(F.sum("amount_paid").alias("paid"), F.count(F.lit(1)).alias("n_payments")))
 
 
-def assignments_by_amount(s: School, only: DataFrame | None = None) -> DataFrame:
+def assignments_by_amount(s: School, only: DataFrame | None = None, totals: FeeTotals | None = None) -> DataFrame:
     """enrollment_id, total_amount, n_copies — equal assignments of one enrollment merged."""
+    if totals is not None:
+        return of_enrollments(totals.assigned, only)
     return (of_enrollments(s.student_fee_assignments.select("enrollment_id", "total_amount"), only)
             .groupBy("enrollment_id", "total_amount").agg(F.count(F.lit(1)).alias("n_copies")))
 
 
-def assignments_by_enrollment(s: School, only: DataFrame | None = None) -> DataFrame:
+def assignments_by_enrollment(s: School, only: DataFrame | None = None, totals: FeeTotals | None = None) -> DataFrame:
     """enrollment_id, fee, n_assign — all assignments of an enrollment summed."""
+    if totals is not None:
+        return (of_enrollments(totals.assigned, only).groupBy("enrollment_id")
+                .agg(F.sum(F.col("total_amount") * F.col("n_copies")).cast("decimal(20,2)").alias("fee"), F.sum("n_copies").alias("n_assign")))
     return (of_enrollments(s.student_fee_assignments.select("enrollment_id", "total_amount"), only).groupBy("enrollment_id")
             .agg(F.sum("total_amount").alias("fee"), F.count(F.lit(1)).alias("n_assign")))
 

@@ -18,6 +18,7 @@ from rollbook.functions.exprs import full_name, full_name_strict, zero_if_null
 from rollbook.operators.common import (
     assignments_by_amount, assignments_by_enrollment, classes_dim, paid_by_enrollment,
     with_student, years_dim)
+from rollbook.operators.totals import FeeTotals
 from rollbook.plans.dims import in_active_year, restrict
 from rollbook.sources.store import School
 
@@ -30,16 +31,17 @@ def _year_filter(df: DataFrame, year: int | None, col: str = "academic_year_id")
     return df if year is None else df.where(F.col(col) == F.lit(year))
 
 
-def fee_status(s: School) -> DataFrame:
+def fee_status(s: School, totals: FeeTotals | None = None) -> DataFrame:
     """Every active-year enrollment with assigned (0 if none), paid and pending.
 
     One row per (enrollment, distinct assigned amount); payments count once
     per assignment copy of that amount, as in the reference's grouped join.
+    With ``totals`` neither payments nor assignments are read.
     """
     enr = in_active_year(s.student_enrollments, s.academic_years)
-    paid = paid_by_enrollment(s, enr)
+    paid = paid_by_enrollment(s, enr, totals)
     x = (enr.select("enrollment_id", "student_master_id", "roll_no", "class_id", "academic_year_id")
-         .join(assignments_by_amount(s, enr), "enrollment_id", "left")
+         .join(assignments_by_amount(s, enr, totals), "enrollment_id", "left")
          .join(paid, "enrollment_id", "left"))
     x = with_student(x, s, "reg_no", "fname", "lname", "mobile")
     x = x.join(classes_dim(s, "class_level", "division"), "class_id").join(years_dim(s, "year_name"),
@@ -153,19 +155,19 @@ def fee_status_by_total(s: School, keys: DataFrame | None = None) -> DataFrame:
                     (F.col("total_amount") - paid).alias("pending"))
 
 
-def fee_summary(s: School, year: int | None = None) -> DataFrame:
+def fee_summary(s: School, year: int | None = None, totals: FeeTotals | None = None) -> DataFrame:
     """R8 (exact): per year, Σ assigned fees, Σ payments of enrollments with an assignment, pending."""
     enr = _year_filter(s.student_enrollments, year).select("enrollment_id", "academic_year_id")
     only = None if year is None else enr
-    per_enr = (enr.join(assignments_by_enrollment(s, only), "enrollment_id", "inner")
-               .join(paid_by_enrollment(s, only), "enrollment_id", "left"))
+    per_enr = (enr.join(assignments_by_enrollment(s, only, totals), "enrollment_id", "inner")
+               .join(paid_by_enrollment(s, only, totals), "enrollment_id", "left"))
     agg = per_enr.groupBy("academic_year_id").agg(
         F.sum("fee").alias("total_fees"), zero_if_null(F.sum("paid")).alias("collected"))
     return agg.select("academic_year_id", "total_fees", "collected",
                       (F.col("total_fees") - F.col("collected")).alias("pending"))
 
 
-def fee_summary_as_written(s: School, year: int | None = None) -> DataFrame:
+def fee_summary_as_written(s: School, year: int | None = None, totals: FeeTotals | None = None) -> DataFrame:
     """R8 (parity): the reference's single fan-out join, reproduced arithmetically.
 
     Each fee counts once per payment of its enrollment, each payment once per
@@ -173,8 +175,8 @@ def fee_summary_as_written(s: School, year: int | None = None) -> DataFrame:
     """
     enr = _year_filter(s.student_enrollments, year).select("enrollment_id", "academic_year_id")
     only = None if year is None else enr
-    per_enr = (enr.join(assignments_by_enrollment(s, only), "enrollment_id", "inner")
-               .join(paid_by_enrollment(s, only), "enrollment_id", "left"))
+    per_enr = (enr.join(assignments_by_enrollment(s, only, totals), "enrollment_id", "inner")
+               .join(paid_by_enrollment(s, only, totals), "enrollment_id", "left"))
     fees = F.col("fee") * F.greatest(F.coalesce(F.col("n_payments"), F.lit(0)), F.lit(1))
     coll = F.col("paid") * F.col("n_assign")
     agg = per_enr.groupBy("academic_year_id").agg(F.sum(fees).alias("total_fees"),
@@ -251,7 +253,7 @@ def payment_modes(s: School, as_of: dt.date) -> DataFrame:
             .orderBy(F.desc("total_amount"), "payment_mode"))
 
 
-def accountant_dashboard(s: School, as_of: dt.date) -> DataFrame:
+def accountant_dashboard(s: School, as_of: dt.date, totals: FeeTotals | None = None) -> DataFrame:
     """One row — active students, this month's and all-time collection, active pending.
 
     Both collection figures come from one pass over payments (a conditional sum);
@@ -261,12 +263,13 @@ def accountant_dashboard(s: School, as_of: dt.date) -> DataFrame:
     month_start = dt.date(as_of.year, as_of.month, 1)
     next_month = dt.date(as_of.year + (as_of.month == 12), as_of.month % 12 + 1, 1)
     in_month = (F.col("payment_date") >= F.lit(month_start)) & (F.col("payment_date") < F.lit(next_month))
-    per_enr = (enr.select("enrollment_id").join(assignments_by_enrollment(s, enr), "enrollment_id", "inner")
-               .join(paid_by_enrollment(s, enr), "enrollment_id", "left"))
+    per_enr = (enr.select("enrollment_id").join(assignments_by_enrollment(s, enr, totals), "enrollment_id", "inner")
+               .join(paid_by_enrollment(s, enr, totals), "enrollment_id", "left"))
     pending = F.col("fee") - F.col("n_assign") * zero_if_null("paid")
     students = enr.agg(F.count(F.lit(1))).scalar()
     total_pending = per_enr.agg(zero_if_null(F.sum(pending))).scalar()
-    collections = s.fee_payments.agg(
+    days = s.fee_payments.select("payment_date", "amount_paid") if totals is None else totals.daily.select("payment_date", F.col("collected").alias("amount_paid"))
+    collections = days.agg(
         zero_if_null(F.sum(F.when(in_month, F.col("amount_paid")))).alias("monthly_collection"),
         zero_if_null(F.sum("amount_paid")).alias("total_collected"))
     return collections.select(students.alias("total_students"), "monthly_collection", "total_collected",

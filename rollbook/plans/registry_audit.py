@@ -36,7 +36,7 @@ def _fk_sql(prefix: str = "") -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def _values_sql() -> str:
+def _values_sql(prefix: str = "") -> str:
     parts = []
     for table in SCHEMAS:
         rules = [(f"not_null:{c}", f"{c} IS NULL") for c in not_null_columns(table)]
@@ -46,7 +46,7 @@ def _values_sql() -> str:
         rules += [(f"range:{c}", f"abs({c}) >= {10 ** (p - sc)}") for c, (p, sc) in decimal_columns(table).items()]
         for name, pred in rules:
             parts.append(f"SELECT '{table}' AS table_name, '{name}' AS rule, "
-                         f"count(*) FILTER (WHERE {pred}) AS violations FROM {table}")
+                         f"count(*) FILTER (WHERE {pred}) AS violations FROM {prefix}{table}")
     return "\nUNION ALL\n".join(parts)
 
 

@@ -39,7 +39,7 @@ def marks_batch(s) -> DataFrame:
         F.when(r % 23 == 0, F.lit(None)).otherwise((r * 7 + sid) % 101).alias("marks_obtained"))
 
 
-register("add_marks", f"""
+_MARKS_SQL = """
 , batch AS (
   SELECT sub.subject_id, CASE WHEN sub.subject_id % 2 = 0 THEN 'Final' ELSE 'Retest' END AS exam_name,
          CAST(100 AS DECIMAL(5,2)) AS max_marks, se.enrollment_id,
@@ -60,6 +60,9 @@ register("add_marks", f"""
   SELECT b.enrollment_id, b.subject_id, x.exam_id, b.marks_obtained, b.max_marks
     FROM batch b JOIN all_exams x ON x.exam_name = b.exam_name AND x.academic_year_id = b.academic_year_id
 )
+"""
+
+register("add_marks", _MARKS_SQL + f"""
 SELECT (SELECT max(mark_id) FROM marks) + row_number() OVER (ORDER BY enrollment_id, subject_id, exam_id)
          AS mark_id,
        enrollment_id, subject_id, exam_id, CAST(marks_obtained AS DOUBLE) AS marks_obtained,
