@@ -3,7 +3,7 @@
 Tokens are words and one end for each text.  The network predicts the most frequent
 words (the head) and one symbol for all others; a word outside the head then has its
 share of their training counts.  The output softmax is factored into classes of words
-of like frequency.  The head grows with the corpus.  Training is truncated
+of like frequency, small ones for common words.  The head grows with the corpus.  Training is truncated
 backpropagation in numpy: every round learns from every training text, shared out over
 tasks whose parameters Spark averages.  Scoring runs many texts in step, and each keeps its state from
 window to window, so that a text of any length is scored whole.
@@ -29,12 +29,11 @@ END = b""
 #: Words the network knows at least, and words whose counts are broadcast at least (all others
 #: are joined).  The network knows every word that is seen sqrt(tokens) / RARITY times.
 HEAD, FREQUENT, RARITY = 1000, 200_000, 16
-#: The least size of a class; classes are as large as they are many in a larger head.
-STATE, EMBED, CLASS_SIZE = 16, 16, 32
+STATE, EMBED = 16, 16
 ROUNDS, LANES, WINDOW, RATE = 3, 32, 32, 0.01
 #: Long streams are trained in more lanes, such that they still make LONG windows; tokens held
-#: at once by a training task; parameters in a row of the average.
-MOST_LANES, LONG, HELD_TOKENS, PART = 256, 100, 2_000_000, 16_384
+#: at once by a training task; parameters in a row of the average, and sets that a node of its tree adds up.
+MOST_LANES, LONG, HELD_TOKENS, PART, TREE = 256, 100, 2_000_000, 16_384, 32
 #: Tokens scored together in one task, and hidden states per block of the output layer.
 BLOCK_TOKENS, BLOCK_STATES = 4_000_000, 200_000
 
@@ -63,26 +62,32 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 # -- the network ---------------------------------------------------------------------------
 
-def class_size(head: int) -> int:
-    return max(CLASS_SIZE, math.isqrt(head))
+def layout(head: int, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each symbol, its place there, and the size of each class.
 
-
-def layout(head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each symbol, its place there, and the size of each class.  Symbol 0 is all
-    words outside the head, a class of its own; the head follows by falling frequency."""
-    symbols, most = np.arange(head + 1), class_size(head)
-    of = np.where(symbols == 0, 0, 1 + (symbols - 1) // most)
-    place = np.where(symbols == 0, 0, (symbols - 1) % most)
-    return of, place, np.bincount(of)
+    Symbol 0 is all words outside the head, a class of its own; the head follows by falling
+    frequency, cut into classes of equal sums of root frequencies, as many as that sum over all.  For
+    that number of classes the softmax over a token's class then costs least: common words
+    lie in classes of a few, rare ones in large classes that are seldom looked at.  ``counts``
+    are those of the symbols; without them words are taken to follow Zipf's law.
+    """
+    counts = np.append(0.0, 1 / np.arange(1.0, head + 1)) if counts is None else np.asarray(counts, np.float64)
+    roots = np.sqrt(counts[1:] / max(counts.sum(), 1e-300))
+    classes = min(head, max(1, math.ceil(roots.sum())))
+    middle = np.cumsum(roots) - roots / 2
+    cut = np.minimum((middle / max(roots.sum(), 1e-300) * classes).astype(np.int64), classes - 1)
+    of = np.append(0, 1 + np.unique(cut, return_inverse=True)[1]) if head else np.zeros(1, np.int64)
+    sizes = np.bincount(of)
+    return of, np.arange(head + 1) - (np.cumsum(sizes) - sizes)[of], sizes
 
 
-def start_parameters(head: int, seed: int = 7) -> dict[str, np.ndarray]:
+def start_parameters(head: int, shape: tuple | None = None, seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    classes = layout(head)[2]
-    draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
+    classes = (shape or layout(head))[2]
+    draw = lambda *size: (rng.standard_normal(size) * 0.1).astype(np.float32)
     return {"embed": draw(head + 2, EMBED), "wx": draw(EMBED, 3 * STATE), "wh": draw(STATE, 3 * STATE), "b": np.zeros(3 * STATE, np.float32),
             "wc": draw(STATE, len(classes)), "bc": np.zeros(len(classes), np.float32),
-            "ww": draw(len(classes), STATE, class_size(head)), "bw": np.zeros((len(classes), class_size(head)), np.float32)}
+            "ww": draw(head + 1, STATE), "bw": np.zeros(head + 1, np.float32)}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -98,27 +103,55 @@ def _cell(inputs: np.ndarray, state: np.ndarray, wh: np.ndarray) -> tuple[np.nda
     return new + keep * (state - new), keep, reset, new, inner[:, 2 * STATE:]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``x`` (overwritten) as exponentials, the sum of each row, and what was taken off each row.
+
+    One number is taken off all rows; only where that leaves too little of a row, its own maximum.
+    """
+    off = x.max()
+    low = x.max(1) < off - 60 if off - x.min() > 60 else None
+    if low is not None and low.any():
+        off = x.max(1, keepdims=True)
+    x -= off
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype), np.broadcast_to(np.reshape(off, -1), len(x))
+
+
+def _log_chosen(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log softmax of each row of ``x`` (overwritten) at its chosen column."""
+    own = x[np.arange(len(x)), chosen]
+    _, sums, off = _exponentials(x)
+    return own - off - np.log(sums)
+
 
+def _softmax_less(x: np.ndarray, chosen: np.ndarray, scale: np.float32) -> np.ndarray:
+    """The gradient of the loss by ``x`` (overwritten): softmax, less one at the chosen column."""
+    x, sums, _ = _exponentials(x)
+    x *= (scale / sums)[:, None]
+    x[np.arange(len(x)), chosen] -= scale
+    return x
 
-def _members(p: dict, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    return p["ww"][k][:, :sizes[k]], p["bw"][k][:sizes[k]]
+
+def _by_class(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[slice, slice]]]:
+    """Rows ordered by class, and for each class of several words that occurs its rows and members."""
+    order = np.argsort(classes, kind="stable")
+    cuts = np.searchsorted(classes[order], np.arange(len(sizes) + 1))
+    begin = np.append(0, np.cumsum(sizes))
+    occurring = np.flatnonzero((np.diff(cuts) > 0) & (sizes > 1))
+    return order, ((slice(cuts[k], cuts[k + 1]), slice(begin[k], begin[k + 1])) for k in occurring.tolist())
 
 
 def log_probabilities(p: dict, states: np.ndarray, symbols: np.ndarray, shape: tuple) -> np.ndarray:
     """Natural log of P(class | state) P(symbol | class, state) for each row."""
     of, place, sizes = shape
-    classes = of[symbols]
-    out = _log_softmax(states @ p["wc"] + p["bc"])[np.arange(len(symbols)), classes].astype(np.float64)
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(len(sizes) + 1))
-    for k in range(1, len(sizes)):
-        rows = order[cuts[k]:cuts[k + 1]]
-        if len(rows) and sizes[k] > 1:
-            w, b = _members(p, sizes, k)
-            out[rows] += _log_softmax(states[rows] @ w + b)[np.arange(len(rows)), place[symbols[rows]]]
+    order, groups = _by_class(of[symbols], sizes)
+    states, symbols = states[order], symbols[order]
+    logs = _log_chosen(states @ p["wc"] + p["bc"], of[symbols]).astype(np.float64)
+    places = place[symbols]
+    for rows, members in groups:
+        logs[rows] += _log_chosen(states[rows] @ p["ww"][members].T + p["bw"][members], places[rows])
+    out = np.empty(len(logs))
+    out[order] = logs
     return out
 
 
@@ -130,63 +163,66 @@ def gradients(p: dict, symbols: np.ndarray, before: np.ndarray, fresh: np.ndarra
     """
     of, place, sizes = shape
     steps, lanes = symbols.shape
-    inputs = p["embed"][before] @ p["wx"] + p["b"]
+    inputs = (p["embed"] @ p["wx"] + p["b"])[before] if before.size > len(p["embed"]) else p["embed"][before] @ p["wx"] + p["b"]
     kept, states = [], np.empty((steps, lanes, STATE), np.float32)
     for t in range(steps):
         entered = np.where(fresh[t][:, None], np.float32(0), state)
         state, keep, reset, new, inner = _cell(inputs[t], entered, p["wh"])
         kept.append((entered, keep, reset, new, inner))
         states[t] = state
-    flat, goal = states.reshape(-1, STATE), symbols.reshape(-1)
+    goal = symbols.reshape(-1)
     scale = np.float32(1 / len(goal))
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    classes = of[goal]
-    d = np.exp(_log_softmax(flat @ p["wc"] + p["bc"]))
-    d[np.arange(len(goal)), classes] -= 1
-    d *= scale
+    order, groups = _by_class(of[goal], sizes)
+    flat, goal = states.reshape(-1, STATE)[order], goal[order]
+    g = {"ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"]), "wh": np.zeros_like(p["wh"])}
+    d = _softmax_less(flat @ p["wc"] + p["bc"], of[goal], scale)
     g["wc"], g["bc"] = flat.T @ d, d.sum(0)
-    down = d @ p["wc"].T
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(len(sizes) + 1))
-    for k in range(1, len(sizes)):
-        rows = order[cuts[k]:cuts[k + 1]]
-        if not len(rows) or sizes[k] < 2:
-            continue
-        w, b = _members(p, sizes, k)
-        d = np.exp(_log_softmax(flat[rows] @ w + b))
-        d[np.arange(len(rows)), place[goal[rows]]] -= 1
-        d *= scale
-        g["ww"][k][:, :sizes[k]], g["bw"][k][:sizes[k]] = flat[rows].T @ d, d.sum(0)
-        down[rows] += d @ w.T
-    down = down.reshape(steps, lanes, STATE)
+    down, places = d @ p["wc"].T, place[goal]
+    for rows, members in groups:
+        w, h = p["ww"][members], flat[rows]
+        d = _softmax_less(h @ w.T + p["bw"][members], places[rows], scale)
+        g["ww"][members], g["bw"][members] = d.T @ h, d.sum(0)
+        down[rows] += d @ w
+    sent = np.empty_like(down)
+    sent[order] = down
+    down = sent.reshape(steps, lanes, STATE)
     carried, gates = np.zeros((lanes, STATE), np.float32), np.empty((steps, lanes, 3 * STATE), np.float32)
+    back = np.empty((lanes, 3 * STATE), np.float32)
     for t in reversed(range(steps)):
         entered, keep, reset, new, inner = kept[t]
         total = down[t] + carried
+        gate = gates[t]
         d_new = total * (1 - keep) * (1 - new * new)
-        d_keep = total * (entered - new) * keep * (1 - keep)
-        d_reset = d_new * inner * reset * (1 - reset)
-        gates[t] = np.concatenate([d_keep, d_reset, d_new], 1)
-        back = np.concatenate([d_keep, d_reset, d_new * reset], 1)
+        gate[:, :STATE] = total * (entered - new) * keep * (1 - keep)
+        gate[:, STATE:2 * STATE] = d_new * inner * reset * (1 - reset)
+        gate[:, 2 * STATE:] = d_new
+        back[:, :2 * STATE] = gate[:, :2 * STATE]
+        back[:, 2 * STATE:] = d_new * reset
         g["wh"] += entered.T @ back
         carried = np.where(fresh[t][:, None], np.float32(0), total * keep + back @ p["wh"].T)
     flat_gates, source = gates.reshape(-1, 3 * STATE), before.reshape(-1)
-    g["b"] = flat_gates.sum(0)
-    g["wx"] = p["embed"][source].T @ flat_gates
-    back = flat_gates @ p["wx"].T
-    g["embed"] = np.stack([np.bincount(source, back[:, i], len(p["embed"])) for i in range(EMBED)], 1).astype(np.float32)
+    # Gates added up for each input symbol: one product with each symbol's row, not with each token's.
+    order = np.argsort(source, kind="stable")
+    found, first = np.unique(source[order], return_index=True)
+    sums = np.add.reduceat(flat_gates[order], first, 0)
+    g["b"] = sums.sum(0)
+    g["wx"] = p["embed"][found].T @ sums
+    g["embed"] = np.zeros_like(p["embed"])
+    g["embed"][found] = sums @ p["wx"].T
     return g, state
 
 
-def train(p: dict, texts: list[np.ndarray], rate: float) -> dict:
+def train(p: dict, texts: list[np.ndarray], rate: float, shape: tuple | None = None) -> dict:
     """One pass of truncated backpropagation (Adam) over texts laid end to end in lanes.
 
-    Every token is learnt from; the first few come again where the lanes need filling.
+    Every token is learnt from; the first few come again where the lanes need filling.  Rows
+    of the tables of words that a window does not touch keep their value and their averages.
     """
     head = len(p["embed"]) - 2
-    shape = layout(head)
+    shape = shape or layout(head)
     if not texts:
         return p
+    of, _, sizes = shape
     stream = np.concatenate(texts)
     first = np.zeros(len(stream), bool)
     first[np.cumsum([0, *map(len, texts[:-1])])] = True
@@ -199,14 +235,26 @@ def train(p: dict, texts: list[np.ndarray], rate: float) -> dict:
     mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     state, n = np.zeros((lanes, STATE), np.float32), 0
     for t in range(0, length, WINDOW):
-        g, state = gradients(p, symbols[t:t + WINDOW], before[t:t + WINDOW], fresh[t:t + WINDOW], state, shape)
+        goal, given = symbols[t:t + WINDOW], before[t:t + WINDOW]
+        g, state = gradients(p, goal, given, fresh[t:t + WINDOW], state, shape)
         n += 1
-        norm = math.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        shrink = np.float32(1 / max(1.0, math.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))))
+        step, even = np.float32(rate / (1 - 0.9 ** n)), np.float32(1 / (1 - 0.99 ** n))
+        seen = np.zeros(len(sizes), bool)
+        seen[of[goal]] = True
+        words = np.flatnonzero(seen[of])
+        touched = {"embed": np.unique(given), "ww": words, "bw": words}
         for k, v in g.items():
-            v = v / max(1.0, norm)
-            mean[k] = 0.9 * mean[k] + 0.1 * v
-            square[k] = 0.99 * square[k] + 0.01 * v * v
-            p[k] -= np.float32(rate) * (mean[k] / (1 - 0.9 ** n)) / (np.sqrt(square[k] / (1 - 0.99 ** n)) + 1e-6)
+            at = touched.get(k, slice(None))
+            v, m, q = v[at] * shrink, mean[k][at], square[k][at]
+            m += np.float32(0.1) * (v - m)
+            v *= v
+            v -= q
+            q += np.float32(0.01) * v
+            mean[k][at], square[k][at] = m, q
+            q = np.sqrt(q * even)
+            q += np.float32(1e-6)
+            p[k][at] -= step * m / q
     return p
 
 
@@ -220,10 +268,10 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
     return {k: v.reshape(like[k].shape) for k, v in zip(names, np.split(flat, cuts))}
 
 
-def text_scores(p: dict, texts: list[np.ndarray]) -> np.ndarray:
+def text_scores(p: dict, texts: list[np.ndarray], shape: tuple | None = None) -> np.ndarray:
     """The log10 probability of each text's symbols.  All texts advance in step, longest first."""
     head = len(p["embed"]) - 2
-    shape = layout(head)
+    shape = shape or layout(head)
     lengths = np.array([len(t) for t in texts])
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
@@ -259,16 +307,18 @@ def text_scores(p: dict, texts: list[np.ndarray]) -> np.ndarray:
 
 # -- on tables -----------------------------------------------------------------------------
 
-def trained(symbols: DataFrame, p: dict, rate: float) -> tuple[dict, int]:
+def trained(symbols: DataFrame, p: dict, rate: float, shape: tuple | None = None) -> tuple[dict, int]:
     """The parameters after a round over all ``symbols`` (one array for each text), and its tokens.
 
     Each task passes over all its texts; the average of the tasks' parameters, weighted by
-    tokens, is taken in Spark, so that the driver gets one set whatever the number of tasks.
+    tokens, is taken in Spark as a tree of at most TREE sets at a node, so that the driver
+    gets one set and no task many, whatever the number of tasks.
     """
-    shipped = symbols.sparkSession.sparkContext.broadcast(p)
+    shape = shape or layout(len(p["embed"]) - 2)
+    shipped = symbols.sparkSession.sparkContext.broadcast((p, shape))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, held, size, n = shipped.value, [], 0, 0
+        (q, classes), held, size, n = shipped.value, [], 0, 0
         for batch in batches:
             column = batch.column(0)
             values, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
@@ -277,9 +327,9 @@ def trained(symbols: DataFrame, p: dict, rate: float) -> tuple[dict, int]:
                 held.append(values[begin:end])
                 size += end - begin
                 if size >= HELD_TOKENS:
-                    q, held, size, n = train(q, held, rate), [], 0, n + size
+                    q, held, size, n = train(q, held, rate, classes), [], 0, n + size
         if held:
-            q, n = train(q, held, rate), n + size
+            q, n = train(q, held, rate, classes), n + size
         if n:
             flat = _flat(q)
             parts = [flat[i:i + PART].tobytes() for i in range(0, len(flat), PART)]
@@ -291,10 +341,15 @@ def trained(symbols: DataFrame, p: dict, rate: float) -> tuple[dict, int]:
     def average(rows: pd.DataFrame) -> pd.DataFrame:
         rows, total = rows.sort_values("task"), int(rows.n.sum())
         out = sum(n / total * np.frombuffer(x, np.float32).astype(np.float64) for n, x in zip(rows.n, rows.p))
-        return pd.DataFrame({"part": [rows.part.iat[0]], "n": [total], "p": [out.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"part": [rows.part.iat[0]], "task": [rows.task.iat[0] // TREE], "n": [total], "p": [out.astype(np.float32).tobytes()]})
 
+    kind, sets = "part int, task int, n long, p binary", symbols.rdd.getNumPartitions()
+    parts = symbols.mapInArrow(shard, kind)
+    while sets > 1:
+        parts = parts.groupBy("part", F.floor(F.col("task") / TREE)).applyInPandas(average, kind)
+        sets = -(-sets // TREE)
     # One set of parameters, in parts.
-    parts = sorted(symbols.mapInArrow(shard, "part int, task int, n long, p binary").groupBy("part").applyInPandas(average, "part int, n long, p binary").collect())
+    parts = sorted(parts.collect())
     if not parts:
         return p, 0
     return _shaped(np.frombuffer(b"".join(bytes(r["p"]) for r in parts), np.float32), p), parts[0]["n"]
@@ -320,12 +375,13 @@ def fit(docs: DataFrame, train_rows: Column, text_col: str = "text") -> dict:
         release()
 
     symbols = materialise(rows.select(text_col).mapInArrow(encode, "symbols array<int>"), "symbols")
-    p, rate, seen = start_parameters(head), RATE, []
+    shape = layout(head, np.append((n or 0) - counts[:head].sum(), counts[:head]))
+    p, rate, seen = start_parameters(head, shape), RATE, []
     for _ in range(ROUNDS):
-        p, tokens = trained(symbols, p, rate)
+        p, tokens = trained(symbols, p, rate, shape)
         seen.append(tokens)
         rate /= 2
-    return model | {"parameters": p, "trained": seen}
+    return model | {"parameters": p, "shape": shape, "trained": seen}
 
 
 NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "n_outside", "logs", "logs_outside", "network", "word", "n"]
@@ -346,10 +402,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """
     head, mass = model["head"], model["N"] + model["V"] + 1
     outside = mass - int(model["counts"][:head].sum()) - head
-    shipped = docs.sparkSession.sparkContext.broadcast((model["parameters"], model["words"], np.log10(model["counts"] + 1.0)))
+    # Parameters put in for another head have the classes that start_parameters gives them.
+    shape = model["shape"] if len(model["shape"][0]) == head + 1 else layout(head)
+    shipped = docs.sparkSession.sparkContext.broadcast((model["parameters"], shape, model["words"], np.log10(model["counts"] + 1.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, words, logs = shipped.value
+        p, shape, words, logs = shipped.value
         known, none = {w: i for i, w in enumerate(words)}, len(words)
         logs = np.append(logs, 0.0)
         facts: list[tuple] = []
@@ -358,7 +416,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
         def scored() -> pa.RecordBatch:
             columns = [list(c) for c in zip(*facts)]
-            return _table([*columns, text_scores(p, symbols), [None] * len(facts), [None] * len(facts)], id_type)
+            return _table([*columns, text_scores(p, symbols, shape), [None] * len(facts), [None] * len(facts)], id_type)
 
         def apart(rows: list, rare: list, times: list) -> pa.RecordBatch:
             return _table([rows, *[[None] * len(rows)] * 8, rare, times], id_type)

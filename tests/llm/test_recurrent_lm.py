@@ -150,3 +150,32 @@ def test_no_token_is_cut_off_between_lanes(monkeypatch):
     monkeypatch.setattr(m, "gradients", lambda p, symbols, *_: (seen.append(symbols.ravel()), ({}, np.zeros(1)))[1])
     m.train(m.start_parameters(3000), [np.arange(1, 2500), np.arange(2500, 3001)], m.RATE)
     assert set(np.concatenate(seen).tolist()) == set(range(1, 3001))
+
+
+@pytest.mark.parametrize("counts", [None, [500, 900, 300, 200, 100, 50] + [3] * 35, [0] + [1] * 40, [7] + [0] * 40])
+def test_classes_are_cut_by_root_frequency_and_hold_every_word_once(counts):
+    of, place, sizes = m.layout(40, None if counts is None else np.array(counts))
+    assert of[0] == 0 and sizes[0] == 1 and sizes.sum() == 41 and (sizes > 0).all()
+    assert (np.diff(of) >= 0).all() and sorted(zip(of.tolist(), place.tolist())) == [(k, i) for k, n in enumerate(sizes.tolist()) for i in range(n)]
+    if counts and len(set(counts)) > 3:
+        assert sizes[1] < sizes[-1] and sizes[-1] > 3
+    p = m.start_parameters(40, (of, place, sizes))
+    logs = m.log_probabilities(p, np.ones((41, m.STATE), np.float32), np.arange(41), (of, place, sizes))
+    assert np.exp(logs).sum() == pytest.approx(1, rel=1e-5)
+    assert all(len(x) == 1 for x in m.layout(0))
+
+
+def test_rows_far_apart_keep_their_softmax():
+    x = np.array([[0.0, 1.0], [500.0, 499.0], [-700.0, -701.0]])
+    want = [x[i, c] - np.logaddexp(*x[i]) for i, c in enumerate((0, 1, 1))]
+    assert m._log_chosen(x.copy(), np.array([0, 1, 1])) == pytest.approx(want)
+    assert m._softmax_less(x.copy(), np.array([0, 1, 1]), 1.0)[2] == pytest.approx([1 / (1 + np.exp(-1)), np.exp(-1) / (1 + np.exp(-1)) - 1])
+
+
+def test_the_average_of_many_tasks_is_a_tree_over_all_of_them(spark, monkeypatch):
+    monkeypatch.setattr(m, "TREE", 2)
+    rows = [([1, 2, 3] * (i % 4 + 1),) for i in range(40)]
+    symbols = spark.createDataFrame(rows, "symbols array<int>").repartition(7)
+    p, n = m.trained(symbols, m.start_parameters(5), 0.0)
+    assert n == sum(len(r[0]) for r in rows)
+    assert all(np.allclose(p[k], v, atol=1e-6) for k, v in m.start_parameters(5).items())
