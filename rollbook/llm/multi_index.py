@@ -23,7 +23,7 @@ from rollbook.llm.base import materialise
 #: Vectors each codebook is fitted on (by a hash of the id), its size, and its rounds.
 FIT_ROWS, CENTROIDS, ROUNDS = 20_000, 64, 12
 #: A query looks at cells until they hold this share of all entries, at least so many.
-SHARE, LEAST = 0.5, 2000
+SHARE, LEAST = 0.5, 256
 #: Entries per block and queries per block of a cell.
 BLOCK, QUERY_BLOCK = 4096, 512
 
@@ -135,8 +135,9 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20
     row whose id satisfies ``is_query``, among all rows with another id.
 
     Ties go to the smaller id, equal rows count once.  Vectors of another length than the most
-    frequent one and unusable ones take no part.  Up to ``least`` different vectors are all
-    searched, so that the result is exact then; no queries or no vectors give no rows.
+    frequent one and unusable ones take no part.  A query looks at
+    ``least`` different vectors at least, and at enough to fill its answer, so that a table of no
+    more than those is searched whole; no queries or no vectors give no rows.
     """
     spark = vectors.sparkSession
     rows = materialise(usable(vectors, id_col, vector_col), "vectors")
@@ -170,7 +171,7 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20
     for r in sizes:
         counts[r["first"], r["second"]] = r["count"]
     total = int(counts.sum())
-    walk = spark.sparkContext.broadcast((books, counts, total if total <= least else max(least, int(np.ceil(share * total)))))
+    walk = spark.sparkContext.broadcast((books, counts, min(total, max(least, k + 1, int(np.ceil(share * total))))))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (left, right), table, goal = walk.value

@@ -32,6 +32,7 @@ ARCHIVE_BYTES = 32_000_000
 TRAIN_RECORDS, TRAIN_BYTES, DICTIONARY_BYTES = 200, 1_000_000, 16_384
 LEVEL = 3
 CHUNK = 1 << 16
+#: Bytes of a record that a task can hold: a row of Spark takes no more either.
 MAX_RECORD = 1 << 30
 
 RECORD = ("archive string, offset long, record_id string, record_type string, target_uri string, warc_date string, "
@@ -116,7 +117,11 @@ def read_dictionary(data: memoryview) -> tuple[zstandard.ZstdCompressionDict | N
 
 
 def frames(data: memoryview) -> Iterator[tuple[int, bytes | None, str | None]]:
-    """(offset, decoded frame, error) of each frame; after damage the rest is one error."""
+    """(offset, decoded frame, error) of each frame; after damage the rest is one error.
+
+    A record of more than MAX_RECORD bytes is one error and none of it is held; the frames
+    behind it are read.
+    """
     try:
         dictionary, at = read_dictionary(data)
     except (ValueError, zstandard.ZstdError) as e:
@@ -135,12 +140,15 @@ def frames(data: memoryview) -> Iterator[tuple[int, bytes | None, str | None]]:
                 parts.append(one.decompress(piece))
                 size += len(parts[-1])
                 if size > MAX_RECORD:
-                    raise ValueError("record too long")
+                    parts.clear()
                 at += len(piece) - (len(one.unused_data) if one.eof else 0)
         except (ValueError, zstandard.ZstdError) as e:
             yield begin, None, f"frame: {e}"
             return
-        yield begin, b"".join(parts), None
+        if size > MAX_RECORD:
+            yield begin, None, "frame: record too long"
+        else:
+            yield begin, b"".join(parts), None
 
 
 def parse_record(raw: bytes) -> dict:

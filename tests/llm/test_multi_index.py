@@ -92,3 +92,19 @@ def test_walk_visits_cells_by_rising_sum():
 def test_codebook_of_few_different_rows():
     assert len(m.codebook(np.array([[1.0, 2], [1, 2], [3, 4]]), 8, 0)) == 2
     assert m.codebook(np.random.default_rng(0).normal(size=(100, 3)), 8, 0).shape == (8, 3)
+
+
+@pytest.mark.parametrize("n", [600, 1800])
+def test_recall_at_two_sizes_without_structure(spark, n):
+    """One rule at every size: half of all vectors, 256 at least, through the cells."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 16)).astype(np.float32).astype(float)
+    got = m.search(table(spark, list(enumerate(x.tolist()))), lambda c: c % 20 == 0).collect()
+    hits = 0
+    for q in range(0, n, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        mine = {r.vec_id for r in got if r.query_id == q}
+        assert len(mine) == 20
+        hits += len(mine & set(np.argsort(-s)[:20].tolist()))
+    assert hits / n >= 0.9

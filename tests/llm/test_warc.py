@@ -87,3 +87,14 @@ def test_damaged_archive(spark, tmp_path):
     got = warc.read_archives(spark, f"file://{tmp_path}").collect()
     assert len(got) == 40 and sum(r.error is None for r in got) == 39
     assert next(iter(warc.frames(memoryview(warc.DICTIONARY_MAGIC + b"\x10"))))[2].startswith("dictionary")
+
+
+@pytest.mark.parametrize("n", [0, 3])
+def test_a_record_too_long_does_not_hide_those_behind_it(tmp_path, monkeypatch, n):
+    monkeypatch.setattr(warc, "MAX_RECORD", 200_000)
+    records = [warc.record_bytes(f"urn:r:{i}", "http://x", "2024-01-01T00:00:00Z", b"p" * (500_000 if i == n else 10 + i), None) for i in range(5)]
+    (path, count, _), = warc.write_archives(records, str(tmp_path), "a")
+    found = list(warc.frames(memoryview(open(path, "rb").read())))
+    assert count == len(found) == 5 and len({offset for offset, _, _ in found}) == 5
+    assert [error for _, _, error in found] == ["frame: record too long" if i == n else None for i in range(5)]
+    assert [raw for _, raw, _ in found] == [None if i == n else r for i, r in enumerate(records)]
