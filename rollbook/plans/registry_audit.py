@@ -3,11 +3,15 @@ declared rule lists (schema.py) but evaluated independently by DuckDB."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.catalog import register
-from rollbook.operators import audit, people
+from rollbook.operators import audit, people, stored
 from rollbook.operators.audit import decimal_columns
+from rollbook.plans.dims import fresh_folder
 from rollbook.sources.schema import (
     ALLOWED_VALUES, FOREIGN_KEYS, MAX_LENGTHS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS, not_null_columns)
 
@@ -137,3 +141,14 @@ register("audit_enrollment_class_year_dirty", _DIRTY_SQL + _class_year_sql("dirt
 register("unassigned_subjects_dirty", _DIRTY_SQL + """
 SELECT subject_id, subject_name, class_id, academic_year_id FROM dirty_subjects WHERE teacher_id IS NULL
 """)(lambda s: people.unassigned_subjects(_dirty(s)).select("subject_id", "subject_name", "class_id", "academic_year_id"))
+
+
+# Q3 while writing: every table is written, and its rules are counted on the way.
+def _written_values(s) -> DataFrame:
+    path = fresh_folder(s.spark, "written")
+    return reduce(DataFrame.unionByName, [stored.write_observed(s.table(t), t, f"{path}/{t}") for t in SCHEMAS if audit.value_rules(t)])
+
+
+register("write_observed_values", _values_sql())(_written_values)
+
+register("write_observed_values_dirty", _DIRTY_SQL + _values_sql("dirty_"))(lambda s: _written_values(_dirty(s)))

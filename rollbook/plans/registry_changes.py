@@ -12,9 +12,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from rollbook.catalog import AS_OF, register
-from rollbook.operators import changes
-from rollbook.plans.dims import in_active_year
+from rollbook.catalog import AS_OF, REGISTRY, register
+from rollbook.operators import changes, fees, lifecycle, stored, totals
+from rollbook.plans.dims import fresh_folder, in_active_year
 
 ATTENDANCE_DAY = dt.date(2024, 1, 15)
 
@@ -490,6 +490,17 @@ SELECT (SELECT max(attendance_id) FROM attendance_students)
 """)(lambda s: changes.mark_attendance(s, _attendance_batch(s))[0])
 
 
+# The same batch on attendance stored by month; the result is the whole table as it is read back.
+def _attendance_in_place(s):
+    path = fresh_folder(s.spark, "stored")
+    stored.write_partitioned(s.attendance_students, "attendance_students", path)
+    stored.mark_attendance(s, path, _attendance_batch(s))
+    return stored.read_partitioned(s.spark, "attendance_students", path).drop(stored.PART)
+
+
+REGISTRY["mark_attendance_stored"] = (_attendance_in_place, REGISTRY["mark_attendance"][1])
+
+
 # Batches with rows that must be refused: by the last digit of the roll number some have a bad
 # value, a missing one, an unknown parent or a repeated key.  What is stored must survive them.
 def _digit(d: int):
@@ -661,3 +672,78 @@ SELECT CAST(CASE WHEN class_id % 4 = 3 THEN 12 ELSE class_level END AS INTEGER)
   FROM classes
 """)(lambda s: changes.append_rows(s, "classes", _bad_classes(s), ["class_level", "division"])[1].select(
     "class_level", "division", "academic_year_id", "reason"))
+
+
+# R1, R8 and R15 from totals after three batches: new payments (W1), new fees of the active year (W5),
+# and the students who have left are deleted with all that is theirs.
+def _changed(s):
+    """(school after the batches, its totals, folded and never counted again)."""
+    kept = totals.count_totals(s)
+    path = fresh_folder(s.spark, "totals")
+    totals.write_totals(kept, path)
+    kept = totals.read_totals(s.spark, path)
+    paid = _append_payments(s)[0]
+    kept = totals.fold(kept, totals.payments_stored(paid))
+    s = s.replace(fee_payments=s.fee_payments.unionByName(paid))
+    batch = _fee_batch(s)
+    table, _ = changes.assign_fees(s, batch, "upsert")
+    kept = totals.fold(kept, totals.fees_assigned(s, table, batch))
+    s = s.replace(student_fee_assignments=table)
+    left = s.student_enrollments.where("status = 'left'").select("student_master_id").distinct()
+    gone = s.student_enrollments.join(left, "student_master_id", "left_semi")
+    kept = totals.fold(kept, totals.enrollments_deleted(s, gone))
+    return lifecycle.delete_cascade(s, "student_master", left), kept
+
+
+_CHANGED_SQL = _PAYMENT_BATCH_SQL + f"""
+, staying AS (SELECT * FROM student_enrollments
+               WHERE student_master_id NOT IN (SELECT student_master_id FROM student_enrollments WHERE status = 'left'))
+, payments AS (
+  SELECT enrollment_id, payment_date, amount_paid FROM fee_payments SEMI JOIN staying USING (enrollment_id)
+  UNION ALL
+  SELECT enrollment_id, payment_date, amount_paid FROM checked SEMI JOIN staying USING (enrollment_id) WHERE reason IS NULL
+)
+, new_fees AS (
+  SELECT enrollment_id, CAST(50000 + 1000 * class_level AS DECIMAL(10,2)) AS fee
+    FROM staying JOIN classes USING (class_id) JOIN academic_years ON academic_years.academic_year_id = staying.academic_year_id WHERE is_active
+)
+, assignments AS (
+  SELECT enrollment_id, coalesce(fee, total_amount) AS total_amount
+    FROM student_fee_assignments SEMI JOIN staying USING (enrollment_id) LEFT JOIN new_fees USING (enrollment_id)
+  UNION ALL
+  SELECT enrollment_id, fee FROM new_fees WHERE enrollment_id NOT IN (SELECT enrollment_id FROM student_fee_assignments)
+)
+, paid AS (SELECT enrollment_id, sum(amount_paid) AS paid, count(*) AS n_payments FROM payments GROUP BY enrollment_id)
+, fees AS (SELECT enrollment_id, sum(total_amount) AS fee, count(*) AS n_assign FROM assignments GROUP BY enrollment_id)
+"""
+
+register("fee_status_from_totals", _CHANGED_SQL + """
+, lines AS (SELECT enrollment_id, total_amount, count(*) AS n_copies FROM assignments GROUP BY enrollment_id, total_amount)
+SELECT enrollment_id, student_master_id, reg_no, concat(fname, ' ', lname) AS student_name, roll_no, class_level, division, mobile, year_name,
+       CAST(coalesce(total_amount, 0) AS DOUBLE) AS total_amount, CAST(coalesce(paid * coalesce(n_copies, 1), 0) AS DOUBLE) AS total_paid,
+       CAST(coalesce(total_amount, 0) - coalesce(paid * coalesce(n_copies, 1), 0) AS DOUBLE) AS total_pending
+  FROM staying LEFT JOIN lines USING (enrollment_id) LEFT JOIN paid USING (enrollment_id)
+  JOIN student_master USING (student_master_id) JOIN classes USING (class_id)
+  JOIN academic_years ON academic_years.academic_year_id = staying.academic_year_id WHERE is_active
+""")(lambda s: fees.fee_status(*_changed(s)))
+
+register("fee_summary_from_totals", _CHANGED_SQL + """
+SELECT academic_year_id, CAST(sum(fee) AS DOUBLE) AS total_fees, CAST(coalesce(sum(paid), 0) AS DOUBLE) AS collected,
+       CAST(sum(fee) - coalesce(sum(paid), 0) AS DOUBLE) AS pending
+  FROM fees JOIN staying USING (enrollment_id) LEFT JOIN paid USING (enrollment_id) GROUP BY academic_year_id
+""")(lambda s: (lambda now, kept: fees.fee_summary(now, totals=kept))(*_changed(s)))
+
+register("fee_summary_as_written_from_totals", _CHANGED_SQL + """
+SELECT academic_year_id, CAST(sum(a.total_amount) AS DOUBLE) AS total_fees, CAST(sum(p.amount_paid) AS DOUBLE) AS collected,
+       CAST(sum(a.total_amount) - sum(p.amount_paid) AS DOUBLE) AS pending
+  FROM staying JOIN assignments a USING (enrollment_id) LEFT JOIN payments p USING (enrollment_id) GROUP BY academic_year_id
+""")(lambda s: (lambda now, kept: fees.fee_summary_as_written(now, totals=kept))(*_changed(s)))
+
+register("accountant_dashboard_from_totals", _CHANGED_SQL + f"""
+, due AS (SELECT sum(fee - coalesce(paid, 0) * n_assign) AS total_pending
+            FROM fees JOIN staying USING (enrollment_id) JOIN academic_years USING (academic_year_id) LEFT JOIN paid USING (enrollment_id) WHERE is_active)
+SELECT (SELECT count(*) FROM staying JOIN academic_years USING (academic_year_id) WHERE is_active) AS total_students,
+       CAST(coalesce((SELECT sum(amount_paid) FROM payments WHERE date_trunc('month', payment_date) = DATE '{AS_OF:%Y-%m}-01'), 0) AS DOUBLE) AS monthly_collection,
+       CAST(coalesce((SELECT sum(amount_paid) FROM payments), 0) AS DOUBLE) AS total_collected,
+       CAST(coalesce(total_pending, 0) AS DOUBLE) AS total_pending FROM due
+""")(lambda s: (lambda now, kept: fees.accountant_dashboard(now, AS_OF, totals=kept))(*_changed(s)))

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.catalog import register
-from rollbook.operators import lifecycle
+from rollbook.operators import lifecycle, stored
 from rollbook.operators.changes import append, append_rows
-from rollbook.plans.dims import cut_lineage, in_active_year
+from rollbook.plans.dims import cut_lineage, fresh_folder, in_active_year
 from rollbook.sources.schema import SCHEMAS
 
 ADMIT_DAY = dt.date(2001, 6, 1)
@@ -71,6 +71,23 @@ SELECT (SELECT max(mark_id) FROM marks) + row_number() OVER (ORDER BY enrollment
 """)(lambda s: lifecycle.add_marks(s, marks_batch(s))[1])
 
 
+# W9 on marks stored by exam: the same batch; the result is the whole table as it is read back.
+def _marks_in_place(s) -> DataFrame:
+    path = fresh_folder(s.spark, "stored")
+    stored.write_partitioned(s.marks, "marks", path)
+    return stored.add_marks(s, path, marks_batch(s))[0].marks
+
+
+register("add_marks_stored", _MARKS_SQL + f"""
+SELECT mark_id, enrollment_id, subject_id, exam_id, CAST(marks_obtained AS DOUBLE) AS marks_obtained, CAST(max_marks AS DOUBLE) AS max_marks, grade
+  FROM marks ANTI JOIN rows USING (enrollment_id, subject_id, exam_id)
+UNION ALL
+SELECT (SELECT max(mark_id) FROM marks) + row_number() OVER (ORDER BY enrollment_id, subject_id, exam_id), enrollment_id, subject_id, exam_id,
+       CAST(marks_obtained AS DOUBLE), CAST(max_marks AS DOUBLE), {_GRADE_SQL}
+  FROM rows
+""")(_marks_in_place)
+
+
 # Marks of which some must be refused, by the last digit of the roll number: an exam name that is
 # too long, a number that does not fit, an unknown subject or enrollment, a repeated triple.
 def bad_marks_batch(s) -> DataFrame:

@@ -1,75 +1,17 @@
-"""Registered changes of stored tables, checked writes, distinct counts from parts and totals kept by
-signed rows, with DuckDB oracles that know nothing of partitions, parts or totals: each
-states the whole result again from all rows."""
+"""Registered distinct counts from stored parts, with DuckDB oracles that count all rows again."""
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from rollbook.catalog import AS_OF, REGISTRY, register
-from rollbook.operators import changes, fees, lifecycle, parts, stored, totals
-from rollbook.operators.audit import value_rules
-from rollbook.plans import registry_audit as audits
-from rollbook.plans import registry_changes as batches
-from rollbook.plans.dims import checkpoint_dir
-from rollbook.plans.registry_lifecycle import _GRADE_SQL, _MARKS_SQL, marks_batch
-from rollbook.sources.schema import SCHEMAS
-
-
-def _folder(spark) -> str:
-    """A fresh folder on the cluster's shared storage."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-
-
-# W8 and W9 on stored tables: the batches of `mark_attendance` and `add_marks`; the result is the whole
-# table as it is read back.
-def _attendance_in_place(s) -> DataFrame:
-    path = _folder(s.spark)
-    stored.write_partitioned(s.attendance_students, "attendance_students", path)
-    stored.mark_attendance(s, path, batches._attendance_batch(s))
-    return stored.read_partitioned(s.spark, "attendance_students", path).drop(stored.PART)
-
-
-def _marks_in_place(s) -> DataFrame:
-    path = _folder(s.spark)
-    stored.write_partitioned(s.marks, "marks", path)
-    return stored.add_marks(s, path, marks_batch(s))[0].marks
-
-
-def _same_statement(name: str, of: str, fn) -> None:
-    REGISTRY[name] = (fn, REGISTRY[of][1])
-
-
-_same_statement("mark_attendance_stored", "mark_attendance", _attendance_in_place)
-
-register("add_marks_stored", _MARKS_SQL + f"""
-SELECT mark_id, enrollment_id, subject_id, exam_id, CAST(marks_obtained AS DOUBLE) AS marks_obtained, CAST(max_marks AS DOUBLE) AS max_marks, grade
-  FROM marks ANTI JOIN rows USING (enrollment_id, subject_id, exam_id)
-UNION ALL
-SELECT (SELECT max(mark_id) FROM marks) + row_number() OVER (ORDER BY enrollment_id, subject_id, exam_id), enrollment_id, subject_id, exam_id,
-       CAST(marks_obtained AS DOUBLE), CAST(max_marks AS DOUBLE), {_GRADE_SQL}
-  FROM rows
-""")(_marks_in_place)
 
-
-# Q3 while writing: every table is written, and its rules are counted on the way.
-def _written_values(s) -> DataFrame:
-    path = _folder(s.spark)
-    return reduce(DataFrame.unionByName, [stored.write_observed(s.table(t), t, f"{path}/{t}") for t in SCHEMAS if value_rules(t)])
-
-
-_same_statement("write_observed_values", "audit_values", _written_values)
-
-register("write_observed_values_dirty", audits._DIRTY_SQL + audits._values_sql("dirty_"))(lambda s: _written_values(audits._dirty(s)))
+from rollbook.catalog import register
+from rollbook.operators import parts
+from rollbook.plans.dims import fresh_folder
 
 
 # Distinct counts from parts, written first and merged as they are read again.
 def _kept(df: DataFrame) -> DataFrame:
-    path = _folder(df.sparkSession)
+    path = fresh_folder(df.sparkSession, "parts")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -92,78 +34,3 @@ register("students_by_teacher", """
 SELECT teacher_id, count(DISTINCT student_master_id) AS students
   FROM subjects JOIN student_enrollments USING (class_id) WHERE teacher_id IS NOT NULL GROUP BY teacher_id
 """)(lambda s: parts.teacher_students(s, _kept(parts.student_parts(s))))
-
-
-# R1, R8 and R15 from totals after three batches: new payments (W1), new fees of the active year (W5),
-# and the students who have left are deleted with all that is theirs.
-def _changed(s):
-    """(school after the batches, its totals, folded and never counted again)."""
-    kept = totals.count_totals(s)
-    path = _folder(s.spark)
-    totals.write_totals(kept, path)
-    kept = totals.read_totals(s.spark, path)
-    paid = batches._append_payments(s)[0]
-    kept = totals.fold(kept, totals.payments_stored(paid))
-    s = s.replace(fee_payments=s.fee_payments.unionByName(paid))
-    batch = batches._fee_batch(s)
-    table, _ = changes.assign_fees(s, batch, "upsert")
-    kept = totals.fold(kept, totals.fees_assigned(s, table, batch))
-    s = s.replace(student_fee_assignments=table)
-    left = s.student_enrollments.where("status = 'left'").select("student_master_id").distinct()
-    gone = s.student_enrollments.join(left, "student_master_id", "left_semi")
-    kept = totals.fold(kept, totals.enrollments_deleted(s, gone))
-    return lifecycle.delete_cascade(s, "student_master", left), kept
-
-
-_CHANGED_SQL = batches._PAYMENT_BATCH_SQL + f"""
-, staying AS (SELECT * FROM student_enrollments
-               WHERE student_master_id NOT IN (SELECT student_master_id FROM student_enrollments WHERE status = 'left'))
-, payments AS (
-  SELECT enrollment_id, payment_date, amount_paid FROM fee_payments SEMI JOIN staying USING (enrollment_id)
-  UNION ALL
-  SELECT enrollment_id, payment_date, amount_paid FROM checked SEMI JOIN staying USING (enrollment_id) WHERE reason IS NULL
-)
-, new_fees AS (
-  SELECT enrollment_id, CAST(50000 + 1000 * class_level AS DECIMAL(10,2)) AS fee
-    FROM staying JOIN classes USING (class_id) JOIN academic_years ON academic_years.academic_year_id = staying.academic_year_id WHERE is_active
-)
-, assignments AS (
-  SELECT enrollment_id, coalesce(fee, total_amount) AS total_amount
-    FROM student_fee_assignments SEMI JOIN staying USING (enrollment_id) LEFT JOIN new_fees USING (enrollment_id)
-  UNION ALL
-  SELECT enrollment_id, fee FROM new_fees WHERE enrollment_id NOT IN (SELECT enrollment_id FROM student_fee_assignments)
-)
-, paid AS (SELECT enrollment_id, sum(amount_paid) AS paid, count(*) AS n_payments FROM payments GROUP BY enrollment_id)
-, fees AS (SELECT enrollment_id, sum(total_amount) AS fee, count(*) AS n_assign FROM assignments GROUP BY enrollment_id)
-"""
-
-register("fee_status_from_totals", _CHANGED_SQL + """
-, lines AS (SELECT enrollment_id, total_amount, count(*) AS n_copies FROM assignments GROUP BY enrollment_id, total_amount)
-SELECT enrollment_id, student_master_id, reg_no, concat(fname, ' ', lname) AS student_name, roll_no, class_level, division, mobile, year_name,
-       CAST(coalesce(total_amount, 0) AS DOUBLE) AS total_amount, CAST(coalesce(paid * coalesce(n_copies, 1), 0) AS DOUBLE) AS total_paid,
-       CAST(coalesce(total_amount, 0) - coalesce(paid * coalesce(n_copies, 1), 0) AS DOUBLE) AS total_pending
-  FROM staying LEFT JOIN lines USING (enrollment_id) LEFT JOIN paid USING (enrollment_id)
-  JOIN student_master USING (student_master_id) JOIN classes USING (class_id)
-  JOIN academic_years ON academic_years.academic_year_id = staying.academic_year_id WHERE is_active
-""")(lambda s: fees.fee_status(*_changed(s)))
-
-register("fee_summary_from_totals", _CHANGED_SQL + """
-SELECT academic_year_id, CAST(sum(fee) AS DOUBLE) AS total_fees, CAST(coalesce(sum(paid), 0) AS DOUBLE) AS collected,
-       CAST(sum(fee) - coalesce(sum(paid), 0) AS DOUBLE) AS pending
-  FROM fees JOIN staying USING (enrollment_id) LEFT JOIN paid USING (enrollment_id) GROUP BY academic_year_id
-""")(lambda s: (lambda now, kept: fees.fee_summary(now, totals=kept))(*_changed(s)))
-
-register("fee_summary_as_written_from_totals", _CHANGED_SQL + """
-SELECT academic_year_id, CAST(sum(a.total_amount) AS DOUBLE) AS total_fees, CAST(sum(p.amount_paid) AS DOUBLE) AS collected,
-       CAST(sum(a.total_amount) - sum(p.amount_paid) AS DOUBLE) AS pending
-  FROM staying JOIN assignments a USING (enrollment_id) LEFT JOIN payments p USING (enrollment_id) GROUP BY academic_year_id
-""")(lambda s: (lambda now, kept: fees.fee_summary_as_written(now, totals=kept))(*_changed(s)))
-
-register("accountant_dashboard_from_totals", _CHANGED_SQL + f"""
-, due AS (SELECT sum(fee - coalesce(paid, 0) * n_assign) AS total_pending
-            FROM fees JOIN staying USING (enrollment_id) JOIN academic_years USING (academic_year_id) LEFT JOIN paid USING (enrollment_id) WHERE is_active)
-SELECT (SELECT count(*) FROM staying JOIN academic_years USING (academic_year_id) WHERE is_active) AS total_students,
-       CAST(coalesce((SELECT sum(amount_paid) FROM payments WHERE date_trunc('month', payment_date) = DATE '{AS_OF:%Y-%m}-01'), 0) AS DOUBLE) AS monthly_collection,
-       CAST(coalesce((SELECT sum(amount_paid) FROM payments), 0) AS DOUBLE) AS total_collected,
-       CAST(coalesce(total_pending, 0) AS DOUBLE) AS total_pending FROM due
-""")(lambda s: (lambda now, kept: fees.accountant_dashboard(now, AS_OF, totals=kept))(*_changed(s)))
