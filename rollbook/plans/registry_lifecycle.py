@@ -205,30 +205,49 @@ SELECT (SELECT max(enrollment_id) FROM student_enrollments) + row_number() OVER
 """)(lambda s: rollover(s)[0])
 
 
-# Admit a sibling of every student into the latest year; students without a last name
+def _latest_classes(s):
+    """The latest year that has classes, and the sorted ids of its classes."""
+    year = s.classes.agg(F.max("academic_year_id")).scalar()
+    ids = s.classes.where(F.col("academic_year_id") == year).agg(F.array_sort(F.collect_list("class_id"))).scalar()
+    return year, ids
+
+
+_LATEST_SQL = """
+, latest AS (
+  SELECT list(class_id ORDER BY class_id) AS ids, max(academic_year_id) AS year FROM classes
+   WHERE academic_year_id = (SELECT max(academic_year_id) FROM classes)
+)"""
+
+
+# Admit a sibling of every student into a class of the latest year; students without a last name
 # come without a gender (refused), machinery-segment students reuse their own reg_no (refused).
 def admission_batch(s) -> DataFrame:
     sm = s.student_master
     sid = F.col("student_master_id")
+    year, ids = _latest_classes(s)
     return sm.select(
         F.when(F.col("address") == "MACHINERY", F.col("reg_no"))
          .otherwise(F.concat(F.lit("A"), sid.cast("string"))).alias("reg_no"),
         "fname", F.when(F.col("lname").isNull(), F.lit(None)).otherwise(F.col("gender")).alias("gender"),
-        (F.lit(1000000000) + sid).cast("int").alias("roll_no"), (3181 + sid % 30).alias("class_id"),
-        F.lit(7007).cast("long").alias("academic_year_id"), F.lit(ADMIT_DAY).alias("admission_date"))
+        (F.lit(1000000000) + sid).cast("int").alias("roll_no"),
+        F.get(ids, (sid % F.size(ids)).cast("int")).alias("class_id"),
+        year.alias("academic_year_id"), F.lit(ADMIT_DAY).alias("admission_date"))
 
 
-register("admit_students", f"""
+_ADMISSION_SQL = f"""{_LATEST_SQL}
 , batch AS (
   SELECT CASE WHEN address = 'MACHINERY' THEN reg_no ELSE 'A' || CAST(student_master_id AS VARCHAR) END
            AS reg_no,
          fname, CASE WHEN lname IS NULL THEN NULL ELSE gender END AS gender,
-         CAST(1000000000 + student_master_id AS INTEGER) AS roll_no, 3181 + student_master_id % 30 AS class_id,
-         CAST(7007 AS BIGINT) AS academic_year_id, DATE '{ADMIT_DAY}' AS admission_date
-    FROM student_master
+         CAST(1000000000 + student_master_id AS INTEGER) AS roll_no,
+         ids[1 + student_master_id % len(ids)] AS class_id, year AS academic_year_id, DATE '{ADMIT_DAY}' AS admission_date
+    FROM student_master, latest
 ), ok AS (
   SELECT * FROM batch WHERE gender IS NOT NULL AND reg_no NOT IN (SELECT reg_no FROM student_master)
 )
+"""
+
+register("admit_students", _ADMISSION_SQL + """
 SELECT (SELECT max(student_master_id) FROM student_master) + row_number() OVER (ORDER BY reg_no)
          AS student_master_id,
        (SELECT max(enrollment_id) FROM student_enrollments) + row_number() OVER (ORDER BY reg_no) AS enrollment_id,
@@ -238,9 +257,16 @@ SELECT (SELECT max(student_master_id) FROM student_master) + row_number() OVER (
     "student_master_id", "enrollment_id", "reg_no", "fname", "gender", "roll_no", "class_id",
     "academic_year_id", "admission_date"))
 
+register("admit_students_rejected", _ADMISSION_SQL + """
+SELECT reg_no, fname, roll_no, class_id, academic_year_id,
+       CASE WHEN gender IS NULL THEN 'missing:gender' ELSE 'duplicate_key:reg_no' END AS reason
+  FROM batch WHERE gender IS NULL OR reg_no IN (SELECT reg_no FROM student_master)
+""")(lambda s: lifecycle.admit_students(s, admission_batch(s), ["reg_no"])[2].select(
+    "reg_no", "fname", "roll_no", "class_id", "academic_year_id", "reason"))
+
 
 # Register every employee again as new staff (employees with gender 'Other' come without
-# a role and are refused) and every building-segment student as a new student login.
+# a role and are refused) and every student as a new student login in a class of the latest year.
 def registration_batch(s) -> DataFrame:
     eid, sid = F.col("employee_id"), F.col("student_master_id")
     staff = s.employees.select(
@@ -249,10 +275,12 @@ def registration_batch(s) -> DataFrame:
          .when(eid % 10 == 0, F.lit("accountant")).otherwise(F.lit("teacher")).alias("role"),
         F.lit(HIRE_DAY).alias("date"), "salary", F.lit(None).cast("int").alias("roll_no"),
         F.concat(F.lit("R"), eid.cast("string")).alias("reg_no"), F.lit(None).cast("long").alias("class_id"))
-    students = s.student_master.where(F.col("address") == "BUILDING").select(
+    _, ids = _latest_classes(s)
+    students = s.student_master.select(
         "fname", F.lit("student").alias("role"), F.lit(ADMIT_DAY).alias("date"),
         F.lit(None).cast("decimal(10,2)").alias("salary"), (F.lit(1500000000) + sid).cast("int").alias("roll_no"),
-        F.concat(F.lit("G"), sid.cast("string")).alias("reg_no"), (3181 + sid % 30).alias("class_id"))
+        F.concat(F.lit("G"), sid.cast("string")).alias("reg_no"),
+        F.get(ids, (sid % F.size(ids)).cast("int")).alias("class_id"))
     return staff.unionByName(students)
 
 
@@ -265,7 +293,6 @@ register("register_people", """
     FROM employees
   UNION ALL
   SELECT fname, 'student', 'G' || CAST(student_master_id AS VARCHAR) FROM student_master
-   WHERE address = 'BUILDING'
 ), ok AS (SELECT * FROM batch WHERE role IS NOT NULL)
 SELECT (SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY reg_no) AS user_id, reg_no AS username, role,
        CASE WHEN role <> 'student' THEN (SELECT max(employee_id) FROM employees)
@@ -278,31 +305,16 @@ SELECT (SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY reg_no) AS
 """)(lambda s: lifecycle.register_people(s, registration_batch(s), ["reg_no"])[1])
 
 
-# The same staff, and every student as a new login in a class of the latest year that has classes.
-def whole_registration_batch(s) -> DataFrame:
-    sid = F.col("student_master_id")
-    latest = s.classes.where(F.col("academic_year_id") == s.classes.agg(F.max("academic_year_id")).scalar())
-    ids = latest.agg(F.array_sort(F.collect_list("class_id"))).scalar()
-    students = s.student_master.select(
-        "fname", F.lit("student").alias("role"), F.lit(ADMIT_DAY).alias("date"),
-        F.lit(None).cast("decimal(10,2)").alias("salary"), (F.lit(1500000000) + sid).cast("int").alias("roll_no"),
-        F.concat(F.lit("G"), sid.cast("string")).alias("reg_no"),
-        F.get(ids, (sid % F.size(ids)).cast("int")).alias("class_id"))
-    return registration_batch(s).where(F.col("role").isNull() | (F.col("role") != "student")).unionByName(students)
-
-
+# The same batch, with the class and year of each new enrollment.
 def _register_all(s) -> DataFrame:
-    after, accepted, _ = lifecycle.register_people(s, whole_registration_batch(s), ["reg_no"])
+    after, accepted, _ = lifecycle.register_people(s, registration_batch(s), ["reg_no"])
     placed = after.student_enrollments.select("enrollment_id", "class_id", "academic_year_id")
     return accepted.select("user_id", "username", "role", "employee_id", "student_master_id", "enrollment_id").join(
         placed, "enrollment_id", "left")
 
 
-register("register_all_people", """
-, latest AS (
-  SELECT list(class_id ORDER BY class_id) AS ids, max(academic_year_id) AS year FROM classes
-   WHERE academic_year_id = (SELECT max(academic_year_id) FROM classes)
-), batch AS (
+register("register_all_people", _LATEST_SQL + """
+, batch AS (
   SELECT CASE WHEN gender = 'Other' THEN NULL WHEN employee_id % 10 = 0 THEN 'accountant' ELSE 'teacher' END
            AS role,
          'R' || CAST(employee_id AS VARCHAR) AS reg_no, CAST(NULL AS BIGINT) AS class_id, CAST(NULL AS BIGINT) AS year
@@ -382,17 +394,18 @@ register("delete_cascade", """
 """ + _sizes_sql())(_delete_inactive)
 
 
-# What is left, row by row, after deleting classes, a year, students and employees.
+# What is left, row by row, after deleting classes without a teacher, the first year, students
+# without a last name and employees of one gender.
 def _deleted(s, table: str, keys):
     return lifecycle.delete_cascade(s, table, keys)
 
 
 register("delete_classes_marks", """
-, gone AS (SELECT class_id FROM classes WHERE class_id % 5 = 0)
+, gone AS (SELECT class_id FROM classes WHERE class_teacher_id IS NULL)
 SELECT mark_id, enrollment_id, subject_id, exam_id, CAST(marks_obtained AS DOUBLE) AS marks_obtained, CAST(max_marks AS DOUBLE) AS max_marks, grade FROM marks
  WHERE enrollment_id NOT IN (SELECT enrollment_id FROM student_enrollments SEMI JOIN gone USING (class_id))
    AND subject_id NOT IN (SELECT subject_id FROM subjects SEMI JOIN gone USING (class_id))
-""")(lambda s: _deleted(s, "classes", s.classes.where("class_id % 5 = 0")).marks)
+""")(lambda s: _deleted(s, "classes", s.classes.where("class_teacher_id IS NULL")).marks)
 
 register("delete_year_payments", """
 SELECT payment_id, enrollment_id, CAST(amount_paid AS DOUBLE) AS amount_paid, payment_date, payment_mode, receipt_no FROM fee_payments
@@ -400,12 +413,16 @@ SELECT payment_id, enrollment_id, CAST(amount_paid AS DOUBLE) AS amount_paid, pa
 """)(lambda s: _deleted(s, "academic_years", s.academic_years.orderBy("academic_year_id").limit(1)).fee_payments)
 
 register("delete_students_attendance", """
-SELECT a.* FROM attendance_students a JOIN student_enrollments se USING (enrollment_id) WHERE se.student_master_id % 3 <> 0
-""")(lambda s: _deleted(s, "student_master", s.student_master.where("student_master_id % 3 = 0")).attendance_students)
+SELECT a.* FROM attendance_students a
+  JOIN student_enrollments se ON se.enrollment_id = a.enrollment_id
+  JOIN student_master sm ON sm.student_master_id = se.student_master_id
+ WHERE sm.lname IS NOT NULL
+""")(lambda s: _deleted(s, "student_master", s.student_master.where("lname IS NULL")).attendance_students)
 
 register("delete_employees_classes", """
-SELECT class_id, class_level, division, academic_year_id, CASE WHEN class_teacher_id % 2 = 0 THEN class_teacher_id END AS class_teacher_id FROM classes
-""")(lambda s: _deleted(s, "employees", s.employees.where("employee_id % 2 = 1")).classes)
+SELECT c.class_id, c.class_level, c.division, c.academic_year_id, e.employee_id AS class_teacher_id
+  FROM classes c LEFT JOIN (SELECT employee_id FROM employees WHERE gender <> 'Other') e ON e.employee_id = c.class_teacher_id
+""")(lambda s: _deleted(s, "employees", s.employees.where("gender = 'Other'")).classes)
 
 register("delete_left_students_attendance", """
 , gone AS (SELECT student_master_id FROM student_enrollments WHERE status = 'left')
