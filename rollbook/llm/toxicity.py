@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.base import id_crc, with_scores
+from rollbook.llm.base import id_crc, materialise, with_scores
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER = 6
@@ -28,9 +28,12 @@ BITS = 10
 MASK = (1 << BITS) - 1
 END = 1
 DISCOUNT = 0.9
-#: Bounds of the fitted model: labelled documents read for each class, grams kept.
+#: Bounds of the sample for each class: labelled documents, their characters in all and those of one
+#: document.  The model holds every gram of the sample, which are no more than its characters and words.
 SAMPLE_PER_CLASS = 6000
-MAX_GRAMS = 1_000_000
+SAMPLE_CHARS, LONGEST = 16_000_000, 2_000_000
+#: Tasks that read the sample.
+PARTS = 32
 CACHE = 500_000
 
 
@@ -163,13 +166,14 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarra
     return theta, scale
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-        label_id: str = "doc_id", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> dict:
-    """Fit on at most ``per_class`` labelled documents of each class, chosen by a hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
+           label_id: str = "doc_id", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS,
+           longest: int = LONGEST) -> DataFrame:
+    """(id, y, h, text): at most ``per_class`` labelled documents and ``chars`` characters of each class, in
+    the order of a hash of the id; texts are taken whole, those of more than ``longest`` characters are left out.
 
-    Of these, four fifths (by hash) give the counts, the others the curve.  An id with
-    several labels counts as toxic if any says so; null ids, labels and texts are not
-    learnt from.  Without both classes the model is None: scores are 0 then.
+    An id with several labels counts as toxic if any says so, of its several texts the
+    shortest is taken; null ids, labels and texts are left out.
     """
     known = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     if train is not None:
@@ -179,9 +183,27 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     for y in (1, 0):
         part = known.where(F.col("y") == y).orderBy("h", "id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # At most 2 * per_class rows by construction, hence the broadcast.
-    rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-            .join(F.broadcast(chosen), "id").select("text", "y", (F.pmod("h", F.lit(5)) != 0).alias("counts")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    # At most 2 * per_class rows by construction, hence the broadcasts.
+    found = (texts.where(F.length("text") <= longest).join(F.broadcast(chosen), "id")
+             .groupBy("id", "y", "h").agg(F.min(F.struct(F.length("text").alias("size"), "text")).alias("t"))
+             .select("id", "y", "h", "t.size", "t.text"))
+    found = materialise(found.repartition(PARTS, "id"), "sample")
+    # A window over the sizes of at most per_class rows.
+    so_far = F.sum("size").over(Window.partitionBy("y").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
+    within = found.select("id", "y", so_far.alias("so_far")).where(F.col("so_far") <= chars).select("id")
+    return found.join(F.broadcast(within), "id").select("id", "y", "h", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
+        label_id: str = "doc_id", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> dict:
+    """Fit on a bounded ``sample`` of labelled documents; all its grams are counted and kept.
+
+    Of these, four fifths (by hash) give the counts, the others the curve.  Without both
+    classes the model is None: scores are 0 then.
+    """
+    rows = (sample(docs, labels, train, id_col, text_col, label_id, label_col, per_class)
+            .select("text", "y", (F.pmod("h", F.lit(5)) != 0).alias("counts")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,8 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n * y), pa.array(n * (1 - y))], ["key", "toxic", "ordinary"])
 
     counted = (rows.where("counts").drop("counts").mapInArrow(count, "key long, toxic long, ordinary long")
-               .groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-               .orderBy((F.col("toxic") + F.col("ordinary")).desc(), "key").limit(MAX_GRAMS).toArrow())
+               .groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow())
     columns = [counted.column(c).to_numpy() for c in ("key", "toxic", "ordinary")]
     if not len(columns[0]) or not columns[1].sum() or not columns[2].sum():
         return {"tables": None}

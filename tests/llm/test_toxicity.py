@@ -107,3 +107,16 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (sorted((r.doc_id or -1, r.score) for r in x.toxicity(docs, t).collect()) for t in (labels, turned))
     assert a == b
+
+
+def test_sample_is_bounded_by_rows_and_characters(spark):
+    rows = [(i, "grub " * (1 + i % 7)) for i in range(200)] + [(5, "x"), (300, "y" * 900), (301, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(302)], "doc_id long, toxic int")
+    got = x.sample(documents(spark, rows), labels, per_class=60, chars=700, longest=800).collect()
+    texts = dict(rows) | {5: "x"}
+    for y in (0, 1):
+        mine = sorted((r for r in got if r.y == y), key=lambda r: (r.h, r.id))
+        assert 0 < sum(len(r.text) for r in mine) <= 700 and len(mine) <= 60
+    assert all(r.text == texts[r.id] and r.y == r.id % 2 and len(r.text) <= 800 for r in got)
+    every = x.sample(documents(spark, rows), labels).collect()
+    assert sorted(r.id for r in every) == [*range(200), 300]
