@@ -8,14 +8,34 @@ from pyspark.sql import functions as F
 from rollbook.llm.base import materialise
 
 
+#: Tasks over which the rows of one key are dealt.
+SALTS = 32
+
+
+def with_least(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the least ``value`` among the rows of the same ``keys``.
+
+    The rows of a key are dealt over SALTS tasks by their value, and its minimum is sent to those
+    of them that hold rows: a key with few rows costs no more copies than it has rows, and one with a
+    third of all rows is no task of its own.  Rows with a null key are left out, repeated rows stay; ``rows``
+    has no column ``salt``.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    least = (salted.groupBy(*keys, "salt").agg(F.min(value).alias(name))
+             .groupBy(*keys).agg(F.min(name).alias(name), F.collect_list("salt").alias("salts"))
+             .select(*keys, name, F.explode("salts").alias("salt")))
+    return salted.join(least, [*keys, "salt"]).drop("salt")
+
+
 def _step(edges: DataFrame, large: bool) -> DataFrame:
     """Hang the larger (large star) or smaller (small star) neighbours of each node on its least one."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both if large else both.where("b < a")
-    least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    hung = near.join(least, "a")
-    out = hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else (
-        hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))))
+    hung = with_least(both if large else both.where("b < a"), ["a"], "b", "m").withColumn("m", F.least("a", "m"))
+    if large:
+        out = hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        end = lambda n: F.struct(F.col(n).alias("a"), F.col("m").alias("b"))
+        out = hung.select(F.inline(F.array(end("a"), end("b"))))
     return out.where("a <> b").distinct()
 
 
@@ -24,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     The steps end in one star for each component, after a number of rounds that grows with
     the logarithm of the size; each round is written to the shared folder.  Only a count and
-    a checksum come to the driver.
+    a checksum come to the driver.  Repeated edges count once; loops and edges with a null end are
+    left out, other columns are not read, and no edges give no rows.
     """
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.base import materialise, release
-from rollbook.llm.components import components
+from rollbook.llm.components import components, with_least
 
 #: A shingle in at least FREQUENT documents moves behind the others, at most MAX_FREQUENT of them
 #: (the list is broadcast).  Both only steer the work: any order is right.
@@ -332,8 +332,7 @@ def joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # Frequent shingles: each group and the centre, of about its size, that it shares most of them with.
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)) if percent < 100 else F.col("size")
     banded = late.withColumn("band", band)
-    centres = banded.groupBy("token", "band").agg(F.min("group_id").alias("b"))
-    star = (banded.join(centres, ["token", "band"]).where("group_id <> b").groupBy(F.col("group_id").alias("a"), "b").agg(F.count("*").alias("n"))
+    star = (with_least(banded, ["token", "band"], "group_id", "b").where("group_id <> b").groupBy(F.col("group_id").alias("a"), "b").agg(F.count("*").alias("n"))
             .groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
 
     # First links: members of a group to its centre, and centres of group pairs to each other.
@@ -351,8 +350,8 @@ def joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     left = near.join(side("a"), "a").join(side("b"), "b").where("home_a <> home_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
     more = verified(class_pairs(left, met), docs, classes, words, percent)
 
-    least_late = late.groupBy("token").agg(F.min("group_id").alias("b"))
-    families = components(late.join(least_late, "token").select(F.col("group_id").alias("a"), "b")).select(F.col("node").alias("group_id"), F.col("root").alias("family"))
+    kindred = with_least(late, ["token"], "group_id", "b")
+    families = components(kindred.select(F.col("group_id").alias("a"), "b")).select(F.col("node").alias("group_id"), F.col("root").alias("family"))
     mixed = homes.groupBy("group_id").agg(F.min("home").alias("home"), F.max("home").alias("last")).where("home <> last").select("group_id")
     family = (families.unionByName(mixed.join(families, "group_id", "left_anti").select("group_id", F.col("group_id").alias("family"))))
     kin = homes.join(family, "group_id").select("class_id", "family", "size", "home")

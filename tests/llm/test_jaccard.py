@@ -101,6 +101,17 @@ def test_components_of_chains_and_stars(spark):
     assert c.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_with_least_keeps_every_row_of_hot_and_single_keys(spark):
+    rows = [("hot", i % 700) for i in range(5, 3000)] + [(f"k{i}", i) for i in range(50)] + [("k7", 3), ("k7", 3), (None, 1)]
+    got = sorted((r.a, r.b, r.m) for r in c.with_least(spark.createDataFrame(rows, "a string, b long"), ["a"], "b", "m").collect())
+    least = {}
+    for a, b in rows:
+        least[a] = min(b, least.get(a, b))
+    assert got == sorted((a, b, least[a]) for a, b in rows if a is not None)
+    none = c.with_least(spark.createDataFrame([], "a string, b long"), ["a"], "b", "m")
+    assert none.columns == ["a", "b", "m"] and none.count() == 0
+
+
 def test_blocks_are_bounded_by_sets(spark):
     """Many short sets of one family, few shingles in all: 9,000 sets of 8."""
     members = spark.range(9000).selectExpr("cast(string(id) as binary) AS class_id", "'f' AS family", "8 AS size", "id AS home")
