@@ -16,7 +16,7 @@ from rollbook.functions.exprs import full_name, grade, percentage
 from rollbook.operators.common import (
     of_enrollments,
     classes_dim, employees_dim, exams_dim, subjects_dim, with_student, years_dim)
-from rollbook.plans.dims import in_active_year, restrict
+from rollbook.plans.dims import by_key, in_active_year, restrict
 from rollbook.sources.store import School
 
 
@@ -35,7 +35,7 @@ def _scored(s: School, class_id: int | None) -> DataFrame:
     enr = _class_filter(in_active_year(s.student_enrollments, s.academic_years), class_id)
     # Inner join: an enrollment without marks rows has no distinct subject (HAVING count > 0).
     x = enr.select("enrollment_id", "student_master_id", "class_id", "roll_no").join(
-        _marks_per_enrollment(s, enr), "enrollment_id", "inner")
+        by_key(_marks_per_enrollment(s, enr)), "enrollment_id", "inner")
     x = with_student(x, s, "reg_no", "fname", "lname")
     return x.withColumn("percentage", percentage("total_marks_obtained", "total_max_marks"))
 
@@ -124,7 +124,7 @@ def class_attendance(s: School, class_id: int | None = None, date=None) -> DataF
         a = a.where(F.col("attendance_date") == F.lit(date))
     enr = _class_filter(s.student_enrollments, class_id).select(
         "enrollment_id", "student_master_id", "class_id", "roll_no")
-    x = with_student(a.join(enr, "enrollment_id"), s, "fname", "lname")
+    x = with_student(a.join(by_key(enr), "enrollment_id"), s, "fname", "lname")
     return (x.select("class_id", "attendance_date", "attendance_id", "enrollment_id", "status", "fname",
                      "lname", "roll_no")
             .orderBy("class_id", "attendance_date", "roll_no"))
@@ -152,7 +152,7 @@ def student_dashboard(s: School, keys: DataFrame | None = None) -> DataFrame:
          .join(classes_dim(s, "class_level", "division", "class_teacher_id"), "class_id")
          .join(teacher, "class_teacher_id", "left")
          .join(years_dim(s, "year_name"), "academic_year_id")
-         .join(att, "enrollment_id", "left")
+         .join(by_key(att), "enrollment_id", "left")
          .join(_class_subject_names(s), ["class_id", "academic_year_id"], "left"))
     return x.select("enrollment_id", "user_id", "roll_no", "class_level", "division", "year_name",
                     full_name("fname", "lname").alias("class_teacher"),

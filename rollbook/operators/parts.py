@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.plans.dims import by_key
 from rollbook.sources.store import School
 
 
@@ -35,14 +36,14 @@ def attendance_parts(s: School) -> DataFrame:
     """Enrollments with attendance, per class, year and month."""
     enr = s.student_enrollments.select("enrollment_id", "class_id", "academic_year_id")
     month = (F.year("attendance_date") * 100 + F.month("attendance_date")).alias("month")
-    return id_parts(s.attendance_students.select("enrollment_id", month).join(enr, "enrollment_id"),
+    return id_parts(s.attendance_students.select("enrollment_id", month).join(by_key(enr), "enrollment_id"),
                     ["academic_year_id", "class_id", "month"], "enrollment_id")
 
 
 def subject_parts(s: School) -> DataFrame:
     """Subjects with marks, per class and exam."""
     enr = s.student_enrollments.select("enrollment_id", "class_id")
-    return id_parts(s.marks.select("enrollment_id", "subject_id", "exam_id").join(enr, "enrollment_id"), ["class_id", "exam_id"], "subject_id")
+    return id_parts(s.marks.select("enrollment_id", "subject_id", "exam_id").join(by_key(enr), "enrollment_id"), ["class_id", "exam_id"], "subject_id")
 
 
 def student_parts(s: School) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.exprs import full_name, full_name_strict
 from rollbook.operators.common import classes_dim, employees_dim, with_student, years_dim
-from rollbook.plans.dims import in_active_year, restrict
+from rollbook.plans.dims import by_key, in_active_year, restrict
 from rollbook.sources.store import School
 
 
@@ -42,7 +42,7 @@ def students_by_year(s: School, year: int | None = None, match_year: bool = True
     cls = s.classes.select("class_id", "class_level", "division",
                                  *(["academic_year_id"] if match_year else []))
     cols = ["academic_year_id", "enrollment_id", "class_id", "roll_no"] + ([] if match_year else ["status"])
-    return (x.join(cls, on)
+    return (x.join(F.broadcast(cls), on)
             .select(*cols, "reg_no", full_name("fname", "lname").alias("name"), "class_level", "division")
             .orderBy("academic_year_id", "class_level", "division", "roll_no", "enrollment_id"))
 
@@ -127,7 +127,7 @@ def staff_by_role(s: School, role: str | None = None) -> DataFrame:
 def employee_profile(s: School, keys: DataFrame | None = None) -> DataFrame:
     """Employee with login name, by user id."""
     e = restrict(s.employees, keys, "user_id")
-    return (e.join(s.users.select("user_id", "username"), "user_id")
+    return (e.join(by_key(s.users.select("user_id", "username")), "user_id")
             .select("user_id", "employee_id", "fname", "lname", "reg_no", "gender", "mobile", "email",
                     "joining_date", "salary", "username"))
 

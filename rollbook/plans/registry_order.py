@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rollbook.catalog import AS_OF, register
 from rollbook.operators import audit, changes, lifecycle, people
-from rollbook.plans.dims import in_active_year
+from rollbook.plans.dims import by_key, in_active_year
 
 ADMISSION = dt.date(2000, 2, 1)
 COLLATION = "UNICODE_CI_AI"
@@ -116,7 +116,7 @@ SELECT payment_id, enrollment_id, 'RCP' || CAST(numbers.last + row_number() OVER
 
 # Every enrollment's student admitted once more to its class, with closed years closed.
 def _admit_everywhere(s):
-    batch = s.student_enrollments.join(s.student_master.select("student_master_id", "fname", "gender"), "student_master_id").select(
+    batch = s.student_enrollments.join(by_key(s.student_master.select("student_master_id", "fname", "gender")), "student_master_id").select(
         F.concat(F.lit("C"), F.col("enrollment_id").cast("string")).alias("reg_no"), "fname",
         F.when(F.col("roll_no") % 11 != 0, F.col("gender")).alias("gender"), (3000000 + F.col("roll_no")).cast("int").alias("roll_no"),
         "class_id", "academic_year_id", F.lit(ADMISSION).alias("admission_date"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.functions.exprs import grade
+from rollbook.plans.dims import by_key
 from rollbook.sources.schema import MARK, MONEY
 from rollbook.sources.store import School, conform
 
@@ -163,11 +164,12 @@ def derive_school(spark: SparkSession, sf_dir: str) -> School:
           .where((ck + F.col("y")) % 4 != 3))
     enrollments = cy.select(*_enrollment_cols(ck, F.col("y")))
 
-    # Orders mapped to the enrollment of their customer in the order's year.
+    # Orders mapped to the enrollment of their customer in the order's year: a customer is
+    # enrolled in it by the rule of ``cy``, so the join needs the customers and not all their years.
     orders = rd("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     oy = (F.year("o_orderdate") - FIRST_YEAR).cast("long")
-    order_enr = (orders.withColumn("y", oy)
-                 .join(cy.select(F.col("c_custkey").alias("o_custkey"), "y"), ["o_custkey", "y"], "inner")
+    order_enr = (orders.withColumn("y", oy).where(F.col("y").between(0, N_YEARS - 1) & ((F.col("o_custkey") + F.col("y")) % 4 != 3))
+                 .join(by_key(customer.select(ck.alias("o_custkey"))), "o_custkey", "inner")
                  .withColumn("enrollment_id", 501 + 7 * F.col("o_custkey") + F.col("y")))
 
     fee_payments = order_enr.select(
@@ -183,7 +185,7 @@ def derive_school(spark: SparkSession, sf_dir: str) -> School:
     lineitem = rd("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
     slots = (order_enr.where(cls_o != 29)
              .select("o_orderkey", "o_custkey", "y", "enrollment_id", (30 * F.col("y") + cls_o).alias("ord"))
-             .join(lineitem.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "inner")
+             .join(by_key(lineitem.withColumnRenamed("l_orderkey", "o_orderkey")), "o_orderkey", "inner")
              .groupBy("enrollment_id", "o_custkey", "y", "ord",
                       (F.col("l_partkey") % 5).alias("k"), (F.col("l_linenumber") % 3).alias("e"))
              .agg(F.max("l_quantity").alias("q")))
@@ -198,7 +200,7 @@ def derive_school(spark: SparkSession, sf_dir: str) -> School:
     # Attendance: a day with any 'error' event of the student is an absence (active year only).
     events = rd("events").select("ts", "user_id", "event_type")
     active_cy = cy.where(F.col("y") == ACTIVE_Y).select(F.col("c_custkey").alias("user_id"))
-    attendance = (events.join(active_cy, "user_id", "inner")
+    attendance = (events.join(by_key(active_cy), "user_id", "inner")
                   .groupBy("user_id", F.to_date("ts").alias("attendance_date"))
                   .agg(F.max((F.col("event_type") == "error").cast("int")).alias("absent"))
                   .select((100 * (501 + 7 * F.col("user_id") + ACTIVE_Y) + F.dayofmonth("attendance_date"))

@@ -9,7 +9,7 @@ import tempfile
 import pytest
 
 from conftest import SF_SMALL
-from rollbook.operators import fees, marks
+from rollbook.operators import changes, fees, marks, people
 from rollbook.sources.fixtures import derive_school
 from rollbook.sources.store import read_school, write_school
 
@@ -96,3 +96,20 @@ def test_all_key_audits_read_each_table_once(spark, tmp_path):
     for df in (audit.audit_all_unique(s), audit.audit_all_foreign_keys(s)):
         plan = df._jdf.queryExecution().optimizedPlan()
         assert plan.collectLeaves().size() == 13 and "Join" not in plan.toString()
+
+
+def test_derived_facts_and_students_are_merged_by_key(spark):
+    # With Spark's own thresholds: files of customers are small, their rows of all years are not.
+    s = derive_school(spark, SF_SMALL)
+    assert "BroadcastExchange" not in plan(s.fee_payments) and "BroadcastExchange" not in plan(s.attendance_students)
+    for df in (fees.recent_transactions(s), people.students_by_year(s, match_year=False), fees.fee_status(s)):
+        p = plan(df)
+        # Students and facts are merged; what is joined to classes and years is never the side sent.
+        assert "SortMergeJoin" in p and "BuildLeft" not in p
+
+
+def test_table_changes_merge_their_rows_by_key(spark):
+    s = derive_school(spark, SF_SMALL)
+    enr = s.student_enrollments
+    p = plan(changes.update_rows(enr, enr.select("enrollment_id", "status"), "enrollment_id"))
+    assert "SortMergeJoin" in p and "BroadcastExchange" not in p
