@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.plans.dims import by_key
 from rollbook.sources.schema import (
     ALLOWED_VALUES, FOREIGN_KEYS, MAX_LENGTHS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS, not_null_columns)
 from rollbook.sources.store import School
@@ -36,23 +37,35 @@ def audit_all_unique(s: School) -> DataFrame:
     """Q1 over every primary and declared unique key: table, columns, key text, rows.
 
     One scan of each table, whose rows are unpivoted into one row for each key, and one grouped
-    count over all tables.  Values are grouped as arrays, so that a ``|`` inside one does not
-    make two keys look alike.
+    count over all tables.  As every value of every key is a group, a group is no more than the key's
+    number and one text; names are looked up for what is left.
     """
-    parts = []
+    parts, names = [], []
     for table in SCHEMAS:
         keys = [(PRIMARY_KEYS[table],)] + list(UNIQUE_KEYS.get(table, []))
-        unpivoted = F.array(*[F.struct(F.lit(",".join(cols)).alias("columns"), F.array(*[F.col(c).cast("string") for c in cols]).alias("value")) for cols in keys])
-        parts.append(s.table(table).select(F.lit(table).alias("table_name"), F.inline(unpivoted)).where(~F.exists("value", lambda v: v.isNull())))
-    counts = reduce(DataFrame.unionByName, parts).groupBy("table_name", "columns", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") > 1).select("table_name", "columns", F.array_join("value", "|").alias("key"), "n")
+        unpivoted = F.array(*[F.struct(F.lit(len(names) + i).alias("rule"), _key_text(table, cols).alias("value")) for i, cols in enumerate(keys)])
+        parts.append(s.table(table).select(F.inline(unpivoted)).where("value is not null"))
+        names += [F.struct(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("columns")) for cols in keys]
+    counts = reduce(DataFrame.unionByName, parts).groupBy("rule", "value").agg(F.count(F.lit(1)).alias("n"))
+    text = F.substring("value", F.locate(":", "value") + 1, F.length("value"))
+    return counts.where(F.col("n") > 1).select(F.get(F.array(*names), F.col("rule")).alias("name"), text.alias("key"), "n").select("name.*", "key", "n")
+
+
+def _key_text(table: str, cols: tuple[str, ...]) -> F.Column:
+    """A key's values joined by ``|`` behind a ``:``; NULL if one is NULL.  Where a value may hold a ``|``
+    itself, the lengths of the values come first, so that different keys have different texts."""
+    texts = [F.col(c).cast("string") for c in cols]
+    told = len(cols) > 1 and any(SCHEMAS[table][c].dataType.typeName() == "string" for c in cols)
+    lengths = F.concat_ws(",", *[F.length(t).cast("string") for t in texts]) if told else F.lit("")
+    joined = [x for t in texts for x in (F.lit("|"), t)][1:]
+    return F.concat(lengths, F.lit(":"), *joined)
 
 
 def audit_foreign_key(child: DataFrame, col: str, parent: DataFrame, pk: str) -> DataFrame:
     """Q2: non-NULL child values without a parent row, with the number of child rows."""
     values = child.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     parents = parent.select(F.col(pk).alias(col))
-    return values.join(parents, col, "left_anti")
+    return values.join(by_key(parents), col, "left_anti")
 
 
 def audit_all_foreign_keys(s: School) -> DataFrame:
@@ -62,19 +75,21 @@ def audit_all_foreign_keys(s: School) -> DataFrame:
     references, and one aggregate over (parent table, value): whether a parent row has the
     value, and how many rows refer to it by each key.
     """
-    parents = {parent for _, _, parent, _, _ in FOREIGN_KEYS}
-    role = lambda n, parent, c: F.struct(F.lit(n).alias("key"), F.lit(parent).alias("parent_table"), F.col(c).cast("long").alias("value"))
+    # The references to each parent table: a group needs as many counts as the most of them.
+    children = {table: [(child, col) for child, col, parent, _, _ in FOREIGN_KEYS if parent == table] for table in SCHEMAS}
+    parents = [table for table in SCHEMAS if children[table]]
+    role = lambda parent, key, c: F.struct(F.lit(parents.index(parent)).alias("parent"), F.lit(key).alias("key"), F.col(c).cast("long").alias("value"))
     parts = []
     for table in SCHEMAS:
-        roles = [role(n, parent, col) for n, (child, col, parent, _, _) in enumerate(FOREIGN_KEYS) if child == table]
-        roles += [role(-1, table, PRIMARY_KEYS[table])] if table in parents else []
+        roles = [role(parent, key, col) for parent in parents for key, (child, col) in enumerate(children[parent]) if child == table]
+        roles += [role(table, -1, PRIMARY_KEYS[table])] if table in parents else []
         if roles:
             parts.append(s.table(table).select(F.inline(F.array(*roles))).where("value is not null"))
-    values = reduce(DataFrame.unionByName, parts).groupBy("parent_table", "value").agg(
-        F.max(F.col("key") == -1).alias("known"), *[F.count_if(F.col("key") == n).alias(f"n{n}") for n in range(len(FOREIGN_KEYS))])
-    told = F.array(*[F.struct(F.lit(child).alias("child_table"), F.lit(col).alias("child_column"), F.col(f"n{n}").alias("n"))
-                     for n, (child, col, _, _, _) in enumerate(FOREIGN_KEYS)])
-    return values.where("not known").select("parent_table", "value", F.inline(told)).where("n > 0").select("child_table", "child_column", "parent_table", "value", "n")
+    values = reduce(DataFrame.unionByName, parts).groupBy("parent", "value").agg(
+        F.max(F.col("key") == -1).alias("known"), *[F.count_if(F.col("key") == n).alias(f"n{n}") for n in range(max(map(len, children.values())))])
+    told = F.array(*[F.array(*[F.struct(F.lit(child).alias("child_table"), F.lit(col).alias("child_column"), F.lit(parent).alias("parent_table"), F.col(f"n{n}").alias("n"))
+                               for n, (child, col) in enumerate(children[parent])]) for parent in parents])
+    return values.where("not known").select("value", F.inline(F.get(told, F.col("parent")))).where("n > 0").select("child_table", "child_column", "parent_table", "value", "n")
 
 
 def value_rules(table: str) -> list[tuple[str, str, F.Column]]:
@@ -125,13 +140,13 @@ def audit_closed_year(s: School) -> DataFrame:
                 .select(F.lit("admission_after_close").alias("rule"), F.col("enrollment_id").alias("key"),
                         "academic_year_id", F.col("admission_date").alias("dated")))
     closed_enr = enr.join(closed, "academic_year_id").select("enrollment_id", "academic_year_id", "end_date")
-    late_att = (s.attendance_students.join(closed_enr, "enrollment_id")
+    late_att = (s.attendance_students.join(by_key(closed_enr), "enrollment_id")
                 .where(F.col("attendance_date") > F.col("end_date"))
                 .select(F.lit("attendance_after_close").alias("rule"), F.col("attendance_id").alias("key"),
                         "academic_year_id", F.col("attendance_date").alias("dated")))
     # A mark of a closed year's enrollment must be of an exam of that year.
     exams = s.exams.select("exam_id", F.col("academic_year_id").alias("exam_year"))
-    marks = (s.marks.select("mark_id", "enrollment_id", "exam_id").join(closed_enr, "enrollment_id").join(exams, "exam_id")
+    marks = (s.marks.select("mark_id", "enrollment_id", "exam_id").join(by_key(closed_enr), "enrollment_id").join(exams, "exam_id")
              .where(F.col("exam_year") > F.col("academic_year_id"))
              .select(F.lit("mark_after_close").alias("rule"), F.col("mark_id").alias("key"),
                      "academic_year_id", F.lit(None).cast("date").alias("dated")))

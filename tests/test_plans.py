@@ -113,3 +113,17 @@ def test_table_changes_merge_their_rows_by_key(spark):
     enr = s.student_enrollments
     p = plan(changes.update_rows(enr, enr.select("enrollment_id", "status"), "enrollment_id"))
     assert "SortMergeJoin" in p and "BroadcastExchange" not in p
+
+
+def test_audits_group_by_numbers_and_one_text(spark):
+    from conftest import make_school
+    from rollbook.operators import audit
+    s = make_school(spark, exams=[dict(exam_id=1, exam_name="a|1", academic_year_id=2), dict(exam_id=2, exam_name="a", academic_year_id=12),
+                                  dict(exam_id=3, exam_name="a|1", academic_year_id=2), dict(exam_id=3, exam_name="b", academic_year_id=2)])
+    unique = audit.audit_all_unique(s)
+    assert sorted(map(tuple, unique.collect())) == [("exams", "exam_id", "3", 2), ("exams", "exam_name,academic_year_id", "a|1|2", 2)]
+    assert sorted(map(tuple, audit.audit_all_foreign_keys(s).collect())) == [
+        ("exams", "academic_year_id", "academic_years", 2, 3), ("exams", "academic_year_id", "academic_years", 12, 1)]
+    # A group is as small as it can be: no arrays, no names, no count for references to other parents.
+    assert re.search(r"Aggregate \[rule#\d+, value#\d+\]", unique._jdf.queryExecution().optimizedPlan().toString())
+    assert re.search(r"keys=\[parent#\d+, value#\d+L\]", plan(audit.audit_all_foreign_keys(s)))
