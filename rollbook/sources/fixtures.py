@@ -159,10 +159,19 @@ def derive_school(spark: SparkSession, sf_dir: str) -> School:
         F.col("c_mktsegment").alias("address"),
         base_day.cast("timestamp_ntz").alias("created_at"))
 
+    # What grows with the students is dealt over as many tasks as the session has shuffle partitions: by
+    # compressed bytes (2 a customer, 8 a slot of marks) Spark would give millions of rows, once they are
+    # exploded and are groups in memory, to one task.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     # One row per (customer, year) with (ck + y) % 4 <> 3: explode a year list per customer.
-    cy = (customer.select(ck, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(N_YEARS - 1).cast("long"))).alias("y"))
-          .where((ck + F.col("y")) % 4 != 3))
-    enrollments = cy.select(*_enrollment_cols(ck, F.col("y")))
+    def by_years(customers: DataFrame) -> DataFrame:
+        return (customers.select(ck, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(N_YEARS - 1).cast("long"))).alias("y"))
+                .where((ck + F.col("y")) % 4 != 3))
+
+    # Years and classes are a few groups in any task.
+    cy, enrolled = by_years(customer), by_years(customer.select(ck).repartition(tasks, ck))
+    enrollments = enrolled.select(*_enrollment_cols(ck, F.col("y")))
 
     # Orders mapped to the enrollment of their customer in the order's year: a customer is
     # enrolled in it by the rule of ``cy``, so the join needs the customers and not all their years.
@@ -186,6 +195,7 @@ def derive_school(spark: SparkSession, sf_dir: str) -> School:
     slots = (order_enr.where(cls_o != 29)
              .select("o_orderkey", "o_custkey", "y", "enrollment_id", (30 * F.col("y") + cls_o).alias("ord"))
              .join(by_key(lineitem.withColumnRenamed("l_orderkey", "o_orderkey")), "o_orderkey", "inner")
+             .repartition(tasks, "enrollment_id")
              .groupBy("enrollment_id", "o_custkey", "y", "ord",
                       (F.col("l_partkey") % 5).alias("k"), (F.col("l_linenumber") % 3).alias("e"))
              .agg(F.max("l_quantity").alias("q")))
@@ -199,7 +209,7 @@ def derive_school(spark: SparkSession, sf_dir: str) -> School:
 
     # Attendance: a day with any 'error' event of the student is an absence (active year only).
     events = rd("events").select("ts", "user_id", "event_type")
-    active_cy = cy.where(F.col("y") == ACTIVE_Y).select(F.col("c_custkey").alias("user_id"))
+    active_cy = enrolled.where(F.col("y") == ACTIVE_Y).select(F.col("c_custkey").alias("user_id"))
     attendance = (events.join(by_key(active_cy), "user_id", "inner")
                   .groupBy("user_id", F.to_date("ts").alias("attendance_date"))
                   .agg(F.max((F.col("event_type") == "error").cast("int")).alias("absent"))

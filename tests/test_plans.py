@@ -127,3 +127,14 @@ def test_audits_group_by_numbers_and_one_text(spark):
     # A group is as small as it can be: no arrays, no names, no count for references to other parents.
     assert re.search(r"Aggregate \[rule#\d+, value#\d+\]", unique._jdf.queryExecution().optimizedPlan().toString())
     assert re.search(r"keys=\[parent#\d+, value#\d+L\]", plan(audit.audit_all_foreign_keys(s)))
+
+
+def test_enrollments_and_slots_of_marks_are_dealt_over_all_tasks(spark):
+    # By a given number, which Spark does not join to fewer: no task holds the groups of many millions of rows.
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    s = derive_school(spark, SF_SMALL)
+    assert re.search(rf"(?s)Generate explode.*hashpartitioning\(c_custkey#\d+L, {n}\), REPARTITION_BY_NUM", plan(s.student_enrollments))
+    p = plan(s.marks)
+    assert re.search(rf"hashpartitioning\(enrollment_id#\d+L, {n}\), REPARTITION_BY_NUM", p)
+    # The groups are counted where they are dealt to: partial and whole maxima in one stage.
+    assert p.find("partial_max") < p.find("REPARTITION_BY_NUM") and p.count("hashpartitioning(enrollment_id") == 1
