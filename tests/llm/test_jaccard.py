@@ -101,6 +101,17 @@ def test_components_of_chains_and_stars(spark):
     assert c.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_write_no_round_when_all_are_stars(spark, monkeypatch):
+    written, write = [], c.materialise
+    monkeypatch.setattr(c, "materialise", lambda df, kind: written.append(kind) or write(df, kind))
+    # The least node is the middle of each star; a repeated edge and a loop change nothing.
+    star = spark.createDataFrame([(1, i) for i in range(2, 30)] + [(40, 31), (1, 2), (7, 7)], "a long, b long")
+    assert {r.node: r.root for r in c.components(star).collect()} == {i: 1 for i in range(1, 30)} | {31: 31, 40: 31}
+    assert len(written) == 1
+    for edges in ([(1, 2), (2, 3)], [(1, 3), (2, 3)], [(1, 4), (2, 4), (2, 3)]):
+        assert {r.root for r in c.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {1}
+
+
 def test_with_least_keeps_every_row_of_hot_and_single_keys(spark):
     rows = [("hot", i % 700) for i in range(5, 3000)] + [(f"k{i}", i) for i in range(50)] + [("k7", 3), ("k7", 3), (None, 1)]
     got = sorted((r.a, r.b, r.m) for r in c.with_least(spark.createDataFrame(rows, "a string, b long"), ["a"], "b", "m").collect())
