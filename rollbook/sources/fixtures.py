@@ -223,12 +223,15 @@ def derive_school(spark: SparkSession, sf_dir: str) -> School:
     classes = _classes(places)
     fee_structures = _fee_structures(places)
     years = _years(cy)
-    # Fee assignment per enrollment from the level's structure; some get a duplicate copy.
+    # Fee assignment per enrollment from the level's structure; some get a duplicate copy.  A class has one
+    # level and year, so level, amount and start are joined to the few classes first, and what is broadcast to
+    # the enrollments has one integer key (1 MB): by two keys each copy would take a memory page (up to 64 MB).
+    class_fees = (classes.select("class_id", "class_level", "academic_year_id")
+                  .join(by_key(fee_structures.select("class_level", "academic_year_id", "total_amount")),
+                        ["class_level", "academic_year_id"])
+                  .join(by_key(years.select("academic_year_id", "start_date")), "academic_year_id"))
     assign = (enrollments.where(F.col("enrollment_id") % 9 != 0)
-              .join(F.broadcast(classes.select("class_id", "class_level")), "class_id")
-              .join(F.broadcast(fee_structures.select("class_level", "academic_year_id", "total_amount")),
-                    ["class_level", "academic_year_id"])
-              .join(F.broadcast(years.select("academic_year_id", "start_date")), "academic_year_id")
+              .join(F.broadcast(class_fees.select("class_id", "total_amount", "start_date")), "class_id")
               .select("enrollment_id", "total_amount", F.col("start_date").alias("assigned_date"),
                       F.explode(F.when(F.col("enrollment_id") % 50 == 1, F.array(F.lit(0), F.lit(1)))
                                 .otherwise(F.array(F.lit(0)))).alias("copy")))

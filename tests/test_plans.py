@@ -138,3 +138,25 @@ def test_enrollments_and_slots_of_marks_are_dealt_over_all_tasks(spark):
     assert re.search(rf"hashpartitioning\(enrollment_id#\d+L, {n}\), REPARTITION_BY_NUM", p)
     # The groups are counted where they are dealt to: partial and whole maxima in one stage.
     assert p.find("partial_max") < p.find("REPARTITION_BY_NUM") and p.count("hashpartitioning(enrollment_id") == 1
+
+
+def test_fees_are_sent_to_enrollments_by_one_number(spark, tmp_path):
+    rows = {"customer": ("c_custkey long, c_name string, c_nationkey int, c_mktsegment string",
+                         [(k, f"C{k}", 1, "M") for k in (0, 1, 2, 2, 9, 29)] + [(None, "C", 1, "M")]),
+            "supplier": ("s_suppkey long, s_name string, s_nationkey int, s_acctbal double", []),
+            "orders": ("o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string", []),
+            "lineitem": ("l_orderkey long, l_partkey long, l_linenumber int, l_quantity double", []),
+            "events": ("ts timestamp_ntz, user_id long, event_type string", [])}
+    for name, (kind, values) in rows.items():
+        spark.createDataFrame(values, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    fees_assigned = derive_school(spark, str(tmp_path)).student_fee_assignments
+    # Two keys do not fit a long: their relation takes a memory page in the driver for every job that reads fees.
+    sent = re.findall(r"BroadcastExchange HashedRelationBroadcastMode\(List\((.*?)\),", plan(fees_assigned))
+    assert len(sent) == 1 and sent[0].count("input[") == 1
+    want = []
+    for k in (0, 1, 2, 2, 9, 29):
+        for y in range(7):
+            e, level = 501 + 7 * k + y, (k + y) % 10 + 1
+            if (k + y) % 4 != 3 and e % 9 and (y, level) != (5, 10):
+                want += [(2 * e + copy, e, 40000 + 30000 * level, f"{1995 + y}-01-01") for copy in range(2 if e % 50 == 1 else 1)]
+    assert sorted((a, e, int(t), str(d)) for a, e, t, d in fees_assigned.collect()) == sorted(want)
