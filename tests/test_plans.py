@@ -9,7 +9,8 @@ import tempfile
 import pytest
 
 from conftest import SF_SMALL
-from rollbook.operators import changes, fees, marks, people
+from pyspark.sql import functions as F
+from rollbook.operators import acceptance, changes, fees, lifecycle, marks, people
 from rollbook.sources.fixtures import derive_school
 from rollbook.sources.store import read_school, write_school
 
@@ -115,6 +116,34 @@ def test_table_changes_merge_their_rows_by_key(spark):
     assert "SortMergeJoin" in p and "BroadcastExchange" not in p
 
 
+def sent(df) -> set[str]:
+    """The columns of all relations that the plan of ``df`` broadcasts."""
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    relations = re.findall(r"BroadcastExchange\s*\nInput \[\d+\]: \[(.*?)\]", text)
+    assert len(relations) == len(re.findall(r"\) BroadcastExchange\s*\nInput", text))
+    return {re.sub(r"#\d+L?", "", c) for r in relations for c in r.split(", ")}
+
+
+def test_batches_send_no_rows_of_students_to_the_driver(spark, monkeypatch):
+    # Without checkpoints the plan shows every join of a change, with Spark's own thresholds.
+    for module in (acceptance, changes):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: df)
+    s = derive_school(spark, SF_SMALL)
+    enr, c = s.student_enrollments, s.classes
+    left = enr.select("enrollment_id", F.lit("left").alias("status"))
+    paid = enr.select("enrollment_id", F.lit(7).cast("decimal(10,2)").alias("amount_paid"), F.lit("2020-01-01").cast("date").alias("payment_date"))
+    given = paid.withColumn("receipt_no", F.when(F.col("enrollment_id") % 3 == 0, F.concat(F.lit("RCP"), F.col("enrollment_id").cast("string"))))
+    mapped = c.select(F.col("academic_year_id").alias("from_year"), F.col("class_id").alias("from_class"),
+                      F.col("academic_year_id").alias("to_year"), F.lit(None).cast("long").alias("to_class"))
+    claims = enr.select(F.struct("enrollment_id").alias("row"), F.struct("enrollment_id").alias("rank"), F.lit(True).alias("eligible"),
+                        F.lit(0).alias("key"), F.struct("class_id").alias("holder"))
+    for df in (*changes.update_table(s, "student_enrollments", left, enforce_closed=True), acceptance.beaten(claims),
+               changes.append_rows(s, "fee_payments", paid, ["enrollment_id"])[0],
+               changes.append_rows(s, "fee_payments", given, ["enrollment_id"], generate={"receipt_no": "RCP"})[0],
+               lifecycle.promote(s, mapped)[1]):
+        assert not sent(df) & {"enrollment_id", "student_master_id", "o_custkey", "payment_id", "receipt_no", "row", "holder", "_row", "_k0"}
+
+
 def test_audits_group_by_numbers_and_one_text(spark):
     from conftest import make_school
     from rollbook.operators import audit
