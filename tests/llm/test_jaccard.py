@@ -151,3 +151,36 @@ def test_small_blocks_match_all_pairs(spark, monkeypatch):
     rows = [(i, "one two " + " ".join(rng.choice("abcd") for _ in range(8))) for i in range(60)]
     got = j.ngram_jaccard(documents(spark, rows), 3, 60).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, 3, 60)
+
+
+@pytest.mark.parametrize("most", [1, 1 << 20])
+def test_filter_of_ids_misses_none(spark, monkeypatch, most):
+    monkeypatch.setattr(j, "MAX_WORDS", most)
+    rows = spark.createDataFrame([(None,), (-1,), *[(i * 7,) for i in range(300)], (0,)], "doc_id long")
+    known = j.id_filter(rows)
+    assert len(known) == min(most, 303 // 4 + 1)
+    hashed = lambda df: j.id_hashes(df).toPandas()
+    ids = hashed(rows)
+    assert j.in_filter(known, ids.place.to_numpy(), ids.bits.to_numpy()).all()
+    others = hashed(spark.range(10_000, 14_000).toDF("doc_id"))
+    let_in = j.in_filter(known, others.place.to_numpy(), others.bits.to_numpy()).mean()
+    assert most == 1 or let_in < 0.05
+    none = j.id_filter(rows.limit(0))
+    assert not j.in_filter(none, ids.place.to_numpy(), ids.bits.to_numpy()).any()
+
+
+def test_whole_sets_do_not_shuffle_texts(spark, monkeypatch):
+    rows = [(1, "a b c d"), (2, "e f g h"), (None, "i j k l"), (1, "other text of it"), (3, "")]
+    docs = documents(spark, rows)
+    marked = j.sketches(docs.select("doc_id", "text"), 3, 90, np.empty(0, np.int64)).where("size > 0")
+    classes = spark.createDataFrame([(r.class_id, r.doc_id) for r in marked.collect() if r.doc_id != 2], "class_id binary, doc_id long")
+    plans, write = {}, j.materialise
+    monkeypatch.setattr(j, "materialise", lambda df, kind: plans.update({kind: df._jdf.queryExecution().executedPlan().toString()}) or write(df, kind))
+    used = classes.where("doc_id is null or doc_id = 1").select("class_id")
+    got = {bytes(r.class_id): sorted(r.tokens) for r in j.whole_sets(used, docs, classes, 3).collect()}
+    assert "Exchange" not in plans["sets"]
+    want = {bytes(r.class_id) for r in classes.collect()}
+    assert want <= got.keys()
+    hashes = j.WordHashes()
+    sets_of = {j.fingerprint(s): s.tolist() for s in (j.shingles(t, 3, hashes) for _, t in rows) if len(s)}
+    assert all(sets_of[k] == v for k, v in got.items())
